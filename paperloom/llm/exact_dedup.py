@@ -29,40 +29,44 @@ def normalised(text: Column) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
-    """Narrow rows (_id, _chars, _len, _pre, _m[, _sha]), one for each distinct row; _m counts its repetitions."""
+    """Narrow rows (_id, _chars, _len, _pre[, _sha])."""
     rows = docs.select(F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_chars"), normalised(F.col(text_col)).alias("_norm"))
     more = [F.sha2("_norm", 256).alias("_sha")] if full else []
     return rows.select("_id", "_chars", F.length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("_pre"), *more)
 
 
-def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
+def survivors(rows: DataFrame, keys: list[str], count: Column | None = None) -> DataFrame:
     """The rows whose keys occur at least twice."""
-    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
+    again = rows.groupBy(*keys).agg((F.count(F.lit(1)) if count is None else count).alias("_n")).filter("_n > 1").select(*keys)
     return rows.join(again, keys, "left_semi")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: _id, _keep (id of the row that stays), _size, _kept, _sha.
 
-    The full hash is a result column of every document here, so one scan takes it
-    with the length and the prefix hash; `drop_copies` reads full texts for surviving groups only.
+    The full hash is a result column of every document here, so one scan takes it with the
+    length and the prefix hash, and it is compared within surviving groups; `drop_copies`
+    reads full texts for surviving groups only.
     """
-    rows = features(docs, id_col, text_col)
-    return _grouped(rows)
+    rows = features(docs, id_col, text_col).groupBy("_id", "_chars", *KEYS, "_sha").agg(F.count(F.lit(1)).alias("_m"))
+    again = survivors(survivors(rows, ["_len"], F.sum("_m")), KEYS, F.sum("_m"))
+    return _decided(rows, again)
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    rows = rows.groupBy("_id", "_chars", "_len", "_pre", "_sha").agg(F.count(F.lit(1)).alias("_m"))
-    groups = rows.groupBy("_len", "_pre", "_sha").agg(
+def _decided(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Which of rows stay; again: those of them that may have an equal."""
+    groups = again.groupBy(*KEYS, "_sha").agg(
         F.sum("_m").alias("_size"),
         # the most code points, then the smallest id
         F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))).alias("_best"),
     )
-    joined = rows.join(groups, ["_len", "_pre", "_sha"])
-    best = F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_chars") == -F.col("_best.c"))
+    joined = rows.join(groups, [*KEYS, "_sha"], "left")
+    alone = F.col("_size").isNull()
+    best = alone | (F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_chars") == -F.col("_best.c")))
     once = joined.filter("_m = 1").withColumn("_copy", F.lit(1))
     more = joined.filter("_m > 1").withColumn("_copy", F.explode(F.expr("sequence(1, int(_m))")))
-    return once.unionByName(more).select("_id", F.col("_best.i").alias("_keep"), "_size", (best & (F.col("_copy") == 1)).alias("_kept"), "_sha")
+    keep = F.when(alone, F.col("_id")).otherwise(F.col("_best.i"))
+    return once.unionByName(more).select("_id", keep.alias("_keep"), F.coalesce("_size", F.lit(1).cast("long")).alias("_size"), (best & (F.col("_copy") == 1)).alias("_kept"), "_sha")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,7 +78,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     twice = survivors(survivors(narrow, ["_len"]), KEYS)
     ids = twice.select("_id").distinct()
     full = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi")
-    groups = _grouped(features(full, id_col, text_col))
+    rows = features(full, id_col, text_col).groupBy("_id", "_chars", *KEYS, "_sha").agg(F.count(F.lit(1)).alias("_m"))
+    groups = _decided(rows, rows)
     lost = groups.groupBy("_id").agg(F.max(F.col("_kept").cast("int")).alias("_any"), F.count(F.lit(1)).alias("_rows"))
     gone = lost.filter("_any = 0").select("_id")
     kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
