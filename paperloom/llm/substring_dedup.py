@@ -156,28 +156,59 @@ def candidates(part: list[int], window: int, block: int, id_col: str, text_col:
     return run
 
 
-def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of one hash range that start earlier elsewhere: rows of a document and packed starts."""
-    got = [[], [], [], []]
+def repeats(dest: list[int]) -> Callable:
+    """The windows of one hash range that start earlier elsewhere, as blobs dealt by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[], [], [], []]
+        for b in batches:
+            for low, hashes, docs, at, ids in zip(*(b[c].to_pylist() for c in ("probes", "hashes", "docs", "at", "ids")), strict=True):
+                for x, y in zip(got, (unpack(hashes), np.frombuffer(low, np.uint32), np.frombuffer(ids, np.int64)[widen(docs)], widen(at)), strict=True):
+                    x.append(y)
+        if not got[0]:
+            return
+        h, low, doc, at = map(np.concatenate, got)
+        order = np.lexsort((at, doc, low, h))
+        h, low, doc, at = h[order], low[order], doc[order], at[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        later = (doc != doc[first]) | (at != at[first])
+        doc, at = doc[later], at[later]
+        to = (mix(doc.view(np.uint64)) % np.uint64(len(dest))).astype(np.int64)
+        order = np.lexsort((doc, to))
+        doc, at, to = doc[order], at[order], to[order]
+        cuts = np.searchsorted(to, np.arange(len(dest) + 1))
+        rows = [(dest[i], _counted(doc[a:b]), narrow(at[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "docs", "at"])
+
+    return run
+
+
+def _counted(doc: np.ndarray) -> bytes:
+    """Sorted ids as distinct ids and their counts."""
+    at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    n = narrow(np.diff(np.append(at, len(doc))))
+    return len(n).to_bytes(8, "little") + n + pack(doc[at].view(np.uint64))
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document that loses words: its starts of repeated windows."""
+    ids, starts = [], []
     for b in batches:
-        for low, hashes, docs, at, ids in zip(*(b[c].to_pylist() for c in ("probes", "hashes", "docs", "at", "ids")), strict=True):
-            for x, y in zip(got, (unpack(hashes), np.frombuffer(low, np.uint32), np.frombuffer(ids, np.int64)[widen(docs)], widen(at)), strict=True):
-                x.append(y)
-    if not got[0]:
+        for docs, at in zip(b["docs"].to_pylist(), b["at"].to_pylist(), strict=True):
+            n = 8 + int.from_bytes(docs[:8], "little")
+            ids.append(np.repeat(unpack(docs[n:]).view(np.int64), widen(docs[8:n])))
+            starts.append(widen(at).astype(np.uint32))
+    if not ids:
         return
-    h, low, doc, at = map(np.concatenate, got)
-    order = np.lexsort((at, doc, low, h))
-    h, low, doc, at = h[order], low[order], doc[order], at[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    later = (doc != doc[first]) | (at != at[first])
-    doc, at = doc[later], at[later]
+    doc, at = np.concatenate(ids), np.concatenate(starts)
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-    for a in range(0, len(cuts), 4096):
-        some = [(int(doc[x]), pack(at[x:y].astype(np.uint64))) for x, y in zip(cuts[a : a + 4096], np.append(cuts[1:], len(doc))[a : a + 4096], strict=True)]
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc))
+    for a in range(0, len(cuts) - 1, 1000):
+        some = [(int(doc[x]), pack(at[x:y].astype(np.uint64))) for x, y in zip(cuts[a : a + 1000], cuts[a + 1 : a + 1001], strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.binary())], names=["_id", "starts"])
 
 
@@ -186,12 +217,11 @@ def kept(window: int, id_col: str, text_col: str) -> Callable:
         for _, w, some in slices(batches, id_col, text_col, False):
             first = np.cumsum(w.counts) - w.counts
             cover = np.zeros(len(w.starts) + 1, np.int32)
-            for i, blobs in enumerate(some["starts"].to_pylist()):
-                if blobs:
-                    at = np.concatenate([unpack(x) for x in blobs]).astype(np.int64)
-                    at = first[i] + (np.unique(at) if len(blobs) > 1 else at)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+            for i, blob in enumerate(some["starts"].to_pylist()):
+                if blob:
+                    at = first[i] + unpack(blob).astype(np.int64)
+                    cover[at] += 1
+                    cover[at + window] -= 1
             stay = np.cumsum(cover)[:-1] == 0
             left = np.bincount(w.row[stay], minlength=w.n)
             texts = _texts(w, stay, left)
@@ -233,8 +263,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     by_doc = hits.groupBy("_id").agg(F.collect_list("block").alias("blocks"))
     keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))).repartition("_id")
     found = keyed.join(by_doc, "_id").select(id_col, text_col, "blocks").mapInArrow(candidates(part, window, block, id_col, text_col), BLOBS)
-    later = found.repartition(n, "part").mapInArrow(repeats, "_id long, starts binary")
-    starts = later.groupBy("_id").agg(F.collect_list("starts").alias("starts"))
+    later = found.repartition(n, "part").mapInArrow(repeats(part), "part int, docs binary, at binary")
+    starts = later.repartition(n, "part").mapInArrow(gathered, "_id long, starts binary")
     return keyed.join(starts, "_id", "left").select(id_col, text_col, "starts").mapInArrow(kept(window, id_col, text_col), "doc_id long, n_words long, n_removed long, kept string")
 
 
