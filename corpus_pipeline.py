@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import exact_dedup
+from paperloom.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
 from paperloom.session import written
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go."""
+    return language_id.accepted(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", dedup)]
-#: Language posteriors, components of links and permutations of blocks are not expressible in SQL.
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar documents stays."""
+    return jaccard_join.distinct_documents(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks for."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return bpe.digest(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", exact_copies),
+    ("jaccard_join", near_copies),
+    ("source_mixing", mixed_sources),
+    ("bpe", tokens),
+]
+#: Posteriors, components of links and byte-pair merges are not expressible in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
