@@ -80,12 +80,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi")
     rows = features(full, id_col, text_col).groupBy("_id", "_chars", *KEYS, "_sha").agg(F.count(F.lit(1)).alias("_m"))
     groups = _decided(rows, rows)
-    lost = groups.groupBy("_id").agg(F.max(F.col("_kept").cast("int")).alias("_any"), F.count(F.lit(1)).alias("_rows"))
-    gone = lost.filter("_any = 0").select("_id")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    again = lost.filter("_any = 1 and _rows > 1").select("_id")  # repeated ids: rare, and few rows each
-    some = kept.join(again, kept[id_col].eqNullSafe(again["_id"]), "left_semi")
-    rest = kept.join(again, kept[id_col].eqNullSafe(again["_id"]), "left_anti")
+    fate = groups.groupBy("_id").agg(F.max(F.col("_kept").cast("int")).alias("_any"), F.count(F.lit(1)).alias("_rows")).filter("_any = 0 or _rows > 1")
+    left = docs.join(fate, docs[id_col].eqNullSafe(fate["_id"]), "left").filter("coalesce(_any, 1) = 1")
+    rest = left.filter("_rows is null").select(*docs.columns)
+    some = left.filter("_rows is not null")  # repeated ids: the first row of each text
     order = Window.partitionBy(id_col, "_key").orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
-    one = some.withColumn("_key", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn", "_key")
+    one = some.withColumn("_key", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").select(*docs.columns)
     return rest.unionByName(one)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, exact_dedup, fingerprints, jaccard_join, substring_dedup
+from paperloom.llm import bpe, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(_documents(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_documents(spark, sf_dir))
 
@@ -29,6 +33,23 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(_documents(spark, sf_dir))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_documents(spark, sf_dir))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where all four kinds of evidence are at hand."""
+    return language_id.of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), _documents(spark, sf_dir))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_documents(spark, sf_dir))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(_documents(spark, sf_dir))
 
@@ -47,9 +68,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_fingerprints": op6_fingerprints,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_language_id": op8_language_id,
+    "op9_sharding": op9_sharding,
+    "page_languages": page_languages,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {"op4_exact_dedup": OP4_SQL}
