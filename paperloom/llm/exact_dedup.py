@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.names import fresh, own
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 64
@@ -76,14 +78,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     narrow = features(docs, id_col, text_col, full=False)
     twice = survivors(survivors(narrow, ["_len"]), KEYS)
-    ids = twice.select("_id").distinct()
-    full = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi")
+    i, any_, rows_, key, rn = fresh(docs, "_i", "_any", "_rows", "_key", "_rn")
+    ids = twice.select(F.col("_id").alias(i)).distinct()
+    full = docs.join(ids, docs[id_col].eqNullSafe(ids[i]), "left_semi")
     rows = features(full, id_col, text_col).groupBy("_id", "_chars", *KEYS, "_sha").agg(F.count(F.lit(1)).alias("_m"))
     groups = _decided(rows, rows)
-    fate = groups.groupBy("_id").agg(F.max(F.col("_kept").cast("int")).alias("_any"), F.count(F.lit(1)).alias("_rows")).filter("_any = 0 or _rows > 1")
-    left = docs.join(fate, docs[id_col].eqNullSafe(fate["_id"]), "left").filter("coalesce(_any, 1) = 1")
-    rest = left.filter("_rows is null").select(*docs.columns)
-    some = left.filter("_rows is not null")  # repeated ids: the first row of each text
-    order = Window.partitionBy(id_col, "_key").orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
-    one = some.withColumn("_key", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").select(*docs.columns)
+    fate = groups.groupBy(F.col("_id").alias(i)).agg(F.max(F.col("_kept").cast("int")).alias(any_), F.count(F.lit(1)).alias(rows_)).filter(f"{any_} = 0 or {rows_} > 1")
+    left = docs.join(fate, docs[id_col].eqNullSafe(fate[i]), "left").filter(f"coalesce({any_}, 1) = 1")
+    rest = left.filter(f"{rows_} is null").select(*own(docs))
+    some = left.filter(f"{rows_} is not null")  # repeated ids: the first row of each text
+    order = Window.partitionBy(i, key).orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
+    one = some.withColumn(key, F.sha2(normalised(F.col(text_col)), 256)).withColumn(rn, F.row_number().over(order)).filter(f"{rn} = 1").select(*own(docs))
     return rest.unionByName(one)

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.names import fresh
 from paperloom.llm.words import LOWER, SLICE
 from paperloom.session import written
 
@@ -187,9 +188,10 @@ def of_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """docs without those that are in no known language; columns as they came."""
-    gone = of_documents(docs, id_col, text_col, lang_col, source_col).filter(F.col("_language") == NONE).select("_id", "_row").distinct()
+    i, row = fresh(docs, "_i", "_r")
+    gone = of_documents(docs, id_col, text_col, lang_col, source_col).filter(F.col("_language") == NONE).select(F.col("_id").alias(i), F.col("_row").alias(row)).distinct()
     own = F.xxhash64(docs[text_col], docs[source_col], docs[lang_col])
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (own == gone["_row"]), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[i]) & (own == gone[row]), "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:

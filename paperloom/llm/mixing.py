@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.names import fresh, own
 from paperloom.session import written
 
 TARGET, REPEAT, BLOCK, SEED = 0.97, 4.0, 1 << 16, 7
@@ -122,9 +123,10 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs, each row as often as the mixture takes it; columns as they came."""
     rows = chosen(token_rows(docs, id_col, text_col, source_col), **how)
-    times = rows.groupBy("_id", "_source").agg(F.max(F.col("_whole") + F.col("_last").cast("int")).alias("_times")).filter("_times > 0")
-    own = F.coalesce(F.concat(F.lit("="), docs[source_col]), F.lit(""))
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & (own == times["_source"]))
-    once = joined.filter("_times = 1").select(*docs.columns)
-    more = joined.filter("_times > 1").withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    i, s, n, copy = fresh(docs, "_i", "_s", "_n", "_copy")
+    times = rows.groupBy(F.col("_id").alias(i), F.col("_source").alias(s)).agg(F.max(F.col("_whole") + F.col("_last").cast("int")).alias(n)).filter(f"{n} > 0")
+    named = F.coalesce(F.concat(F.lit("="), docs[source_col]), F.lit(""))
+    joined = docs.join(times, docs[id_col].eqNullSafe(times[i]) & (named == times[s]))
+    once = joined.filter(f"{n} = 1").select(*own(docs))
+    more = joined.filter(f"{n} > 1").withColumn(copy, F.explode(F.expr(f"sequence(1, {n})"))).select(*own(docs))
     return once.unionByName(more)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup
+from paperloom.llm import bpe, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(_documents(spark, sf_dir))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(_documents(spark, sf_dir))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
     "op7_source_mixing": op7_source_mixing,
     "op8_language_id": op8_language_id,
