@@ -3,7 +3,7 @@
 Four kinds of evidence are added as log odds over the known languages and "und" (none of them):
 1. text: hashed character trigrams of the whole text under multinomials with a smoothed background; the
    mean over the text counts as TRUST trigrams at most, as neighbouring trigrams aren't independent.
-   "und" is the same model over trigrams spread evenly over half of the cells; texts of letters without a trigram are no evidence. Fitted on SAMPLE labelled rows at most (those with the least
+   "und" is the same model over trigrams spread evenly over half of the cells; texts of letters without a trigram are no evidence. It has odds of 1 to RARELY from the start. Fitted on SAMPLE labelled rows at most (those with the least
    hashes of their ids), a documented bound; scored on every text.
 2. the language that the markup or record declares, believed with odds DECLARED;
 3. the address: a path part or country suffix that names a language, with odds ADDRESS;
@@ -33,7 +33,7 @@ from paperloom.llm.names import fresh
 from paperloom.llm.words import LOWER, SLICE
 from paperloom.session import written
 
-SAMPLE, TRUST, DECLARED, ADDRESS, K = 4000, 60.0, 30.0, 6.0, 20.0
+SAMPLE, TRUST, DECLARED, ADDRESS, K, RARELY = 4000, 60.0, 30.0, 6.0, 20.0, 100.0
 CELLS = 1 << 16
 NONE = "und"
 
@@ -89,7 +89,8 @@ def fitted(labelled: DataFrame, text_col: str, label_col: str) -> tuple[list[str
         return [], np.zeros((CELLS, 1))
     n = np.stack([got[x] for x in names], 1).astype(float)
     back = (n.sum(1, keepdims=True) + 0.05) / (n.sum() + 0.05 * CELLS)
-    like = np.log((n + 200 * back) / (n.sum(0) + 200))
+    # a tenth of evenly spread trigrams, so that few unknown ones don't make a short text "und"
+    like = np.log(0.9 * (n + 200 * back) / (n.sum(0) + 200) + 0.2 / CELLS)
     return names, np.concatenate([like, np.full((CELLS, 1), -np.log(CELLS / 2))], 1)
 
 
@@ -133,7 +134,8 @@ def identify(rows: DataFrame, names: list[str], like: np.ndarray, id_cols: list[
         z = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
         return F.transform(e, lambda x: x / z)
 
-    sums = seen.withColumn("_sum", plus(plus(F.col("_text"), named("_declared", DECLARED)), named("_address", ADDRESS)))
+    rare = F.array(*(F.lit(0.0) for _ in names), F.lit(-float(np.log(RARELY))))
+    sums = seen.withColumn("_sum", plus(plus(plus(F.col("_text"), rare), named("_declared", DECLARED)), named("_address", ADDRESS)))
     first = sums.withColumn("_p", normal(F.col("_sum")))
     known = {c: F.coalesce(c, F.lit("")) for c in ("_host", "_domain", "_suffix")}
     counted = first.groupBy(*(known[c].alias(c) for c in known)).agg(*(F.sum(F.get("_p", F.lit(i))).alias(f"n{i}") for i in range(len(every))))
