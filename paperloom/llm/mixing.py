@@ -25,6 +25,8 @@ from paperloom.session import written
 
 TARGET, REPEAT, BLOCK, SEED = 0.97, 4.0, 1 << 16, 7
 STEPS, ROUNDS, RANGES = 64, 4, 256
+#: As many sources may be broadcast with their weights.
+FEW = 1 << 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,12 +86,13 @@ def chosen(rows: DataFrame, target: float = TARGET, repeat: float = REPEAT, budg
 
     rows: _id, _source, _tokens. A document is taken _whole times, and once more if _last.
     """
-    shares = rows.groupBy("_source").agg(F.sum("_tokens").alias("_n"))
+    shares = written(rows.groupBy("_source").agg(F.sum("_tokens").alias("_n")), "shares")
+    few = shares.count() <= FEW  # else sources are many and small, and Spark may shuffle by them
     weights = weighted(shares, exponent(shares, target, repeat, budget), budget)
     # a source without tokens is taken once
     times = F.when(F.col("_n") > 0, F.col("_budget") / F.col("_n")).otherwise(1.0)
     weights = weights.withColumn("_whole", F.floor(times + 1e-9).cast("int")).withColumn("_blocks", F.ceil((F.col("_n") + 1) / block))
-    placed = rows.join(weights, "_source").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_source"), "_blocks"))
+    placed = rows.join(F.broadcast(weights) if few else weights, "_source").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_source"), "_blocks"))
     order: Column = F.xxhash64(F.lit(seed), "_source", "_whole", "_block")
     blocks = placed.groupBy("_source", "_whole", "_block", "_n", "_budget").agg(F.sum("_tokens").alias("_size")).withColumn("_order", order).withColumn("_r", F.shiftrightunsigned("_order", 56))
     ranges = blocks.groupBy("_source", "_r").agg(F.sum("_size").alias("_size"))
