@@ -3,8 +3,8 @@
 Four kinds of evidence are added as log odds over the known languages and "und" (none of them):
 1. text: hashed character trigrams of the whole text under multinomials with a smoothed background; the
    mean over the text counts as TRUST trigrams at most, as neighbouring trigrams aren't independent.
-   "und" is the same model over trigrams spread evenly over half of the cells; texts of letters without a trigram are no evidence. It has odds of 1 to RARELY from the start. Fitted on SAMPLE labelled rows at most (those with the least
-   hashes of their ids), a documented bound; scored on every text.
+   "und" is the same model over trigrams spread evenly over half of the cells; texts of letters without a trigram are no evidence. It has odds of 1 to RARELY from the start. Fitted on some SAMPLE labelled rows (those whose hash lies under
+   SAMPLE / rows), a documented bound; scored on every text.
 2. the language that the markup or record declares, believed with odds DECLARED;
 3. the address: a path part or country suffix that names a language, with odds ADDRESS;
 4. a prior for the host, smoothed towards its domain, that towards its suffix, that towards
@@ -67,9 +67,10 @@ def _texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[p
 
 
 def fitted(labelled: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Languages and log likelihoods (cells x languages and "und"), from SAMPLE rows at most."""
-    order = F.xxhash64(*labelled.columns)
-    sample = labelled.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).orderBy(order).limit(SAMPLE)
+    """Languages and log likelihoods (cells x languages and "und"), from some SAMPLE rows."""
+    known = labelled.filter(F.col(label_col).isNotNull())
+    share = SAMPLE / max(known.count(), 1)
+    sample = known if share >= 1 else known.filter(F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
