@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.words import NO_ID, narrow, pack, parts_of, unpack, widen
 from paperloom.session import shared_dir
 
-BLOCK, GROUP, LANES, CACHE = 4096, 1 << 18, 2048, 400_000
+BLOCK, GROUP, LANES, CACHE = 4096, 1 << 18, 1024, 300_000
 END = 1
 TABLE = 2048
 #: Fixed value: white space that only str.split() cuts at.
@@ -109,25 +109,28 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     m = _Lanes(n)
     heads = []
     # order 0: where each id of a block begins among its sorted ids, and how often it occurs
-    order = np.argsort(ids, axis=1, kind="stable")
+    ids = ids.astype(np.int32)
+    order = np.argsort(ids, axis=1)
     ordered = np.take_along_axis(ids, order, 1)
     new = np.ones(ids.shape, bool)
     new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(BLOCK), 0), 1)
+    places = np.arange(BLOCK, dtype=np.int32)
+    first = np.maximum.accumulate(np.where(new, places, 0), 1)
     last = np.ones(ids.shape, bool)
     last[:, :-1] = new[:, 1:]
-    until = np.minimum.accumulate(np.where(last, np.arange(BLOCK) + 1, BLOCK)[:, ::-1], 1)[:, ::-1]
+    until = np.minimum.accumulate(np.where(last, places + 1, np.int32(BLOCK))[:, ::-1], 1)[:, ::-1]
     cum, size = np.empty(ids.shape, np.int32), np.empty(ids.shape, np.int32)
-    np.put_along_axis(cum, order, first.astype(np.int32), 1)
-    np.put_along_axis(size, order, (until - first).astype(np.int32), 1)
+    np.put_along_axis(cum, order, first, 1)
+    np.put_along_axis(size, order, until - first, 1)
     for row, own, f, u in zip(ordered, new, first, until, strict=True):
         k, c = pack(row[own].astype(np.uint64)), narrow((u - f)[own])
         heads.append(struct.pack("<HH", len(k), len(c)) + k + c)
-    ids, cum, size = (np.ascontiguousarray(x.T) for x in (ids.astype(np.int64), cum, size))
+    del order, ordered, new, first, last, until
+    ids, cum, size = (np.ascontiguousarray(x.T) for x in (ids, cum, size))
     out, used = np.zeros((n, BLOCK * 2 + 16), np.uint16), np.zeros(n, np.int64)
     for t in range(BLOCK):
         m.predict()
-        x = ids[t]
+        x = ids[t].astype(np.int64)
         hit2 = (x == m.q2) & ~m.none2
         hit1 = (x == m.q1) & ~m.none1 & ~hit2
         rest = 4096 - m.f2 - m.f1
@@ -152,7 +155,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     n = len(blocks)
     m = _Lanes(n)
     ids, begin, size = (np.zeros((n, BLOCK), np.int32) for _ in range(3))  # of each place among the sorted ids
-    data = np.zeros((n, BLOCK * 2 + 16), np.uint64)
+    data = np.zeros((n, BLOCK * 2 + 16), np.uint16)
     for i, b in enumerate(blocks):
         k, c = struct.unpack("<HH", b[:4])
         count = widen(b[4 + k : 4 + k + c])
@@ -164,8 +167,8 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     lane, used = np.arange(n) * BLOCK, np.arange(n) * (BLOCK * 2 + 16) + 4
     code = np.zeros(n, np.uint64)
     for k in range(4):
-        code = (code << np.uint64(16)) | data[used - 4 + k]
-    out = np.empty((BLOCK, n), np.int64)
+        code = (code << np.uint64(16)) | data[used - 4 + k].astype(np.uint64)
+    out = np.empty((BLOCK, n), np.int32)
     for t in range(BLOCK):
         m.predict()
         r = m.range >> np.uint64(24)
@@ -181,7 +184,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         m.low += r * start.astype(np.uint64)
         m.range = r * length.astype(np.uint64)
         while (at := m.settled()) is not None:
-            code[at] = (code[at] << np.uint64(16)) | data[used[at]]
+            code[at] = (code[at] << np.uint64(16)) | data[used[at]].astype(np.uint64)
             used[at] += 1
             m.shift(at)
         m.update(x, hit2, hit1)
@@ -229,7 +232,7 @@ def _coded(groups: list[tuple[list[int], list[bytes]]], number: int) -> pa.Recor
         cut.append(-(-len(ids) // BLOCK))
         rows.append(np.pad(ids, (0, cut[-1] * BLOCK - len(ids)), constant_values=END))
     blocks = np.concatenate(rows).reshape(-1, BLOCK)
-    coded = [x for a in range(0, len(blocks), LANES) for x in encode_blocks(blocks[a : a + LANES].astype(np.int64))]
+    coded = [x for a in range(0, len(blocks), LANES) for x in encode_blocks(blocks[a : a + LANES])]
     out, at = [], 0
     for i, ((docs, tokens), k) in enumerate(zip(groups, cut, strict=True)):
         head = narrow(np.array([len(t) // 4 for t in tokens]))
