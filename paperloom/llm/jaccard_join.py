@@ -5,7 +5,7 @@ A document's set is its distinct 5-word shingles (tokens below); two documents l
 components are found between classes, so copies are never expanded.
 
 1. Frequencies of all tokens over the whole corpus: tasks send sorted hashes packed by
-   hash range. The most frequent tokens, 2**20 at most and of frequency RARE at least, are
+   hash range. The most frequent tokens, FREQUENT at most and of frequency RARE at least, are
    the frequent class; that bound is why they may be broadcast.
 2. Prefixes: tokens in one global order, the rare ones first and the frequent ones by
    frequency. A set of n tokens has a prefix of p = n // 4 + 1 tokens; two linked sets
@@ -19,7 +19,8 @@ components are found between classes, so copies are never expanded.
 3. Candidates: within one key's list, each class is first verified against a hub only (a
    star, linear in the list), linked classes are joined to components, and only classes of
    different components that still share a key are compared, by parity bitmaps of 1024 bits that
-   bound the symmetric difference from below, and then exactly.
+   bound the symmetric difference from below. In some rounds each component is verified against its nearest one
+   alone, which joins large groups of near copies in linear numbers of pairs; the last round takes all pairs that are left.
 4. Verification on the full sets, with DataFrame functions.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of 1 to 4
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
+from paperloom.llm.names import fresh
 from paperloom.llm.words import NO_ID, Words, bounds, labels, mix, narrow, pack, parts_of, slices, unpack, widen, windows
 from paperloom.session import written
 
@@ -45,9 +47,11 @@ SHINGLE = 5
 #: Links need PART of PARTS of the union.
 PART, PARTS = 75, 100
 #: Least frequency of a frequent token, and how many there may be.
-RARE, FREQUENT = 64, 1 << 20
+RARE, FREQUENT = 3, 1 << 21
 FLUSH = 4 << 20
 MARK = 1024
+#: A star, rounds of nearest pairs, and one of all pairs that are left.
+TURNS = 4
 
 
 def tokens(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,9 +59,9 @@ def tokens(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarr
     h = w.hashes()
     t, at = windows(h, w.row, k)
     row = w.row[at]
-    short = [(x, w.row[a]) for n in range(1, k) for x, a in [windows(h, w.row, n)]]
-    short = [(x[ok], r[ok]) for n, (x, r) in enumerate(short, 1) for ok in [w.counts[r] == n]]
-    if any(len(x) for x, _ in short):
+    few = np.flatnonzero(w.counts[w.row] < k)  # words of texts that have fewer than k
+    if len(few):
+        short = [(x[ok], r[ok]) for n in range(1, k) for x, a in [windows(h[few], w.row[few], n)] for r in [w.row[few][a]] for ok in [w.counts[r] == n]]
         t, row = np.concatenate([t, *(x for x, _ in short)]), np.concatenate([row, *(r for _, r in short)])
         order = np.argsort(row, kind="stable")
         t, row = t[order], row[order]
@@ -78,15 +82,6 @@ def classes(t: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(total + size.astype(np.uint64)).view(np.int64)
 
 
-def sized(id_col: str, text_col: str) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, w, _ in slices(batches, id_col, text_col, True):
-            t, row, size = tokens(w)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size.astype(np.int64)), pa.array(classes(t, row, size))], names=["_id", "n", "cls"])
-
-    return run
-
-
 def _blobs(part: list[int], cuts: np.ndarray, h: np.ndarray, more: Callable) -> pa.RecordBatch:
     q = np.concatenate(([0], np.searchsorted(h, cuts), [len(h)]))
     rows = [(part[i], pack(h[a:b]), more(a, b)) for i, (a, b) in enumerate(zip(q[:-1], q[1:], strict=True)) if a < b]
@@ -94,28 +89,40 @@ def _blobs(part: list[int], cuts: np.ndarray, h: np.ndarray, more: Callable) ->
 
 
 def counted(part: list[int], bits: int, id_col: str, text_col: str) -> Callable:
-    """Sorted hashes of all tokens, dealt by range; a set that a flush has met before is left out."""
+    """Sorted hashes of all tokens, dealt by range, and a blob of ids, sizes and classes of the documents.
+
+    Tokens of a set that a flush has met before are left out.
+    """
     cuts, shift = bounds(len(part), bits), np.uint64(64 - bits)
 
+    def flush(held: list, seen: list) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield _blobs(part, cuts, np.sort(np.concatenate(held)), lambda a, b: b"")
+        ids, n, cls = (np.concatenate([x[i] for x in seen]) for i in range(3))
+        rows = [np.stack([ids, n, cls]).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([part[int(ids[0]) % len(part)]], pa.int32()), pa.array([b""], pa.binary()), pa.array(rows, pa.binary())], names=["part", "hashes", "more"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, met = [], 0, np.zeros(0, np.int64)
-        for _, w, _ in slices(batches, id_col, text_col, True):
+        held, seen, n, met = [], [], 0, np.zeros(0, np.int64)
+        for ids, w, _ in slices(batches, id_col, text_col, True):
             t, row, size = tokens(w)
-            t, row, size, cls, met = _unmet(t, row, size, met)
-            held.append(t >> shift)
+            cls = classes(t, row, size)
+            seen.append((ids, size.astype(np.int64), cls))
+            t, _, _, _, met = _unmet(t, row, size, cls, met)
+            if len(t):
+                held.append(t >> shift)
             n += len(t)
             if n >= FLUSH:
-                yield _blobs(part, cuts, np.sort(np.concatenate(held)), lambda a, b: b"")
-                held, n, met = [], 0, np.zeros(0, np.int64)
-        if n:
-            yield _blobs(part, cuts, np.sort(np.concatenate(held)), lambda a, b: b"")
+                yield from flush(held, seen)
+                held, seen, n, met = [], [], 0, np.zeros(0, np.int64)
+        if seen:
+            yield from flush(held, seen)
 
     return run
 
 
-def _unmet(t: np.ndarray, row: np.ndarray, size: np.ndarray, met: np.ndarray) -> tuple:
+def _unmet(t: np.ndarray, row: np.ndarray, size: np.ndarray, cls: np.ndarray, met: np.ndarray) -> tuple:
     """Without the sets in met or met before in this slice."""
-    cls = classes(t, row, size)
     _, first = np.unique(cls, return_index=True)
     new = np.zeros(len(cls), bool)
     new[first] = True
@@ -125,14 +132,27 @@ def _unmet(t: np.ndarray, row: np.ndarray, size: np.ndarray, met: np.ndarray) ->
 
 
 def frequencies(least: int) -> Callable:
+    """Tokens of one hash range with their frequencies from least on; the documents as they come."""
+    names = ["token", "df", "_id", "n", "cls"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [unpack(x) for b in batches for x in b["hashes"].to_pylist()]
+        got = []
+        for b in batches:
+            for hashes, more in zip(b["hashes"].to_pylist(), b["more"].to_pylist(), strict=True):
+                if more:
+                    rows = np.frombuffer(more, np.int64).reshape(3, -1)
+                    none = pa.nulls(rows.shape[1], pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, *map(pa.array, rows)], names=names)
+                else:
+                    got.append(unpack(hashes))
         if not got:
             return
         h = np.sort(np.concatenate(got))
         at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         n = np.diff(np.append(at, len(h)))
-        yield pa.RecordBatch.from_arrays([pa.array(h[at][n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["token", "df"])
+        h, n = h[at][n >= least].view(np.int64), n[n >= least].astype(np.int64)
+        none = pa.nulls(len(h), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), none, none, none], names=names)
 
     return run
 
@@ -201,7 +221,7 @@ def postings(part: list[int], bits: int, frequent, id_col: str, text_col: str) -
         held, total, met = [], 0, np.zeros(0, np.int64)
         for _, w, _ in slices(batches, id_col, text_col, True):
             t, row, size = tokens(w)
-            t, row, size, cls, met = _unmet(t, row, size, met)
+            t, row, size, cls, met = _unmet(t, row, size, classes(t, row, size), met)
             if not len(t):
                 continue
             at = np.searchsorted(often, t >> shift)
@@ -232,7 +252,10 @@ def postings(part: list[int], bits: int, frequent, id_col: str, text_col: str) -
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of one key range in which a class has another of a near enough size."""
+    """The lists of one key range in which a class has another of a near enough size.
+
+    Linked sets share most of their keys, so most lists repeat: a list's key is replaced by a hash of its members, and equal lists are told once.
+    """
     got = [[], [], []]
     for b in batches:
         for hashes, more in zip(b["hashes"].to_pylist(), b["more"].to_pylist(), strict=True):
@@ -263,7 +286,16 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = np.zeros(len(key), bool)
     some[1:] |= near
     some[:-1] |= near
-    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(cls[some]), pa.array(n[some])], names=["key", "cls", "n"])
+    key, cls, n = key[some], cls[some], n[some]
+    if not len(key):
+        return
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(cuts, len(key)))
+    name = mix(np.add.reduceat(mix(cls.view(np.uint64)), cuts) + size.astype(np.uint64))
+    first = np.zeros(len(cuts), bool)
+    first[np.unique(name, return_index=True)[1]] = True
+    keep = np.repeat(first, size)
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(cls[keep]), pa.array(n[keep])], names=["key", "cls", "n"])
 
 
 def full_sets(id_col: str, text_col: str) -> Callable:
@@ -275,33 +307,55 @@ def full_sets(id_col: str, text_col: str) -> Callable:
             marks = np.zeros((w.n, MARK), np.uint8)
             np.bitwise_xor.at(marks, (row, (mix(t ^ np.uint64(0x77)) % np.uint64(MARK)).astype(np.int64)), 1)
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(t.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(classes(t, row, size)), sets, pa.array([x.tobytes() for x in np.packbits(marks, axis=1)], pa.binary())], names=["cls", "tokens", "mark"])
+            cells = pa.array(np.packbits(marks, axis=1).view(np.int64).ravel())
+            mark = pa.ListArray.from_arrays(pa.array(np.arange(w.n + 1) * (MARK // 64), pa.int32()), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(classes(t, row, size)), pa.array(size.astype(np.int64)), sets, mark], names=["cls", "size", "tokens", "mark"])
 
     return run
 
 
-def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def close(every: bool) -> Callable:
     """Pairs of classes of different components that share a key and whose marks don't rule a link out.
 
-    Rows come sorted by key; a key's list is worked on in squares of bounded size.
+    Without every, each component of a list tells its nearest such pair only, so what comes out is linear in the lists.
+    Rows come sorted by key; a key's list is worked on a class at a time, against STRIP others at once.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _close(batches, every)
+
+    return run
+
+
+STRIP = 1 << 14
+
+
+def _close(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
     sent: set[tuple[int, int]] = set()
 
     def pairs(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, mark: np.ndarray) -> Iterator[tuple[int, int]]:
         order = np.argsort(n, kind="stable")
         cls, comp, n, mark = cls[order], comp[order], n[order], mark[order]
         top = np.searchsorted(n, PARTS * n // PART, "right")
+        low = np.arange(1, len(n) + 1) if every else np.searchsorted(n, -(-PART * n // PARTS), "left")
+        nearest: dict[int, tuple[float, int, int]] = {}
         for i in range(len(cls)):
-            for a in range(i + 1, int(top[i]), 1 << 14):
-                b = min(int(top[i]), a + (1 << 14))
-                ok = comp[a:b] != comp[i]
-                if not ok.any():
+            for a in range(int(low[i]), int(top[i]), STRIP):
+                b = min(int(top[i]), a + STRIP)
+                j = a + np.flatnonzero(comp[a:b] != comp[i])
+                if not len(j):
                     continue
-                j = a + np.flatnonzero(ok)
-                differ = np.bitwise_count(mark[j] ^ mark[i]).sum(1)
+                differ, both = np.bitwise_count(mark[j] ^ mark[i]).sum(1), n[j] + n[i]
                 # a link leaves (n + m) / 7 tokens at most outside the intersection
-                for x in cls[j[differ * (PART + PARTS) <= (PARTS - PART) * (n[j] + n[i])]].tolist():
-                    yield min(int(cls[i]), x), max(int(cls[i]), x)
+                ok = differ * (PART + PARTS) <= (PARTS - PART) * both
+                if every:
+                    yield from ((min(int(cls[i]), x), max(int(cls[i]), x)) for x in cls[j[ok]].tolist())
+                elif ok.any():
+                    share = differ[ok] / both[ok]
+                    at = int(share.argmin())
+                    found = (float(share[at]), int(cls[i]), int(cls[j[ok][at]]))
+                    nearest[comp[i]] = min(nearest.get(comp[i], found), found)
+        yield from ((min(p), max(p)) for _, *p in nearest.values())
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
         key, cls, comp, n = (np.concatenate([r[i] for r in rows]) for i in range(4))
@@ -323,7 +377,7 @@ def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         row = [batch[c].to_numpy() for c in ("key", "cls", "comp", "n")]
-        row.append(np.frombuffer(b"".join(batch["mark"].to_pylist()), np.uint64).reshape(-1, MARK // 64))
+        row.append(batch["mark"].flatten().to_numpy().view(np.uint64).reshape(-1, MARK // 64))
         at = int(np.searchsorted(row[0], row[0][-1]))  # the last key may go on
         if at or (held and held[-1][0][-1] != row[0][0]):
             done = [*held, [x[:at] for x in row]] if at else held
@@ -335,11 +389,17 @@ def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    one = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(one, "a").join(two, "b").filter(PARTS * both >= PART * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    """The pairs (a, b) that link: the marks rule most others out before the sets are read."""
+
+    def side(c: str, *more: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in more))
+
+    marked = pairs.join(side("a", "size", "mark"), "a").join(side("b", "size", "mark"), "b")
+    differ = F.aggregate(F.zip_with("mark_a", "mark_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # a link leaves 25 / 175 of both sizes at most outside the intersection
+    left = written(marked.filter(differ * (PART + PARTS) <= (PARTS - PART) * (F.col("size_a") + F.col("size_b"))).select("a", "b"), "pairs")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").filter(PARTS * both >= PART * (F.size("tokens_a") + F.size("tokens_b") - both)).select("a", "b")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,44 +407,49 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
     part = labels(spark, n_parts := parts_of(spark))
-    rows = written(docs.mapInArrow(sized(id_col, text_col), "_id long, n long, cls long"), "sized")
-    bits = min(64, max(44, 26 + math.ceil(math.log2(rows.count() + 1))))
+    bits = min(64, max(44, 26 + math.ceil(math.log2(docs.count() + 1))))
     blob = "part int, hashes binary, more binary"
-    often = written(docs.mapInArrow(counted(part, bits, id_col, text_col), blob).repartition(n_parts, "part").mapInArrow(frequencies(RARE), "token long, df long"), "often")
+    seen = written(docs.mapInArrow(counted(part, bits, id_col, text_col), blob).repartition(n_parts, "part").mapInArrow(frequencies(RARE), "token long, df long, _id long, n long, cls long"), "seen")
+    rows, often = seen.filter("cls is not null").select("_id", "n", "cls"), seen.filter("token is not null").select("token", "df")
     frequent = spark.sparkContext.broadcast(frequent_tokens(spark, often))
     keys = docs.mapInArrow(postings(part, bits, frequent, id_col, text_col), blob).repartition(n_parts, "part")
-    posts = written(keys.mapInArrow(shared, "key long, cls long, n long"), "posts")
+    posts = written(keys.mapInArrow(shared, "key long, cls long, n long").distinct(), "posts")
     node = rows.groupBy("cls").agg(F.min("_id").alias("node"))
     some = posts.select("cls").distinct()
-    reps = node.join(some, "cls").select(F.col("node").alias("_rep"))
+    reps = written(node.join(some, "cls").select(F.col("node").alias("_rep")), "reps")  # as a table its size is known to the planner
     keyed = docs.withColumn("_rep", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))))
-    sets = written(keyed.join(reps, "_rep", "left_semi").mapInArrow(full_sets(id_col, text_col), "cls long, tokens array<long>, mark binary").dropDuplicates(["cls"]), "sets")
-    edges, comp = None, some.withColumn("comp", F.col("cls"))
-    for turn in range(3):
+    sets = written(keyed.join(reps, "_rep", "left_semi").mapInArrow(full_sets(id_col, text_col), "cls long, size long, tokens array<long>, mark array<long>"), "sets")
+    stars, comp = None, some.withColumn("comp", F.col("cls"))
+    marks = sets.select("cls", "mark")
+    for turn in range(TURNS):
         apart = posts.join(comp, "cls")
-        mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls", F.lit(turn))).alias("hub")).filter("lo < hi").drop("lo", "hi")
-        apart = apart.join(mixed, "key")
-        if turn < 2:  # the hub that a class shares most keys with
+        hub = F.min_by(F.struct("cls", "n", "comp"), F.xxhash64("cls")).alias("hub")
+        mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo < hi").drop("lo", "hi")
+        rest = written(apart.join(mixed, "key"), "rest")  # lists of more than one component
+        if turn and rest.isEmpty():
+            break
+        posts = rest.select("key", "cls", "n")
+        if not turn:  # the hub that a class shares most keys with
             near = (F.col("comp") != F.col("hub.comp")) & (PARTS * F.least("n", "hub.n") >= PART * F.greatest("n", "hub.n"))
-            best = apart.filter(near).groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+            best = rest.filter(near).groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("k"))
             pairs = best.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
         else:
-            marks = sets.select("cls", "mark")
-            pairs = apart.drop("hub").join(marks, "cls").select("key", "cls", "comp", "n", "mark").repartition("key").sortWithinPartitions("key").mapInArrow(close, "a long, b long").distinct()
-        new = written(verified(pairs, sets), "edges")
-        edges = new if edges is None else edges.unionByName(new)
-        comp = _labelled(some, edges)
+            # dealt by a hash of the key: by the key itself, adaptive planning may take the joins' own partitioning for this one, drop it and then read those shuffles locally
+            dealt = rest.drop("hub").join(marks, "cls").select("key", "cls", "comp", "n", "mark").repartition(F.xxhash64("key")).sortWithinPartitions("key")
+            pairs = dealt.mapInArrow(close(turn == TURNS - 1), "a long, b long").distinct()
+        new = written(verified(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
+        if new.isEmpty():
+            continue
+        # components so far are stars, so few rounds join the new edges to them
+        stars = written(components(new if stars is None else new.unionByName(stars)).select("u", F.col("comp").alias("v")), "stars")
+        found = stars.select(F.col("u").alias("cls"), F.col("v").alias("_c"))
+        comp = written(some.join(found, "cls", "left").select("cls", F.coalesce("_c", "cls").alias("comp")), "comp")
     reached = comp.join(node, "cls").groupBy("comp").agg(F.min("node").alias("least"))
     least = comp.join(reached, "comp").select("cls", "least")
     whole = node.join(least, "cls", "left").select("cls", F.coalesce("least", "node").alias("first"))
     return rows.join(whole, "cls").select("_id", "n", "cls", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("_id")).alias("comp"))
 
 
-def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    found = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return written(nodes.join(found.withColumnRenamed("u", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp")), "comp")
-
-
 def digest(docs: DataFrame) -> DataFrame:
     known = lambda c: F.when(F.col(c) != F.lit(int(NO_ID)), F.col(c))
     return linked(docs).select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("comp").alias("component_id"))
@@ -392,9 +457,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the one with the smallest id; columns as they came."""
-    gone = linked(docs, id_col, text_col).filter("comp <> _id").select("_id").distinct()
-    keep = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(int(NO_ID))) == gone["_id"], "left_anti")
-    return keep
+    (i,) = fresh(docs, "_i")
+    gone = linked(docs, id_col, text_col).filter("comp <> _id").select(F.col("_id").alias(i)).distinct()
+    return docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(int(NO_ID))) == gone[i], "left_anti")
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
