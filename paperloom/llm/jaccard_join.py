@@ -414,6 +414,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     frequent = spark.sparkContext.broadcast(frequent_tokens(spark, often))
     keys = docs.mapInArrow(postings(part, bits, frequent, id_col, text_col), blob).repartition(n_parts, "part")
     posts = written(keys.mapInArrow(shared, "key long, cls long, n long").distinct(), "posts")
+    frequent.destroy()  # the driver holds it no longer than the scan
     node = rows.groupBy("cls").agg(F.min("_id").alias("node"))
     some = posts.select("cls").distinct()
     reps = written(node.join(some, "cls").select(F.col("node").alias("_rep")), "reps")  # as a table its size is known to the planner

@@ -21,6 +21,7 @@ in the priors; an empty table gives no rows; extra columns are ignored, `accepte
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.names import fresh
-from paperloom.llm.words import LOWER, SLICE
+from paperloom.llm.words import LOWER, SLICE, narrow, widen
 from paperloom.session import written
 
 SAMPLE, TRUST, DECLARED, ADDRESS, K, RARELY = 4000, 60.0, 30.0, 6.0, 20.0, 100.0
@@ -80,11 +81,11 @@ def fitted(labelled: DataFrame, text_col: str, label_col: str) -> tuple[list[str
             for x in set(label.tolist()):
                 total[x] = total.get(x, 0) + np.bincount(cell[label == x], minlength=CELLS)
         for x, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([n.astype(np.int64).tobytes()])], names=["label", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([zlib.compress(narrow(n), 1)])], names=["label", "counts"])
 
     got: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(count, "label string, counts binary").collect():  # a row for each language and task of the sample
-        got[r["label"]] = got.get(r["label"], 0) + np.frombuffer(r["counts"], np.int64)
+        got[r["label"]] = got.get(r["label"], 0) + widen(zlib.decompress(r["counts"]))
     names = sorted(got)
     if not names:
         return [], np.zeros((CELLS, 1))

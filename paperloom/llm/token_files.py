@@ -74,7 +74,7 @@ class _Lanes:
         self.ia, self.ib, self.ic = self.base4 + c2, self.base16 + (c2 * 4 + c1), self.base4 + c1
         self.xa, self.xb, self.xc = self.a[self.ia], self.b[self.ib], self.c[self.ic]
         self.f2 = (self.xa + self.xb) >> 1
-        self.f1 = ((4096 - self.f2) * self.xc) >> 12
+        self.f1 = np.maximum(((4096 - self.f2) * self.xc) >> 12, 1)  # no interval is empty
 
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         goal = np.where(hit2, 4000, 32)

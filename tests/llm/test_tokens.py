@@ -57,6 +57,10 @@ def test_blocks_round_trip_and_damage():
     coded = token_files.encode_blocks(blocks)
     assert (token_files.decode_blocks(coded) == blocks).all()
     assert len(coded[3]) < 600  # what repeats costs little
+    pairs = np.array([[(i * 7 + j) % 300 if (i + j) % 17 else rng.integers(0, 300) for j in range(token_files.BLOCK)] for i in range(3)])
+    steady = np.tile(np.repeat([5, 6], 30), token_files.BLOCK // 60 + 1)[: token_files.BLOCK]
+    more = np.stack([*pairs, steady, np.where(rng.random(token_files.BLOCK) < 0.002, 9, steady)])  # sure predictions that fail now and then
+    assert (token_files.decode_blocks(token_files.encode_blocks(more)) == more).all()
     head = [np.int32(0), np.int32(0)]
     batch = token_files._coded([([1], [blocks[0].astype("<u4").tobytes()])], 0)
     row = {c: batch[c].to_pylist() for c in batch.schema.names}
