@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.words import NO_ID, narrow, pack, parts_of, unpack, widen
 from paperloom.session import shared_dir
 
-BLOCK, GROUP, LANES, CACHE = 4096, 1 << 18, 1024, 300_000
+BLOCK, GROUP, LANES, CACHE = 4096, 1 << 18, 512, 150_000
 END = 1
 TABLE = 2048
 #: Fixed value: white space that only str.split() cuts at.
@@ -211,8 +211,8 @@ class Encoder:
             self.words.clear()
             new = set(chain.from_iterable(cut))
         new = list(new)
-        for a in range(0, len(new), 50_000):
-            for w, e in zip(new[a : a + 50_000], self.library.encode_batch_fast(new[a : a + 50_000], add_special_tokens=False), strict=True):
+        for a in range(0, len(new), 5_000):
+            for w, e in zip(new[a : a + 5_000], self.library.encode_batch_fast(new[a : a + 5_000], add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
         known, last = self.words, struct.pack("<I", end)
         return [b"".join([known[w] for w in words]) + last for words in cut]
@@ -254,9 +254,9 @@ def encoded(path: str, end: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([shard] * batch.num_rows, pa.int32()), *batch.columns], names=["shard", *batch.schema.names])
 
         for b in batches:
-            ids, texts = b["_id"].to_pylist(), [t or "" for t in b["_t"].to_pylist()]
-            for a in range(0, len(texts), 512):
-                for i, t in zip(ids[a : a + 512], encoder.encode(texts[a : a + 512], end), strict=True):
+            for a in range(0, b.num_rows, 512):
+                some = b.slice(a, 512)
+                for i, t in zip(some["_id"].to_pylist(), encoder.encode([t or "" for t in some["_t"].to_pylist()], end), strict=True):
                     docs.append(i)
                     tokens.append(t)
                     n += len(t) // 4
