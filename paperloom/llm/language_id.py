@@ -3,8 +3,9 @@
 Four kinds of evidence are added as log odds over the known languages and "und" (none of them):
 1. text: hashed character trigrams of the whole text under multinomials with a smoothed background; the
    mean over the text counts as TRUST trigrams at most, as neighbouring trigrams aren't independent.
-   "und" is the same model over trigrams spread evenly over half of the cells; texts of letters without a trigram are no evidence. It has odds of 1 to RARELY from the start. Fitted on some SAMPLE labelled rows (those whose hash lies under
-   SAMPLE / rows), a documented bound; scored on every text.
+   "und" is the same model over trigrams spread evenly over half of the cells; texts of letters without a trigram are no evidence. It has odds of 1 to RARELY from the start. The languages are those of
+   all labelled rows; each is fitted on SAMPLE of its rows (those of least hash) or on all that it has, a documented bound; scored on every text.
+   A model of under THIN trigrams can't tell that a text isn't in its language: where a text of letters declares such a language, "und" gives way to it.
 2. the language that the markup or record declares, believed with odds DECLARED;
 3. the address: a path part or country suffix that names a language, with odds ADDRESS;
 4. a prior for the host, smoothed towards its domain, that towards its suffix, that towards
@@ -12,7 +13,7 @@ Four kinds of evidence are added as log odds over the known languages and "und"
    over all rows of the posteriors by 1 to 3, by grouped aggregation (map-side combined, so a
    host with a third of all rows is one counter for each task).
 
-A row is rejected when "und" is its best language.
+A row is rejected when "und" is its best language; where no row is labelled, none is. The model takes CELLS numbers for each language, on the driver and in a broadcast.
 
 Defined results: null and empty texts, and texts without any letter, are "und"; a null or unknown declaration, address or host is no evidence
 (hosts that are null share one prior); ties go to the language first in order; repeated rows are scored alike, each counts
@@ -27,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.names import fresh
@@ -36,6 +37,8 @@ from paperloom.session import written
 
 SAMPLE, TRUST, DECLARED, ADDRESS, K, RARELY = 4000, 60.0, 30.0, 6.0, 20.0, 100.0
 CELLS = 1 << 16
+#: Trigrams of a language's sample under which its model is thin; ranges of hashes that are counted to find a sample's end.
+THIN, RANGES = 20_000, 1 << 12
 NONE = "und"
 
 
@@ -67,11 +70,30 @@ def _texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[p
                 yield some, data, np.concatenate(([0], np.cumsum(size[a:b])))
 
 
-def fitted(labelled: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Languages and log likelihoods (cells x languages and "und"), from some SAMPLE rows."""
-    known = labelled.filter(F.col(label_col).isNotNull())
-    share = SAMPLE / max(known.count(), 1)
-    sample = known if share >= 1 else known.filter(F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+def sampled(labelled: DataFrame, label_col: str) -> tuple[list[str], DataFrame]:
+    """Languages of all labelled rows, and of each language its SAMPLE rows of least hash, or all.
+
+    Counts by language and range of hashes tell the range that has the last of them, so only rows up to that range are sorted.
+    """
+    key, at, last, rank = fresh(labelled, "_key", "_at", "_last", "_rank")
+    known = labelled.filter(F.col(label_col) != NONE).withColumn(key, F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 62)))
+    known = known.withColumn(at, F.shiftright(key, 50).cast("int"))  # RANGES of them
+    counts = known.groupBy(label_col, at).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(label_col).orderBy(at)) - F.col("n")
+    ends = counts.withColumn("before", before).filter(F.col("before") < SAMPLE).groupBy(label_col).agg(F.max(at).alias(last)).collect()  # a row for each language
+    if not ends:
+        return [], labelled.limit(0)
+    ends_by = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in ends], f"`{label_col}` string, {last} int"))
+    some = known.join(ends_by, label_col).filter(F.col(at) <= F.col(last))
+    first = some.withColumn(rank, F.row_number().over(Window.partitionBy(label_col).orderBy(key))).filter(F.col(rank) <= SAMPLE)
+    return sorted(r[0] for r in ends), first.select(*labelled.columns)
+
+
+def fitted(labelled: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, list[str]]:
+    """Languages of all labelled rows, log likelihoods (cells x languages and "und"), and the languages whose models are thin."""
+    names, sample = sampled(labelled, label_col)
+    if not names:
+        return [], np.zeros((CELLS, 1)), []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -86,20 +108,19 @@ def fitted(labelled: DataFrame, text_col: str, label_col: str) -> tuple[list[str
     got: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(count, "label string, counts binary").collect():  # a row for each language and task of the sample
         got[r["label"]] = got.get(r["label"], 0) + widen(zlib.decompress(r["counts"]))
-    names = sorted(got)
-    if not names:
-        return [], np.zeros((CELLS, 1))
-    n = np.stack([got[x] for x in names], 1).astype(float)
+    none = np.zeros(CELLS, np.int64)  # of a language whose texts have no trigram
+    n = np.stack([got.get(x, none) for x in names], 1).astype(float)
     back = (n.sum(1, keepdims=True) + 0.05) / (n.sum() + 0.05 * CELLS)
     # a tenth of evenly spread trigrams, so that few unknown ones don't make a short text "und"
     like = np.log(0.9 * (n + 200 * back) / (n.sum(0) + 200) + 0.2 / CELLS)
-    return names, np.concatenate([like, np.full((CELLS, 1), -np.log(CELLS / 2))], 1)
+    return names, np.concatenate([like, np.full((CELLS, 1), -np.log(CELLS / 2))], 1), [x for x, m in zip(names, n.sum(0), strict=True) if m < THIN]
 
 
-def scored(rows: DataFrame, names: list[str], like: np.ndarray, keep: list[str]) -> DataFrame:
-    """keep and _text: the log evidence of the whole text for each language and "und"."""
+def scored(rows: DataFrame, names: list[str], like: np.ndarray, thin: list[str], keep: list[str]) -> DataFrame:
+    """keep and _text: the log evidence of the whole text for each language and "und"; keep has _declared."""
     table = rows.sparkSession.sparkContext.broadcast(like.astype(np.float32))  # CELLS rows, fixed
     k = len(names) + 1
+    place = {x: names.index(x) for x in thin}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, data, offsets in _texts(batches, "_t"):
@@ -108,6 +129,10 @@ def scored(rows: DataFrame, names: list[str], like: np.ndarray, keep: list[str])
             total = np.stack([np.bincount(row, weights=table.value[cell, i], minlength=some.num_rows) for i in range(k)], 1)
             mean = total / np.maximum(n, 1)[:, None]
             out = mean * np.minimum(n, TRUST)[:, None]
+            said = np.array([place.get(x, -1) for x in some["_declared"].to_pylist()])
+            at = np.flatnonzero(said >= 0)
+            out[at, said[at]] = np.maximum(out[at, said[at]], out[at, -1])
+            out[at, -1] = out[at, said[at]] - TRUST
             letters = np.concatenate(([0], np.cumsum(FOLD[data] != 32)))
             out[letters[offsets[1:]] == letters[offsets[:-1]]] = [*[-TRUST] * (k - 1), 0.0]  # nothing to tell a language from
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * k, pa.int32()), pa.array(out.ravel()))
@@ -117,13 +142,13 @@ def scored(rows: DataFrame, names: list[str], like: np.ndarray, keep: list[str])
     return rows.select(*keep, "_t").mapInArrow(run, f"{schema}, _text array<double>")
 
 
-def identify(rows: DataFrame, names: list[str], like: np.ndarray, id_cols: list[str]) -> DataFrame:
+def identify(rows: DataFrame, names: list[str], like: np.ndarray, thin: list[str], id_cols: list[str]) -> DataFrame:
     """id_cols, _language, _confidence, _posterior.
 
     rows: id_cols, _t (text), _declared, _address (languages or null), _host, _domain, _suffix.
     """
     every = [*names, NONE]
-    seen = written(scored(rows, names, like, [*id_cols, "_declared", "_address", "_host", "_domain", "_suffix"]), "evidence")
+    seen = written(scored(rows, names, like, thin, [*id_cols, "_declared", "_address", "_host", "_domain", "_suffix"]), "evidence")
 
     def named(c: str, odds: float) -> Column:
         return F.array(*(F.when(F.col(c) == x, F.lit(float(np.log(odds)))).otherwise(0.0) for x in every))
@@ -166,18 +191,18 @@ def identify(rows: DataFrame, names: list[str], like: np.ndarray, id_cols: list[
 
 
 def of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """_id, _row (a hash of the row's text and source), _language, _confidence, _posterior; source is the host."""
-    names, like = fitted(docs.select(text_col, lang_col), text_col, lang_col)
+    """_id, _row (a hash of the row's text and source), _language, _confidence, _posterior, _rejected; source is the host."""
+    names, like, thin = fitted(docs.select(id_col, text_col, lang_col), text_col, lang_col)
     rows = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(text_col, source_col, lang_col).alias("_row"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_declared"), F.lit(None).cast("string").alias("_address"),
         F.col(source_col).alias("_host"), F.regexp_extract(F.coalesce(source_col, F.lit("")), r"^(\D*)", 1).alias("_domain"), F.lit("").alias("_suffix"),
     )
-    return identify(rows, names, like, ["_id", "_row"])
+    return identify(rows, names, like, thin, ["_id", "_row"]).withColumn("_rejected", (F.col("_language") == NONE) & F.lit(bool(names)))
 
 
 def of_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, declared, address, host, language, confidence of web pages; the text model is fitted on docs."""
-    names, like = fitted(docs.select("text", "lang"), "text", "lang")
+    names, like, thin = fitted(docs.select("doc_id", "text", "lang"), "text", "lang")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/:?#]+)", 1))
     text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&\w+;", " ")
     rows = pages.select(
@@ -186,18 +211,18 @@ def of_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit("")).alias("_country"), host.alias("_host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("_domain"), F.regexp_extract(host, r"([^.]+)$", 1).alias("_suffix"),
     )
     rows = rows.withColumn("_address", F.coalesce("_path", "_country"))
-    found = identify(rows, names, like, ["page_id"])
+    found = identify(rows, names, like, thin, ["page_id"])
     return found.select("page_id", F.col("_language").alias("language"), F.round("_confidence", 6).alias("confidence"))
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs without those that are in no known language; columns as they came."""
+    """docs without those that are in no known language, or all where none is known; columns as they came."""
     i, row = fresh(docs, "_i", "_r")
-    gone = of_documents(docs, id_col, text_col, lang_col, source_col).filter(F.col("_language") == NONE).select(F.col("_id").alias(i), F.col("_row").alias(row)).distinct()
+    gone = of_documents(docs, id_col, text_col, lang_col, source_col).filter("_rejected").select(F.col("_id").alias(i), F.col("_row").alias(row)).distinct()
     own = F.xxhash64(docs[text_col], docs[source_col], docs[lang_col])
     return docs.join(gone, docs[id_col].eqNullSafe(gone[i]) & (own == gone[row]), "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     found = of_documents(docs)
-    return found.select(F.col("_id").alias("doc_id"), F.col("_language").alias("language"), F.round("_confidence", 6).alias("confidence"), (F.col("_language") != NONE).alias("kept"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("_language").alias("language"), F.round("_confidence", 6).alias("confidence"), (~F.col("_rejected")).alias("kept"))

@@ -150,6 +150,27 @@ def test_languages(spark):
     assert language_id.digest(fixtures.empty(spark)).count() == 0
 
 
+def test_languages_of_few_rows_are_known(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 20)
+    r = np.random.default_rng(2)
+    vocab = {"en": "the and with from that this have which would there".split(), "de": "der und nicht für über auch wird können schön größe".split(), "el": "αυτό είναι ένα κείμενο στα ελληνικά και όχι άλλο τίποτα".split(), "ka": "ეს არის ქართული ტექსტი და სხვა არაფერი".split()}
+    langs = ["en", "de"] * 100 + ["el", "el", "el", "ka"]
+    data = [(i, " ".join(r.choice(vocab[x], 40)), x, "s", 1, "x") for i, x in enumerate(langs)] + [(None, "the same text", "fr", "s", 1, "x")] * 30
+    df = fixtures.frame(spark, data)
+    names, some = language_id.sampled(df.select("doc_id", "text", "lang"), "lang")
+    assert names == ["de", "el", "en", "fr", "ka"]
+    assert Counter(x["lang"] for x in some.collect()) == {"en": 20, "de": 20, "el": 3, "ka": 1, "fr": 20}
+    got = {x["doc_id"]: x for x in language_id.digest(df).collect()}
+    assert [got[i]["language"] for i in range(200, 204)] == langs[200:]
+    assert language_id.accepted(df).count() == len(data)
+
+
+def test_nothing_is_rejected_without_labels(spark):
+    df = fixtures.frame(spark, [(1, "the and with", None, "s", 1, "x"), (2, None, None, None, 1, "x"), (None, "12", None, "s", 1, "x")])
+    assert language_id.accepted(df).count() == 3
+    assert all(x["kept"] and x["language"] == "und" for x in language_id.digest(df).collect())
+
+
 def test_page_evidence(spark):
     docs = fixtures.frame(spark, [(i, ("the and with that " if i % 2 else "der und nicht über ") * 10, "en" if i % 2 else "de", "s", 1, "x") for i in range(60)])
     pages = spark.createDataFrame([(0, "https://a.example.com/de/1", "<html lang='de'><p>x y</p></html>"), (1, "https://b.example.de/", "<html><p>und</p></html>"), (2, "https://c.example.com/", "<html lang=en><p>der und nicht über der und nicht über der und nicht</p></html>"), (3, None, None)], "page_id long, url string, html string")
