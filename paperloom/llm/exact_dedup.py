@@ -30,10 +30,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
-    """Narrow rows (_id, _chars, _len, _pre[, _sha])."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_chars"), normalised(F.col(text_col)).alias("_norm"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True, row: bool = False) -> DataFrame:
+    """Narrow rows (_id, _chars, _len, _pre[, _sha][, _row: a hash of the text as it is])."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_chars"), normalised(F.col(text_col)).alias("_norm"), F.xxhash64(text_col).alias("_row"))
     more = [F.sha2("_norm", 256).alias("_sha")] if full else []
+    more += ["_row"] if row else []
     return rows.select("_id", "_chars", F.length("_norm").alias("_len"), F.xxhash64(F.substring("_norm", 1, PREFIX)).alias("_pre"), *more)
 
 
@@ -74,19 +75,22 @@ def _decided(rows: DataFrame, again: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another kept row has; columns as they came.
 
-    Level 1 and 2 see narrow rows; level 3 hashes the full text of the surviving ids alone.
+    Level 1 and 2 see narrow rows; level 3 hashes the full text of the surviving ids alone. Rows are
+    told apart by id and a hash of the text as it is, so a null or shared id doesn't keep or lose other texts.
     """
     narrow = features(docs, id_col, text_col, full=False)
     twice = survivors(survivors(narrow, ["_len"]), KEYS)
-    i, any_, rows_, key, rn = fresh(docs, "_i", "_any", "_rows", "_key", "_rn")
+    i, row, kept, rn = fresh(docs, "_i", "_r", "_kept", "_rn")
     ids = twice.select(F.col("_id").alias(i)).distinct()
     full = docs.join(ids, docs[id_col].eqNullSafe(ids[i]), "left_semi")
-    rows = features(full, id_col, text_col).groupBy("_id", "_chars", *KEYS, "_sha").agg(F.count(F.lit(1)).alias("_m"))
-    groups = _decided(rows, rows)
-    fate = groups.groupBy(F.col("_id").alias(i)).agg(F.max(F.col("_kept").cast("int")).alias(any_), F.count(F.lit(1)).alias(rows_)).filter(f"{any_} = 0 or {rows_} > 1")
-    left = docs.join(fate, docs[id_col].eqNullSafe(fate[i]), "left").filter(f"coalesce({any_}, 1) = 1")
-    rest = left.filter(f"{rows_} is null").select(*own(docs))
-    some = left.filter(f"{rows_} is not null")  # repeated ids: the first row of each text
-    order = Window.partitionBy(i, key).orderBy(F.desc(F.length(F.coalesce(F.col(text_col), F.lit("")))))
-    one = some.withColumn(key, F.sha2(normalised(F.col(text_col)), 256)).withColumn(rn, F.row_number().over(order)).filter(f"{rn} = 1").select(*own(docs))
+    rows = features(full, id_col, text_col, row=True).groupBy("_id", "_row", "_chars", *KEYS, "_sha").agg(F.count(F.lit(1)).alias("_m"))
+    best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))).alias("_best")
+    joined = rows.join(rows.groupBy(*KEYS, "_sha").agg(best), [*KEYS, "_sha"])
+    stays = F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_row") == F.col("_best.r"))
+    fate = joined.select(F.col("_id").alias(i), F.col("_row").alias(row), stays.alias(kept), "_m").filter(f"not {kept} or _m > 1").drop("_m")
+    same = docs[id_col].eqNullSafe(fate[i]) & (F.xxhash64(docs[text_col]) == fate[row])
+    left = docs.join(fate, same, "left").filter(f"coalesce({kept}, true)")
+    rest = left.filter(f"{kept} is null").select(*own(docs))
+    order = Window.partitionBy(i, row).orderBy(F.lit(0))  # repeated rows: one of them
+    one = left.filter(f"{kept} is not null").withColumn(rn, F.row_number().over(order)).filter(f"{rn} = 1").select(*own(docs))
     return rest.unionByName(one)

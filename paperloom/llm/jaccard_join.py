@@ -25,7 +25,7 @@ components are found between classes, so copies are never expanded.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of 1 to 4
 words has one shingle, its whole sequence; doc_id null sorts last; repeated rows are equal sets and so one component;
-extra columns are ignored (`distinct_documents` carries them).
+rows are told apart by id and a hash of the text, so null ids and texts that share an id are documents of their own; extra columns are ignored (`distinct_documents` carries them).
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.names import fresh
+from paperloom.llm.names import fresh, own
 from paperloom.llm.words import NO_ID, Words, bounds, labels, mix, narrow, pack, parts_of, slices, unpack, widen, windows
 from paperloom.session import written
 
@@ -89,7 +89,7 @@ def _blobs(part: list[int], cuts: np.ndarray, h: np.ndarray, more: Callable) ->
 
 
 def counted(part: list[int], bits: int, id_col: str, text_col: str) -> Callable:
-    """Sorted hashes of all tokens, dealt by range, and a blob of ids, sizes and classes of the documents.
+    """Sorted hashes of all tokens, dealt by range, and a blob of ids, hashes of texts (_row), sizes and classes of the documents.
 
     Tokens of a set that a flush has met before are left out.
     """
@@ -98,16 +98,16 @@ def counted(part: list[int], bits: int, id_col: str, text_col: str) -> Callable:
     def flush(held: list, seen: list) -> Iterator[pa.RecordBatch]:
         if held:
             yield _blobs(part, cuts, np.sort(np.concatenate(held)), lambda a, b: b"")
-        ids, n, cls = (np.concatenate([x[i] for x in seen]) for i in range(3))
-        rows = [np.stack([ids, n, cls]).tobytes()]
+        ids, *more = (np.concatenate([x[i] for x in seen]) for i in range(4))
+        rows = [np.stack([ids, *more]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([part[int(ids[0]) % len(part)]], pa.int32()), pa.array([b""], pa.binary()), pa.array(rows, pa.binary())], names=["part", "hashes", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, n, met = [], [], 0, np.zeros(0, np.int64)
-        for ids, w, _ in slices(batches, id_col, text_col, True):
+        for ids, w, some in slices(batches, id_col, text_col, True):
             t, row, size = tokens(w)
             cls = classes(t, row, size)
-            seen.append((ids, size.astype(np.int64), cls))
+            seen.append((ids, some["_row"].to_numpy(), size.astype(np.int64), cls))
             t, _, _, _, met = _unmet(t, row, size, cls, met)
             if len(t):
                 held.append(t >> shift)
@@ -133,14 +133,14 @@ def _unmet(t: np.ndarray, row: np.ndarray, size: np.ndarray, cls: np.ndarray, me
 
 def frequencies(least: int) -> Callable:
     """Tokens of one hash range with their frequencies from least on; the documents as they come."""
-    names = ["token", "df", "_id", "n", "cls"]
+    names = ["token", "df", "_id", "_row", "n", "cls"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for b in batches:
             for hashes, more in zip(b["hashes"].to_pylist(), b["more"].to_pylist(), strict=True):
                 if more:
-                    rows = np.frombuffer(more, np.int64).reshape(3, -1)
+                    rows = np.frombuffer(more, np.int64).reshape(4, -1)
                     none = pa.nulls(rows.shape[1], pa.int64())
                     yield pa.RecordBatch.from_arrays([none, none, *map(pa.array, rows)], names=names)
                 else:
@@ -152,7 +152,7 @@ def frequencies(least: int) -> Callable:
         n = np.diff(np.append(at, len(h)))
         h, n = h[at][n >= least].view(np.int64), n[n >= least].astype(np.int64)
         none = pa.nulls(len(h), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), none, none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), none, none, none, none], names=names)
 
     return run
 
@@ -299,17 +299,19 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(id_col: str, text_col: str) -> Callable:
-    """cls, its tokens, and the parity of the tokens in each of MARK cells."""
+    """cls, its tokens, and the parity of the tokens in each of MARK cells; a task tells a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(0, np.int64)
         for _, w, _ in slices(batches, id_col, text_col, True):
             t, row, size = tokens(w)
-            marks = np.zeros((w.n, MARK), np.uint8)
+            t, row, size, cls, met = _unmet(t, row, size, classes(t, row, size), met)
+            marks = np.zeros((len(size), MARK), np.uint8)
             np.bitwise_xor.at(marks, (row, (mix(t ^ np.uint64(0x77)) % np.uint64(MARK)).astype(np.int64)), 1)
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(t.view(np.int64)))
             cells = pa.array(np.packbits(marks, axis=1).view(np.int64).ravel())
-            mark = pa.ListArray.from_arrays(pa.array(np.arange(w.n + 1) * (MARK // 64), pa.int32()), cells)
-            yield pa.RecordBatch.from_arrays([pa.array(classes(t, row, size)), pa.array(size.astype(np.int64)), sets, mark], names=["cls", "size", "tokens", "mark"])
+            mark = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (MARK // 64), pa.int32()), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(size.astype(np.int64)), sets, mark], names=["cls", "size", "tokens", "mark"])
 
     return run
 
@@ -403,23 +405,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, n (size of the set), cls (class of equal sets), comp (smallest id reachable by links)."""
+    """_id, _row (hash of the text), n (size of the set), cls (class of equal sets), comp (smallest id reachable by links), kept (of the component's least _id and _row)."""
     spark = docs.sparkSession
-    docs = docs.select(id_col, text_col)
+    docs = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_row"))
     part = labels(spark, n_parts := parts_of(spark))
     bits = min(64, max(44, 26 + math.ceil(math.log2(docs.count() + 1))))
     blob = "part int, hashes binary, more binary"
-    seen = written(docs.mapInArrow(counted(part, bits, id_col, text_col), blob).repartition(n_parts, "part").mapInArrow(frequencies(RARE), "token long, df long, _id long, n long, cls long"), "seen")
-    rows, often = seen.filter("cls is not null").select("_id", "n", "cls"), seen.filter("token is not null").select("token", "df")
+    seen = written(docs.mapInArrow(counted(part, bits, id_col, text_col), blob).repartition(n_parts, "part").mapInArrow(frequencies(RARE), "token long, df long, _id long, _row long, n long, cls long"), "seen")
+    rows, often = seen.filter("cls is not null").select("_id", "_row", "n", "cls"), seen.filter("token is not null").select("token", "df")
     frequent = spark.sparkContext.broadcast(frequent_tokens(spark, often))
     keys = docs.mapInArrow(postings(part, bits, frequent, id_col, text_col), blob).repartition(n_parts, "part")
     posts = written(keys.mapInArrow(shared, "key long, cls long, n long").distinct(), "posts")
     frequent.destroy()  # the driver holds it no longer than the scan
-    node = rows.groupBy("cls").agg(F.min("_id").alias("node"))
+    node = rows.groupBy("cls").agg(F.min(F.struct("_id", "_row")).alias("node"))
     some = posts.select("cls").distinct()
-    reps = written(node.join(some, "cls").select(F.col("node").alias("_rep")), "reps")  # as a table its size is known to the planner
+    reps = written(node.join(some, "cls").select(F.col("node._id").alias("_rep"), "node._row"), "reps")  # as a table its size is known to the planner
     keyed = docs.withColumn("_rep", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))))
-    sets = written(keyed.join(reps, "_rep", "left_semi").mapInArrow(full_sets(id_col, text_col), "cls long, size long, tokens array<long>, mark array<long>"), "sets")
+    sets = written(keyed.join(reps, ["_rep", "_row"], "left_semi").mapInArrow(full_sets(id_col, text_col), "cls long, size long, tokens array<long>, mark array<long>"), "sets")
     stars, comp = None, some.withColumn("comp", F.col("cls"))
     marks = sets.select("cls", "mark")
     for turn in range(TURNS):
@@ -448,7 +450,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     reached = comp.join(node, "cls").groupBy("comp").agg(F.min("node").alias("least"))
     least = comp.join(reached, "comp").select("cls", "least")
     whole = node.join(least, "cls", "left").select("cls", F.coalesce("least", "node").alias("first"))
-    return rows.join(whole, "cls").select("_id", "n", "cls", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("_id")).alias("comp"))
+    kept = (F.col("n") == 0) | ((F.col("first._id") == F.col("_id")) & (F.col("first._row") == F.col("_row")))
+    return rows.join(whole, "cls").select("_id", "_row", "n", "cls", F.when(F.col("n") > 0, F.col("first._id")).otherwise(F.col("_id")).alias("comp"), kept.alias("kept"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -457,10 +460,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; columns as they came."""
-    (i,) = fresh(docs, "_i")
-    gone = linked(docs, id_col, text_col).filter("comp <> _id").select(F.col("_id").alias(i)).distinct()
-    return docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(int(NO_ID))) == gone[i], "left_anti")
+    """docs with one row of each component, the one with the smallest id and then hash of the text; columns as they came."""
+    i, row, rn = fresh(docs, "_i", "_r", "_rn")
+    rows = linked(docs, id_col, text_col).groupBy(F.col("_id").alias(i), F.col("_row").alias(row)).agg(F.min("kept").alias("kept"), (F.max("n") > 0).alias("some"), F.count(F.lit(1)).alias("m"))
+    fate = written(rows.filter("not kept or (some and m > 1)").select(i, row, "kept"), "fate")
+    gone, twice = fate.filter("not kept").drop("kept"), fate.filter("kept").drop("kept")
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(int(NO_ID))) == fate[i]) & (F.xxhash64(docs[text_col]) == fate[row])
+    if twice.isEmpty():
+        return docs.join(gone, same, "left_anti")
+    order = Window.partitionBy(i, row).orderBy(F.lit(0))  # repeated rows: one of them
+    one = docs.join(twice, same).withColumn(rn, F.row_number().over(order)).filter(f"{rn} = 1").select(*own(docs))
+    return docs.join(fate.drop("kept"), same, "left_anti").unionByName(one)
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:

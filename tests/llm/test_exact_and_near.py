@@ -44,6 +44,28 @@ def test_drop_copies_keeps_one_of_each_text(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in _op4(fixtures.rows()) if r[3])
 
 
+def test_copies_go_by_row_where_ids_are_null_or_shared(spark):
+    data = [(1, "a b", "en", "s", 3, "x"), (None, "ab", "en", "s", 2, "x"), (None, "q", "en", "s", 1, "x"), (None, "q", "en", "s", 1, "x"), (3, "a b", "en", "s", 3, "x"), (3, "r", "en", "s", 1, "x"), (4, "q", "en", "s", 1, "x")]
+    kept = exact_dedup.drop_copies(fixtures.frame(spark, data)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, "a b"), (3, "r"), (4, "q")]
+
+
+def test_near_copies_go_by_row_where_ids_are_null_or_shared(spark):
+    r = random.Random(4)
+    text = {k: " ".join(f"{k}{r.randrange(1000)}" for _ in range(60)) for k in "abcdefg"}
+    near = {k: t + " more" for k, t in text.items()}
+    data = [
+        (1, text["a"]), (None, near["a"]), (None, text["b"]), (None, text["c"]), (None, near["c"]), (None, "  "), (None, None),
+        (2, text["d"]), (2, near["a"]), (0, text["e"]), (0, text["f"]), (5, near["e"]), (0, near["f"]), (9, text["g"]), (9, text["g"]),
+    ]
+    df = fixtures.frame(spark, [(i, t, "en", "s", 1, "x") for i, t in data])
+    out = jaccard_join.distinct_documents(df)
+    assert out.columns == df.columns
+    name = {None: "null", "  ": "blank"} | {t: k for k in text for t in (text[k], near[k])}
+    got = sorted((str(x["doc_id"]), name[x["text"]]) for x in out.collect())
+    assert got == sorted([("1", "a"), ("None", "b"), ("None", "c"), ("None", "blank"), ("None", "null"), ("2", "d"), ("0", "e"), ("0", "f"), ("9", "g")])
+
+
 def test_substring_dedup_matches_brute_force(spark):
     got = {r[0]: tuple(r[1:]) for r in substring_dedup.digest(fixtures.frame(spark)).collect()}
     assert got == substring_dedup.brute_force([r[:2] for r in fixtures.rows()])
