@@ -15,7 +15,8 @@ more than its rows. No pairs are ever formed.
 
 Defined results: null and empty texts have no words and keep the SHA-256 of the empty
 string; a document under 20 words loses nothing; doc_id null sorts last; rows repeated with one
-doc_id and text are one document and each get its result; extra columns are ignored.
+doc_id (null included) and text are one document and each get its result; texts that share a doc_id (null included)
+are documents of their own, in order of a hash of the text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -250,22 +251,37 @@ def _texts(w: Words, stay: np.ndarray, left: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(w.n, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.tobytes()))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, _t (text), _id: a key of (doc_id, text) in the order of the ids.
+
+    That is the id where each has one text. Else it numbers the distinct pairs of id and hash of the text, range by range.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
+    rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
+    pairs = rows.select("_id", F.xxhash64("_t").alias("_row"))
+    if pairs.groupBy("_id").agg(F.min("_row").alias("a"), F.max("_row").alias("b")).filter("a <> b").isEmpty():
+        return rows
+    order = pairs.distinct().repartitionByRange(parts_of(docs.sparkSession), "_id", "_row").sortWithinPartitions("_id", "_row")
+    keys = written(order.withColumn("_key", F.monotonically_increasing_id()), "keys")
+    return written(rows.withColumn("_row", F.xxhash64("_t")).join(keys, ["_id", "_row"]).select("doc_id", "_t", F.col("_key").alias("_id")), "keyed")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     spark = docs.sparkSession
     block = window // 2
-    docs = docs.select(id_col, text_col)
+    docs = keyed(docs, id_col, text_col)
     part = labels(spark, n := parts_of(spark))
     # false hits stay rare: as many bits as documents have, and 24
     bits = min(64, max(42, 24 + math.ceil(math.log2(docs.count() + 1))))
-    blobs = docs.mapInArrow(probes(part, bits, window, block, id_col, text_col), BLOBS).repartition(n, "part")
+    blobs = docs.select("_id", "_t").mapInArrow(probes(part, bits, window, block, "_id", "_t"), BLOBS).repartition(n, "part")
     hits = written(blobs.mapInArrow(hit, "_id long, block int"), "hits")
     by_doc = hits.groupBy("_id").agg(F.collect_list("block").alias("blocks"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))).repartition("_id")
-    found = keyed.join(by_doc, "_id").select(id_col, text_col, "blocks").mapInArrow(candidates(part, window, block, id_col, text_col), BLOBS)
+    dealt = docs.repartition("_id")
+    found = dealt.join(by_doc, "_id").select("_id", "_t", "blocks").mapInArrow(candidates(part, window, block, "_id", "_t"), BLOBS)
     later = found.repartition(n, "part").mapInArrow(repeats(part), "part int, docs binary, at binary")
     starts = later.repartition(n, "part").mapInArrow(gathered, "_id long, starts binary")
-    return keyed.join(starts, "_id", "left").select(id_col, text_col, "starts").mapInArrow(kept(window, id_col, text_col), "doc_id long, n_words long, n_removed long, kept string")
+    return dealt.join(starts, "_id", "left").select("doc_id", "_t", "starts").mapInArrow(kept(window, "doc_id", "_t"), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

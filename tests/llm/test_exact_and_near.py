@@ -79,6 +79,19 @@ def test_substring_dedup_within_one_document_and_repeated_rows(spark):
     assert got == substring_dedup.brute_force([(5, loop), (2, "x " + loop[:150])])
 
 
+def test_substring_dedup_of_null_and_shared_ids(spark):
+    r = random.Random(5)
+    some = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    passage = some(40)
+    texts = [(None, passage + " " + some(300)), (None, passage + " " + some(3)), (None, some(200) + " " + passage), (7, some(50) + " " + passage), (7, passage), (7, passage), (3, some(30)), (9, None), (None, None)]
+    df = fixtures.frame(spark, [(i, t, "en", "s", 1, "x") for i, t in texts])
+    order = sorted({tuple(x) for x in df.selectExpr("doc_id is null", "doc_id", "xxhash64(text)", "text").collect()}, key=lambda x: (x[0], x[1] or 0, x[2]))
+    want = substring_dedup.brute_force([(k, x[3]) for k, x in enumerate(order)])
+    place = {(x[1], x[3]): want[k] for k, x in enumerate(order)}
+    got = sorted(map(str, map(tuple, substring_dedup.digest(df).collect())))
+    assert got == sorted(str((i, *place[i, t])) for i, t in texts)
+
+
 def test_jaccard_components_match_brute_force(spark):
     got = {r[0]: tuple(r[1:]) for r in jaccard_join.digest(fixtures.frame(spark)).collect()}
     assert got == jaccard_join.brute_force([r[:2] for r in fixtures.rows()])
