@@ -264,7 +264,7 @@ def decode_block(b: bytes) -> np.ndarray:
         small = np.flatnonzero(size < TOP)
         while len(small):
             to = at[small]
-            code[small] = (code[small] << U16) | data[to]
+            code[small] = (code[small] << U16) | data.take(to, mode="clip")  # damaged ones may run over
             at[small] = to + 1
             size[small] = s = size[small] << U16
             small = small[s < TOP]
