@@ -78,3 +78,20 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def merged_map(old: Column, new: Column) -> Column:
+    """Both maps; of a key in both the new value."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
+def merged_list(old: Column, new: Column, key: str) -> Column:
+    """Both lists of structs, the old one first; of equal keys the first."""
+    every = F.concat(old, new)
+    ids = F.transform(every, lambda x: x[key])
+    return F.filter(every, lambda x, i: F.array_position(ids, x[key]) == i + 1)
+
+
+def identities(rows: DataFrame, name: Column, size: Column, keep: list[str], latest: Column) -> DataFrame:
+    """identity_name (lower case), size and the columns keep of the latest row of each; rows of no size match nothing later."""
+    return rows.groupBy(F.lower(name).alias("identity_name"), size.alias("size")).agg(F.max_by(F.struct(*keep), latest).alias("_r")).select("identity_name", "size", "_r.*")

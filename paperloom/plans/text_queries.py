@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import requests as R
 from paperloom.functions import text as T
 from paperloom.operators import sequences
 from paperloom.sources.tables import LINES_SQL, lines, table
@@ -21,8 +22,15 @@ def sql_count(x: str, pattern: str) -> str:
 
 
 SQL_FOLD = sql_trim(rf"regexp_replace(coalesce(text, ''), '{BLANK}+', ' ', 'g')")
-SQL_FNV = "list_reduce(list_prepend(2166136261::UBIGINT, [unicode(c)::UBIGINT for c in string_split(t, '') if c <> '']), lambda a, c: (xor(a, c) * 16777619) & 4294967295)"
-SQL_FP = f"SELECT doc_id, CASE WHEN t = '' THEN '' ELSE lower(printf('%x', {SQL_FNV})) || '-' || length(t) END AS fp FROM (SELECT doc_id, {SQL_FOLD} AS t FROM documents)"
+
+
+def sql_fnv(t: str) -> str:
+    """Hash and number of UTF-16 units."""
+    units = f"flatten([CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END for c in string_split({t}, '') if c <> ''])"
+    return f"lower(printf('%x', list_reduce(list_prepend(2166136261::UBIGINT, [u::UBIGINT for u in {units}]), lambda a, c: (xor(a, c) * 16777619) & 4294967295))) || '-' || len({units})"
+
+
+SQL_FP = f"SELECT doc_id, CASE WHEN t = '' THEN '' ELSE {sql_fnv('t')} END AS fp FROM (SELECT doc_id, {SQL_FOLD} AS t FROM documents)"
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 
 
@@ -59,7 +67,7 @@ SQL_TYPE = rf"""CASE WHEN t = '' THEN NULL
 
 
 def doc_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fp"))
+    return table(spark, d, "documents").select("doc_id", R.fingerprint(F.col("text")).alias("fp"))
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 from paperloom.functions import glyphs, sentences
+from paperloom.functions import requests as R
 from paperloom.functions import text as T
 from paperloom.operators import layout, linkage, sequences
 from paperloom.plans import catalog
@@ -43,7 +44,7 @@ def values(spark, texts, f):
 
 
 def test_fingerprint_folds_white_space(spark):
-    a, b, c, d = values(spark, ["a  b\n c", " a b c ", "a b d", " 　 "], T.fingerprint)
+    a, b, c, d = values(spark, ["a  b\n c", " a b c ", "a b d", " 　 "], R.fingerprint)
     assert a == b != c and d == ""
 
 
