@@ -151,16 +151,6 @@ def weighted_mode(spark: SparkSession, d: str) -> DataFrame:
     return sequences.weighted_mode(rows, ["l_suppkey"], F.floor(F.col("l_quantity") * 2 + 0.5) / 2, F.col("l_linenumber"), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
 
-def rule_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Rules within half a point of each other are one, the first in order; at most 40 of each page."""
-    half = lambda c: F.floor(c * 2 + 0.5)
-    rows = table(spark, d, "lineitem").selectExpr("l_suppkey AS page", "l_quantity AS y", "l_discount * 20 AS x1", "l_tax * 100 AS x2", "l_orderkey * 10 + l_linenumber AS seq")
-    w = Window.partitionBy("page", half(F.col("y")), half(F.col("x1")), half(F.col("x2"))).orderBy(F.desc("y"), "x1", "seq")
-    one = rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    order = Window.partitionBy("page").orderBy(F.desc("y"), "x1", "seq")
-    return one.withColumn("_rn", F.row_number().over(order)).filter("_rn <= 40").select("page", "seq")
-
-
 def join_suite(spark: SparkSession, d: str) -> DataFrame:
     """Inner, left, semi, anti and theta joins over orders and customers."""
     o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
@@ -181,7 +171,7 @@ def labelled_quality(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), F.median("n_chars").alias("median_chars"))
 
 
-QUERIES = {f.__name__: f for f in (cache_lookup, sentence_cache_lookup, archive_upsert, stale_prune, identity_match, item_match, annotation_join, qa_to_paragraph, coverage_report, page_ranges, formula_index, history_window, qa_retention, merge_role_runs, line_step_median, margin_order_stats, weighted_mode, rule_dedupe, join_suite, labelled_quality)}
+QUERIES = {f.__name__: f for f in (cache_lookup, sentence_cache_lookup, archive_upsert, stale_prune, identity_match, item_match, annotation_join, qa_to_paragraph, coverage_report, page_ranges, formula_index, history_window, qa_retention, merge_role_runs, line_step_median, margin_order_stats, weighted_mode, join_suite, labelled_quality)}
 
 _ST = sql_latex("t")
 _REST = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '⟦[^⟧]*⟧', ' ', 'g'), '(?i)https?://\S+', ' ', 'g'), '\[\s*[0-9]+(?:\s*[,–\-]\s*[0-9]+)*\s*\]', ' ', 'g'), '(?i)\(\s*[a-z0-9]{1,3}\s*\)', ' ', 'g')"
@@ -221,8 +211,6 @@ ORACLES = {
     "line_step_median": "WITH s AS (SELECT l_orderkey, abs(l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice)) AS step FROM lineitem), g AS (SELECT l_orderkey, list_sort(list(step)) AS s FROM s WHERE step BETWEEN 8.5 AND 20 GROUP BY l_orderkey) SELECT l_orderkey, s[len(s) // 2 + 1] AS median_step FROM g",
     "margin_order_stats": "WITH g AS (SELECT l_suppkey, list_sort(list(l_extendedprice)) AS s FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, s[floor(len(s) * 0.04)::INT + 1] AS low, s[floor(len(s) * 0.25)::INT + 1] AS left, s[floor(len(s) * 0.75)::INT + 1] AS right, s[floor(len(s) * 0.96)::INT + 1] AS high FROM g",
     "weighted_mode": "WITH g AS (SELECT l_suppkey, floor(l_quantity * 2 + 0.5) / 2 AS mode, sum(l_linenumber)::BIGINT AS weight, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY ALL) SELECT l_suppkey, mode, weight FROM g QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, f) = 1",
-    "rule_dedupe": """WITH r AS (SELECT l_suppkey AS page, l_quantity AS y, l_discount * 20 AS x1, l_tax * 100 AS x2, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY page, floor(y * 2 + 0.5), floor(x1 * 2 + 0.5), floor(x2 * 2 + 0.5) ORDER BY y DESC, x1, seq) = 1)
- SELECT page, seq FROM o QUALIFY row_number() OVER (PARTITION BY page ORDER BY y DESC, x1, seq) <= 40""",
     "join_suite": """SELECT 'inner' AS kind, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) AS n UNION ALL SELECT 'left', (SELECT count(*) FROM customer LEFT JOIN orders ON o_custkey = c_custkey) UNION ALL SELECT 'semi', (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
  UNION ALL SELECT 'anti', (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) UNION ALL SELECT 'full', (SELECT count(*) FROM customer FULL JOIN orders ON o_custkey = c_custkey AND o_totalprice > 1e5) UNION ALL SELECT 'theta', (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 20)""",
     "labelled_quality": "SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic, median(n_chars) AS median_chars FROM documents JOIN labels USING (doc_id) GROUP BY lang",

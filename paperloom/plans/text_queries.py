@@ -57,13 +57,19 @@ SQL_CLAUSE = rf"(regexp_matches(lower(t), '[,;:]') AND {sql_count('lower(t)', rf
 SQL_UNTRANSLATABLE = rf"""(t = '' OR regexp_matches(t, '(?i)^(?:https?://\S+|www\.\S+|doi:\s*10\.[0-9]{{4,}}/\S+|10\.[0-9]{{4,}}/\S+)$')
  OR ({sql_count('r', CJK)} = 0 AND len([w for w in regexp_extract_all(r, '[A-Za-z]{{2,}}') if NOT regexp_full_match(lower(w), '{T.UNITS}')]) = 0))"""
 SQL_REST = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '⟦[^⟧]*⟧', ' ', 'g'), '(?i)https?://\S+', ' ', 'g'), '\[\s*[0-9]+(?:\s*[,–\-]\s*[0-9]+)*\s*\]', ' ', 'g'), '(?i)\(\s*[a-z0-9]{1,3}\s*\)', ' ', 'g')"
-SQL_TYPE = rf"""CASE WHEN t = '' THEN NULL
- WHEN regexp_matches(t, '(?i)^Abstract\b') THEN CASE WHEN length(t) <= 16 THEN 'heading' ELSE 'abstract' END
- WHEN regexp_matches(t, '(?i)^(?:Keywords?|Index\s+Terms)\b') THEN 'keywords'
- WHEN regexp_matches(t, '(?i)^(?:Fig(?:ure)?s?\.?\s*[0-9]+|Tab(?:le)?s?\.?\s*[IVX0-9]+)\b[\s.:：—–\-]') THEN 'caption'
- WHEN length(t) <= 115 AND NOT regexp_matches({sql_trim(r"regexp_replace(t, '^[0-9]+(?:\.[0-9]+)*\.', '')")}, '[.!?。！？]\s*$') AND NOT regexp_matches(t, '[∑∏∫√=+\-−/|]')
-  AND (regexp_matches(t, '^(?:[IVX]{{1,5}}\.|[1-9][0-9]?(?:\.[0-9]+){{0,3}}\.?)\s+(?:[A-Z][A-Za-z]{{2,}}|[\x{{4e00}}-\x{{9fff}}])')
-   OR regexp_matches(t, '(?i)^(?:Introduction|Related\s+Work|Background|Preliminaries|Method(?:ology|s)?|Approach|Experiments?|Evaluation|Results?|Discussion|Conclusions?|References|Acknowledge?ments?|Appendix)$')) THEN 'heading' END"""
+
+
+def sql_type(size: str = "0", bold: str = "true", body: str = "1", page: str = "0", top: str = "1") -> str:
+    """Type of the trimmed text t."""
+    begins = {k: f"regexp_matches(t, '{p}')" for k, p in T.BEGINNINGS.items()}
+    numbered = " OR ".join(f"regexp_matches(t, '{p}')" for p in T.NUMBERED_HEADINGS)
+    end = sql_trim(r"regexp_replace(t, '^[0-9]+(?:\.[0-9]+)*\.', '')")
+    return rf"""CASE WHEN t = '' THEN NULL WHEN {page} = 1 AND {top} <= 0.36 AND {size} >= {body} * 1.32 AND length(t) BETWEEN 8 AND 240 AND NOT regexp_matches(t, '(?i)^(?:{'|'.join(T.NO_TITLE)})') THEN 'title'
+ WHEN {begins['abstract']} THEN CASE WHEN length(t) <= 16 THEN 'heading' ELSE 'abstract' END WHEN {begins['keywords']} THEN 'keywords' WHEN {begins['caption']} THEN 'caption'
+ WHEN length(t) <= 115 AND NOT regexp_matches({end}, '[.!?。！？]\s*$') AND NOT regexp_matches(t, '{T.NO_HEADING}') AND ({numbered} OR (regexp_matches(t, '{T.NAMED_HEADING}') AND ({bold} OR {size} >= {body} * 1.05))) THEN 'heading' END"""
+
+
+SQL_TYPE = sql_type()
 
 
 def doc_fingerprint(spark: SparkSession, d: str) -> DataFrame:
