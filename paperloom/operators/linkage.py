@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import latex as X
+from paperloom.functions import text as T
+
 
 def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
@@ -95,3 +98,54 @@ def merged_list(old: Column, new: Column, key: str) -> Column:
 def identities(rows: DataFrame, name: Column, size: Column, keep: list[str], latest: Column) -> DataFrame:
     """identity_name (lower case), size and the columns keep of the latest row of each; rows of no size match nothing later."""
     return rows.groupBy(F.lower(name).alias("identity_name"), size.alias("size")).agg(F.max_by(F.struct(*keep), latest).alias("_r")).select("identity_name", "size", "_r.*")
+
+
+def character_gate(latex: Column, text: Column) -> Column:
+    """struct(coverage, extra, reason): the share of the text's characters that the formula shows, the share of its own that the text lacks, and why it is refused ("" for accepted).
+
+    Texts of three characters or fewer must be met exactly. Braces and environments must be balanced, and no prose may stand in the formula.
+    """
+    a = X.counted_characters(latex)
+    b = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", ""), ""), lambda c: c != "")
+    count = lambda chars, c: F.size(F.filter(chars, lambda x: x == c))
+
+    def judged(s: Column) -> Column:
+        both = F.aggregate(F.array_distinct(s["b"]), F.lit(0), lambda n, c: n + F.least(count(s["a"], c), count(s["b"], c)))
+        share = lambda x, n: F.when(n == 0, F.lit(0.0)).otherwise(x / n)
+        return F.struct(share(both, F.size(s["b"])).alias("coverage"), share(F.size(s["a"]) - both, F.size(s["a"])).alias("extra"), F.size(s["b"]).alias("n"))
+
+    g = F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), judged), F.lit(0))
+    exact = (g["coverage"] == 1) & (g["extra"] == 0)
+    reason = T.first(
+        (
+            (F.trim(F.coalesce(latex, F.lit(""))) == "", F.lit("empty")), (~X.balanced(latex), F.lit("unbalanced-brace")), (~X.environments_balanced(latex), F.lit("unbalanced-env")), (X.prose_within(latex), F.lit("prose-in-math")),
+            (g["n"] <= 3, F.when(exact, F.lit("")).otherwise(F.lit("characters"))), (g["coverage"] < 0.7, F.lit("coverage")), (g["extra"] > 0.3, F.lit("extra")),
+        ),
+        F.lit(""),
+    )
+    return F.struct(g["coverage"].alias("coverage"), g["extra"].alias("extra"), reason.alias("reason"))
+
+
+def formulas(vision: DataFrame, local: DataFrame) -> DataFrame:
+    """paper, number (by page, then seq), page, kind ("block", "inline"), latex of both sides (paper, page, kind, latex, seq): a page with any of a vision model's has only those.
+
+    Local inline ones have three characters or more; those under two characters and mere numbers and marks go; of equal ones on a page the first stays.
+    """
+    pages = vision.select("paper", "page").distinct()
+    other = local.filter((F.col("kind") == "block") | (F.length("latex") >= 3)).join(pages, ["paper", "page"], "left_anti")
+    columns = ["paper", "page", "kind", F.trim("latex").alias("latex"), "seq"]
+    every = vision.select(*columns).unionByName(other.select(*columns)).filter((F.length("latex") >= 2) & ~F.col("latex").rlike(r"^[0-9.,;:()\[\]+\-]+$"))
+    one = first_rows(every, ["paper", "page", "kind", "latex"], ["seq"])
+    return one.withColumn("number", F.row_number().over(Window.partitionBy("paper").orderBy("page", "seq", "kind", "latex")).cast("long"))
+
+
+def moved(rows: DataFrame, identity: list[str], path: str, key: str) -> DataFrame:
+    """rows with other_id: the least key of the same identity under another path; only rows that have one.
+
+    No pairs are formed: each identity tells the first rows of its two first paths, and a row takes the one that isn't its own.
+    """
+    firsts = rows.groupBy(*identity, path).agg(F.min(key).alias("_k"))
+    two = firsts.withColumn("_rn", F.row_number().over(Window.partitionBy(*identity).orderBy("_k"))).filter("_rn <= 2")
+    best = two.groupBy(*identity).agg(F.min_by(F.struct(path, "_k"), "_rn").alias("_a"), F.max_by(F.struct(path, "_k"), "_rn").alias("_b"))
+    other = F.when(F.col(f"_a.{path}") != F.col(path), F.col("_a._k")).when(F.col(f"_b.{path}") != F.col(path), F.col("_b._k"))
+    return rows.join(best, identity).withColumn("other_id", other).filter("other_id is not null").drop("_a", "_b")

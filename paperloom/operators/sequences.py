@@ -26,9 +26,16 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "para").agg(F.min("type").alias("type"), F.count("*").alias("n_lines"), F.sum("n").alias("n_chars"))
 
 
-def at_floor(values: Column, share: float) -> Column:
-    """The element of a sorted array at floor(share * n)."""
-    return F.get(values, F.least(F.floor(F.size(values) * share), F.size(values) - 1).cast("int"))
+def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, for each name, the value at floor(share * n) of the sorted values, counted from 0.
+
+    Equal values are counted first and ranks are running sums of counts, so no group's values are gathered in one row.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy(*keys).orderBy(value)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    at = lambda q: F.least(F.floor(F.col("_all") * q), F.col("_all") - 1)
+    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(n) for n, q in shares.items()))
 
 
 def weighted_mode(rows: DataFrame, keys: list[str], value: Column, weight: Column, first: Column) -> DataFrame:

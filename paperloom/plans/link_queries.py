@@ -6,39 +6,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import linkage, sequences
+from paperloom.operators import linkage, reports, sequences
 from paperloom.plans.text_queries import SQL_UNTRANSLATABLE, sql_count, sql_latex, sql_trim
 from paperloom.sources.tables import LINES_SQL, lines, table
 
 TAG = "e1"
 #: Paragraphs of an archive: lines with a short fingerprint; some have their own translation, some a key.
-PARAS = """doc_id AS page, line_no AS para, CASE WHEN trim(line) = '' THEN '' ELSE md5(line) END AS fp,
- CASE WHEN (doc_id + line_no) % 5 = 0 THEN 'k' || doc_id || '_' || line_no ELSE '' END AS cache_key, CASE WHEN (doc_id + line_no) % 7 = 0 THEN 'own ' || line_no WHEN line_no % 7 = 1 THEN '  ' ELSE NULL END AS translation, line"""
+PARAS = [
+    "doc_id AS page", "line_no AS para", "CASE WHEN trim(line) = '' THEN '' ELSE md5(line) END AS fp", "CASE WHEN (doc_id + line_no) % 5 = 0 THEN 'k' || doc_id || '_' || line_no ELSE '' END AS cache_key",
+    "CASE WHEN (doc_id + line_no) % 7 = 0 THEN 'own ' || line_no WHEN line_no % 7 = 1 THEN '  ' ELSE NULL END AS translation", "line",
+]
 #: Entries of the cache, one of four kinds of key for some of the lines.
-CACHE = """CASE (doc_id * 3 + line_no) % 4 WHEN 0 THEN 'k' || doc_id || '_' || line_no WHEN 1 THEN doc_id || '_e1_' || md5(line) WHEN 2 THEN doc_id || '_' || md5(line) ELSE 'x' || doc_id || '_' || line_no END AS key,
- CASE WHEN line_no % 11 = 3 THEN ' ' ELSE 'cached ' || line_no END AS value"""
-
-
-def _split(sql: str) -> list[str]:
-    """Column expressions of a select list with a line for each few of them."""
-    out, depth, text, quote = [], 0, "", False
-    for c in sql:
-        quote ^= c == "'"
-        depth += (not quote) * ((c == "(") - (c == ")"))
-        if c == "," and not depth and not quote:
-            out.append(text)
-            text = ""
-        else:
-            text += c
-    return [*out, text]
+CACHE = [
+    "CASE (doc_id * 3 + line_no) % 4 WHEN 0 THEN 'k' || doc_id || '_' || line_no WHEN 1 THEN doc_id || '_e1_' || md5(line) WHEN 2 THEN doc_id || '_' || md5(line) ELSE 'x' || doc_id || '_' || line_no END AS key",
+    "CASE WHEN line_no % 11 = 3 THEN ' ' ELSE 'cached ' || line_no END AS value",
+]
 
 
 def _paras(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).selectExpr(*_split(PARAS))
+    return lines(spark, d).selectExpr(*PARAS)
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).filter("line_no % 2 = 0").selectExpr(*_split(CACHE)).groupBy("key").agg(F.max("value").alias("value"))
+    return lines(spark, d).filter("line_no % 2 = 0").selectExpr(*CACHE).groupBy("key").agg(F.max("value").alias("value"))
 
 
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -72,10 +62,9 @@ def stale_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_match(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the same name and size under another path."""
-    rows = table(spark, d, "documents").select("doc_id", F.lower(F.concat_ws("-", "source", "lang")).alias("name"), F.col("n_chars").alias("size"), F.expr("doc_id % 3").alias("path")).filter("size <> 0")
-    other = rows.select(F.col("doc_id").alias("other_id"), "name", "size", F.col("path").alias("other_path"))
-    return rows.join(other, ["name", "size"]).filter("path <> other_path").select("doc_id", "other_id")
+    """For each document the first one of the same name and size under another path."""
+    rows = table(spark, d, "documents").select("doc_id", F.lower(F.concat_ws("-", "source", "lang")).alias("name"), F.col("n_chars").alias("size"), F.expr("doc_id % 3").alias("path"))
+    return linkage.moved(rows.filter("size <> 0"), ["name", "size"], "path", "doc_id").select("doc_id", "other_id")
 
 
 def item_match(spark: SparkSession, d: str) -> DataFrame:
@@ -96,10 +85,10 @@ def annotation_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_to_paragraph(spark: SparkSession, d: str) -> DataFrame:
-    """Questions whose selection occurs in a paragraph of their page; the page is the join key."""
-    paras = lines(spark, d).select(F.col("doc_id").alias("page"), "line_no", "raw")
-    asked = lines(spark, d).filter("line_no % 3 = 1 and length(raw) > 60").select(F.col("doc_id").alias("page"), F.col("line_no").alias("asked"), F.substring("raw", 11, 40).alias("s"))
-    return asked.join(paras, "page").filter(F.contains("raw", "s")).groupBy("page", "asked").agg(F.count("*").alias("n"), F.min("line_no").alias("para"))
+    """Questions whose selection's beginning occurs in paragraphs of their page: every line asks, with 40 characters from its eleventh on."""
+    rows = lines(spark, d).select(F.col("doc_id").alias("paper"), F.lit(1).alias("page"), F.col("line_no").alias("id"), F.col("raw").alias("text"))
+    asked = rows.select("paper", "page", "id", F.substring("text", 11, 40).alias("selected"))
+    return reports.asked(rows, asked).groupBy(F.col("paper").alias("page"), F.col("id").alias("asked")).agg(F.count("*").alias("n"), F.min("para").alias("para"))
 
 
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +110,19 @@ def formula_index(spark: SparkSession, d: str) -> DataFrame:
     return linkage.first_rows(vision.unionByName(local), ["doc_id", "latex"], ["page"])
 
 
+TURNS = "CASE WHEN (conv_id + turn) % 9 = 4 THEN '[error] ' || text ELSE text END"
+
+
 def history_window(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.history(table(spark, d, "conversations"), 8, 400).select("conv_id", "run", "role", F.md5("text").alias("text_md5"))
+    """The last 8 turns of each chat without failed ones, turns of one role in a row as one."""
+    turns = table(spark, d, "conversations").withColumn("text", F.expr(TURNS)).filter("not startswith(text, '[error]')")
+    return sequences.history(turns, 8, 1 << 30).select("conv_id", "run", "role", F.md5("text").alias("text_md5"))
+
+
+def history_cut(spark: SparkSession, d: str) -> DataFrame:
+    """The last 20 turns of each chat, each cut at 4000 characters."""
+    rows = sequences.last_rows(table(spark, d, "conversations"), ["conv_id"], "turn", 20)
+    return rows.select("conv_id", "turn", F.md5(F.left("text", F.lit(4000))).alias("text_md5"))
 
 
 def qa_retention(spark: SparkSession, d: str) -> DataFrame:
@@ -138,12 +138,11 @@ def line_step_median(spark: SparkSession, d: str) -> DataFrame:
     """Upper median of the steps between lines that lie within 0.85 and 2 bodies."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     rows = table(spark, d, "lineitem").select("l_orderkey", F.abs(F.col("l_quantity") - F.lag("l_quantity").over(order)).alias("step")).filter("step between 8.5 and 20")
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("step")).alias("s")).select("l_orderkey", sequences.at_floor(F.col("s"), 0.5).alias("median_step"))
+    return sequences.order_statistics(rows, ["l_orderkey"], "step", {"median_step": 0.5})
 
 
 def margin_order_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("s"))
-    return rows.select("l_suppkey", *(sequences.at_floor(F.col("s"), q).alias(n) for q, n in ((0.04, "low"), (0.25, "left"), (0.75, "right"), (0.96, "high"))))
+    return sequences.order_statistics(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", {"low": 0.04, "left": 0.25, "right": 0.75, "high": 0.96})
 
 
 def weighted_mode(spark: SparkSession, d: str) -> DataFrame:
@@ -171,13 +170,13 @@ def labelled_quality(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), F.median("n_chars").alias("median_chars"))
 
 
-QUERIES = {f.__name__: f for f in (cache_lookup, sentence_cache_lookup, archive_upsert, stale_prune, identity_match, item_match, annotation_join, qa_to_paragraph, coverage_report, page_ranges, formula_index, history_window, qa_retention, merge_role_runs, line_step_median, margin_order_stats, weighted_mode, join_suite, labelled_quality)}
+QUERIES = {f.__name__: f for f in (cache_lookup, sentence_cache_lookup, archive_upsert, stale_prune, identity_match, item_match, annotation_join, qa_to_paragraph, coverage_report, page_ranges, formula_index, history_window, history_cut, qa_retention, merge_role_runs, line_step_median, margin_order_stats, weighted_mode, join_suite, labelled_quality)}
 
 _ST = sql_latex("t")
 _REST = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '⟦[^⟧]*⟧', ' ', 'g'), '(?i)https?://\S+', ' ', 'g'), '\[\s*[0-9]+(?:\s*[,–\-]\s*[0-9]+)*\s*\]', ' ', 'g'), '(?i)\(\s*[a-z0-9]{1,3}\s*\)', ' ', 'g')"
 _FILL = "CASE WHEN trim(coalesce({0}, '')) <> '' THEN {0} END"
 ORACLES = {
-    "cache_lookup": f"""WITH {LINES_SQL}, p AS (SELECT {PARAS} FROM lines), c AS (SELECT key, max(value) AS value FROM (SELECT {CACHE} FROM lines WHERE line_no % 2 = 0) GROUP BY key), v AS (SELECT key, value FROM c WHERE trim(value) <> ''),
+    "cache_lookup": f"""WITH {LINES_SQL}, p AS (SELECT {', '.join(PARAS)} FROM lines), c AS (SELECT key, max(value) AS value FROM (SELECT {', '.join(CACHE)} FROM lines WHERE line_no % 2 = 0) GROUP BY key), v AS (SELECT key, value FROM c WHERE trim(value) <> ''),
  j AS (SELECT page, para, {_FILL.format('translation')} AS t1, a.value AS t2, b.value AS t3, e.value AS t4 FROM p LEFT JOIN v a ON fp <> '' AND a.key = cache_key AND cache_key <> '' LEFT JOIN v b ON fp <> '' AND b.key = page || '_e1_' || fp LEFT JOIN v e ON fp <> '' AND e.key = page || '_' || fp)
  SELECT page, para, coalesce(t1, t2, t3, t4, '') AS found, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 WHEN t4 IS NOT NULL THEN 4 ELSE 0 END AS tier FROM j""",
     "sentence_cache_lookup": f"""WITH {LINES_SQL}, n AS (SELECT doc_id, line_no, len(string_split(raw, '. ')) AS n FROM lines), i AS (SELECT doc_id, line_no, n, range(1, n + 1) AS r FROM n)
@@ -186,7 +185,7 @@ ORACLES = {
     "stale_prune": rf"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no, {sql_trim('line')} AS t FROM lines), u AS (SELECT *, {_REST} AS r, {_ST} AS p FROM t)
  SELECT doc_id, count(*) AS kept, sum(line_no)::BIGINT AS check_sum FROM u WHERE NOT (t <> '' AND NOT {SQL_UNTRANSLATABLE} AND length(t) > 60 AND regexp_matches(lower(t), '[,;:]') AND {sql_count('lower(t)', rf'\b(?:{T.FUNCTION_WORDS})\b')} >= 2
  AND {sql_count('p', T.CJK)} = 0 AND (line_no % 9 = 0 OR {sql_count('p', '[A-Za-z]{2,}')} >= 2)) GROUP BY doc_id""",
-    "identity_match": "WITH r AS (SELECT doc_id, lower(source || '-' || lang) AS name, n_chars AS size, doc_id % 3 AS path FROM documents WHERE n_chars <> 0) SELECT a.doc_id, b.doc_id AS other_id FROM r a JOIN r b USING (name, size) WHERE a.path <> b.path",
+    "identity_match": "WITH r AS (SELECT doc_id, lower(source || '-' || lang) AS name, n_chars AS size, doc_id % 3 AS path FROM documents WHERE n_chars <> 0) SELECT a.doc_id, min(b.doc_id) AS other_id FROM r a JOIN r b USING (name, size) WHERE a.path <> b.path GROUP BY a.doc_id",
     "item_match": """WITH i AS (SELECT p_partkey AS item, '/lib/' || p_partkey AS path, p_name || (p_partkey % 40) AS name, p_size * 100 + p_partkey % 700 AS size FROM part),
  p AS (SELECT l_orderkey * 10 + l_linenumber AS paper, l_partkey AS k, p_name, p_size FROM lineitem JOIN part ON p_partkey = l_partkey),
  q AS (SELECT paper, CASE WHEN paper % 3 = 0 THEN '/lib/' || k ELSE '/tmp/' || k END AS path, CASE WHEN paper % 5 = 0 THEN p_name || (k % 40) ELSE 'none' || paper END AS name, p_size * 100 + k % 700 + CASE WHEN paper % 2 = 0 THEN 0 ELSE 7 END AS size FROM p),
@@ -195,17 +194,18 @@ ORACLES = {
  SELECT CASE WHEN m1 IS NOT NULL THEN 'path' WHEN m2 IS NOT NULL THEN 'name' WHEN m4 IS NOT NULL THEN 'size' END AS tier, count(*) AS n, sum(coalesce(m1, m2, m4))::BIGINT AS items FROM j GROUP BY 1""",
     "annotation_join": f"""WITH {LINES_SQL}, e AS (SELECT event_id, user_id AS page, event_id % 60 AS para FROM events), j AS (SELECT e.*, CASE WHEN l.doc_id IS NULL THEN 'orphan' ELSE 'paragraph' END AS kind FROM e LEFT JOIN lines l ON l.doc_id = page AND l.line_no = para)
  SELECT page, kind, count(*) AS n, min(event_id) AS first_id FROM j GROUP BY ALL""",
-    "qa_to_paragraph": f"WITH {LINES_SQL}, a AS (SELECT doc_id AS page, line_no AS asked, substring(raw, 11, 40) AS s FROM lines WHERE line_no % 3 = 1 AND length(raw) > 60) SELECT page, asked, count(*) AS n, min(line_no) AS para FROM a JOIN lines l ON l.doc_id = page AND contains(raw, s) GROUP BY page, asked",
+    "qa_to_paragraph": f"WITH {LINES_SQL}, a AS (SELECT doc_id AS page, line_no AS asked, substring(raw, 11, 40) AS s FROM lines) SELECT page, asked, count(*) AS n, min(line_no) AS para FROM a JOIN lines l ON l.doc_id = page AND length(s) > 0 AND contains(trim(raw), s) GROUP BY page, asked",
     "coverage_report": f"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no, {sql_trim('line')} AS t FROM lines), u AS (SELECT *, {_REST} AS r FROM t), f AS (SELECT doc_id, line_no % 2 = 0 AS h, line_no % 3 = 0 AS d, {SQL_UNTRANSLATABLE} AS f FROM u)
  SELECT doc_id AS paper, count(*) FILTER (h) AS highlighted, count(*) FILTER (d) AS translated, count(*) FILTER (h AND NOT d AND NOT f) AS missing, count(*) FILTER (NOT h AND NOT d) AS bare FROM f GROUP BY doc_id""",
     "page_ranges": f"""WITH {LINES_SQL}, p AS (SELECT doc_id, line_no + 1 AS page FROM lines WHERE (doc_id + line_no * line_no) % 5 < 3), g AS (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS g FROM p), r AS (SELECT doc_id, min(page) AS a, max(page) AS b FROM g GROUP BY doc_id, g)
  SELECT doc_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY doc_id""",
     "formula_index": rf"""WITH {LINES_SQL}, f AS (SELECT doc_id, line_no AS page, regexp_extract(line, '\$([^$]*)\$', 1) AS latex FROM lines), u AS (SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN 'v ' || latex ELSE latex END AS latex FROM f WHERE length(latex) > 1)
  SELECT doc_id, min(page) AS page, latex FROM u GROUP BY doc_id, latex""",
-    "history_window": """WITH t AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS u FROM conversations WHERE role IN ('user', 'assistant')),
+    "history_window": f"""WITH t0 AS (SELECT conv_id, turn, role, {TURNS} AS text FROM conversations), t AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS u FROM t0 WHERE role IN ('user', 'assistant') AND NOT starts_with(text, '[error]')),
  c AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS c FROM t WHERE u = 1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c),
- m AS (SELECT conv_id, run::BIGINT AS run, role, left(string_agg(text, chr(10) ORDER BY turn), 400) AS text FROM r GROUP BY conv_id, run, role)
+ m AS (SELECT conv_id, run::BIGINT AS run, role, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY conv_id, run, role)
  SELECT conv_id, run, role, md5(text) AS text_md5 FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY run DESC) <= 8""",
+    "history_cut": "SELECT conv_id, turn, md5(left(text, 4000)) AS text_md5 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20",
     "qa_retention": "SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 200) GROUP BY user_id",
     "merge_role_runs": "WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run FROM c) SELECT user_id, run, event_type, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY ALL",
     "line_step_median": "WITH s AS (SELECT l_orderkey, abs(l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice)) AS step FROM lineitem), g AS (SELECT l_orderkey, list_sort(list(step)) AS s FROM s WHERE step BETWEEN 8.5 AND 20 GROUP BY l_orderkey) SELECT l_orderkey, s[len(s) // 2 + 1] AS median_step FROM g",

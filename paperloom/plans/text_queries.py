@@ -147,13 +147,12 @@ def risky_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def char_multiset_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of each benchmark text by the document of the same number, and the document's extra share."""
-    chars = lambda name, key: table(spark, d, name).select(F.col(key).alias("id"), F.explode(F.split(F.lower("text"), "")).alias("c")).filter("c rlike '^[a-z0-9]$'").groupBy("id", "c").agg(F.count("*").alias("n"))
-    own, other = chars("benchmark", "item_id"), chars("documents", "doc_id").withColumnRenamed("n", "m")
-    both = own.join(other.join(own.select("id").distinct(), "id", "left_semi"), ["id", "c"], "full").fillna(0, ["n", "m"])
-    sums = both.groupBy("id").agg(F.sum(F.least("n", "m")).alias("matched"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    """Coverage of each turn's letters and digits by its output, and the output's extra share."""
+    chars = lambda c, n: turns(spark, d).select("conv_id", "turn", F.explode(F.split(F.lower(c), "")).alias("c")).filter("c rlike '^[a-z0-9]$'").groupBy("conv_id", "turn", "c").agg(F.count("*").alias(n))
+    both = chars("text", "n").join(chars("output", "m"), ["conv_id", "turn", "c"], "full").fillna(0, ["n", "m"])
+    sums = both.groupBy("conv_id", "turn").agg(F.sum(F.least("n", "m")).alias("matched"), F.sum("n").alias("n"), F.sum("m").alias("m"))
     cover, extra = F.col("matched") / F.greatest("n", F.lit(1)), (F.col("m") - F.col("matched")) / F.greatest("m", F.lit(1))
-    return sums.select(F.col("id").alias("item_id"), cover.alias("coverage"), extra.alias("extra"), ((cover >= 0.7) & (extra <= 0.3)).alias("accepted"))
+    return sums.select("conv_id", "turn", cover.alias("coverage"), extra.alias("extra"), ((cover >= 0.7) & (extra <= 0.3)).alias("accepted"))
 
 
 def layout_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -170,10 +169,15 @@ def symbol_index(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.min("line_no").alias("first_page"))
 
 
+CONTEXT = 60_000
+
+
 def whole_context(spark: SparkSession, d: str) -> DataFrame:
-    """The texts of a conversation in order, cut at 60,000 characters."""
-    parts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    whole = F.left(F.array_join(F.transform("t", lambda x: F.concat(F.lit("[p"), x["turn"], F.lit("] "), x["text"])), "\n\n"), F.lit(60000))
+    """The texts of a conversation in order, cut at CONTEXT characters; turns that begin beyond it are never gathered."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("[p"), F.col("turn").cast("string"), F.lit("] "), "text").alias("s")).withColumn("before", F.coalesce(F.sum(F.length("s") + 2).over(w), F.lit(0)))
+    parts = rows.filter(F.col("before") < CONTEXT).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("t"))
+    whole = F.left(F.array_join(F.transform("t", lambda x: x["s"]), "\n\n"), F.lit(CONTEXT))
     return parts.select("conv_id", F.length(whole).cast("long").alias("n"), F.md5(whole).alias("context_md5"))
 
 
@@ -233,10 +237,9 @@ ORACLES = {
     "text_similarity": f"WITH {SQL_TURNS} SELECT conv_id, turn, {sql_similarity('turns.text', 'turns.output')} AS similarity FROM turns",
     "risky_terms": rf"""WITH {LINES_SQL}, f AS (SELECT doc_id, line_no, raw, list_distinct([regexp_replace(x, '\s+', '', 'g') for x in regexp_extract_all(line, '(?i)[A-Za-z]*-\s*(?:{T.TERM_SUFFIXES})\b')]) AS terms FROM lines)
  SELECT doc_id, line_no, array_to_string(list_sort(terms), ',') AS terms, len([x for x in terms if NOT contains(lower(raw), lower(x))]) AS missing FROM f WHERE len(terms) > 0""",
-    "char_multiset_gate": """WITH o AS (SELECT id, c, count(*) AS n FROM (SELECT item_id AS id, unnest(string_split(lower(text), '')) AS c FROM benchmark) WHERE regexp_matches(c, '^[a-z0-9]$') GROUP BY ALL),
- e AS (SELECT id, c, count(*) AS m FROM (SELECT doc_id AS id, unnest(string_split(lower(text), '')) AS c FROM documents) WHERE regexp_matches(c, '^[a-z0-9]$') AND id IN (SELECT id FROM o) GROUP BY ALL),
- s AS (SELECT id, sum(least(coalesce(n, 0), coalesce(m, 0))) AS k, sum(coalesce(n, 0)) AS n, sum(coalesce(m, 0)) AS m FROM o FULL JOIN e USING (id, c) GROUP BY id)
- SELECT id AS item_id, (k / greatest(n, 1))::DOUBLE AS coverage, ((m - k) / greatest(m, 1))::DOUBLE AS extra, k / greatest(n, 1) >= 0.7 AND (m - k) / greatest(m, 1) <= 0.3 AS accepted FROM s""",
+    "char_multiset_gate": f"""WITH {SQL_TURNS}, o AS (SELECT conv_id, turn, c, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(lower(text), '')) AS c FROM turns) WHERE regexp_matches(c, '^[a-z0-9]$') GROUP BY ALL), e AS (SELECT conv_id, turn, c, count(*) AS m FROM (SELECT conv_id, turn, unnest(string_split(lower(output), '')) AS c FROM turns) WHERE regexp_matches(c, '^[a-z0-9]$') GROUP BY ALL),
+ s AS (SELECT conv_id, turn, sum(least(coalesce(n, 0), coalesce(m, 0))) AS k, sum(coalesce(n, 0)) AS n, sum(coalesce(m, 0)) AS m FROM o FULL JOIN e USING (conv_id, turn, c) GROUP BY ALL)
+ SELECT conv_id, turn, (k / greatest(n, 1))::DOUBLE AS coverage, ((m - k) / greatest(m, 1))::DOUBLE AS extra, k / greatest(n, 1) >= 0.7 AND (m - k) / greatest(m, 1) <= 0.3 AS accepted FROM s""",
     "layout_counters": rf"""WITH {LINES_SQL} SELECT doc_id, count(*) FILTER (length(line) > 1200) AS huge_body, count(*) FILTER (regexp_matches(line, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS ctrl_glyph,
  count(*) FILTER (regexp_matches(line, '\\[a-zA-Z]{{2,}}')) AS raw_latex, count(*) FILTER (regexp_matches(t, '^[a-z]')) AS lower_start FROM {_T} GROUP BY doc_id""",
     "symbol_index": rf"WITH {LINES_SQL} SELECT symbol, count(*) AS n, min(line_no) AS first_page FROM (SELECT line_no, unnest(regexp_extract_all(line, '[=+∑∈⟦⟧${{}}]|[A-Za-z]_\{{[a-z]\}}')) AS symbol FROM lines) GROUP BY symbol",
