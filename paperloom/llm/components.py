@@ -13,20 +13,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round lets every node point its larger, then its smaller neighbours at the
     least one it knows; distances halve, so rounds grow with the logarithm of the longest path.
+    It ends when a round changes no edge; more than rounds of them raise an error.
+    Edges with a null end and loops are no edges, repeated ones are one; no edges give no rows.
     """
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    n = now.count()
     for _ in range(rounds):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == before or not state[0]:
+        if not n:
             break
-        before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct(), "edges")
+        new = written(small.unionByName(low.withColumnRenamed("m", "v")).filter("u <> v").distinct(), "edges")
+        before, n = n, new.count()
+        # equal numbers of distinct edges and none of them new: the same edges
+        same = n == before and new.join(now, ["u", "v"], "left_anti").isEmpty()
+        now = new
+        if same:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("comp"))
     roots = now.select(F.col("v").alias("u")).distinct().join(stars, "u", "left_anti").withColumn("comp", F.col("u"))
     return stars.unionByName(roots)

@@ -471,32 +471,3 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = Window.partitionBy(i, row).orderBy(F.lit(0))  # repeated rows: one of them
     one = docs.join(twice, same).withColumn(rn, F.row_number().over(order)).filter(f"{rn} = 1").select(*own(docs))
     return docs.join(fate.drop("kept"), same, "left_anti").unionByName(one)
-
-
-def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    """The same by comparing all documents, for tests."""
-    import re
-
-    sets = {}
-    for i, text in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        sets[i] = {tuple(w[a : a + SHINGLE]) for a in range(max(1, len(w) - SHINGLE + 1))} if w else set()
-    top = {i: i for i in sets}
-
-    def root(x: int) -> int:
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    index: dict[tuple, list[int]] = {}
-    for i in sorted(sets):
-        hits: dict[int, int] = {}
-        for t in sets[i]:
-            for j in index.setdefault(t, []):
-                hits[j] = hits.get(j, 0) + 1
-            index[t].append(i)
-        for j, both in hits.items():
-            if PARTS * both >= PART * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((root(i), root(j)))
-                top[b] = a
-    return {i: (len(s), root(i)) for i, s in sets.items()}

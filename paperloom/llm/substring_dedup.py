@@ -286,22 +286,3 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
 def digest(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
-    """The same by a plain scan, for tests."""
-    import re
-
-    seen: set[tuple] = set()
-    out = {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        gone = [False] * len(words)
-        for a in range(len(words) - window + 1):
-            key = tuple(words[a : a + window])
-            if key in seen:
-                gone[a : a + window] = [True] * window
-            seen.add(key)
-        left = [x for x, g in zip(words, gone, strict=True) if not g]
-        out[i] = (len(words), len(words) - len(left), hashlib.sha256(" ".join(left).encode()).hexdigest())
-    return out

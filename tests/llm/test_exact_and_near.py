@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from paperloom.llm import exact_dedup, jaccard_join, queries, substring_dedup
 from paperloom.llm.components import components
-from tests.llm import fixtures
+from tests.llm import brute, fixtures
 
 
 def _op4(rows):
@@ -68,7 +70,7 @@ def test_near_copies_go_by_row_where_ids_are_null_or_shared(spark):
 
 def test_substring_dedup_matches_brute_force(spark):
     got = {r[0]: tuple(r[1:]) for r in substring_dedup.digest(fixtures.frame(spark)).collect()}
-    assert got == substring_dedup.brute_force([r[:2] for r in fixtures.rows()])
+    assert got == brute.substrings([r[:2] for r in fixtures.rows()])
     assert substring_dedup.digest(fixtures.empty(spark)).count() == 0
 
 
@@ -76,7 +78,7 @@ def test_substring_dedup_within_one_document_and_repeated_rows(spark):
     loop = " ".join(f"w{i % 23}" for i in range(200))
     data = [(5, loop, "en", "s", 1, "x"), (5, loop, "en", "s", 1, "x"), (2, "x " + loop[:150], "en", "s", 1, "x")]
     got = {r[0]: tuple(r[1:]) for r in substring_dedup.digest(fixtures.frame(spark, data)).collect()}
-    assert got == substring_dedup.brute_force([(5, loop), (2, "x " + loop[:150])])
+    assert got == brute.substrings([(5, loop), (2, "x " + loop[:150])])
 
 
 def test_substring_dedup_of_null_and_shared_ids(spark):
@@ -86,7 +88,7 @@ def test_substring_dedup_of_null_and_shared_ids(spark):
     texts = [(None, passage + " " + some(300)), (None, passage + " " + some(3)), (None, some(200) + " " + passage), (7, some(50) + " " + passage), (7, passage), (7, passage), (3, some(30)), (9, None), (None, None)]
     df = fixtures.frame(spark, [(i, t, "en", "s", 1, "x") for i, t in texts])
     order = sorted({tuple(x) for x in df.selectExpr("doc_id is null", "doc_id", "xxhash64(text)", "text").collect()}, key=lambda x: (x[0], x[1] or 0, x[2]))
-    want = substring_dedup.brute_force([(k, x[3]) for k, x in enumerate(order)])
+    want = brute.substrings([(k, x[3]) for k, x in enumerate(order)])
     place = {(x[1], x[3]): want[k] for k, x in enumerate(order)}
     got = sorted(map(str, map(tuple, substring_dedup.digest(df).collect())))
     assert got == sorted(str((i, *place[i, t])) for i, t in texts)
@@ -94,7 +96,7 @@ def test_substring_dedup_of_null_and_shared_ids(spark):
 
 def test_jaccard_components_match_brute_force(spark):
     got = {r[0]: tuple(r[1:]) for r in jaccard_join.digest(fixtures.frame(spark)).collect()}
-    assert got == jaccard_join.brute_force([r[:2] for r in fixtures.rows()])
+    assert got == brute.similar([r[:2] for r in fixtures.rows()])
     assert jaccard_join.digest(fixtures.empty(spark)).count() == 0
 
 
@@ -110,7 +112,7 @@ def test_jaccard_with_frequent_tokens_and_large_near_groups(spark, monkeypatch):
             w[r.randrange(len(w))] = r.choice(words)
         text = " ".join(w) if i % 2 else shared + " " + " ".join(r.choice(words) for _ in range(r.randint(5, 60)))
         data.append((i, text, "en", "s", 1, "x"))
-    want = jaccard_join.brute_force([d[:2] for d in data])
+    want = brute.similar([d[:2] for d in data])
     for rare in (2, 3, 64):
         monkeypatch.setattr(jaccard_join, "RARE", rare)
         got = {x[0]: tuple(x[1:]) for x in jaccard_join.digest(fixtures.frame(spark, data)).collect()}
@@ -123,3 +125,8 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 10)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(100, 110), 100)}
+    rows = [(1, None), (None, None), (4, 4), (7, 5), (7, 5)]  # a null is no node, a loop no edge
+    assert {tuple(r) for r in components(spark.createDataFrame(rows, "u long, v long")).collect()} == {(7, 5), (5, 5)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    with pytest.raises(RuntimeError, match="rounds"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), rounds=2)

@@ -10,12 +10,12 @@ import pytest
 
 import corpus_pipeline
 from paperloom.llm import bpe, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding
-from tests.llm import fixtures
+from tests.llm import brute, fixtures
 
 
 def test_lm_counts_and_base_match_brute_force(spark):
     got = {r["doc_id"]: r for r in context_mixing.score(fixtures.frame(spark)).collect()}
-    want = context_mixing.brute_force([r[:2] for r in fixtures.rows()])
+    want = brute.base_scores([r[:2] for r in fixtures.rows()])
     assert set(got) == set(want)
     for i, w in want.items():
         r = got[i]
@@ -25,6 +25,35 @@ def test_lm_counts_and_base_match_brute_force(spark):
     assert context_mixing.score(fixtures.empty(spark)).count() == 0
 
 
+def test_lm_scores_match_a_scan_with_the_same_bit_model(spark, monkeypatch):
+    """Words, counts, Good-Turing shares and the mixture over classes by plain Python; the spelling of words by the model that was fitted."""
+    kept = {}
+    fit = context_mixing.fitted
+    monkeypatch.setattr(context_mixing, "fitted", lambda *a: kept.setdefault("model", fit(*a)))
+    got = {r["doc_id"]: r for r in context_mixing.score(fixtures.frame(spark)).collect()}
+    rows = [(r[0], r[1], r[2] or "") for r in fixtures.rows()]
+    cut = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode()), b" "] for i, t, _ in rows}
+    train = [(i, c) for i, _, c in rows if not brute.held(i)]
+    classes = sorted(Counter(c for _, c in train).items(), key=lambda x: (-x[1], x[0]))[: context_mixing.CLASSES]
+    names = {c: k for k, (c, _) in enumerate(classes)}
+    docs = [*(n for _, n in classes), len(train) - sum(n for _, n in classes)]
+    by = [Counter() for _ in docs]
+    for i, c in train:
+        by[names.get(c, len(classes))].update(cut[i])
+    every = sum(by, Counter())
+    words = sorted({w for ws in cut.values() for w in ws})
+    spelt = dict(zip(words, 10 ** np.maximum(context_mixing.spelling(kept["model"], pa.array(words, pa.binary())), -300), strict=True))
+    share = lambda c: 1 - max(sum(n == 1 for n in c.values()), 1) / (sum(c.values()) + 1) if c else 0.0
+    whole = {w: share(every) * every[w] / sum(every.values()) + (1 - share(every)) * spelt[w] for w in words}
+    for i, ws in cut.items():
+        of = [math.log10((n + 1) / (len(train) + len(docs))) + sum(math.log10(share(c) * c[w] / max(sum(c.values()), 1) + (1 - share(c)) * whole[w]) for w in ws) for c, n in zip(by, docs, strict=True)]
+        want = max(of) + math.log10(sum(10 ** (x - max(of)) for x in of))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-5)
+        assert got[i]["n_bytes"] == len((dict((r[0], r[1]) for r in rows)[i] or "").encode())
+        assert got[i]["total_bits"] == pytest.approx(-got[i]["score"] / math.log10(2))
+        assert got[i]["bits_per_byte"] == pytest.approx(got[i]["total_bits"] / max(1, got[i]["n_bytes"]))
+
+
 def test_lm_null_ids_and_repeated_rows(spark):
     data = [(None, "a b", "en", "s", 1, "x"), (1, "a b c", "en", "s", 1, "x"), (1, "a b c", "en", "s", 1, "x")]
     got = context_mixing.score(fixtures.frame(spark, data)).collect()
@@ -36,9 +65,9 @@ def test_lm_spelling_is_a_distribution():
     """Of all one- and two-letter words over few letters, the probabilities add up to less than 1, and to most of it after learning just these."""
     words = [bytes([a, *b]) for a in b"abcd" for b in ([], *([x] for x in b"abcd"))]
     batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], names=["word"])
-    counts = np.zeros((2, len(context_mixing.ORDERS) * context_mixing.TABLE), np.int32)
-    step = counts.shape[1] // context_mixing.SEGMENTS
-    for out in context_mixing.tables(iter([batch])):
+    counts = np.zeros((2, len(context_mixing.ORDERS) << 16), np.int32)
+    step = counts.shape[1] // 8
+    for out in context_mixing.tables(1 << 16, 8)(iter([batch])):
         for i, c in zip(out["segment"].to_pylist(), out["counts"].to_pylist(), strict=True):
             counts[:, i * step : (i + 1) * step] = context_mixing.widen(zlib.decompress(c)).reshape(2, step)
     model = (counts, np.full((context_mixing.GATES, len(context_mixing.ORDERS)), 0.6), context_mixing.squash(np.tile(np.linspace(-12, 12, context_mixing.MAP_STEPS), 8 * 256)))
@@ -226,7 +255,7 @@ def test_pipeline_stages_on_their_own_input(spark, tmp_path):
         if name == "exact_dedup":
             assert ids == Counter(r["doc_id"] for r in exact_dedup.drop_copies(before).collect())
         if name == "jaccard_join":
-            want = jaccard_join.brute_force([(r["doc_id"], r["text"]) for r in before.collect()])
+            want = brute.similar([(r["doc_id"], r["text"]) for r in before.collect()])
             assert ids == Counter(i for i, (_, c) in want.items() if i == c)
         if name == "bpe":
             assert ids == was
