@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import glyphs
 from paperloom.functions.sentences import sentences
-from paperloom.operators import layout
-from paperloom.sources.tables import lines, table
+from paperloom.operators import formula, layout
+from paperloom.sources.tables import LINES_SQL, lines, table
 from paperloom.streaming import events
 
 #: Lines of a page: 40, in two columns on odd pages.
@@ -42,6 +42,23 @@ def page_solver(spark: SparkSession, d: str) -> DataFrame:
     return layout.solve_pages(text_items(spark, d))
 
 
+FORMULA = """CASE event_id % 5
+ WHEN 0 THEN array(named_struct('text', 'y', 'x', 100D, 'y', 500D, 'w', 6D, 'h', 10D, 'role', 'math-italic', 'bold', false), named_struct('text', '=', 'x', 110D, 'y', 500D, 'w', 7D, 'h', 10D, 'role', 'body-serif', 'bold', false),
+  named_struct('text', cast(user_id % 10 AS string), 'x', 123D, 'y', 507D, 'w', 5D, 'h', 8D, 'role', 'body-serif', 'bold', false), named_struct('text', cast(event_id % 7 AS string), 'x', 123D, 'y', 493D, 'w', 5D, 'h', 8D, 'role', 'body-serif', 'bold', false))
+ WHEN 1 THEN array(named_struct('text', '√', 'x', 150D, 'y', 496D, 'w', 8D, 'h', 12D, 'role', 'math-symbol', 'bold', false), named_struct('text', chr(97 + user_id % 26), 'x', 158D, 'y', 500D, 'w', 6D, 'h', 10D, 'role', 'math-italic', 'bold', event_id % 2 = 0), named_struct('text', 'k', 'x', 164.5D, 'y', 497D, 'w', 4.5D, 'h', 7D, 'role', 'math-italic', 'bold', false))
+ WHEN 2 THEN array(named_struct('text', '∑', 'x', 180D, 'y', 495D, 'w', 14D, 'h', 18D, 'role', 'math-ext', 'bold', false), named_struct('text', 'i', 'x', 184D, 'y', 486D, 'w', 3.5D, 'h', 7D, 'role', 'math-italic', 'bold', false), named_struct('text', 'N', 'x', 184D, 'y', 515D, 'w', 6D, 'h', 7D, 'role', 'math-italic', 'bold', false),
+  named_struct('text', 'x', 'x', 198D, 'y', 500D, 'w', 6D, 'h', 10D, 'role', 'math-italic', 'bold', false), named_struct('text', '(' || (user_id % 90 + 1) || ')', 'x', 510D, 'y', 500D, 'w', 14D, 'h', 10D, 'role', 'body-serif', 'bold', false))
+ WHEN 3 THEN array(named_struct('text', 'X', 'x', 126D, 'y', 500D, 'w', 8D, 'h', 10D, 'role', 'math-italic', 'bold', false), named_struct('text', cast(user_id % 100 AS string), 'x', 134.5D, 'y', 497D, 'w', 6D, 'h', 7D, 'role', 'body-serif', 'bold', false), named_struct('text', 't', 'x', 134.5D, 'y', 505D, 'w', 3.5D, 'h', 7D, 'role', 'math-italic', 'bold', false))
+ ELSE array(named_struct('text', 'where', 'x', 72D, 'y', 500D, 'w', 30D, 'h', 10D, 'role', 'body-serif', 'bold', false), named_struct('text', 'the', 'x', 110D, 'y', 500D, 'w', 20D, 'h', 10D, 'role', 'body-serif', 'bold', false), named_struct('text', 'loss', 'x', 140D, 'y', 500D, 'w', 20D, 'h', 10D, 'role', 'body-serif', 'bold', false)) END"""
+BARS = "CASE event_id % 5 WHEN 0 THEN array(named_struct('x1', 122D, 'x2', 129D, 'y', 503.5D)) WHEN 1 THEN array(named_struct('x1', 158D, 'x2', 170D, 'y', 509.5D)) END"
+
+
+def math_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    """LaTeX, numbers and verdicts of formulas from their glyphs' places: fractions, roots, sums with limits, scripts, and prose."""
+    rows = table(spark, d, "events").select("event_id", F.expr(FORMULA).alias("glyphs"), F.expr(BARS).alias("bars"), F.lit(72.0).alias("col_left"), F.lit(540.0).alias("col_right"))
+    return formula.formulas(rows, {"event_id": "long"}).select("event_id", "latex", "tag", "display")
+
+
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return sentences(lines(spark, d), ["doc_id", "line_no"], "line")
 
@@ -75,8 +92,16 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, sentence_split, inline_math_tokens, font_roles, decoded_glyphs, stream_dedupe, stream_windows, stream_sessions)}
+QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, decoded_glyphs, stream_dedupe, stream_windows, stream_sessions)}
 ORACLES = {
+    "math_reconstruct": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'y = \frac{' || user_id % 10 || '}{' || event_id % 7 || '}' WHEN 1 THEN '\sqrt{' || CASE WHEN event_id % 2 = 0 THEN '\mathbf{' || chr((97 + user_id % 26)::INT) || '}' ELSE chr((97 + user_id % 26)::INT) END || '_{k}}' WHEN 2 THEN '\sum_{i}^{N} x' WHEN 3 THEN 'X_{' || user_id % 100 || '}^{t}' ELSE '\mathrm{where} \mathrm{the} \mathrm{loss}' END AS latex,
+ CASE WHEN event_id % 5 = 2 THEN '(' || (user_id % 90 + 1) || ')' ELSE '' END AS tag, event_id % 5 <> 4 AS display FROM events""",
+    "page_lines": rf"""WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, unnest(range(greatest(0, (length(raw) - 1) // 40) + 1)) AS part, raw FROM lines), i AS (SELECT doc_id AS paper_id, trim(substring(raw, part * 40 + 1, 40)) AS t, length(substring(raw, part * 40 + 1, 40)) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS seq FROM p WHERE trim(substring(raw, part * 40 + 1, 40)) <> ''),
+ a AS (SELECT *, seq // 40 AS page, seq % 40 AS pos FROM i), b AS (SELECT *, page % 2 = 1 AND pos >= 20 AS right_, CASE WHEN page % 2 = 1 THEN pos % 20 ELSE pos END AS row_ FROM a), r AS (SELECT paper_id, page, row_, max(n) FILTER (NOT right_) AS l, max(n) FILTER (right_) AS k FROM b GROUP BY ALL),
+ v AS (SELECT paper_id, page, count(*) FILTER (l >= 15 AND k >= 16) AS dual, count(*) FILTER (k IS NULL AND l >= 15 AND 72 + 5 * l < 0.62 * 612) AS one FROM r GROUP BY ALL), m AS (SELECT *, dual >= 3 OR (dual >= 2 AND one >= 2) AS two FROM v),
+ j AS (SELECT b.*, two, r.k IS NOT NULL AS both_, r.l FROM b JOIN m USING (paper_id, page) JOIN r USING (paper_id, page, row_)), lead_ AS (SELECT paper_id, page, row_, bool_or(NOT two AND NOT right_ AND both_ AND regexp_matches(t, '(?i)^(?:where|with|for|and)\b') AND 248 - 5 * l >= 20) AS cut FROM j GROUP BY ALL),
+ z AS (SELECT j.paper_id, j.page, j.row_, CASE WHEN two THEN CASE WHEN right_ THEN 'right' ELSE 'left' END ELSE 'full' END AS section, CASE WHEN two OR cut THEN right_::INT ELSE 0 END AS side, string_agg(t, ' ' ORDER BY right_) AS text FROM j JOIN lead_ l ON l.paper_id = j.paper_id AND l.page = j.page AND l.row_ = j.row_ GROUP BY ALL)
+ SELECT paper_id, page::INT AS page, (row_number() OVER (PARTITION BY paper_id, page ORDER BY CASE WHEN section = 'full' THEN 0 ELSE side END, row_, side) - 1)::INT AS line_no, section, md5(text) AS text_md5 FROM z""",
     "body_sizes": """WITH s AS (SELECT l_suppkey AS paper_id, l_linenumber AS page, l_orderkey AS i, floor(l_quantity)::BIGINT AS n, 5 + l_discount * 100 + l_tax * 10 AS h FROM lineitem),
  g AS (SELECT paper_id, page, floor(h * 2 + 0.5) / 2 AS mode, sum(n) AS w, min(i) AS f FROM s WHERE n >= 3 AND h BETWEEN 6 AND 18 GROUP BY ALL)
  SELECT paper_id, page, greatest(7.0, least(14.0, mode))::DOUBLE AS body FROM g QUALIFY row_number() OVER (PARTITION BY paper_id, page ORDER BY w DESC, f) = 1""",
