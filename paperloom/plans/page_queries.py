@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import glyphs
 from paperloom.functions.sentences import sentences
 from paperloom.operators import formula, layout
+from paperloom.session import shared_dir, written
 from paperloom.sources.tables import LINES_SQL, lines, table
 from paperloom.streaming import events
 
@@ -78,21 +81,61 @@ def decoded_glyphs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", glyphs.decoded("raw", glyphs.font_role(F.col("font"))).alias("g")).select("event_id", "g.text", "g.latex")
 
 
+PARTS = 4
+
+
+def staged(spark: SparkSession, rows: DataFrame, order: str) -> str:
+    """A folder of PARTS files of rows (with ts) by time and a last one that closes all windows; written one after another, as a stream reads the oldest first."""
+    folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    parts = rows.withColumn("_part", F.ntile(PARTS).over(Window.orderBy("ts", order)))  # fixtures for streams, not part of them
+    parts = written(parts, "parts")
+    for n in range(1, PARTS + 1):
+        parts.filter(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    last = parts.agg(F.max("ts").alias("m")).select((F.col("m") + F.expr("INTERVAL 10 YEAR")).alias("ts"))
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "ts"}
+    last.select(*(F.col("ts") if c == "ts" else empty[c] for c in rows.columns)).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return events.source(spark, staged(spark, table(spark, d, "events"), "event_id"))
+
+
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return events.run(events.deduplicated(events.source(spark, d), ["user_id", "event_type"]))
+    """Events that are sent twice, ten minutes apart: one of each."""
+    rows = table(spark, d, "events")
+    twice = rows.unionByName(rows.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTE")))
+    stream = events.source(spark, staged(spark, twice, "event_id")).filter("event_id is not null")
+    return events.run(events.deduplicated(stream, ["event_id"])).groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = events.run(events.windows(events.source(spark, d), "1 hour"), "complete")
+    rows = events.run(events.windows(_stream(spark, d), "1 hour")).filter("event_type is not null")
     return rows.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    rows = events.run(events.sessions(events.source(spark, d), "30 minutes"), "complete")
+    rows = events.run(events.sessions(_stream(spark, d), "30 minutes")).filter("user_id is not null")
     return rows.select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
 
 
-QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, decoded_glyphs, stream_dedupe, stream_windows, stream_sessions)}
+def stream_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of replies by user until nothing came for an hour: their text, number and first time."""
+    rows = _stream(spark, d).withColumn("piece", F.expr("CASE WHEN event_id % 4 = 0 THEN '' ELSE left(event_type, 3) END"))
+    out = events.run(events.replies(rows, "user_id", "piece", "event_id", "1 hour")).filter("user_id is not null")
+    return out.select("user_id", F.unix_micros("session_window.start").alias("start"), F.md5("text").alias("text_md5"), "n_pieces", F.unix_micros("first_ts").alias("first"))
+
+
+def stream_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The context of each conversation after its last batch."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", (F.timestamp_seconds(F.col("turn") * 60)).cast("timestamp_ntz").alias("ts"))
+    stream = events.source(spark, staged(spark, rows, "conv_id"), "conv_id long, turn long, role string, text string, ts timestamp_ntz").filter("conv_id is not null")
+    got = events.run(events.conversations(stream.drop("ts")), "update")
+    last = got.groupBy("conv_id").agg(F.max_by(F.struct("n_turns", "context"), "batch").alias("s"))
+    return last.select("conv_id", "s.n_turns", F.md5("s.context").alias("context_md5"))
+
+
+QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, decoded_glyphs, stream_dedupe, stream_windows, stream_sessions, stream_replies, stream_conversations)}
 ORACLES = {
     "math_reconstruct": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'y = \frac{' || user_id % 10 || '}{' || event_id % 7 || '}' WHEN 1 THEN '\sqrt{' || CASE WHEN event_id % 2 = 0 THEN '\mathbf{' || chr((97 + user_id % 26)::INT) || '}' ELSE chr((97 + user_id % 26)::INT) END || '_{k}}' WHEN 2 THEN '\sum_{i}^{N} x' WHEN 3 THEN 'X_{' || user_id % 100 || '}^{t}' ELSE '\mathrm{where} \mathrm{the} \mathrm{loss}' END AS latex,
  CASE WHEN event_id % 5 = 2 THEN '(' || (user_id % 90 + 1) || ')' ELSE '' END AS tag, event_id % 5 <> 4 AS display FROM events""",
@@ -106,8 +149,11 @@ ORACLES = {
  g AS (SELECT paper_id, page, floor(h * 2 + 0.5) / 2 AS mode, sum(n) AS w, min(i) AS f FROM s WHERE n >= 3 AND h BETWEEN 6 AND 18 GROUP BY ALL)
  SELECT paper_id, page, greatest(7.0, least(14.0, mode))::DOUBLE AS body FROM g QUALIFY row_number() OVER (PARTITION BY paper_id, page ORDER BY w DESC, f) = 1""",
     "font_roles": "SELECT (['body-serif', 'math-italic', 'math-symbol', 'math-ext', 'math-bb', 'cjk', 'body-serif', 'body-sans', 'mono', 'math-frak', 'unknown'])[event_id % 11 + 1] AS role, count(*) AS n FROM events GROUP BY 1",
-    "stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_dedupe": "SELECT event_type, user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL",
     "stream_windows": "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": """WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b)
  SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
+    "stream_replies": """WITH b AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN '' ELSE left(event_type, 3) END AS piece, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b)
+ SELECT user_id, epoch_us(min(ts)) AS start, md5(coalesce(string_agg(piece, '' ORDER BY event_id) FILTER (piece <> ''), '')) AS text_md5, count(*) FILTER (piece <> '') AS n_pieces, epoch_us(min(ts) FILTER (piece <> '')) AS first FROM s GROUP BY user_id, s""",
+    "stream_conversations": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || left(text, 4000), chr(10) ORDER BY turn) FILTER (r <= 20)) AS context_md5 FROM t GROUP BY conv_id",
 }
