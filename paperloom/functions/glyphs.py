@@ -11,23 +11,38 @@ from pyspark.sql import types as T
 
 # Font families of each role, in the order in which they are tried; ^ marks the beginning of a name.
 ROLES = {
-    "math-ext": "^(?:CMEX|LMEX|LMMATHEXTENSION|EUEX|MTEX|TXEX|PXEX|STIXSIZE)",
+    "math-ext": "^(?:CMEX|LMEX|LMMATHEXTENSION|EUEX|MTEX|TXEX|PXEX|STIXSIZE|MATHDESIGN.*EX)",
     "math-bb": "^(?:MSBM|BBOLD|BBM|DSROM|EUSB)",
-    "math-cal": "^(?:EUSM|RSFS)",
+    "math-cal": "^(?:EUSM|RSFS|CMSY.*CAL)",
     "math-frak": "^(?:EUFM|EUFB)",
-    "math-symbol": "^(?:CMSY|CMBSY|MSAM|LMSY|LMMATHSYMBOLS|MTSYN|TXSY|PXSY|SYMBOL)|CAMBRIAMATH|STIXMATH|XITSMATH",
-    "math-italic": "^(?:CMMI|LMMI|MTMI|EURM|EUBM|TXMI|PXMI)",
-    "cjk": "SIMSUN|SIMHEI|KAITI|FANGSONG|SONGTI|HEITI|YAHEI|SOURCEHAN|NOTO.*CJK|FANDOL|STSONG|MINGLIU|MINCHO",
-    "mono": "^(?:CMTT|LMTT|ECTT)|COURIER|CONSOLAS|INCONSOLATA|MENLO|MONACO",
-    "body-sans": "^(?:CMSS|LMSS|ECSS)|ARIAL|HELVETICA|CALIBRI|ROBOTO|NIMBUSSAN",
-    "body-serif": "^(?:CMR|CMTI|CMBX|CMSL|LMR|ECTI|ECRM|ECBX)|TIMES|NIMBUSROM|PALATINO|GARAMOND|GEORGIA",
+    "math-symbol": r"^(?:CMSY|CMBSY|MSAM|LMSY|LMMATHSYMBOLS|MTSYN|TXSY|PXSY|SYMBOL|STANDARD\s*SYMBOLS)|CAMBRIAMATH|STIXMATH|XITSMATH|ASANA-MATH|LATINMODERN-MATH|TEXGYRE.*MATH",
+    "math-italic": "^(?:CMMI|LMMI|LMMATHITALIC|MTMI|EURM|EUBM|TXMI|PXMI)",
+    "cjk": "SIMSUN|SIMHEI|KAITI|FANGSONG|SONGTI|HEITI|YAHEI|SOURCEHAN|NOTO.*CJK|NOTO.*SC|FANDOL|STSONG|STHEITI|DFKAI|MINGLIU|GOTHIC|MINCHO|^FZ",
+    "mono": r"^(?:CMTT|LMTT|ECTT)|COURIER|CONSOLAS|INCONSOLATA|MENLO|MONACO|FIRA\s*CODE|JETBRAINS\s*MONO|MONOSPACE",
+    "body-sans": r"^(?:CMSS|LMSS|ECSS)|ARIAL|HELVETICA|CALIBRI|ROBOTO|NIMBUSSAN|UNIVERS|FRUTIGER|GILL\s*SANS|VERDANA|TAHOMA",
+    "body-serif": "^(?:CMR|CMTI|CMBX|CMSL|LMR|ECTI|ECRM|ECBX)|TIMES|NIMBUSROM|PALATINO|GARAMOND|GEORGIA|CHARTER|UTOPIA|MINION|CENTURY|BOOKMAN|BASKERVILLE",
 }
+# Parts of names of bold and of italic fonts, and roles that are upright or italic whatever the name says.
+BOLD = "BOLD|CMBX|CMMIB|CMBSY|BX|BD|HEAVY|BLACK|-B(?![A-Z0-9_])"
+ITALIC = "ITALIC|OBLIQUE|SLANT|CMMI|CMTI|CMSL|MTMI|EURM|-IT(?![A-Z0-9_])"
+UPRIGHT, SLANTED = ("math-ext", "math-bb", "math-frak"), ("math-cal", "math-italic")
+MATH_ROLES = ("math-italic", "math-symbol", "math-ext", "math-bb", "math-cal", "math-frak")
 # Characters at successive slots of the TeX and Symbol encodings.
 MATH_ITALIC_SLOTS = "ΓΔΘΛΞΠΣΥΦΨΩαβγδϵζηθικλμνξπρστυϕχψωεϑϖϱςφ"
 SYMBOL_SLOTS = "−⋅×∗÷⋄±∓⊕⊖⊗⊘⊙◯∘∙≍≡⊆⊇≤≥≼≽∼≈⊂⊃≪≫≺≻←→↑↓↔↗↘≃⇐⇒⇑⇓⇔↖↙∝′∞∈∋△▽"
-EXTENSION_SUMS = {0x50: "∑", 0x51: "∏", 0x52: "∫", 0x53: "⋃", 0x54: "⋂", 0x58: "∑", 0x59: "∏", 0x5A: "∫", 0x70: "√"}
+ROMAN_SLOTS = ("Γ", "Δ", "Θ", "Λ", "Ξ", "Π", "Σ", "Υ", "Φ", "Ψ", "Ω", "ff", "fi", "fl", "ffi", "ffl", "ı", "ȷ", "`", "´", "ˇ", "˘", "¯", "˚", "¸", "ß", "æ", "œ", "ø", "Æ", "Œ", "Ø")
+#: Delimiters in the slots of the extension font: all sixteen small, then larger ones, some twice.
+DELIMITERS = "()[]⌊⌋⌈⌉{}⟨⟩|∥/\\" + "()" + "()[]⌊⌋⌈⌉{}⟨⟩/\\" + "()[]⌊⌋⌈⌉{}⟨⟩/\\"
+#: Pieces that tall delimiters are put together from, which mean nothing by themselves.
+PIECES = range(0x30, 0x44)
+#: From slot 0x46 on: two sizes side by side, then all text sizes and all display sizes.
+LARGE_PAIRS, LARGE_TEXT = "⨆∮⨀⨁⨂", "∑∏∫⋃⋂⨄⋀⋁"
+EXTENSION = dict(enumerate(DELIMITERS)) | {0x46 + i: LARGE_PAIRS[i // 2] for i in range(10)} | {0x50 + i: LARGE_TEXT[i % 8] for i in range(16)} | {0x60: "∐", 0x61: "∐"} | dict(zip(range(0x68, 0x70), "[]⌊⌋⌈⌉{}", strict=True)) | dict.fromkeys(range(0x70, 0x75), "√")
+TALL = frozenset(DELIMITERS)
 ADOBE_GREEK = dict(zip("ABGDEZHQIKLMNXOPRSTUFCYWabgdezhqiklmnxoprstufcyw", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩαβγδεζηθικλμνξοπρστυφχψω", strict=True))
 ADOBE_SIGNS = {0xB6: "∂", 0xCE: "∈", 0xD1: "∇", 0xD5: "∏", 0xE5: "∑", 0xF2: "∫", 0xA3: "≤", 0xB3: "≥", 0xB9: "≠", 0xBB: "≈", 0xA5: "∞", 0xB1: "±", 0xB4: "×", 0xD6: "√"}
+#: Commands for styled letters, by words of their Unicode names; italic letters are plain in mathematics.
+STYLES = (("BOLD ITALIC", "boldsymbol"), ("DOUBLE-STRUCK", "mathbb"), ("SCRIPT", "mathcal"), ("FRAKTUR", "mathfrak"), ("BOLD", "mathbf"))
 # LaTeX names that differ from the character's Unicode name.
 COMMANDS = {"∑": "sum", "∏": "prod", "∫": "int", "√": "sqrt", "∈": "in", "∋": "ni", "≤": "leq", "≥": "geq", "≠": "neq", "≈": "approx", "∞": "infty", "∂": "partial", "∇": "nabla", "×": "times", "⋅": "cdot", "±": "pm", "∓": "mp", "→": "rightarrow", "←": "leftarrow", "⊂": "subset", "⊆": "subseteq", "∪": "cup", "∩": "cap", "∝": "propto", "∼": "sim", "≡": "equiv", "ε": "varepsilon", "ϵ": "epsilon", "φ": "varphi", "ϕ": "phi", "ϑ": "vartheta"}
 DECODED = T.StructType().add("text", "string").add("latex", "string")
@@ -46,6 +61,38 @@ def font_role(name: Column) -> Column:
     return out.otherwise("unknown")
 
 
+def font(name: Column) -> Column:
+    """struct(role, italic, bold) of a font's name."""
+    up, role = F.upper(without_subset(name)), font_role(name)
+    italic = F.when(role.isin(*UPRIGHT), F.lit(False)).when(role.isin(*SLANTED), F.lit(True)).otherwise(up.rlike(ITALIC))
+    return F.struct(role.alias("role"), italic.alias("italic"), up.rlike(BOLD).alias("bold"))
+
+
+def math_flags(text: Column, face: Column, name: Column, dominant: Column) -> Column:
+    """struct(font, token): set in a mathematical font, or as a short italic variable of another font than the page's; and whether it counts as mathematics."""
+    short = face["italic"] & (without_subset(name) != dominant) & F.trim(text).rlike("^[A-Za-z](?:[0-9]|'[0-9]?)?$")
+    of_font = face["role"].isin(*MATH_ROLES) | short
+    return F.struct(of_font.alias("font"), (of_font | F.trim(text).rlike("^[=+\\-−×÷±∓≤≥≠≈≡∼∝∈∉⊂⊃⊆⊇∪∩⊕⊗⊥⊤∥∑∏∫√∂∇]+$")).alias("token"))
+
+
+def parts(text: Column, role: Column) -> Column:
+    """array<struct<str, at, share>>: the parts of an item that are glyphs of their own, where each begins and its share of the width.
+
+    Delimiters set in one string, and an operator's name after a sign; anything else is one part.
+    """
+    t = F.coalesce(text, F.lit(""))
+    operator = r"(?i)^([^A-Za-z0-9_]*(?:[=()\[\],;:]\s*|\s+))(max|min|argmin|argmax|sup|inf|lim)(?![A-Za-z0-9_])(.*)$"
+    delimiters = (role == "math-ext") | ((role == "math-symbol") & F.trim(t).rlike("^[()\\[\\]|{}⟨⟩⌊⌋⌈⌉]+$"))
+    worded = t.rlike(operator) & role.isin("body-serif", "math-symbol", "unknown")
+    cut = (
+        F.when((F.length(t) > 1) & delimiters, F.filter(F.split(t, ""), lambda c: c != ""))
+        .when(worded, F.filter(F.array(*(F.regexp_extract(t, operator, i) for i in (1, 2, 3))), lambda c: c != ""))
+        .otherwise(F.array(t))
+    )
+    one = lambda c, i: F.struct(c.alias("str"), F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("at"), (F.length(c) / F.greatest(F.length(t), F.lit(1))).alias("share"))
+    return F.transform(cut, one)
+
+
 def command(c: str) -> str:
     """The LaTeX of one character."""
     if c in COMMANDS:
@@ -60,32 +107,53 @@ def command(c: str) -> str:
     return c
 
 
+def styled(c: str) -> tuple[str, str]:
+    """Base character and LaTeX of a mathematical alphanumeric."""
+    base, name = unicodedata.normalize("NFKC", c), unicodedata.name(c, "")
+    plain = command(base)
+    style = next((s for words, s in STYLES if words in name), None)
+    return base, f"\\{style}{{{base}}}" if style and plain == base else plain
+
+
+def character(c: str, role: str) -> tuple[str, str]:
+    """Text and LaTeX of a character in a font of the role."""
+    code = ord(c)
+    text = None
+    if 0xF000 <= code <= 0xF0FF:  # symbol fonts in the private area
+        low = code - 0xF000
+        text = ADOBE_SIGNS.get(low) or ADOBE_GREEK.get(chr(low), chr(low))
+    elif 0x1D400 <= code <= 0x1D7FF:
+        return styled(c)
+    elif 0xFB00 <= code <= 0xFB06:  # ligatures
+        text = unicodedata.normalize("NFKC", c)
+        return text, text
+    elif role == "math-ext":
+        text = "" if code in PIECES else EXTENSION.get(code)
+    elif role == "math-symbol" and code < len(SYMBOL_SLOTS):
+        text = SYMBOL_SLOTS[code]
+    elif role == "math-italic" and code < len(MATH_ITALIC_SLOTS):
+        text = MATH_ITALIC_SLOTS[code]
+    elif role == "math-bb" and c in DOUBLE_STRUCK:
+        text = DOUBLE_STRUCK[c]
+    elif role in ("math-cal", "math-frak") and c.isascii() and c.isalpha():
+        return c, f"\\{'mathcal' if role == 'math-cal' else 'mathfrak'}{{{c}}}"
+    elif role == "body-serif" and code < len(ROMAN_SLOTS) and c not in "\t\n\r":
+        text = ROMAN_SLOTS[code]
+    if text is None:
+        text = "" if code < 32 and c not in "\t\n\r" else c
+    mathematical = role in MATH_ROLES or (0xF000 <= code <= 0xF0FF)
+    return text, "".join(map(command, text)) if mathematical else text
+
+
 def decode(raw: str, role: str) -> tuple[str, str]:
     """Text and LaTeX of a string in a font of the role."""
-    text = []
-    for c in raw:
-        code = ord(c)
-        if 0xF000 <= code <= 0xF0FF:  # symbol fonts in the private area
-            low = code - 0xF000
-            text.append(ADOBE_SIGNS.get(low) or ADOBE_GREEK.get(chr(low), chr(low)))
-        elif role == "math-ext" and code in EXTENSION_SUMS:
-            text.append(EXTENSION_SUMS[code])
-        elif role == "math-symbol" and code < len(SYMBOL_SLOTS):
-            text.append(SYMBOL_SLOTS[code])
-        elif role == "math-italic" and code < len(MATH_ITALIC_SLOTS):
-            text.append(MATH_ITALIC_SLOTS[code])
-        elif role == "math-bb" and c in DOUBLE_STRUCK:
-            text.append(DOUBLE_STRUCK[c])
-        elif 0x1D400 <= code <= 0x1D7FF or 0xFB00 <= code <= 0xFB06:  # styled letters and ligatures
-            text.append(unicodedata.normalize("NFKC", c))
-        elif code < 32 and c not in "\t\n\r":
-            continue
-        else:
-            text.append(c)
-    joined = "".join(text)
-    return joined, joined if role.startswith("body") or role in ("cjk", "mono", "unknown") else "".join(map(command, joined))
+    both = [character(c, role) for c in raw]
+    return "".join(t for t, _ in both), "".join(x for _, x in both)
 
 
 @F.pandas_udf(DECODED)
 def decoded(raw: pd.Series, role: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode(r or "", f or "unknown") for r, f in zip(raw, role, strict=True)], columns=["text", "latex"])
+    """Each distinct pair of a string and a role in a batch is decoded once."""
+    pairs = list(zip(raw.fillna(""), role.fillna("unknown"), strict=True))
+    known = {p: decode(*p) for p in set(pairs)}
+    return pd.DataFrame([known[p] for p in pairs], columns=["text", "latex"])

@@ -76,9 +76,41 @@ def font_roles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(glyphs.font_role(F.expr(names)).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
 
 
+#: Fonts with what their names say.
+FONTS = {
+    "CMR10": ("body-serif", False, False), "QZLXPR+CMMIB10": ("math-italic", True, True), "CMSY10": ("math-symbol", False, False), "CMEX10": ("math-ext", False, False), "MSBM10": ("math-bb", False, False), "RSFS10": ("math-cal", True, False),
+    "EUFB10": ("math-frak", False, False), "Times-BoldItalic": ("body-serif", True, True), "Arial-Black": ("body-sans", False, True), "Courier-Oblique": ("mono", True, False), "SimSun": ("cjk", False, False), "XITSMath-Bold": ("math-symbol", False, True),
+    "Georgia-It": ("body-serif", True, False), "Odd-B": ("unknown", False, True), "CMTI8": ("body-serif", True, False), "Verdana": ("body-sans", False, False),
+}
+NAMES = ", ".join(f"'{n}'" for n in FONTS)
+
+
+def font_families(spark: SparkSession, d: str) -> DataFrame:
+    """Role, slant and weight of fonts, and which short italic texts count as mathematics."""
+    rows = table(spark, d, "events").select("event_id", F.expr(f"element_at(array({NAMES}), int(event_id % {len(FONTS)}) + 1)").alias("name"), F.expr("CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN '=' WHEN 2 THEN 'word' ELSE ' y1 ' END").alias("text"))
+    face = glyphs.font(F.col("name"))
+    m = glyphs.math_flags(F.col("text"), face, F.col("name"), F.lit("CMR10"))
+    return rows.select("event_id", face["role"].alias("role"), face["italic"].alias("italic"), face["bold"].alias("bold"), m["font"].alias("math_font"), m["token"].alias("math_token"))
+
+
+CODES = 0x75
+FACES = ("math-italic", "math-symbol", "math-ext", "body-serif", "math-bb", "math-cal")
+
+
 def decoded_glyphs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").selectExpr("event_id", "chr(int(event_id % 40)) || 'x' AS raw", "element_at(array('CMMI10', 'CMSY10', 'CMEX10', 'CMR10'), int(event_id % 4) + 1) AS font")
-    return rows.select("event_id", glyphs.decoded("raw", glyphs.font_role(F.col("font"))).alias("g")).select("event_id", "g.text", "g.latex")
+    """Text and LaTeX of characters at all slots of fonts of several roles, and of styled letters."""
+    rows = table(spark, d, "events").selectExpr("event_id", f"CASE WHEN event_id % 10 = 9 THEN substring('𝐀𝑏𝒞𝔇𝔼𝛼𝟎ﬃ', int(event_id div 10 % 8) + 1, 1) ELSE chr(int(event_id % {CODES})) END AS raw", f"element_at(array({', '.join(repr(f) for f in FACES)}), int(event_id % {len(FACES)}) + 1) AS role")
+    return rows.select("event_id", glyphs.decoded("raw", "role").alias("g")).select("event_id", "g.text", "g.latex")
+
+
+PARTED = "CASE event_id % 6 WHEN 0 THEN '])|' WHEN 1 THEN '= max x' WHEN 2 THEN ', lim' WHEN 3 THEN 'maximum' WHEN 4 THEN '((' ELSE 'text' END"
+PARTED_ROLE = "CASE event_id % 4 WHEN 0 THEN 'math-ext' WHEN 1 THEN 'body-serif' WHEN 2 THEN 'math-symbol' ELSE 'body-sans' END"
+
+
+def glyph_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of items that are glyphs of their own, with their places."""
+    rows = table(spark, d, "events").select("event_id", F.posexplode(glyphs.parts(F.expr(PARTED), F.expr(PARTED_ROLE))).alias("part", "p"))
+    return rows.select("event_id", F.col("part").cast("long").alias("part"), "p.str", F.round(100 + 40 * F.col("p.share") * F.col("p.at") / F.length("p.str"), 6).alias("x"), F.round(40 * F.col("p.share"), 6).alias("w"))
 
 
 PARTS = 4
@@ -135,7 +167,7 @@ def stream_conversations(spark: SparkSession, d: str) -> DataFrame:
     return last.select("conv_id", "s.n_turns", F.md5("s.context").alias("context_md5"))
 
 
-QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, decoded_glyphs, stream_dedupe, stream_windows, stream_sessions, stream_replies, stream_conversations)}
+QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, font_families, decoded_glyphs, glyph_parts, stream_dedupe, stream_windows, stream_sessions, stream_replies, stream_conversations)}
 ORACLES = {
     "math_reconstruct": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'y = \frac{' || user_id % 10 || '}{' || event_id % 7 || '}' WHEN 1 THEN '\sqrt{' || CASE WHEN event_id % 2 = 0 THEN '\mathbf{' || chr((97 + user_id % 26)::INT) || '}' ELSE chr((97 + user_id % 26)::INT) END || '_{k}}' WHEN 2 THEN '\sum_{i}^{N} x' WHEN 3 THEN 'X_{' || user_id % 100 || '}^{t}' ELSE '\mathrm{where} \mathrm{the} \mathrm{loss}' END AS latex,
  CASE WHEN event_id % 5 = 2 THEN '(' || (user_id % 90 + 1) || ')' ELSE '' END AS tag, event_id % 5 <> 4 AS display FROM events""",
@@ -156,4 +188,14 @@ ORACLES = {
     "stream_replies": """WITH b AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN '' ELSE left(event_type, 3) END AS piece, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b)
  SELECT user_id, epoch_us(min(ts)) AS start, md5(coalesce(string_agg(piece, '' ORDER BY event_id) FILTER (piece <> ''), '')) AS text_md5, count(*) FILTER (piece <> '') AS n_pieces, epoch_us(min(ts) FILTER (piece <> '')) AS first FROM s GROUP BY user_id, s""",
     "stream_conversations": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || left(text, 4000), chr(10) ORDER BY turn) FILTER (r <= 20)) AS context_md5 FROM t GROUP BY conv_id",
+    "font_families": f"""WITH f(name, role, italic, bold) AS (VALUES {', '.join(f"('{n}', '{r}', {str(i).lower()}, {str(b).lower()})" for n, (r, i, b) in FONTS.items())}), e AS (SELECT event_id, ([{NAMES}])[event_id % {len(FONTS)} + 1] AS name, event_id % 4 AS m FROM events)
+ SELECT event_id, role, italic, bold, starts_with(role, 'math') OR (italic AND m IN (0, 3)) AS math_font, starts_with(role, 'math') OR (italic AND m IN (0, 3)) OR m = 1 AS math_token FROM e JOIN f USING (name)""",
+    "glyph_parts": """WITH e AS (SELECT event_id, event_id % 6 AS m, event_id % 4 AS r FROM events), p(m, kind, part, str, pos, n) AS (VALUES (0, 'd', 0, ']', 0, 3), (0, 'd', 1, ')', 1, 3), (0, 'd', 2, '|', 2, 3), (4, 'd', 0, '(', 0, 2), (4, 'd', 1, '(', 1, 2), (1, 'w', 0, '= ', 0, 7), (1, 'w', 1, 'max', 2, 7), (1, 'w', 2, ' x', 5, 7), (2, 'w', 0, ', ', 0, 5), (2, 'w', 1, 'lim', 2, 5)),
+ k AS (SELECT *, CASE WHEN r = 0 THEN 'c' WHEN m IN (0, 4) AND r = 2 THEN 'd' WHEN m IN (1, 2) AND r IN (1, 2) THEN 'w' ELSE 'o' END AS kind, CASE m WHEN 0 THEN '])|' WHEN 1 THEN '= max x' WHEN 2 THEN ', lim' WHEN 3 THEN 'maximum' WHEN 4 THEN '((' ELSE 'text' END AS t FROM e),
+ x AS (SELECT event_id, part, str, pos, n FROM k JOIN p ON p.m = k.m AND p.kind = k.kind UNION ALL SELECT event_id, 0, t, 0, length(t) FROM k WHERE kind = 'o' UNION ALL SELECT event_id, i, t[i + 1], i, length(t) FROM k, range(7) r(i) WHERE kind = 'c' AND i < length(t))
+ SELECT event_id, part::BIGINT AS part, str, round(100 + 40.0::DOUBLE * pos / n, 6) AS x, round(40.0::DOUBLE * length(str) / n, 6) AS w FROM x""",
+    # the fixed values as a table of characters by role and slot
+    "decoded_glyphs": f"""WITH c(role, code, text, latex) AS (VALUES {', '.join("('%s', %d, '%s', '%s')" % (r, c, *(x.replace("'", "''").replace(chr(0), '') for x in glyphs.character(chr(c), r))) for r in FACES for c in range(CODES))}), s(i, text, latex) AS (VALUES (0, 'A', '\\mathbf{{A}}'), (1, 'b', 'b'), (2, 'C', '\\mathcal{{C}}'), (3, 'D', '\\mathfrak{{D}}'), (4, 'E', '\\mathbb{{E}}'), (5, 'α', '\\alpha'), (6, '0', '\\mathbf{{0}}'), (7, 'ffi', 'ffi')),
+ e AS (SELECT event_id, ([{', '.join(f"'{f}'" for f in FACES)}])[event_id % {len(FACES)} + 1] AS role, event_id % {CODES} AS code, CASE WHEN event_id % 10 = 9 THEN event_id // 10 % 8 END AS i FROM events)
+ SELECT event_id, coalesce(s.text, c.text) AS text, coalesce(s.latex, c.latex) AS latex FROM e LEFT JOIN s USING (i) JOIN c ON c.role = e.role AND c.code = e.code""",
 }
