@@ -33,7 +33,7 @@ def restored(stored: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """The papers of a folder of paper_KEY.json files and their paper_KEY.bak.json."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "paper_*.json").text(folder).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^paper_(.*?)(\.bak)?\.json$", 1).alias("key"), F.endswith(F.col("_metadata.file_name"), F.lit(".bak.json")).alias("spare"))
+    files = spark.read.option("pathGlobFilter", "paper_*.json").text(folder, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^paper_(.*?)(\.bak)?\.json$", 1).alias("key"), F.endswith(F.col("_metadata.file_name"), F.lit(".bak.json")).alias("spare"))
     both = files.groupBy("key").agg(F.max(F.when(~F.col("spare"), F.col("value"))).alias("main"), F.max(F.when(F.col("spare"), F.col("value"))).alias("backup"))
     return restored(both)
 
