@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,15 +24,31 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "paperloom") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder of this application's own in the one that all executors share, spark.checkpoint.dir; it is deleted at the end.
+
+    Where that is unset, a temporary folder serves a local session; on a cluster it is an error, as executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    path = getattr(context, "_paperloom_dir", None)
     if not path:
-        path = getattr(spark.sparkContext, "_paperloom_dir", None)
-        if not path:
-            path = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
-            spark.sparkContext._paperloom_dir = path
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
+            context.setCheckpointDir(base)
+        path = f"{base.rstrip('/')}/paperloom-{uuid.uuid4().hex}"
+        context._paperloom_dir = path
+        atexit.register(_discard, spark, path)
+    return path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001, S110  the session has gone first
+        pass
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
