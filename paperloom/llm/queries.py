@@ -70,6 +70,47 @@ r AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM r, range(20) t(j)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+EDITS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS after, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS top FROM documents),
+h AS (SELECT doc_id, t, length(t) // 2 AS k, coalesce(after, top) AS after FROM t)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - k) || left(after, k)) AS edited_sha256 FROM h
+"""
+
+SIZES_SQL = "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents"
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can say."""
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can say."""
+    return op9_sharding(spark, sf_dir).select("doc_id", "size")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm_scoring": op2_lm_scoring,
@@ -82,5 +123,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "page_languages": page_languages,
     "op10_jaccard_join": op10_jaccard_join,
+    "fingerprint_edits": fingerprint_edits,
+    "shard_sizes": shard_sizes,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_jaccard_join": OP10_SQL, "fingerprint_edits": EDITS_SQL, "shard_sizes": SIZES_SQL}
