@@ -149,3 +149,15 @@ def moved(rows: DataFrame, identity: list[str], path: str, key: str) -> DataFram
     best = two.groupBy(*identity).agg(F.min_by(F.struct(path, "_k"), "_rn").alias("_a"), F.max_by(F.struct(path, "_k"), "_rn").alias("_b"))
     other = F.when(F.col(f"_a.{path}") != F.col(path), F.col("_a._k")).when(F.col(f"_b.{path}") != F.col(path), F.col("_b._k"))
     return rows.join(best, identity).withColumn("other_id", other).filter("other_id is not null").drop("_a", "_b")
+
+
+def sentence_lookup(paras: DataFrame, cache: DataFrame, tag: str) -> DataFrame:
+    """paras (page, para, fp, cache_key, n, sentences) with found: of its own list and the cache's (key, sentences) by cache_key, by page, tag and fingerprint, and by page and fingerprint, the first of n items none of which is blank; null for none."""
+    out = paras
+    keys = {"s2": F.col("cache_key"), "s3": F.concat_ws("_", "page", F.lit(tag), "fp"), "s4": F.concat_ws("_", "page", "fp")}
+    for name, key in keys.items():
+        looked = F.col("cache_key") != "" if name == "s2" else F.col("fp") != ""
+        probe = F.when(looked, key).otherwise(F.concat(F.lit("\u0000"), F.xxhash64("page", "para").cast("string")))
+        side = cache.select(F.col("key").alias(f"_k{name}"), F.col("sentences").alias(name))
+        out = out.withColumn("_p", probe).join(side, F.col("_p") == F.col(f"_k{name}"), "left").drop("_p", f"_k{name}")
+    return out.withColumn("found", first_valid([F.col("sentences"), F.col("s2"), F.col("s3"), F.col("s4")], F.col("n"))).drop("s2", "s3", "s4")

@@ -98,6 +98,11 @@ def markdown(paras: DataFrame, notes: DataFrame) -> DataFrame:
     return whole.select("paper", F.concat(F.concat_ws("\n\n", head, "toc", "whole"), F.lit("\n")).alias("markdown"))
 
 
+def write_markdown(papers: DataFrame, folder: str) -> None:
+    """One text file row for each paper (paper, markdown), in folders by paper."""
+    papers.select(F.col("paper").cast("string").alias("paper"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("paper").text(folder)
+
+
 def annotation_rows(annotations: DataFrame, labels: DataFrame, heights: DataFrame) -> DataFrame:
     """annotations (position in JSON, label, text, comment, kind) with page and boxes (top-down); without those of no page or of no box.
 
