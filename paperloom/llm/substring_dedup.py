@@ -4,14 +4,15 @@ A window is 20 consecutive words of one document. Each document's non-overlappin
 blocks of 10 words are the index; every rolling window of 10 words of every document
 probes it. Any window of 20 words holds one whole aligned block of its document, so
 a repeated window has an anchor: its block is hit by a second probe. Hits are then
-extended: the windows of 20 words around anchored blocks are compared by a 128-bit
-hash, the first start (smaller doc_id, then earlier) keeps its words, and the words
+extended: the windows of 20 words around anchored blocks are compared by 96 bits of
+hashes, the first start (smaller doc_id, then earlier) keeps its words, and the words
 that the others cover are removed; runs of such windows are the maximal exact repeats.
 
 On Spark: tasks cut whole texts into words and send sorted hashes, dealt by hash range and
-packed to a few bytes each; each range is sorted in one task. Counts of one hash
-within one flush of a task are folded to two, so a very frequent passage costs no
-more than its rows. No pairs are ever formed.
+packed to a few bytes each; each range is sorted in one task. What a flush of a task can tell by itself stays there: of one hash it sends
+two probes at most, a block that it has met twice is a hit at once, and of the starts of one window only the first goes to
+the window's range, as all others in the flush are later ones. So a very frequent passage is a few rows for each flush in its range,
+however many documents have it. No pairs are ever formed.
 
 Defined results: null and empty texts have no words and keep the SHA-256 of the empty
 string; a document under 20 words loses nothing; doc_id null sorts last; rows repeated with one
@@ -70,10 +71,15 @@ def probes(part: list[int], bits: int, window: int, block: int, id_col: str, tex
         base = np.cumsum([0, *(len(x[4]) for x in held)])
         doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
         ids = np.concatenate([x[4] for x in held])
+        # blocks that two probes of this flush have are hits: only a block's first sight needs its range
+        twice = every[1:][every[1:] == every[:-1]]
+        sure = np.isin(h, twice)
+        rows = [(part[int(ids[0]) % len(part)], None, None, *_located(h[:0], doc[sure], at[sure], ids)[1:])] if sure.any() else []
+        h, doc, at = h[~sure], doc[~sure], at[~sure]
         order = np.argsort(h)
         h, doc, at = h[order], doc[order], at[order]
         p, q = _dealt(every, cuts), _dealt(h, cuts)
-        return _batch([(part[i], pack(every[p[i] : p[i + 1]]), *_located(h[a:b], doc[a:b], at[a:b], ids)) for i in range(len(part)) for a, b in [(q[i], q[i + 1])] if p[i] < p[i + 1]])
+        return _batch([*rows, *((part[i], pack(every[p[i] : p[i + 1]]), *_located(h[a:b], doc[a:b], at[a:b], ids)) for i in range(len(part)) for a, b in [(q[i], q[i + 1])] if p[i] < p[i + 1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -97,11 +103,19 @@ def probes(part: list[int], bits: int, window: int, block: int, id_col: str, tex
 
 
 def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of one hash range that two probes or more have."""
+    """The blocks of one hash range that two probes or more have; rows without probes are hits as they come."""
+
+    def located(docs: np.ndarray, at: np.ndarray, ids: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)[docs]), pa.array(at.astype(np.int32))], names=["_id", "block"])
+
     seen, found = [], []
     for b in batches:
-        seen += [unpack(x) for x in b["probes"].to_pylist()]
-        found += list(zip(*(b[c].to_pylist() for c in ("hashes", "docs", "at", "ids")), strict=True))
+        for probes, *rest in zip(*(b[c].to_pylist() for c in ("probes", "hashes", "docs", "at", "ids")), strict=True):
+            if probes is None:
+                yield located(widen(rest[1]), widen(rest[2]), rest[3])
+            else:
+                seen.append(unpack(probes))
+                found.append(rest)
     if not seen:
         return
     every = np.sort(np.concatenate(seen))
@@ -113,7 +127,29 @@ def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where[where == len(many)] = 0
         ok = many[where] == h if len(many) else np.zeros(len(h), bool)
         if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)[widen(docs)[ok]]), pa.array(widen(at)[ok].astype(np.int32))], names=["_id", "block"])
+            yield located(widen(docs)[ok], widen(at)[ok], ids)
+
+
+def _first(h: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Of sorted windows, the place where each one's equals begin."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
+    return np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+
+
+def _later(doc: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts that aren't those of the first of their equals (repeated rows of one document have one start)."""
+    later = (doc != doc[first]) | (at != at[first])
+    return doc[later], at[later]
+
+
+def _by_document(doc: np.ndarray, at: np.ndarray, dest: list[int]) -> list[tuple[int, bytes, bytes]]:
+    """Starts dealt by document: destination, documents with counts, places."""
+    to = (mix(doc.view(np.uint64)) % np.uint64(len(dest))).astype(np.int64)
+    order = np.lexsort((doc, to))
+    doc, at, to = doc[order], at[order], to[order]
+    cuts = np.searchsorted(to, np.arange(len(dest) + 1))
+    return [(dest[i], _counted(doc[a:b]), narrow(at[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
 
 
 def candidates(part: list[int], window: int, block: int, id_col: str, text_col: str) -> Callable:
@@ -125,10 +161,15 @@ def candidates(part: list[int], window: int, block: int, id_col: str, text_col:
         base = np.cumsum([0, *(len(x[4]) for x in held)])
         doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
         ids = np.concatenate([x[4] for x in held])
-        order = np.argsort(h)
+        order = np.lexsort((at, ids[doc], low, h))
         h, low, doc, at = h[order], low[order], doc[order], at[order]
+        first = _first(h, low)
+        later = _later(ids[doc], at, first)
+        own = first == np.arange(len(h))
+        h, low, doc, at = h[own], low[own], doc[own], at[own]
         q = _dealt(h, cuts)
-        return _batch([(part[i], low[a:b].tobytes(), *_located(h[a:b], doc[a:b], at[a:b], ids)) for i in range(len(part)) for a, b in [(q[i], q[i + 1])] if a < b])
+        rows = [(part[i], low[a:b].tobytes(), *_located(h[a:b], doc[a:b], at[a:b], ids)) for i in range(len(part)) for a, b in [(q[i], q[i + 1])] if a < b]
+        return _batch([*((to, None, None, d, x, None) for to, d, x in _by_document(*later, part)), *rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -157,13 +198,22 @@ def candidates(part: list[int], window: int, block: int, id_col: str, text_col:
     return run
 
 
+STARTS = (pa.int32(), pa.binary(), pa.binary())
+
+
 def repeats(dest: list[int]) -> Callable:
-    """The windows of one hash range that start earlier elsewhere, as blobs dealt by document."""
+    """The windows of one hash range that start earlier elsewhere, as blobs dealt by document; rows without a range pass."""
+
+    def starts(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), STARTS, strict=True)], names=["part", "docs", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[], [], [], []]
         for b in batches:
-            for low, hashes, docs, at, ids in zip(*(b[c].to_pylist() for c in ("probes", "hashes", "docs", "at", "ids")), strict=True):
+            for to, low, hashes, docs, at, ids in zip(*(b[c].to_pylist() for c in ("part", "probes", "hashes", "docs", "at", "ids")), strict=True):
+                if low is None:
+                    yield starts([(to, docs, at)])
+                    continue
                 for x, y in zip(got, (unpack(hashes), np.frombuffer(low, np.uint32), np.frombuffer(ids, np.int64)[widen(docs)], widen(at)), strict=True):
                     x.append(y)
         if not got[0]:
@@ -171,18 +221,8 @@ def repeats(dest: list[int]) -> Callable:
         h, low, doc, at = map(np.concatenate, got)
         order = np.lexsort((at, doc, low, h))
         h, low, doc, at = h[order], low[order], doc[order], at[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        later = (doc != doc[first]) | (at != at[first])
-        doc, at = doc[later], at[later]
-        to = (mix(doc.view(np.uint64)) % np.uint64(len(dest))).astype(np.int64)
-        order = np.lexsort((doc, to))
-        doc, at, to = doc[order], at[order], to[order]
-        cuts = np.searchsorted(to, np.arange(len(dest) + 1))
-        rows = [(dest[i], _counted(doc[a:b]), narrow(at[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "docs", "at"])
+        if rows := _by_document(*_later(doc, at, _first(h, low)), dest):
+            yield starts(rows)
 
     return run
 
