@@ -319,7 +319,7 @@ def full_sets(id_col: str, text_col: str) -> Callable:
 def close(every: bool) -> Callable:
     """Pairs of classes of different components that share a key and whose marks don't rule a link out.
 
-    Without every, each component of a list tells its nearest such pair only, so what comes out is linear in the lists.
+    Without every, each component of a list but the largest tells its nearest such pair only, so what comes out is linear in the lists.
     Rows come sorted by key; a key's list is worked on a class at a time, against STRIP others at once.
     """
 
@@ -339,12 +339,17 @@ def _close(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Record
         order = np.argsort(n, kind="stable")
         cls, comp, n, mark = cls[order], comp[order], n[order], mark[order]
         top = np.searchsorted(n, PARTS * n // PART, "right")
-        low = np.arange(1, len(n) + 1) if every else np.searchsorted(n, -(-PART * n // PARTS), "left")
+        low = np.searchsorted(n, -(-PART * n // PARTS), "left")
+        # a pair has a member outside the largest component, so work is linear in a large group that is joined already
+        names, sizes = np.unique(comp, return_counts=True)
+        largest = names[sizes.argmax()]
         nearest: dict[int, tuple[float, int, int]] = {}
-        for i in range(len(cls)):
+        for i in np.flatnonzero(comp != largest).tolist():
             for a in range(int(low[i]), int(top[i]), STRIP):
                 b = min(int(top[i]), a + STRIP)
                 j = a + np.flatnonzero(comp[a:b] != comp[i])
+                if every:  # of two members outside, the first tells
+                    j = j[(j > i) | (comp[j] == largest)]
                 if not len(j):
                     continue
                 differ, both = np.bitwise_count(mark[j] ^ mark[i]).sum(1), n[j] + n[i]

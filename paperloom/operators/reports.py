@@ -5,14 +5,14 @@ paras: paper, page, id, type, text, translation; notes: paper, page, para, id, c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import library as L
 
 #: Types of paragraphs that reports leave out.
 HIDDEN = ("figure-label", "noise")
-SELECTED = 40
+SELECTED, THINNED = 40, 8
 
 
 def shown(paras: DataFrame) -> DataFrame:
@@ -28,20 +28,25 @@ def sound_pages(paras: DataFrame) -> DataFrame:
 def asked(paras: DataFrame, questions: DataFrame) -> DataFrame:
     """paper, page, id of questions, para: paragraphs of the page that hold the beginning of the selection.
 
-    A selection's beginning is looked up by the hash of its first 16 characters at every place of the page's texts
-    (shorter ones by all their characters), so the join is by equality, and only its hits are compared as texts.
+    Texts and selections meet by hashes of 16 characters, of which only one in THINNED is looked at: wherever a selection stands, the text has
+    the same ones. So the join is by equality over a fraction of the text, and its hits alone are compared as texts. Selections that are short, or have
+    no such hash, are compared to their page's paragraphs.
     """
     k = 16
+
+    def marks(c: str) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(k))))
+        return F.filter(every, lambda h: F.pmod(h, F.lit(THINNED)) == 0)
+
     q = questions.select("paper", "page", "id", F.left("selected", F.lit(SELECTED)).alias("_s")).filter("length(_s) > 0")
-    long = q.filter(f"length(_s) >= {k}").withColumn("_h", F.xxhash64(F.left("_s", F.lit(k))))
-    wanted = long.select("paper", "page").distinct()
+    q = q.withColumn("_h", F.when(F.length("_s") >= k, F.array_min(marks("_s"))))
+    long, other = q.filter("_h is not null"), q.filter("_h is null").drop("_h")
     texts = paras.select("paper", "page", F.col("id").alias("para"), F.trim("text").alias("_t"))
-    at = texts.join(wanted, ["paper", "page"], "left_semi").filter(f"length(_t) >= {k}")
-    grams = at.select("paper", "page", "para", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - k + 1), lambda i: F.xxhash64(F.substring("_t", i, F.lit(k)))))).alias("_h"))
+    grams = texts.filter(f"length(_t) >= {k}").select("paper", "page", "para", F.explode(F.array_distinct(marks("_t"))).alias("_h"))
     hits = grams.join(long, ["paper", "page", "_h"]).select("paper", "page", "id", "para", "_s")
     sure = hits.join(texts, ["paper", "page", "para"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
-    short = q.filter(f"length(_s) < {k}").join(texts, ["paper", "page"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
-    return sure.unionByName(short).distinct()
+    rest = other.join(texts, ["paper", "page"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
+    return sure.unionByName(rest).distinct()
 
 
 def appendix(paras: DataFrame, notes: DataFrame, questions: DataFrame) -> DataFrame:
