@@ -54,11 +54,15 @@ def archive_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def stale_prune(spark: SparkSession, d: str) -> DataFrame:
     """Cache entries of lines that are kept when false translations are pruned."""
-    t = T.trimmed(F.col("line"))
-    plain = T.without_latex(t)
-    words = F.size(F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)))
-    stale = (t != "") & ~T.untranslatable(t) & (F.length(t) > 60) & T.clause_run(t) & (T.cjk_count(plain) == 0) & ((F.col("line_no") % 9 == 0) | (words >= 2))
-    return lines(spark, d).filter(~stale).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("line_no").alias("check_sum"))
+    rows = lines(spark, d).select("doc_id", "line_no", T.trimmed(F.col("line")).alias("t"))
+    # cheap tests first: only lines that may be clauses of some length are stripped of LaTeX, and that once
+    bound = rows.filter("length(t) > 60 and t rlike '[,;:]'").withColumn("plain", T.without_latex(F.col("t")))
+    words = F.size(F.regexp_extract_all("plain", F.lit("[A-Za-z]{2,}"), F.lit(0)))
+    stale = T.clause_run(F.col("t")) & (T.cjk_count(F.col("plain")) == 0) & ((F.col("line_no") % 9 == 0) | (words >= 2)) & ~T.untranslatable(F.col("t"))
+    gone = bound.filter(stale).groupBy("doc_id").agg(F.count("*").alias("_n"), F.sum("line_no").alias("_s"))
+    every = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("line_no").alias("s"))
+    kept = every.join(gone, "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("kept"), (F.col("s") - F.coalesce("_s", F.lit(0))).alias("check_sum"))
+    return kept.filter("kept > 0")
 
 
 def identity_match(spark: SparkSession, d: str) -> DataFrame:
