@@ -67,14 +67,14 @@ def item_match(papers: DataFrame, items: DataFrame) -> DataFrame:
     return two.select("paper", item.alias("item"), tier.alias("tier"))
 
 
-def coverage(pages: DataFrame, highlighted: DataFrame, translated: DataFrame, formula_only: DataFrame) -> DataFrame:
-    """paper and counts of pages: highlighted, translated, missing (highlighted, neither translated nor only formulas), bare (neither highlighted nor translated)."""
-    flag = lambda df, name: df.select("paper", "page").distinct().withColumn(name, F.lit(True))
-    rows = pages.select("paper", "page").distinct()
-    for df, name in ((highlighted, "h"), (translated, "t"), (formula_only, "f")):
-        rows = rows.join(flag(df, name), ["paper", "page"], "left")
-    on = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return rows.groupBy("paper").agg(F.count_if(on("h")).alias("highlighted"), F.count_if(on("t")).alias("translated"), F.count_if(on("h") & ~on("t") & ~on("f")).alias("missing"), F.count_if(~on("h") & ~on("t")).alias("bare"))
+def coverage(rows: DataFrame) -> DataFrame:
+    """paper and counts of pages: highlighted, translated, missing (highlighted, neither translated nor only formulas), bare (neither highlighted nor translated).
+
+    rows: paper, page, and flags highlighted, translated, formula_only; a page has a flag if any of its rows has it. One aggregation, no joins.
+    """
+    flags = [F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for c, n in (("highlighted", "h"), ("translated", "t"), ("formula_only", "f"))]
+    pages = rows.groupBy("paper", "page").agg(*flags)
+    return pages.groupBy("paper").agg(F.count_if("h").alias("highlighted"), F.count_if("t").alias("translated"), F.count_if(F.expr("h and not t and not f")).alias("missing"), F.count_if(F.expr("not h and not t")).alias("bare"))
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -96,9 +96,8 @@ def qa_to_paragraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(spark, d).selectExpr("doc_id AS paper", "line_no AS page", "line")
-    got = linkage.coverage(rows, rows.filter("page % 2 = 0"), rows.filter("page % 3 = 0"), rows.filter(T.untranslatable(F.col("line"))))
-    return got
+    rows = lines(spark, d).select(F.col("doc_id").alias("paper"), F.col("line_no").alias("page"), (F.col("line_no") % 2 == 0).alias("highlighted"), (F.col("line_no") % 3 == 0).alias("translated"), T.untranslatable(F.col("line")).alias("formula_only"))
+    return linkage.coverage(rows)
 
 
 def page_ranges(spark: SparkSession, d: str) -> DataFrame:
