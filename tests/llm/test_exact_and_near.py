@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from paperloom.llm import components as module
 from paperloom.llm import exact_dedup, jaccard_join, queries, substring_dedup
 from paperloom.llm.components import components
 from tests.llm import brute, fixtures
@@ -121,12 +122,23 @@ def test_jaccard_with_frequent_tokens_and_large_near_groups(spark, monkeypatch):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(module, "FEW", few)
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 10)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), **dict.fromkeys(range(100, 110), 100)}
     rows = [(1, None), (None, None), (4, 4), (7, 5), (7, 5)]  # a null is no node, a loop no edge
     assert {tuple(r) for r in components(spark.createDataFrame(rows, "u long, v long")).collect()} == {(7, 5), (5, 5)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
-    with pytest.raises(RuntimeError, match="rounds"):
-        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), rounds=2)
+    r = random.Random(7)
+    mixed = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
+    top = {x: x for e in mixed for x in e if e[0] != e[1]}
+    for _ in top:
+        for a, b in mixed:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    assert {x[0]: x[1] for x in components(spark.createDataFrame(mixed, "u long, v long")).collect()} == top
+    if not few:
+        with pytest.raises(RuntimeError, match="rounds"):
+            components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), rounds=2)
