@@ -59,6 +59,7 @@ FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def _texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of some MB of texts, their bytes and the places where each text begins and ends in them; the bytes are the batch's own."""
     for batch in batches:
         size = np.asarray(pc.binary_length(batch[text_col]).fill_null(0)).astype(np.int64)
         part = np.cumsum(size) // SLICE
@@ -66,8 +67,12 @@ def _texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[p
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 some = batch.slice(a, b - a)
-                data = np.frombuffer(b"".join(x.as_buffer() for x in some[text_col].fill_null("") if len(x.as_buffer())), np.uint8)
-                yield some, data, np.concatenate(([0], np.cumsum(size[a:b])))
+                texts = some[text_col].fill_null("")
+                kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+                offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+                raw = texts.buffers()[2]
+                data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw else np.zeros(0, np.uint8)
+                yield some, data, offsets - offsets[0]
 
 
 def sampled(labelled: DataFrame, label_col: str) -> tuple[list[str], DataFrame]:
