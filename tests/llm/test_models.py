@@ -252,6 +252,12 @@ def test_pipeline_stages_on_their_own_input(spark, tmp_path):
         if k < 4:
             assert docs.columns == before.columns
         ids, was = Counter(r["doc_id"] for r in docs.collect()), Counter(r["doc_id"] for r in before.collect())
+        if name == "language_id":
+            assert ids == Counter(r["doc_id"] for r in language_id.digest(before).collect() if r["kept"])
+            assert not [r for r in docs.collect() if not any(c.isalpha() for c in r["text"] or "")]
+        if name == "source_mixing":
+            assert ids == Counter(r["doc_id"] for r in mixing.mix(before).collect())
+            assert {r["doc_id"]: r for r in docs.collect()} == {r["doc_id"]: r for r in before.collect() if r["doc_id"] in ids}
         if name == "exact_dedup":
             assert ids == Counter(r["doc_id"] for r in exact_dedup.drop_copies(before).collect())
         if name == "jaccard_join":
@@ -261,3 +267,10 @@ def test_pipeline_stages_on_their_own_input(spark, tmp_path):
             assert ids == was
             assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, bpe.digest(before).collect()))
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ids
+
+
+def test_pipeline_of_empty_and_null_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows, want in (("none", [], 0), ("nulls", [(None, None, None, None, None), (None, "the same text of some words", "en", None, None), (None, "the same text of some words", "en", None, None), (7, None, "en", "s", None)], 1)):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() == want
