@@ -12,7 +12,7 @@ from paperloom.functions import library as L
 
 #: Types of paragraphs that reports leave out.
 HIDDEN = ("figure-label", "noise")
-SELECTED, THINNED = 40, 8
+SELECTED, THINNED, BLOCK = 40, 8, 64
 
 
 def shown(paras: DataFrame) -> DataFrame:
@@ -35,8 +35,10 @@ def asked(paras: DataFrame, questions: DataFrame) -> DataFrame:
     k = 16
 
     def marks(c: str) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(k))))
-        return F.filter(every, lambda h: F.pmod(h, F.lit(THINNED)) == 0)
+        # a place in a long text is found from its beginning, so texts are cut into short overlapping blocks first
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(c) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.substring(c, b * BLOCK + 1, F.lit(BLOCK + k - 1)))
+        grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(x) - k + 1, F.lit(BLOCK)), F.lit(1))), lambda i: F.xxhash64(F.substring(x, i, F.lit(k))))
+        return F.flatten(F.transform(blocks, lambda x: F.filter(grams(x), lambda h: F.pmod(h, F.lit(THINNED)) == 0)))
 
     q = questions.select("paper", "page", "id", F.left("selected", F.lit(SELECTED)).alias("_s")).filter("length(_s) > 0")
     q = q.withColumn("_h", F.when(F.length("_s") >= k, F.array_min(marks("_s"))))
