@@ -6,7 +6,7 @@ trigrams of the paragraph whose hash has it set. A fingerprint is the sum of its
 vectors, the first lanes modulo 2**32, the others modulo 2**16. So it doesn't depend on the
 order of paragraphs, and `combine` adds or takes away paragraphs without the rest of the text.
 The first lanes decide equality. The others estimate likeness: read as sums of +1 and -1,
-2 * A.B / (A.A + B.B) is expected to be that of the multisets of trigrams.
+2 * A.B / (A.A + B.B) is expected to be that of the multisets of trigrams (the last two of a paragraph are shorter).
 
 Neighbours by descending doc_id come from one shuffle of the texts into ranges of ids: the first
 row of each range is also put, as a copy, at the end of the range before it, so no

@@ -426,7 +426,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     some = posts.select("cls").distinct()
     reps = written(node.join(some, "cls").select(F.col("node._id").alias("_rep"), "node._row"), "reps")  # as a table its size is known to the planner
     keyed = docs.withColumn("_rep", F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))))
-    sets = written(keyed.join(reps, ["_rep", "_row"], "left_semi").mapInArrow(full_sets(id_col, text_col), "cls long, size long, tokens array<long>, mark array<long>"), "sets")
+    # one plan at every size: texts meet the representatives by key, and are hashed against them without a sort
+    sets = written(keyed.join(reps.hint("shuffle_hash"), ["_rep", "_row"], "left_semi").mapInArrow(full_sets(id_col, text_col), "cls long, size long, tokens array<long>, mark array<long>"), "sets")
     stars, comp = None, some.withColumn("comp", F.col("cls"))
     marks = sets.select("cls", "mark")
     for turn in range(TURNS):
