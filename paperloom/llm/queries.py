@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup, token_files
+from paperloom.llm import bpe, centroids, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup, token_files, tree_bpe
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(_documents(spark, sf_dir))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.digest(_documents(spark, sf_dir))
+
+
 OP4_SQL = """
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -100,6 +108,21 @@ SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - k) || left(after
 
 SIZES_SQL = "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents"
 
+#: One round: distances over pairs of vector and centroid, the nearest, then means of those that have vectors.
+_NEAREST = "a{r} AS MATERIALIZED (SELECT i, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT i, k, sum((e.v - c.v) * (e.v - c.v)) AS d FROM e JOIN c{r} c USING (j) GROUP BY i, k) GROUP BY i)"
+_MOVED = "c{s} AS MATERIALIZED (SELECT c.k, c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT k, j, floor(sum(v) / count(*))::BIGINT AS v FROM a{r} JOIN e USING (i) GROUP BY k, j) m USING (k, j))"
+OP12_SQL = f"""
+WITH x AS (SELECT vec_id, [floor(256 * y::DOUBLE)::BIGINT for y in embedding] AS q FROM embeddings WHERE len(embedding) = 64 AND len([y for y in embedding if isfinite(y)]) = 64),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS i FROM x),
+e AS MATERIALIZED (SELECT i, unnest(q) AS v, unnest(range(64)) AS j FROM n),
+c0 AS MATERIALIZED (SELECT i AS k, j, v FROM e WHERE i < 40),
+{", ".join(f"{_NEAREST.format(r=r)}, {_MOVED.format(r=r, s=r + 1)}" for r in range(5))},
+{_NEAREST.format(r=5)},
+h AS (SELECT k, sha256(string_agg(v::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c5 GROUP BY k)
+SELECT vec_id, k::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256, count(*) OVER (PARTITION BY q) AS copies
+FROM n JOIN a5 USING (i) JOIN h USING (k)
+"""
+
 
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6 that SQL can say."""
@@ -123,7 +146,9 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "page_languages": page_languages,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_centroids": op12_centroids,
+    "op13_tree_bpe": op13_tree_bpe,
     "fingerprint_edits": fingerprint_edits,
     "shard_sizes": shard_sizes,
 }
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_jaccard_join": OP10_SQL, "fingerprint_edits": EDITS_SQL, "shard_sizes": SIZES_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_jaccard_join": OP10_SQL, "op12_centroids": OP12_SQL, "fingerprint_edits": EDITS_SQL, "shard_sizes": SIZES_SQL}
