@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, centroids, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup, token_files, tree_bpe
+from paperloom.llm import bpe, centroids, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup, token_files, tree_bpe, turn_repair
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(_documents(spark, sf_dir))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -108,6 +112,64 @@ SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - k) || left(after
 
 SIZES_SQL = "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents"
 
+
+
+def _by(state: str, cost: str, letters: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letters}'}} END"
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+#: A conversation is one row with its least cost and audit in each state: 0 nothing yet, 1 after s, 2 after u, 3 after a; i: after inserted turns, s: after an edit.
+_KEPT, _NEW = "CASE WHEN NOT must AND r = '{}' THEN {} END", "CASE WHEN NOT must THEN {} END"
+_INSERTED = f"s0 AS i0, s1 AS i1, {_least('s2', *(_by(f's{k}', '3', 'I') for k in (0, 1, 3)))} AS i2, {_least('s3', _by('s2', '3', 'I'), _by('s0', '6', 'II'), _by('s1', '6', 'II'))} AS i3"
+_USER = [f for k in (0, 1, 3) for f in (_KEPT.format("u", _by(f"i{k}", "late", "K")), _NEW.format(_by(f"i{k}", "late + 3", "R")))]
+_EDITED = [
+    _by("i0", "4", "D"),
+    _least(_by("i1", "4", "D"), _KEPT.format("s", _by("i0", "late", "K"))),
+    _least(_by("i2", "4", "D"), *_USER),
+    _least(_by("i3", "4", "D"), _KEPT.format("a", _by("i2", "late", "K")), _NEW.format(_by("i2", "late + 3", "R"))),
+]
+_STATE = "STRUCT(c BIGINT, a VARCHAR)"
+OP11_SQL = f"""
+WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(key, '')]), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS d
+  FROM k),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM crc, unnest([0, 1]) t(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+told AS (
+  SELECT *, row_number() OVER o AS n, regexp_full_match(text, '[\x20\x09-\x0D]*') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*\\z') AS short, left(role, 1) AS r, lag(left(role, 1)) OVER o AS before
+  FROM hurt WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+rows_ AS MATERIALIZED (SELECT conv_id, n, role, text, r, before, turn, blank, again AND NOT blank AS dup, short AND NOT blank AND NOT again AS trunc, blank OR again AS must, CASE WHEN short THEN 3 ELSE 0 END AS late FROM told),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': ''}}::{_STATE} AS s0, NULL::{_STATE} AS s1, NULL::{_STATE} AS s2, NULL::{_STATE} AS s3 FROM conversations
+  UNION ALL
+  SELECT conv_id, n, {", ".join(_EDITED)}
+  FROM (SELECT t.*, {_INSERTED}, x.r, x.must, x.late FROM (SELECT conv_id, n + 1 AS n, s0, s1, s2, s3 FROM dp) t JOIN rows_ x ON x.conv_id IS NOT DISTINCT FROM t.conv_id AND x.n = t.n)),
+best AS MATERIALIZED (
+  SELECT conv_id, {_least("s0", "s3", _by("s2", "3", "I"), _by("s1", "6", "II"))} AS b FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+said AS (
+  SELECT conv_id, 0 AS p, 0::BIGINT AS n, '0' AS state, NULL::VARCHAR AS out FROM best
+  UNION ALL
+  SELECT conv_id, p, n, CASE WHEN l = 'D' THEN state ELSE left(role, 1) END, CASE WHEN l = 'D' THEN out ELSE coalesce(out || chr(10), '') || role || ':' || text END
+  FROM (SELECT s.conv_id, s.p, s.n, s.state, s.out, s.l, CASE WHEN l = 'I' THEN '' ELSE x.text END AS text, CASE WHEN l = 'K' THEN x.role WHEN state = 'u' THEN 'assistant' ELSE 'user' END AS role
+        FROM (SELECT s.conv_id, p + 1 AS p, n + (b.a[p + 1] <> 'I')::INT AS n, state, out, b.a[p + 1] AS l FROM said s JOIN best ON best.conv_id IS NOT DISTINCT FROM s.conv_id WHERE p < length(b.a)) s
+        LEFT JOIN rows_ x ON x.conv_id IS NOT DISTINCT FROM s.conv_id AND x.n = s.n)),
+spoken AS (SELECT conv_id, arg_max(struct_pack(o := out), p).o AS out FROM said GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate, count_if(trunc) AS truncated, count_if(before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       b.c AS cost, b.a AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM best JOIN spoken ON spoken.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
 #: One round: distances over pairs of vector and centroid, the nearest, then means of those that have vectors.
 _NEAREST = "a{r} AS MATERIALIZED (SELECT i, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT i, k, sum((e.v - c.v) * (e.v - c.v)) AS d FROM e JOIN c{r} c USING (j) GROUP BY i, k) GROUP BY i)"
 _MOVED = "c{s} AS MATERIALIZED (SELECT c.k, c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT k, j, floor(sum(v) / count(*))::BIGINT AS v FROM a{r} JOIN e USING (i) GROUP BY k, j) m USING (k, j))"
@@ -146,9 +208,10 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "page_languages": page_languages,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_turn_repair": op11_turn_repair,
     "op12_centroids": op12_centroids,
     "op13_tree_bpe": op13_tree_bpe,
     "fingerprint_edits": fingerprint_edits,
     "shard_sizes": shard_sizes,
 }
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_jaccard_join": OP10_SQL, "op12_centroids": OP12_SQL, "fingerprint_edits": EDITS_SQL, "shard_sizes": SIZES_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_jaccard_join": OP10_SQL, "op11_turn_repair": OP11_SQL, "op12_centroids": OP12_SQL, "fingerprint_edits": EDITS_SQL, "shard_sizes": SIZES_SQL}
