@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.functions import encodings as E
+
 # Font families of each role, in the order in which they are tried; ^ marks the beginning of a name.
 ROLES = {
     "math-ext": "^(?:CMEX|LMEX|LMMATHEXTENSION|EUEX|MTEX|TXEX|PXEX|STIXSIZE|MATHDESIGN.*EX)",
@@ -27,26 +33,6 @@ BOLD = "BOLD|CMBX|CMMIB|CMBSY|BX|BD|HEAVY|BLACK|-B(?![A-Z0-9_])"
 ITALIC = "ITALIC|OBLIQUE|SLANT|CMMI|CMTI|CMSL|MTMI|EURM|-IT(?![A-Z0-9_])"
 UPRIGHT, SLANTED = ("math-ext", "math-bb", "math-frak"), ("math-cal", "math-italic")
 MATH_ROLES = ("math-italic", "math-symbol", "math-ext", "math-bb", "math-cal", "math-frak")
-# Characters at successive slots of the TeX and Symbol encodings.
-MATH_ITALIC_SLOTS = "ΓΔΘΛΞΠΣΥΦΨΩαβγδϵζηθικλμνξπρστυϕχψωεϑϖϱςφ"
-SYMBOL_SLOTS = "−⋅×∗÷⋄±∓⊕⊖⊗⊘⊙◯∘∙≍≡⊆⊇≤≥≼≽∼≈⊂⊃≪≫≺≻←→↑↓↔↗↘≃⇐⇒⇑⇓⇔↖↙∝′∞∈∋△▽"
-ROMAN_SLOTS = ("Γ", "Δ", "Θ", "Λ", "Ξ", "Π", "Σ", "Υ", "Φ", "Ψ", "Ω", "ff", "fi", "fl", "ffi", "ffl", "ı", "ȷ", "`", "´", "ˇ", "˘", "¯", "˚", "¸", "ß", "æ", "œ", "ø", "Æ", "Œ", "Ø")
-#: Delimiters in the slots of the extension font: all sixteen small, then larger ones, some twice.
-DELIMITERS = "()[]⌊⌋⌈⌉{}⟨⟩|∥/\\" + "()" + "()[]⌊⌋⌈⌉{}⟨⟩/\\" + "()[]⌊⌋⌈⌉{}⟨⟩/\\"
-#: Pieces that tall delimiters are put together from, which mean nothing by themselves.
-PIECES = range(0x30, 0x44)
-#: From slot 0x46 on: two sizes side by side, then all text sizes and all display sizes.
-LARGE_PAIRS, LARGE_TEXT = "⨆∮⨀⨁⨂", "∑∏∫⋃⋂⨄⋀⋁"
-EXTENSION = dict(enumerate(DELIMITERS)) | {0x46 + i: LARGE_PAIRS[i // 2] for i in range(10)} | {0x50 + i: LARGE_TEXT[i % 8] for i in range(16)} | {0x60: "∐", 0x61: "∐"} | dict(zip(range(0x68, 0x70), "[]⌊⌋⌈⌉{}", strict=True)) | dict.fromkeys(range(0x70, 0x75), "√")
-TALL = frozenset(DELIMITERS)
-ADOBE_GREEK = dict(zip("ABGDEZHQIKLMNXOPRSTUFCYWabgdezhqiklmnxoprstufcyw", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩαβγδεζηθικλμνξοπρστυφχψω", strict=True))
-ADOBE_SIGNS = {0xB6: "∂", 0xCE: "∈", 0xD1: "∇", 0xD5: "∏", 0xE5: "∑", 0xF2: "∫", 0xA3: "≤", 0xB3: "≥", 0xB9: "≠", 0xBB: "≈", 0xA5: "∞", 0xB1: "±", 0xB4: "×", 0xD6: "√"}
-#: Commands for styled letters, by words of their Unicode names; italic letters are plain in mathematics.
-STYLES = (("BOLD ITALIC", "boldsymbol"), ("DOUBLE-STRUCK", "mathbb"), ("SCRIPT", "mathcal"), ("FRAKTUR", "mathfrak"), ("BOLD", "mathbf"))
-# LaTeX names that differ from the character's Unicode name.
-COMMANDS = {"∑": "sum", "∏": "prod", "∫": "int", "√": "sqrt", "∈": "in", "∋": "ni", "≤": "leq", "≥": "geq", "≠": "neq", "≈": "approx", "∞": "infty", "∂": "partial", "∇": "nabla", "×": "times", "⋅": "cdot", "±": "pm", "∓": "mp", "→": "rightarrow", "←": "leftarrow", "⊂": "subset", "⊆": "subseteq", "∪": "cup", "∩": "cap", "∝": "propto", "∼": "sim", "≡": "equiv", "ε": "varepsilon", "ϵ": "epsilon", "φ": "varphi", "ϕ": "phi", "ϑ": "vartheta"}
-DECODED = T.StructType().add("text", "string").add("latex", "string")
-DOUBLE_STRUCK = dict(zip("CHNPQRZ", "ℂℍℕℙℚℝℤ", strict=True))
 
 
 def without_subset(name: Column) -> Column:
@@ -93,67 +79,146 @@ def parts(text: Column, role: Column) -> Column:
     return F.transform(cut, one)
 
 
+def _pairs(text: str) -> dict[str, str]:
+    words = text.split()
+    return {(chr(int(c[2:], 16)) if c.startswith("\\u") else c): latex for c, latex in zip(words[::2], words[1::2], strict=True)}
+
+
+KNOWN = _pairs(E.COMMANDS)
+BOTH = KNOWN | _pairs(E.SLOT_COMMANDS)
+
+
+class Sign(NamedTuple):
+    """What stands at a slot. tall, large, radical, accent, piece: what it is to a formula; mathematical: whether it makes the string so."""
+
+    text: str
+    latex: str
+    large: bool = False
+    tall: bool = False
+    accent: bool = False
+    radical: bool = False
+    piece: bool = False
+    mathematical: bool = True
+
+
+def _slots(runs: dict[int, str]) -> Iterator[tuple[int, str]]:
+    return ((first + i, c) for first, run in runs.items() for i, c in enumerate(run) if c != "·")
+
+
+def _encoding(runs: dict[int, str], own: str = "", pieces: tuple[int, ...] = (), make: Callable[[int, str, str], Sign] = lambda slot, c, latex: Sign(c, latex)) -> dict[int, Sign]:
+    latex = BOTH | _pairs(own)
+    return {slot: make(slot, c, latex.get(c, c)) for slot, c in _slots(runs)} | dict.fromkeys(pieces, Sign("", "", piece=True, mathematical=False))
+
+
+ENCODINGS = {
+    "oml": _encoding(E.OML),
+    "oms": _encoding(E.OMS, E.OMS_COMMANDS, make=lambda slot, c, latex: Sign(c, latex, large=c == "∫", radical=c == "√")) | {n: Sign(chr(n), f"\\mathcal{{{chr(n)}}} ") for n in range(0x41, 0x5B)},
+    "omx": _encoding(E.OMX, E.OMX_COMMANDS, E.OMX_PIECES, lambda slot, c, latex: Sign(c, latex, large=0x46 <= slot <= 0x61, tall=slot < 0x46, accent=0x62 <= slot <= 0x67, radical=c == "√")),
+    "ot1": _encoding(E.OT1, E.OT1_COMMANDS, make=lambda slot, c, latex: Sign(c, latex, mathematical=slot <= 0x0A)) | {n: Sign(c, c, mathematical=False) for n, c in E.OT1_LIGATURES.items()},
+    "symbol": _encoding(E.SYMBOL, E.SYMBOL_COMMANDS, E.SYMBOL_PIECES, lambda slot, c, latex: Sign(c, latex, large=c in "∏∑∫", radical=c == "√")),
+}
+
+
 def command(c: str) -> str:
     """The LaTeX of one character."""
-    if c in COMMANDS:
-        return "\\" + COMMANDS[c]
-    name = unicodedata.name(c, "")
-    if name.startswith("GREEK "):
-        word = name.split()[-1].lower()
-        word = "lambda" if word == "lamda" else word
-        return "\\" + (word.capitalize() if "CAPITAL" in name else word)
-    if name.startswith("DOUBLE-STRUCK CAPITAL ") or c in DOUBLE_STRUCK.values():
-        return f"\\mathbb{{{unicodedata.normalize('NFKC', c)}}}"
-    return c
-
-
-def styled(c: str) -> tuple[str, str]:
-    """Base character and LaTeX of a mathematical alphanumeric."""
-    base, name = unicodedata.normalize("NFKC", c), unicodedata.name(c, "")
-    plain = command(base)
-    style = next((s for words, s in STYLES if words in name), None)
-    return base, f"\\{style}{{{base}}}" if style and plain == base else plain
-
-
-def character(c: str, role: str) -> tuple[str, str]:
-    """Text and LaTeX of a character in a font of the role."""
-    code = ord(c)
-    text = None
-    if 0xF000 <= code <= 0xF0FF:  # symbol fonts in the private area
-        low = code - 0xF000
-        text = ADOBE_SIGNS.get(low) or ADOBE_GREEK.get(chr(low), chr(low))
-    elif 0x1D400 <= code <= 0x1D7FF:
-        return styled(c)
-    elif 0xFB00 <= code <= 0xFB06:  # ligatures
-        text = unicodedata.normalize("NFKC", c)
-        return text, text
-    elif role == "math-ext":
-        text = "" if code in PIECES else EXTENSION.get(code)
-    elif role == "math-symbol" and code < len(SYMBOL_SLOTS):
-        text = SYMBOL_SLOTS[code]
-    elif role == "math-italic" and code < len(MATH_ITALIC_SLOTS):
-        text = MATH_ITALIC_SLOTS[code]
-    elif role == "math-bb" and c in DOUBLE_STRUCK:
-        text = DOUBLE_STRUCK[c]
-    elif role in ("math-cal", "math-frak") and c.isascii() and c.isalpha():
-        return c, f"\\{'mathcal' if role == 'math-cal' else 'mathfrak'}{{{c}}}"
-    elif role == "body-serif" and code < len(ROMAN_SLOTS) and c not in "\t\n\r":
-        text = ROMAN_SLOTS[code]
-    if text is None:
-        text = "" if code < 32 and c not in "\t\n\r" else c
-    mathematical = role in MATH_ROLES or (0xF000 <= code <= 0xF0FF)
-    return text, "".join(map(command, text)) if mathematical else text
-
-
-def decode(raw: str, role: str) -> tuple[str, str]:
-    """Text and LaTeX of a string in a font of the role."""
-    both = [character(c, role) for c in raw]
-    return "".join(t for t, _ in both), "".join(x for _, x in both)
+    return KNOWN.get(c, c)
+
+
+def spaced(latex: str) -> str:
+    """A command ends with a space, so that a letter may follow."""
+    return latex + " " if latex.startswith("\\") else latex
+
+
+def latex(text: str) -> str:
+    """LaTeX of a text's characters; a command has a space after it where a letter follows."""
+    return re.sub(r"(\\[A-Za-z]+)\x00(?=[A-Za-z])", r"\1 ", "".join(command(c) + "\0" * (c in KNOWN) for c in text)).replace("\0", "")
+
+
+#: Styles of mathematical alphanumerics by their Unicode names, with what they are in LaTeX; Greek letters have none.
+STYLES = {"BOLD": "mathbf", "ITALIC": "", "BOLD ITALIC": "boldsymbol", "SCRIPT": "mathcal", "BOLD SCRIPT": "mathcal", "FRAKTUR": "mathfrak", "DOUBLE-STRUCK": "mathbb"}
+_STYLED = re.compile("MATHEMATICAL (.*?) (CAPITAL|SMALL|DIGIT|PARTIAL|EPSILON|THETA|KAPPA|PHI|RHO|PI)( .*)?")
+CAPITALS_ONLY = ("SCRIPT", "BOLD SCRIPT", "DOUBLE-STRUCK")
+
+
+def styled(c: str) -> tuple[str, str] | None:
+    """Base character and LaTeX of a mathematical alphanumeric, if it is one of those that LaTeX has."""
+    m = _STYLED.fullmatch(unicodedata.name(c, "")) if "\U0001d400" <= c <= "\U0001d7ff" else None
+    if not m:
+        return None
+    style, kind, base = m[1], m[2], chr(int(unicodedata.decomposition(c).split()[1], 16))  # one step: further ones make epsilon symbols letters
+    if not base.isascii():
+        return (base, KNOWN.get(base, base)) if base in KNOWN or kind != "CAPITAL" else None
+    if style not in STYLES or (kind == "SMALL" and style in CAPITALS_ONLY) or (kind == "DIGIT" and style not in ("BOLD", "DOUBLE-STRUCK")):
+        return None
+    return base, f"\\{STYLES[style]}{{{base}}}" if STYLES[style] else base
+
+
+@lru_cache(4096)
+def face(name: str) -> tuple[str, str, bool]:
+    """Role, encoding and weight of a font; the name of a role stands for a TeX font of that role."""
+    up = re.sub(r"^[A-Z]{6}\+", "", name).strip().upper()
+    if name in ROLES:
+        return name, {"math-ext": "omx", "math-symbol": "oms", "math-italic": "oml", "body-serif": "ot1"}.get(name, ""), False
+    role = next((r for r, p in ROLES.items() if re.search(p, up)), "unknown")
+    return role, next((e for e, p in E.FONTS.items() if re.search(p, up)), ""), re.search(BOLD, up) is not None
+
+
+@lru_cache(1 << 16)
+def character(c: str, font: str) -> Sign:
+    """What a character in a font is. LaTeX with the space that must follow it."""
+    role, encoding, bold = face(font)
+    if c in " \t\n\r":  # white space is in no encoding
+        return Sign(" ", " ", mathematical=False)
+    if c in E.LIGATURES:
+        return Sign(E.LIGATURES[c], E.LIGATURES[c], mathematical=False)
+    if pair := styled(c):
+        return Sign(pair[0], pair[1] + " ")
+    private = "\uf000" <= c <= "\uf0ff"
+    code = ord(c) - 0xF000 if private else ord(c)
+    own = ENCODINGS.get(encoding, {}).get(code)
+    if encoding == "oml":
+        own = own if code <= 0x27 or private else None
+        if own:
+            return own._replace(latex=(f"\\boldsymbol{{{own.latex}}}" if bold and own.latex.startswith("\\") else own.latex) + " ")
+    if own and not (encoding == "ot1" and code > 0x1F):
+        return own._replace(latex=spaced(own.latex))
+    letter = chr(code) if 0x41 <= code <= 0x5A else ""
+    if letter and role == "math-bb":
+        return Sign(E.DOUBLE_STRUCK.get(letter, letter), f"\\mathbb{{{letter}}} ")
+    if private and encoding in ("", "ot1") and (sign := ENCODINGS["symbol"].get(code)):
+        return sign._replace(latex=spaced(sign.latex))
+    if letter and role == "math-cal":
+        return Sign(letter, f"\\mathcal{{{letter}}} ")
+    if code < 0x20 or 0x7F <= code <= 0x9F:
+        if code in (9, 10, 13):
+            return Sign(" ", " ", mathematical=False)
+        if code == 0x0F:  # the one slot that is worth keeping in fonts without an encoding
+            return Sign("ϵ", "\\boldsymbol{\\epsilon} " if bold else "\\epsilon ")
+        return Sign("", "", piece=True, mathematical=False)
+    c = chr(code)
+    about = {"large": c in E.LARGE, "accent": c in E.ACCENTS, "radical": c == "√"}
+    if c in KNOWN:
+        return Sign(c, spaced(KNOWN[c]), **about)
+    latex = f"\\boldsymbol{{{c}}} " if bold and role == "math-italic" and c.isascii() and c.isalpha() else f"\\{c}" if c in "%#&_" else c
+    return Sign(c, latex, mathematical=False, **about)
+
+
+def decode(raw: str, font: str) -> Sign:
+    """Text, LaTeX and properties of a string in a font; a piece is a string of nothing but pieces of delimiters."""
+    signs = [character(c, font) for c in raw]
+    latex = re.sub(r"[\s\ufeff]+", " ", "".join(s.latex for s in signs)).strip()
+    flags = {k: any(getattr(s, k) for s in signs) for k in ("large", "tall", "accent", "radical", "mathematical")}
+    return Sign("".join(s.text for s in signs), latex, piece=bool(signs) and all(s.piece for s in signs), **flags)
+
+
+DECODED = T.StructType().add("text", "string").add("latex", "string")
+for _flag in Sign._fields[2:]:
+    DECODED.add(_flag, "boolean")
 
 
 @F.pandas_udf(DECODED)
-def decoded(raw: pd.Series, role: pd.Series) -> pd.DataFrame:
-    """Each distinct pair of a string and a role in a batch is decoded once."""
-    pairs = list(zip(raw.fillna(""), role.fillna("unknown"), strict=True))
+def decoded(raw: pd.Series, font: pd.Series) -> pd.DataFrame:
+    """struct(text, latex, large, tall, accent, radical, piece, mathematical); each distinct pair of a string and a font in a batch is decoded once."""
+    pairs = list(zip(raw.fillna(""), font.fillna(""), strict=True))
     known = {p: decode(*p) for p in set(pairs)}
-    return pd.DataFrame([known[p] for p in pairs], columns=["text", "latex"])
+    return pd.DataFrame([known[p] for p in pairs], columns=list(Sign._fields))

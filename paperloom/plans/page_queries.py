@@ -93,14 +93,21 @@ def font_families(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", face["role"].alias("role"), face["italic"].alias("italic"), face["bold"].alias("bold"), m["font"].alias("math_font"), m["token"].alias("math_token"))
 
 
-CODES = 0x75
-FACES = ("math-italic", "math-symbol", "math-ext", "body-serif", "math-bb", "math-cal")
+#: Fonts of all encodings and roles, as name: encoding, role, bold.
+FACES = {
+    "CMMI10": ("oml", "math-italic", False), "QZLXPR+CMMIB10": ("oml", "math-italic", True), "CMSY10": ("oms", "math-symbol", False), "CMEX10": ("omx", "math-ext", False), "CMR10": ("ot1", "body-serif", False), "SymbolMT": ("symbol", "math-symbol", False),
+    "MSBM10": ("", "math-bb", False), "RSFS10": ("", "math-cal", False), "Times-Roman": ("", "body-serif", False), "XITSMath": ("", "math-symbol", False), "Odd": ("", "unknown", False),
+}
+STYLED = "𝐀𝑏𝒞𝔇𝔼𝛼𝟎ﬃ𝒙𝓑𝟙𝚪𝔞𝜖𝞹𝑍𝗔𝛢"
 
 
 def decoded_glyphs(spark: SparkSession, d: str) -> DataFrame:
-    """Text and LaTeX of characters at all slots of fonts of several roles, and of styled letters."""
-    rows = table(spark, d, "events").selectExpr("event_id", f"CASE WHEN event_id % 10 = 9 THEN substring('𝐀𝑏𝒞𝔇𝔼𝛼𝟎ﬃ', int(event_id div 10 % 8) + 1, 1) ELSE chr(int(event_id % {CODES})) END AS raw", f"element_at(array({', '.join(repr(f) for f in FACES)}), int(event_id % {len(FACES)}) + 1) AS role")
-    return rows.select("event_id", glyphs.decoded("raw", "role").alias("g")).select("event_id", "g.text", "g.latex")
+    """Text, LaTeX and properties of characters at all slots of fonts of all encodings: alone, before a letter, in the private area; and of styled letters."""
+    n = len(FACES)
+    code = f"int(event_id div {n} % 255 + 1)"
+    raw = f"CASE WHEN event_id % 10 = 9 THEN substring('{STYLED}', int(event_id div 10 % {len(STYLED)}) + 1, 1) WHEN event_id % 4 = 1 THEN chr({code}) || 'x' WHEN event_id % 4 = 2 THEN decode(unhex('F0' || lpad(hex({code}), 2, '0')), 'UTF-16BE') ELSE chr({code}) END"
+    rows = table(spark, d, "events").selectExpr("event_id", f"{raw} AS raw", f"element_at(array({', '.join(map(repr, FACES))}), int(event_id % {n}) + 1) AS font")
+    return rows.select("event_id", glyphs.decoded("raw", "font").alias("g")).select("event_id", "g.text", "g.latex", "g.large", "g.tall", "g.radical", "g.piece", "g.mathematical")
 
 
 PARTED = "CASE event_id % 6 WHEN 0 THEN '])|' WHEN 1 THEN '= max x' WHEN 2 THEN ', lim' WHEN 3 THEN 'maximum' WHEN 4 THEN '((' ELSE 'text' END"
@@ -167,6 +174,61 @@ def stream_conversations(spark: SparkSession, d: str) -> DataFrame:
     return last.select("conv_id", "s.n_turns", F.md5("s.context").alias("context_md5"))
 
 
+#: The characters and commands by encoding and slot, written out by hand: nothing here comes from the library.
+DECODED_SQL = rf"""
+WITH runs(enc, start, chars, texs) AS (VALUES
+ ('oml', 0, 'Γ Δ Θ Λ Ξ Π Σ Υ Φ Ψ Ω α β γ δ ϵ', '\Gamma \Delta \Theta \Lambda \Xi \Pi \Sigma \Upsilon \Phi \Psi \Omega \alpha \beta \gamma \delta \epsilon'),
+ ('oml', 16, 'ζ η θ ι κ λ μ ν ξ π ρ σ τ υ ϕ χ ψ ω ε ϑ ϖ ϱ ς φ', '\zeta \eta \theta \iota \kappa \lambda \mu \nu \xi \pi \rho \sigma \tau \upsilon \phi \chi \psi \omega \varepsilon \vartheta \varpi \varrho \varsigma \varphi'),
+ ('oml', 58, '. , < / > ⋆ ∂', '. , < / > \star \partial'), ('oml', 91, '♭ ♮ ♯ ⌣ ⌢ ℓ', '\flat \natural \sharp \smile \frown \ell'), ('oml', 123, 'ı ȷ ℘ ⃗', '\imath \jmath \wp \vec'),
+ ('oms', 0, '− ⋅ × ∗ ÷ ⋄ ± ∓ ⊕ ⊖ ⊗ ⊘ ⊙ ◯ ∘ ∙', '- \cdot \times \ast \div \diamond \pm \mp \oplus \ominus \otimes \oslash \odot \bigcirc \circ \bullet'),
+ ('oms', 16, '≍ ≡ ⊆ ⊇ ≤ ≥ ≼ ≽ ∼ ≈ ⊂ ⊃ ≪ ≫ ≺ ≻', '\asymp \equiv \subseteq \supseteq \leq \geq \preceq \succeq \sim \approx \subset \supset \ll \gg \prec \succ'),
+ ('oms', 32, '← → ↑ ↓ ↔ ↗ ↘ ≃ ⇐ ⇒ ⇑ ⇓ ⇔ ↖ ↙ ∝', '\leftarrow \rightarrow \uparrow \downarrow \leftrightarrow \nearrow \searrow \simeq \Leftarrow \Rightarrow \Uparrow \Downarrow \Leftrightarrow \nwarrow \swarrow \propto'),
+ ('oms', 48, '′ ∞ ∈ ∋ △ ▽ ̸', '^\prime \infty \in \ni \triangle \bigtriangledown \not'), ('oms', 56, '∀ ∃ ¬ ∅ ℜ ℑ ⊤ ⊥', '\forall \exists \neg \emptyset \Re \Im \top \perp'),
+ ('oms', 91, '∪ ∩ ⊎ ∧ ∨ ⊢ ⊣ ⌊ ⌋ ⌈ ⌉ {{ }} ⟨ ⟩ | ∥', '\cup \cap \uplus \wedge \vee \vdash \dashv \lfloor \rfloor \lceil \rceil \{{ \}} \langle \rangle | \|'),
+ ('oms', 110, '\', '\setminus'), ('oms', 112, '√', '\sqrt'), ('oms', 114, '∇ ∫ ⊔ ⊓ ⊑ ⊒ § † ‡', '\nabla \int \sqcup \sqcap \sqsubseteq \sqsupseteq \S \dagger \ddagger'),
+ ('omx', 0, '( ) [ ] ⌊ ⌋ ⌈ ⌉ {{ }} ⟨ ⟩ | ∥ / \ ( ) ( ) [ ] ⌊ ⌋ ⌈ ⌉ {{ }} ⟨ ⟩', '( ) [ ] \lfloor \rfloor \lceil \rceil \{{ \}} \langle \rangle | \| / \backslash ( ) ( ) [ ] \lfloor \rfloor \lceil \rceil \{{ \}} \langle \rangle'),
+ ('omx', 32, '( ) [ ]', '( ) [ ]'), ('omx', 40, '{{ }} ⟨ ⟩', '\{{ \}} \langle \rangle'), ('omx', 48, '( ) [ ]', '( ) [ ]'), ('omx', 56, '{{ }}', '\{{ \}}'),
+ ('omx', 70, '⊔ ⊔ ∮ ∮ ⊙ ⊙ ⊕ ⊕ ⊗ ⊗ ∑ ∏ ∫ ⋃ ⋂ ⊎ ⋀ ⋁', '\bigsqcup \bigsqcup \oint \oint \bigodot \bigodot \bigoplus \bigoplus \bigotimes \bigotimes \sum \prod \int \bigcup \bigcap \biguplus \bigwedge \bigvee'),
+ ('omx', 88, '∑ ∏ ∫ ⋃ ⋂ ⊎ ⋀ ⋁ ∐ ∐', '\sum \prod \int \bigcup \bigcap \biguplus \bigwedge \bigvee \coprod \coprod'), ('omx', 98, '̂ ̂ ̂ ̃ ̃ ̃', '\widehat \widehat \widehat \widetilde \widetilde \widetilde'), ('omx', 112, '√ √ √ √ √', '\sqrt \sqrt \sqrt \sqrt \sqrt'),
+ ('ot1', 0, 'Γ Δ Θ Λ Ξ Π Σ Υ Φ Ψ Ω ff fi fl ffi ffl ı ȷ ` ´ ˇ ˘ ¯ ˚', '\Gamma \Delta \Theta \Lambda \Xi \Pi \Sigma \Upsilon \Phi \Psi \Omega ff fi fl ffi ffl \imath \jmath ` '' \check \breve \bar \mathring'), ('ot1', 25, 'ß æ œ ø Æ Œ Ø', 'ss ae oe o AE OE O'),
+ ('symbol', 34, '∀', '\forall'), ('symbol', 36, '∃', '\exists'), ('symbol', 39, '∋', '\ni'), ('symbol', 42, '∗', '\ast'), ('symbol', 45, '−', '-'), ('symbol', 64, '≅', '\cong'), ('symbol', 94, '⊥', '\perp'), ('symbol', 126, '∼', '\sim'),
+ ('symbol', 65, 'Α Β Χ Δ Ε Φ Γ Η Ι ϑ Κ Λ Μ Ν Ο Π Θ Ρ Σ Τ Υ ς Ω Ξ Ψ Ζ', 'A B X \Delta E \Phi \Gamma H I \vartheta K \Lambda M N O \Pi \Theta P \Sigma T \Upsilon \varsigma \Omega \Xi \Psi Z'),
+ ('symbol', 97, 'α β χ δ ε φ γ η ι ϕ κ λ μ ν ο π θ ρ σ τ υ ϖ ω ξ ψ ζ', '\alpha \beta \chi \delta \varepsilon \phi \gamma \eta \iota \varphi \kappa \lambda \mu \nu o \pi \theta \rho \sigma \tau \upsilon \varpi \omega \xi \psi \zeta'),
+ ('symbol', 162, '′ ≤', '^\prime \leq'), ('symbol', 165, '∞', '\infty'), ('symbol', 171, '↔ ← ↑ → ↓', '\leftrightarrow \leftarrow \uparrow \rightarrow \downarrow'), ('symbol', 177, '± ″ ≥ × ∝ ∂ ∙ ÷ ≠ ≡ ≈', '\pm ^{{\prime\prime}} \geq \times \propto \partial \bullet \div \neq \equiv \approx'),
+ ('symbol', 196, '⊗ ⊕ ∅ ∩ ∪ ⊃ ⊇', '\otimes \oplus \emptyset \cap \cup \supset \supseteq'), ('symbol', 204, '⊂ ⊆ ∈ ∉', '\subset \subseteq \in \notin'), ('symbol', 209, '∇', '\nabla'), ('symbol', 213, '∏ √ ⋅ ¬ ∧ ∨ ⇔ ⇐', '\prod \sqrt \cdot \neg \wedge \vee \Leftrightarrow \Leftarrow'),
+ ('symbol', 222, '⇒', '\Rightarrow'), ('symbol', 225, '⟨', '\langle'), ('symbol', 229, '∑', '\sum'), ('symbol', 241, '⟩ ∫', '\rangle \int')),
+slots AS (SELECT enc, start + i - 1 AS code, string_split(chars, ' ')[i] AS t, string_split(texs, ' ')[i] AS l FROM runs, range(1, 33) r(i) WHERE i <= len(string_split(chars, ' '))),
+fonts(f, enc, role, bold) AS (VALUES (0, 'oml', 'italic', false), (1, 'oml', 'italic', true), (2, 'oms', '', false), (3, 'omx', '', false), (4, 'ot1', '', false), (5, 'symbol', '', false), (6, '', 'bb', false), (7, '', 'cal', false), (8, '', '', false), (9, '', '', false), (10, '', '', false)),
+styled(i, t, l) AS (VALUES (0, 'A', '\mathbf{{A}}'), (1, 'b', 'b'), (2, 'C', '\mathcal{{C}}'), (3, 'D', '\mathfrak{{D}}'), (4, 'E', '\mathbb{{E}}'), (5, 'α', '\alpha'), (6, '0', '\mathbf{{0}}'), (7, 'ffi', 'ffi'), (8, 'x', '\boldsymbol{{x}}'), (9, 'B', '\mathcal{{B}}'), (10, '1', '\mathbb{{1}}'), (11, 'Γ', '\Gamma'), (12, 'a', '\mathfrak{{a}}'), (13, 'ϵ', '\epsilon'), (14, 'π', '\pi'), (15, 'Z', 'Z'), (16, '𝗔', '𝗔'), (17, '𝛢', '𝛢')),
+e AS (SELECT event_id, event_id % 11 AS f, event_id // 11 % 255 + 1 AS code, CASE WHEN event_id % 10 = 9 THEN 3 ELSE CASE event_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END END AS kind, event_id // 10 % 18 AS i FROM events),
+j AS (
+  SELECT e.*, fonts.enc, role, bold, chr(e.code::INT) AS c, own.t AS ot, own.l AS ol, sym.t AS st, sym.l AS sl, e.code BETWEEN 65 AND 90 AS letter,
+         fonts.enc = 'omx' AND (e.code BETWEEN 52 AND 55 OR e.code BETWEEN 58 AND 67 OR e.code IN (117, 118)) OR (fonts.enc = 'symbol' OR (kind = 2 AND fonts.enc IN ('', 'ot1'))) AND (e.code BETWEEN 230 AND 239 OR e.code BETWEEN 243 AND 254) AS part,
+         e.code < 32 OR e.code BETWEEN 127 AND 159 AS control
+  FROM e JOIN fonts USING (f) LEFT JOIN slots own ON own.enc = fonts.enc AND own.code = e.code AND (own.enc <> 'oml' OR e.code <= 39 OR kind = 2) LEFT JOIN slots sym ON sym.enc = 'symbol' AND sym.code = e.code AND kind = 2 AND fonts.enc IN ('', 'ot1')),
+w AS (
+  SELECT *, CASE WHEN kind <> 2 AND code IN (9, 10, 13, 32) THEN 'space' WHEN part THEN 'part' WHEN enc = 'oms' AND letter THEN 'cal' WHEN ot IS NOT NULL THEN 'own' WHEN role = 'bb' AND letter THEN 'bb' WHEN st IS NOT NULL THEN 'sym' WHEN role = 'cal' AND letter THEN 'cal'
+                 WHEN control AND code IN (9, 10, 13) THEN 'space' WHEN control AND code = 15 THEN 'eps' WHEN control THEN 'gone' WHEN code IN (172, 177, 181, 183, 215, 247) THEN 'known' ELSE 'plain' END AS how FROM j),
+o AS (
+  SELECT event_id, f, kind, i, enc, code, how, c, bold, ot, st,
+         CASE how WHEN 'space' THEN ' ' WHEN 'part' THEN '' WHEN 'gone' THEN '' WHEN 'own' THEN ot WHEN 'sym' THEN st WHEN 'eps' THEN 'ϵ' WHEN 'bb' THEN coalesce((MAP {{'C': 'ℂ', 'H': 'ℍ', 'N': 'ℕ', 'P': 'ℙ', 'Q': 'ℚ', 'R': 'ℝ', 'Z': 'ℤ'}})[c], c) ELSE c END AS t,
+         CASE how WHEN 'space' THEN ' ' WHEN 'part' THEN '' WHEN 'gone' THEN '' WHEN 'cal' THEN '\mathcal{{' || c || '}} ' WHEN 'bb' THEN '\mathbb{{' || c || '}} ' WHEN 'eps' THEN CASE WHEN bold THEN '\boldsymbol{{\epsilon}} ' ELSE '\epsilon ' END
+           WHEN 'own' THEN CASE WHEN bold AND starts_with(ol, '\') THEN '\boldsymbol{{' || ol || '}} ' WHEN enc = 'oml' OR starts_with(ol, '\') THEN ol || ' ' ELSE ol END WHEN 'sym' THEN CASE WHEN starts_with(sl, '\') THEN sl || ' ' ELSE sl END
+           WHEN 'known' THEN CASE code WHEN 172 THEN '\neg ' WHEN 177 THEN '\pm ' WHEN 181 THEN '\mu ' WHEN 183 THEN '\cdot ' WHEN 215 THEN '\times ' ELSE '\div ' END
+           ELSE CASE WHEN bold AND regexp_matches(c, '^[A-Za-z]$') THEN '\boldsymbol{{' || c || '}} ' WHEN c IN ('%', '#', '&', '_') THEN '\' || c ELSE c END END AS l,
+         CASE WHEN bold THEN '\boldsymbol{{x}}' ELSE 'x' END AS lx
+  FROM w),
+x AS (
+  SELECT o.event_id, o.kind, how, code, enc, CASE WHEN kind = 3 THEN s.t WHEN kind = 1 THEN o.t || CASE WHEN enc = 'oms' THEN '§' WHEN enc = 'symbol' THEN 'ξ' ELSE 'x' END ELSE o.t END AS t,
+         CASE WHEN kind = 3 THEN s.l WHEN kind = 1 THEN o.l || CASE WHEN enc = 'oms' THEN '\S' WHEN enc = 'symbol' THEN '\xi' ELSE lx END ELSE o.l END AS l, o.t AS one
+  FROM o LEFT JOIN styled s ON s.i = o.i)
+SELECT event_id, t AS text, trim(regexp_replace(l, '\s+', ' ', 'g')) AS latex,
+       kind <> 3 AND ((how = 'own' AND ((enc = 'omx' AND code BETWEEN 70 AND 97) OR (enc IN ('oms', 'symbol') AND one IN ('∏', '∑', '∫')))) OR (how = 'sym' AND one IN ('∏', '∑', '∫'))) AS large,
+       kind <> 3 AND how = 'own' AND enc = 'omx' AND code < 70 AS tall, kind <> 3 AND how IN ('own', 'sym') AND one = '√' AS radical, kind IN (0, 2) AND how IN ('part', 'gone') AS piece,
+       CASE WHEN kind = 3 THEN t NOT IN ('ffi', '𝗔', '𝛢') ELSE how IN ('cal', 'bb', 'sym', 'eps', 'known') OR (how = 'own' AND (enc <> 'ot1' OR code <= 10)) OR (kind = 1 AND enc IN ('oms', 'symbol')) END AS mathematical
+FROM x
+"""
+
 QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, font_families, decoded_glyphs, glyph_parts, stream_dedupe, stream_windows, stream_sessions, stream_replies, stream_conversations)}
 ORACLES = {
     "math_reconstruct": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'y = \frac{' || user_id % 10 || '}{' || event_id % 7 || '}' WHEN 1 THEN '\sqrt{' || CASE WHEN event_id % 2 = 0 THEN '\mathbf{' || chr((97 + user_id % 26)::INT) || '}' ELSE chr((97 + user_id % 26)::INT) END || '_{k}}' WHEN 2 THEN '\sum_{i}^{N} x' WHEN 3 THEN 'X_{' || user_id % 100 || '}^{t}' ELSE '\mathrm{where} \mathrm{the} \mathrm{loss}' END AS latex,
@@ -194,8 +256,5 @@ ORACLES = {
  k AS (SELECT *, CASE WHEN r = 0 THEN 'c' WHEN m IN (0, 4) AND r = 2 THEN 'd' WHEN m IN (1, 2) AND r IN (1, 2) THEN 'w' ELSE 'o' END AS kind, CASE m WHEN 0 THEN '])|' WHEN 1 THEN '= max x' WHEN 2 THEN ', lim' WHEN 3 THEN 'maximum' WHEN 4 THEN '((' ELSE 'text' END AS t FROM e),
  x AS (SELECT event_id, part, str, pos, n FROM k JOIN p ON p.m = k.m AND p.kind = k.kind UNION ALL SELECT event_id, 0, t, 0, length(t) FROM k WHERE kind = 'o' UNION ALL SELECT event_id, i, t[i + 1], i, length(t) FROM k, range(7) r(i) WHERE kind = 'c' AND i < length(t))
  SELECT event_id, part::BIGINT AS part, str, round(100 + 40.0::DOUBLE * pos / n, 6) AS x, round(40.0::DOUBLE * length(str) / n, 6) AS w FROM x""",
-    # the fixed values as a table of characters by role and slot
-    "decoded_glyphs": f"""WITH c(role, code, text, latex) AS (VALUES {', '.join("('%s', %d, '%s', '%s')" % (r, c, *(x.replace("'", "''").replace(chr(0), '') for x in glyphs.character(chr(c), r))) for r in FACES for c in range(CODES))}), s(i, text, latex) AS (VALUES (0, 'A', '\\mathbf{{A}}'), (1, 'b', 'b'), (2, 'C', '\\mathcal{{C}}'), (3, 'D', '\\mathfrak{{D}}'), (4, 'E', '\\mathbb{{E}}'), (5, 'α', '\\alpha'), (6, '0', '\\mathbf{{0}}'), (7, 'ffi', 'ffi')),
- e AS (SELECT event_id, ([{', '.join(f"'{f}'" for f in FACES)}])[event_id % {len(FACES)} + 1] AS role, event_id % {CODES} AS code, CASE WHEN event_id % 10 = 9 THEN event_id // 10 % 8 END AS i FROM events)
- SELECT event_id, coalesce(s.text, c.text) AS text, coalesce(s.latex, c.latex) AS latex FROM e LEFT JOIN s USING (i) JOIN c ON c.role = e.role AND c.code = e.code""",
+    "decoded_glyphs": DECODED_SQL,
 }

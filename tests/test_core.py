@@ -83,11 +83,11 @@ def test_sentences(text, n):
 def test_glyphs(spark):
     roles = values(spark, ["QZLXPR+CMMI10", "CMSY10", "CMEX10", "MSBM10", "SimSun", None], glyphs.font_role)
     assert roles == ["math-italic", "math-symbol", "math-ext", "math-bb", "cjk", "unknown"]
-    assert glyphs.decode("\x0f", "math-italic") == ("ϵ", "\\epsilon")
-    assert glyphs.decode("2", "math-symbol") == ("∈", "\\in")
-    assert glyphs.decode("P", "math-ext") == ("∑", "\\sum")
-    assert glyphs.decode("R", "math-bb") == ("ℝ", "\\mathbb{R}")
-    assert glyphs.decode("", "math-symbol")[0] == "α∈∑"
+    assert glyphs.decode("\x0f", "math-italic")[:2] == ("ϵ", "\\epsilon")
+    assert glyphs.decode("2", "math-symbol")[:2] == ("∈", "\\in")
+    assert glyphs.decode("P", "math-ext")[:2] == ("∑", "\\sum")
+    assert glyphs.decode("R", "math-bb")[:2] == ("ℝ", "\\mathbb{R}")
+    assert glyphs.decode("", "SymbolMT")[0] == "α∈∑"
     assert glyphs.decode("eﬃcient ﬂow", "body-serif")[0] == "efficient flow"
 
 
