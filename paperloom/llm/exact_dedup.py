@@ -16,7 +16,7 @@ them stays. Extra columns are ignored by `exact_groups` and carried by `drop_cop
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.names import fresh, own
@@ -72,7 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows of all others are grouped no further. `drop_copies` reads full texts for surviving groups only.
     """
     rows = written(features(docs, id_col, text_col).groupBy("_id", "_chars", *KEYS, "_sha").agg(F.count(F.lit(1)).alias("_m")), "exact")
-    hot = hot_from(rows.count())
+    hot = hot_from(rows.agg(F.sum("_m")).first()[0] or 0)  # rows with their repeats, as groups are counted
     again = survivors(survivors(rows, ["_len"], hot, F.sum("_m")), KEYS, hot, F.sum("_m"))
     groups = again.groupBy(*KEYS, "_sha").agg(
         F.sum("_m").alias("_size"),
@@ -97,7 +97,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     narrow = written(features(docs, id_col, text_col, full=False, row=True), "narrow")
     hot = hot_from(narrow.count())
     twice = survivors(survivors(narrow, ["_len"], hot), KEYS, hot)
-    i, row, kept, rn = fresh(docs, "_i", "_r", "_kept", "_rn")
+    i, row, kept, whole = fresh(docs, "_i", "_r", "_kept", "_whole")
     some = written(twice.select(F.col("_id").alias(i), F.col("_row").alias(row)).distinct(), "twice")
     same = lambda other: docs[id_col].eqNullSafe(other[i]) & (F.xxhash64(docs[text_col]) == other[row])
     full = docs.join(some, same(some), "left_semi")
@@ -109,6 +109,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fate = written(joined.select(F.col("_id").alias(i), F.col("_row").alias(row), stays.alias(kept), "_m").filter(f"not {kept} or _m > 1").drop("_m"), "fate")
     left = docs.join(fate, same(fate), "left").filter(f"coalesce({kept}, true)")
     rest = left.filter(f"{kept} is null").select(*own(docs))
-    order = Window.partitionBy(i, row).orderBy(F.lit(0))  # repeated rows: one of them
-    one = left.filter(f"{kept} is not null").withColumn(rn, F.row_number().over(order)).filter(f"{rn} = 1").select(*own(docs))
+    # repeated rows: one of them, chosen before they are shuffled
+    one = left.filter(f"{kept} is not null").groupBy(i, row).agg(F.any_value(F.struct(*own(docs))).alias(whole)).select(f"{whole}.*")
     return rest.unionByName(one)
