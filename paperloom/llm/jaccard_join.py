@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
@@ -467,13 +467,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component, the one with the smallest id and then hash of the text; columns as they came."""
-    i, row, rn = fresh(docs, "_i", "_r", "_rn")
+    i, row, whole = fresh(docs, "_i", "_r", "_whole")
     rows = linked(docs, id_col, text_col).groupBy(F.col("_id").alias(i), F.col("_row").alias(row)).agg(F.min("kept").alias("kept"), (F.max("n") > 0).alias("some"), F.count(F.lit(1)).alias("m"))
     fate = written(rows.filter("not kept or (some and m > 1)").select(i, row, "kept"), "fate")
     gone, twice = fate.filter("not kept").drop("kept"), fate.filter("kept").drop("kept")
     same = (F.coalesce(docs[id_col].cast("long"), F.lit(int(NO_ID))) == fate[i]) & (F.xxhash64(docs[text_col]) == fate[row])
     if twice.isEmpty():
         return docs.join(gone, same, "left_anti")
-    order = Window.partitionBy(i, row).orderBy(F.lit(0))  # repeated rows: one of them
-    one = docs.join(twice, same).withColumn(rn, F.row_number().over(order)).filter(f"{rn} = 1").select(*own(docs))
+    # repeated rows: one of them, chosen before they are shuffled
+    one = docs.join(twice, same).groupBy(i, row).agg(F.any_value(F.struct(*own(docs))).alias(whole)).select(f"{whole}.*")
     return docs.join(fate.drop("kept"), same, "left_anti").unionByName(one)
