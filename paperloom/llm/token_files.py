@@ -495,7 +495,9 @@ def encoded(path: str, end: int) -> Callable:
 def write(docs: DataFrame, to: str, path: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The ids of docs as files in the folder to."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.col(text_col).alias("_t"))
-    ranged = rows.repartitionByRange(parts_of(docs.sparkSession), "_id").sortWithinPartitions("_id", F.xxhash64("_t"))
+    # rows of one id go by their texts, equal ones by chance, so that any number of them is dealt over ranges
+    rows = rows.withColumn("_tie", F.xxhash64("_t")).withColumn("_salt", F.rand(5))
+    ranged = rows.repartitionByRange(parts_of(docs.sparkSession), "_id", "_tie", "_salt").sortWithinPartitions("_id", "_tie").drop("_tie", "_salt")
     ranged.mapInArrow(encoded(path or default_path(), end), "shard int, number int, docs binary, sizes binary, sums binary, blocks array<binary>").write.parquet(to)
 
 
