@@ -10,7 +10,7 @@ The first lanes decide equality. The others estimate likeness: read as sums of +
 
 Neighbours by descending doc_id come from one shuffle of the texts into ranges of ids: the first
 row of each range is also put, as a copy, at the end of the range before it, so no
-task sees more than a range. Counts are summed within that partitioning, without a further shuffle.
+task sees more than a range. An id that many rows share has several ranges, by a hash of the text, and so have null ids. Counts are summed within that partitioning, without a further shuffle.
 
 Defined results: null counts as the empty text, which has no paragraphs; blank paragraphs count for nothing; likeness of two texts
 without paragraphs is 1, of one without and one with 0; a single document is its own next one; doc_id null
@@ -19,6 +19,8 @@ comes last; rows repeated with one doc_id follow each other; extra columns are i
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,27 +46,49 @@ def ranged(value: Column, cuts: list[int]) -> Column:
     return halved(0, len(cuts))
 
 
+#: Bits of the hash of a text by which rows of one id are dealt over several ranges.
+TIES = 20
+
+
+def laid_out(cuts: list[int]) -> tuple[list[int], list[int], list[int], int]:
+    """Cuts of ids, and for each part between them its first range and its number of ranges, in reading order (descending ids); then the first range of nulls.
+
+    cuts: as many quantiles of the ids as there are tasks, less one. A value that is several of them is a part of its own, with as many ranges.
+    """
+    times = Counter(cuts)
+    edges = sorted({e for c, k in times.items() for e in ((c, c + 1) if k > 1 else (c,))})
+    parts = [1, *(max(1, times[e]) for e in edges)]
+    bases, n = [], 0
+    for k in reversed(parts):
+        bases.append(n)
+        n += k
+    return edges, bases[::-1], parts, n
+
+
 def beside(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_range, _pos (place in it), _id, _text, _next (text of the next document by descending id), _copy.
 
-    Rows are partitioned by _range. The rows with _copy repeat the first one of the following range.
+    Rows are partitioned by _range. The rows with _copy repeat the first one of the following range. Rows without an id, or with one that many
+    share, are spread over ranges by a hash of their texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     n = parts_of(spark)
-    got = rows.select(F.percentile_approx("_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    cuts = sorted(set(got))
-    here = F.coalesce(ranged(F.col("_id"), cuts), F.lit(-1))  # nulls are a range of their own, the last one
+    quantiles, nulls = rows.select(F.percentile_approx("_id", [i / n for i in range(1, n)] or [0.5], 100 * n), F.count_if(F.col("_id").isNull())).first()
+    edges, bases, parts, last = laid_out(quantiles or [])
+    tie = F.xxhash64("_text")
+    piece = lambda k: F.shiftright((F.shiftright(tie, 64 - TIES) + (1 << TIES - 1)) * k, TIES).cast("int")  # noqa: E731  in the order of the hash
+    part = ranged(F.col("_id"), edges)
+    known = F.get(F.array(*map(F.lit, bases)), part) + (piece(F.get(F.array(*(F.lit(p).cast("long") for p in parts)), part)) if max(parts) > 1 else F.lit(0))
+    here = F.when(F.col("_id").isNull(), F.lit(last) + piece(F.lit(n).cast("long"))).otherwise(known) if nulls else known
     placed = rows.withColumn("_range", here)
     # the first row of each range; as many as ranges, so they may be broadcast
-    tops = placed.select("_range", "_id").groupBy("_range").agg(F.max("_id").alias("_top")).orderBy(F.desc("_range")).collect()
-    firsts = [(tops[i]["_top"], tops[i]["_range"], tops[i - 1]["_range"]) for i in range(len(tops))]  # after the last the first
-    # of rows with one id the one that sorts first
-    table = spark.createDataFrame(firsts, "_top long, _of int, _to int")
-    same = placed.join(F.broadcast(table), (F.col("_range") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_top")))
-    tie = F.xxhash64("_text")
-    one = Window.partitionBy("_of").orderBy(tie)
-    copies = same.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_id", "_text", F.col("_to").alias("_range"), F.lit(True).alias("_copy"))
+    first = F.min(F.struct((-F.col("_id")).alias("d"), tie.alias("t"))).alias("f")
+    tops = placed.groupBy("_range").agg(first, F.max("_id").alias("_top")).orderBy("_range").collect()
+    firsts = [(r["_top"], r["f"]["t"], r["_range"], tops[i - 1]["_range"]) for i, r in enumerate(tops)]  # after the last the first
+    table = F.broadcast(spark.createDataFrame(firsts, "_top long, _tie long, _of int, _to int"))
+    same = placed.join(table, (F.col("_range") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_top")) & (tie == F.col("_tie")))
+    copies = same.groupBy("_of", "_to", "_id").agg(F.any_value("_text").alias("_text")).select("_id", "_text", F.col("_to").alias("_range"), F.lit(True).alias("_copy"))
     both = placed.withColumn("_copy", F.lit(False)).unionByName(copies)
     order = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last("_id"), tie)
     return both.withColumn("_pos", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order))
