@@ -5,7 +5,8 @@ nothing changes, at 0 all sources weigh the same. The exponent is found by bisec
 STEPS points at a time in one aggregation over the sources: the largest t whose entropy reaches the target (a part of that of
 equal weights) but, first of all, with which no source is read more often than `repeat` times.
 
-Weights are realised as block permutations: a source's documents are dealt to blocks by hash, each
+Weights are realised as block permutations: a source's documents are dealt to blocks by hash of id and text, so that rows without an id, or that share one, are
+in blocks of their own; each
 epoch orders its blocks by a hash of (seed, epoch, block), whole epochs are taken while
 the source's budget of tokens lasts, and of the last one the blocks before the budget ends.
 Running sums go over blocks in ranges of their order, so a source of a third of all rows is many tasks.
@@ -31,8 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """_id, _source, _tokens: words of each whole text."""
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("_source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_tokens"))
+    """_id, _row (a hash of the text), _source, _tokens: words of each whole text."""
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("_source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_tokens"))
 
 
 def exponent(shares: DataFrame, target: float, repeat: float, budget: float) -> float:
@@ -82,9 +83,9 @@ def weighted(shares: DataFrame, t: float, budget: float) -> DataFrame:
 
 
 def chosen(rows: DataFrame, target: float = TARGET, repeat: float = REPEAT, budget: float = 1.0, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """_id, _source, _tokens, _weight, _block, _whole (epochs taken whole), _last (whether the last epoch has the row's block), _order.
+    """_id, _row, _source, _tokens, _weight, _block, _whole (epochs taken whole), _last (whether the last epoch has the row's block), _order.
 
-    rows: _id, _source, _tokens. A document is taken _whole times, and once more if _last.
+    rows: _id, _row, _source, _tokens. A document is taken _whole times, and once more if _last.
     """
     shares = written(rows.groupBy("_source").agg(F.sum("_tokens").alias("_n")), "shares")
     few = shares.count() <= FEW  # else sources are many and small, and Spark may shuffle by them
@@ -92,7 +93,7 @@ def chosen(rows: DataFrame, target: float = TARGET, repeat: float = REPEAT, budg
     # a source without tokens is taken once
     times = F.when(F.col("_n") > 0, F.col("_budget") / F.col("_n")).otherwise(1.0)
     weights = weights.withColumn("_whole", F.floor(times + 1e-9).cast("int")).withColumn("_blocks", F.ceil((F.col("_n") + 1) / block))
-    placed = rows.join(F.broadcast(weights) if few else weights, "_source").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_source"), "_blocks"))
+    placed = rows.join(F.broadcast(weights) if few else weights, "_source").withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "_id", "_source", "_row"), "_blocks"))
     order: Column = F.xxhash64(F.lit(seed), "_source", "_whole", "_block")
     blocks = placed.groupBy("_source", "_whole", "_block", "_n", "_budget").agg(F.sum("_tokens").alias("_size")).withColumn("_order", order).withColumn("_r", F.shiftrightunsigned("_order", 56))
     ranges = blocks.groupBy("_source", "_r").agg(F.sum("_size").alias("_size"))
@@ -104,7 +105,7 @@ def chosen(rows: DataFrame, target: float = TARGET, repeat: float = REPEAT, budg
     rest = F.col("_budget") - F.col("_whole") * F.col("_n")
     # a block is taken if at least half of it lies before the budget's end
     taken = ran.select("_source", "_block", "_order", (F.col("_from") + F.col("_sum") + F.col("_size") / 2 < rest).alias("_last"))
-    return placed.join(taken, ["_source", "_block"]).select("_id", "_source", "_tokens", "_weight", F.col("_block").cast("long").alias("_block"), "_whole", "_last", "_order")
+    return placed.join(taken, ["_source", "_block"]).select("_id", "_row", "_source", "_tokens", "_weight", F.col("_block").cast("long").alias("_block"), "_whole", "_last", "_order")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -126,10 +127,10 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs, each row as often as the mixture takes it; columns as they came."""
     rows = chosen(token_rows(docs, id_col, text_col, source_col), **how)
-    i, s, n, copy = fresh(docs, "_i", "_s", "_n", "_copy")
-    times = rows.groupBy(F.col("_id").alias(i), F.col("_source").alias(s)).agg(F.max(F.col("_whole") + F.col("_last").cast("int")).alias(n)).filter(f"{n} > 0")
+    i, r, s, n, copy = fresh(docs, "_i", "_r", "_s", "_n", "_copy")
+    times = rows.groupBy(F.col("_id").alias(i), F.col("_row").alias(r), F.col("_source").alias(s)).agg(F.max(F.col("_whole") + F.col("_last").cast("int")).alias(n)).filter(f"{n} > 0")
     named = F.coalesce(F.concat(F.lit("="), docs[source_col]), F.lit(""))
-    joined = docs.join(times, docs[id_col].eqNullSafe(times[i]) & (named == times[s]))
+    joined = docs.join(times, docs[id_col].eqNullSafe(times[i]) & (F.xxhash64(docs[text_col]) == times[r]) & (named == times[s]))
     once = joined.filter(f"{n} = 1").select(*own(docs))
     more = joined.filter(f"{n} > 1").withColumn(copy, F.explode(F.expr(f"sequence(1, {n})"))).select(*own(docs))
     return once.unionByName(more)
