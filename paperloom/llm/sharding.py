@@ -64,7 +64,7 @@ def best_fit(items: list[tuple[int, int]], bins: int) -> dict[int, int]:
     return out | {k: first + b for (k, _), b in zip(items, places, strict=True)}
 
 
-def assign(rows: DataFrame, group: list[str], size: str, shards: int) -> DataFrame:
+def assign(rows: DataFrame, group: list[str], size: Column, shards: int) -> DataFrame:
     """rows with _shard; rows of one group are in one shard."""
     spark = rows.sparkSession
     groups = rows.groupBy(*group).agg(F.sum(size).alias("_bytes"))
@@ -81,24 +81,26 @@ def assign(rows: DataFrame, group: list[str], size: str, shards: int) -> DataFra
     return out.withColumn("_shard", F.coalesce("_own", "_any")).drop("_bundle", "_own", "_any")
 
 
-def slotted(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with _slot, gapless from 0 in each _shard."""
+def slotted(rows: DataFrame, order: list[str], times: str = "_times") -> DataFrame:
+    """Each row as often as times says, with _slot, gapless from 0 in each _shard. So rows that are repeated very often are numbered as one."""
     n = parts_of(rows.sparkSession)
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
-    counts = rows.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))  # shards times partitions at most
+    counts = rows.groupBy("_shard", "_bucket").agg(F.sum(times).alias("_n"))  # shards times partitions at most
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inside = Window.partitionBy("_shard", "_bucket").orderBy(*order)
-    numbered = rows.withColumn("_rn", F.row_number().over(inside))
-    return numbered.join(F.broadcast(offsets), ["_shard", "_bucket"]).withColumn("_slot", F.col("_from") + F.col("_rn") - 1).drop("_bucket", "_rn", "_from")
+    inside = Window.partitionBy("_shard", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_at", F.coalesce(F.sum(times).over(inside), F.lit(0))).join(F.broadcast(offsets), ["_shard", "_bucket"])
+    each = F.explode(F.expr(f"sequence(0L, {times} - 1)"))
+    placed = numbered.filter(f"{times} = 1").withColumn("_copy", F.lit(0).cast("long")).unionByName(numbered.filter(f"{times} > 1").withColumn("_copy", each))
+    return placed.withColumn("_slot", F.col("_from") + F.col("_at") + F.col("_copy")).drop("_bucket", "_at", "_from", "_copy", times)
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, size, text_crc32, _shard, _slot; narrow rows only move."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_g"), F.xxhash64(F.lit(1), text).alias("_h"))
-    rows = written(rows, "sizes")
-    placed = assign(rows, ["_g", "_h"], "size", shards)
+    rows = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_times")), "sizes")
+    placed = assign(rows, ["_g", "_h"], F.col("size") * F.col("_times"), shards)
     return slotted(placed, ["_id", "_g"])
 
 
