@@ -4,7 +4,8 @@ Four kinds of evidence are added as log odds over the known languages and "und"
 1. text: hashed character trigrams of the whole text under multinomials with a smoothed background; the
    mean over the text counts as TRUST trigrams at most, as neighbouring trigrams aren't independent.
    "und" is the same model over trigrams spread evenly over half of the cells; texts of letters without a trigram are no evidence. It has odds of 1 to RARELY from the start. The languages are those of
-   all labelled rows; each is fitted on SAMPLE of its rows (those of least hash) or on all that it has, a documented bound; scored on every text.
+   all labelled rows; each is fitted on SAMPLE of its rows (those of least hash) or on all that it has, a documented bound; scored on every text. Beyond the MOST commonest labels
+   all labels are one language more, OTHER, so that a dirty column can't make the model grow.
    A model of under THIN trigrams can't tell that a text isn't in its language: where a text of letters declares such a language, "und" gives way to it.
 2. the language that the markup or record declares, believed with odds DECLARED;
 3. the address: a path part or country suffix that names a language, with odds ADDRESS;
@@ -40,6 +41,8 @@ CELLS = 1 << 16
 #: Trigrams of a language's sample under which its model is thin; ranges of hashes that are counted to find a sample's end.
 THIN, RANGES = 20_000, 1 << 12
 NONE = "und"
+#: Languages with a model of their own at most, and what all others count as.
+MOST, OTHER = 128, "other"
 
 
 def _cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +198,19 @@ def identify(rows: DataFrame, names: list[str], like: np.ndarray, thin: list[str
     return last.select(*id_cols, F.element_at(F.array(*map(F.lit, every)), F.array_position("_posterior", best).cast("int")).alias("_language"), best.alias("_confidence"), "_posterior")
 
 
+def folded(docs: DataFrame, lang_col: str) -> Column:
+    """The label, where it is one of the MOST commonest (ties by name) or there are no more; all others are one language, OTHER."""
+    names = [r[0] for r in docs.filter(F.col(lang_col) != NONE).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).select(lang_col).limit(MOST + 1).collect()]
+    label = F.col(lang_col)
+    return label if len(names) <= MOST else F.when(label.isin(*names[:MOST], NONE) | label.isNull(), label).otherwise(OTHER)
+
+
 def of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """_id, _row (a hash of the row's text and source), _language, _confidence, _posterior, _rejected; source is the host."""
-    names, like, thin = fitted(docs.select(id_col, text_col, lang_col), text_col, lang_col)
+    label = folded(docs, lang_col)
+    names, like, thin = fitted(docs.select(id_col, text_col, label.alias(lang_col)), text_col, lang_col)
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(text_col, source_col, lang_col).alias("_row"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_declared"), F.lit(None).cast("string").alias("_address"),
+        F.col(id_col).alias("_id"), F.xxhash64(text_col, source_col, lang_col).alias("_row"), F.col(text_col).alias("_t"), label.alias("_declared"), F.lit(None).cast("string").alias("_address"),
         F.col(source_col).alias("_host"), F.regexp_extract(F.coalesce(source_col, F.lit("")), r"^(\D*)", 1).alias("_domain"), F.lit("").alias("_suffix"),
     )
     return identify(rows, names, like, thin, ["_id", "_row"]).withColumn("_rejected", (F.col("_language") == NONE) & F.lit(bool(names)))
@@ -207,7 +218,7 @@ def of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def of_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, declared, address, host, language, confidence of web pages; the text model is fitted on docs."""
-    names, like, thin = fitted(docs.select("doc_id", "text", "lang"), "text", "lang")
+    names, like, thin = fitted(docs.select("doc_id", "text", folded(docs, "lang").alias("lang")), "text", "lang")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://([^/:?#]+)", 1))
     text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&\w+;", " ")
     rows = pages.select(
