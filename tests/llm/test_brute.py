@@ -75,7 +75,7 @@ def test_mixed_rows(spark):
     rows = fixtures.rows(200)
     got = mixing.mix(fixtures.frame(spark, rows), target=target, repeat=repeat, block=block).collect()
     docs = [(i, "=" + s if s is not None else "", len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _, s, *_ in rows]
-    n = Counter()
+    n, texts = Counter(), {r[0]: r[1] for r in rows}
     for _, s, k in docs:
         n[s] += k
     total, some = sum(n.values()), {s: k for s, k in n.items() if k}
@@ -109,7 +109,7 @@ def test_mixed_rows(spark):
         budget = exact[s] * total
         whole = math.floor(budget / k + 1e-9) if k else 1
         blocks = math.ceil((k + 1) / block)
-        place = {i: signed(h64(I32(mixing.SEED), i, s)) % blocks for i, of, _ in docs if of == s}
+        place = {i: signed(h64(I32(mixing.SEED), i, s, signed(h64(*([texts[i]] if texts[i] is not None else []))))) % blocks for i, of, _ in docs if of == s}
         size = Counter()
         for i, of, m in docs:
             if of == s:
