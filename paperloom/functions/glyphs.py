@@ -35,6 +35,10 @@ UPRIGHT, SLANTED = ("math-ext", "math-bb", "math-frak"), ("math-cal", "math-ital
 MATH_ROLES = ("math-italic", "math-symbol", "math-ext", "math-bb", "math-cal", "math-frak")
 
 
+# Slots of brackets, parentheses and braces in the extension font that are set narrower or wider than others.
+NARROW, MIDDLE, WIDE = ("\x02", "\x03", "\x14", "\x15"), ("\x00", "\x01", "\x12", "\x13"), ("\x08", "\x09", "\x1a", "\x1b")
+
+
 def without_subset(name: Column) -> Column:
     return F.regexp_replace(F.coalesce(name, F.lit("")), r"^[A-Z]{6}\+", "")
 
@@ -62,7 +66,7 @@ def math_flags(text: Column, face: Column, name: Column, dominant: Column) -> Co
 
 
 def parts(text: Column, role: Column) -> Column:
-    """array<struct<str, at, share>>: the parts of an item that are glyphs of their own, where each begins and its share of the width.
+    """array<struct<str, at, share, before, word>>: the parts of an item that are glyphs of their own, where each begins, its share of the width and that of the parts before it, and whether it is an operator's name.
 
     Delimiters set in one string, and an operator's name after a sign; anything else is one part.
     """
@@ -75,7 +79,11 @@ def parts(text: Column, role: Column) -> Column:
         .when(worded, F.filter(F.array(*(F.regexp_extract(t, operator, i) for i in (1, 2, 3))), lambda c: c != ""))
         .otherwise(F.array(t))
     )
-    one = lambda c, i: F.struct(c.alias("str"), F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("at"), (F.length(c) / F.greatest(F.length(t), F.lit(1))).alias("share"))
+    single = (F.length(t) > 1) & delimiters
+    width = lambda c: F.when(single, F.when(c.isin(*NARROW), 0.528).when(c.isin(*MIDDLE), 0.736).when(c.isin(*WIDE), 0.75).otherwise(0.6)).otherwise(F.length(c).cast("double"))
+    added = lambda cs: F.aggregate(cs, F.lit(0.0), lambda n, x: n + width(x))
+    whole = F.greatest(added(cut), F.lit(0.1))
+    one = lambda c, i: F.struct(c.alias("str"), F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("at"), (width(c) / whole).alias("share"), (added(F.slice(cut, 1, i)) / whole).alias("before"), (worded & ~single & (i == 1)).alias("word"))
     return F.transform(cut, one)
 
 
