@@ -231,7 +231,7 @@ FROM x
 
 QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, font_families, decoded_glyphs, glyph_parts, stream_dedupe, stream_windows, stream_sessions, stream_replies, stream_conversations)}
 ORACLES = {
-    "math_reconstruct": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'y = \frac{' || user_id % 10 || '}{' || event_id % 7 || '}' WHEN 1 THEN '\sqrt{' || CASE WHEN event_id % 2 = 0 THEN '\mathbf{' || chr((97 + user_id % 26)::INT) || '}' ELSE chr((97 + user_id % 26)::INT) END || '_{k}}' WHEN 2 THEN '\sum_{i}^{N} x' WHEN 3 THEN 'X_{' || user_id % 100 || '}^{t}' ELSE '\mathrm{where} \mathrm{the} \mathrm{loss}' END AS latex,
+    "math_reconstruct": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'y = \frac{' || user_id % 10 || '}{' || event_id % 7 || '}' WHEN 1 THEN '\sqrt{' || CASE WHEN event_id % 2 = 0 THEN '\mathbf{' || chr((97 + user_id % 26)::INT) || '}' ELSE chr((97 + user_id % 26)::INT) END || '_{k}}' WHEN 2 THEN '\sum_{i}^{N} x' WHEN 3 THEN 'X_{' || user_id % 100 || '}^{t}' ELSE '\mathrm{where} \mathrm{the} \operatorname{loss}' END AS latex,
  CASE WHEN event_id % 5 = 2 THEN '(' || (user_id % 90 + 1) || ')' ELSE '' END AS tag, event_id % 5 <> 4 AS display FROM events""",
     "page_lines": rf"""WITH {LINES_SQL}, p AS (SELECT doc_id, line_no, unnest(range(greatest(0, (length(raw) - 1) // 40) + 1)) AS part, raw FROM lines), i AS (SELECT doc_id AS paper_id, trim(substring(raw, part * 40 + 1, 40)) AS t, length(substring(raw, part * 40 + 1, 40)) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, part) - 1 AS seq FROM p WHERE trim(substring(raw, part * 40 + 1, 40)) <> ''),
  a AS (SELECT *, seq // 40 AS page, seq % 40 AS pos FROM i), b AS (SELECT *, page % 2 = 1 AND pos >= 20 AS right_, CASE WHEN page % 2 = 1 THEN pos % 20 ELSE pos END AS row_ FROM a), r AS (SELECT paper_id, page, row_, max(n) FILTER (NOT right_) AS l, max(n) FILTER (right_) AS k FROM b GROUP BY ALL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import pages
+from paperloom.operators import formula, pages
 from paperloom.plans.page_queries import text_items
 from paperloom.sources.tables import LINES_SQL, table
 
@@ -62,9 +62,38 @@ def glyph_boxes(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("paper").alias("paper_id"), "item", "text", "latex", "role", "math", "body", *(F.round(c, 6).alias(c) for c in ("x", "w", "top", "bottom")))
 
 
-QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes)}
+_G = "named_struct('text', {}, 'x', {}D, 'y', {}D, 'w', {}D, 'h', {}D, 'role', '{}', 'bold', false)"
+
+
+def _glyphs(*rows: tuple) -> str:
+    return f"array({', '.join(_G.format(*r) for r in rows)})"
+
+
+_IT, _RM, _EX = "math-italic", "body-serif", "math-ext"
+#: Two rows with a fraction within a fraction and a sum with limits; an operator set in two fragments; a predicate; rows of a matrix beside an index that is a long way down; a clause.
+ROWS_GLYPHS = "CASE event_id % 5 WHEN 0 THEN {} WHEN 1 THEN {} WHEN 2 THEN {} WHEN 3 THEN {} ELSE {} END".format(
+    _glyphs(("'a'", 100, 540, 5, 10, _IT), ("'='", 108, 540, 6, 10, _RM), ("chr(97 + user_id % 26)", 124, 548, 5, 9, _IT), ("cast(user_id % 10 AS string)", 121, 535, 4, 9, _RM), ("'d'", 121, 524, 4, 9, _IT), ("'='", 108, 490, 6, 10, _RM), ("'∑'", 120, 485, 14, 18, _EX), ("'i'", 124, 476, 3, 7, _IT), ("cast(event_id % 7 AS string)", 124, 506, 5, 7, _RM), ("'x'", 138, 490, 5, 10, _IT)),
+    _glyphs(("chr(97 + user_id % 26)", 120, 500, 6, 10, _IT), ("'='", 130, 500, 6, 10, _RM), ("'sof'", 140, 500, 14, 10, _RM), ("'tmax'", 155, 500, 20, 10, _RM), ("'('", 176, 500, 3, 10, _RM), ("'x'", 180, 500, 5, 10, _IT), ("')'", 186, 500, 3, 10, _RM)),
+    _glyphs(("'⇒'", 90, 500, 8, 10, "math-symbol"), ("chr(97 + user_id % 26)", 101, 500, 5, 10, _IT), ("'is'", 110, 500, 8, 10, _RM), ("'positive'", 121, 500, 30, 10, _RM)),
+    _glyphs(("'['", 100, 500, 4, 30, _EX), ("cast(user_id % 10 AS string)", 106, 510, 5, 10, _RM), ("'0'", 130, 510, 5, 10, _RM), ("'0'", 106, 490, 5, 10, _RM), ("cast(event_id % 7 AS string)", 130, 490, 5, 10, _RM), ("']'", 140, 500, 4, 30, _EX)),
+    _glyphs(("'it'", 90, 500, 8, 10, _RM), ("'is'", 100, 500, 8, 10, _RM), ("'in'", 110, 500, 8, 10, _RM), ("'='", 120, 500, 6, 10, _RM), ("chr(97 + user_id % 26)", 130, 500, 5, 10, _IT)),
+)
+
+
+def formula_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas of several rows, operators set in fragments and predicates: LaTeX and verdicts."""
+    bars = "CASE event_id % 5 WHEN 0 THEN array(named_struct('x1', 119D, 'x2', 133D, 'y', 545D), named_struct('x1', 120D, 'x2', 126D, 'y', 532D)) END"
+    rows = table(spark, d, "events").select("event_id", F.expr(ROWS_GLYPHS).alias("glyphs"), F.expr(bars).alias("bars"), F.lit(72.0).alias("col_left"), F.lit(540.0).alias("col_right"))
+    return formula.formulas(rows, {"event_id": "long"}).select("event_id", "latex", "display", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows)}
 _C = "WITH c AS (SELECT c_custkey::BIGINT AS k, lower(c_mktsegment) AS s FROM customer)"
 ORACLES = {
+    # 2.2 for bars, sums and tall brackets, 1.8 for mostly mathematics (in part 1.4), 1.3 for a sign without words, 1.8 for a sign at the beginning, 0.9 for standing in
+    "formula_rows": r"""WITH e AS (SELECT event_id, event_id % 5 AS m, chr((97 + user_id % 26)::INT) AS c, user_id % 10 AS u, event_id % 7 AS k FROM events)
+ SELECT event_id, CASE m WHEN 0 THEN '\begin{aligned} a = \frac{' || c || '}{\frac{' || u || '}{d}} \\ = \sum_{i}^{' || k || '} x \end{aligned}' WHEN 1 THEN c || ' = \mathrm{sof} \mathrm{tmax} ( x )' WHEN 2 THEN '\Rightarrow ' || c || ' is \mathrm{positive}' WHEN 3 THEN '\begin{bmatrix} ' || u || ' & 0 \\ 0 & ' || k || ' \end{bmatrix}' ELSE 'it is in = ' || c END AS latex,
+ m <> 4 AS display, CASE m WHEN 0 THEN 2.2 + 1.8 + 1.3 + 0.9 WHEN 1 THEN 1.3 + 0.9 WHEN 2 THEN 1.3 + 1.8 + 0.9 WHEN 3 THEN 2.2 + 0.9 ELSE 0 END::DOUBLE AS score FROM e""",
     "page_paragraphs": rf"""{_C},
  p AS (
   SELECT k, 0 AS para, 'heading' AS type, 1 AS n_lines, NULL::INT AS body_index, (k % 9 + 1) || '. Results' AS text, NULL AS raw, NULL AS tl, NULL AS latex, NULL AS tag FROM c
