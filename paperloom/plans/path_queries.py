@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import formula, pages
+from paperloom.operators import figures, formula, pages
 from paperloom.plans.page_queries import text_items
 from paperloom.sources.tables import LINES_SQL, table
 
@@ -87,9 +87,29 @@ def formula_rows(spark: SparkSession, d: str) -> DataFrame:
     return formula.formulas(rows, {"event_id": "long"}).select("event_id", "latex", "display", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows)}
+#: Four kinds of pages as type, x0, x1, y_top, y_bottom, in the order in which text comes before figures: tables over a column of text beside another; a figure and a table in one column, 74 points apart;
+#: full-width figures above and below the text; one column, with a caption that has no figure.
+FIGURE_PAGES = """cast(CASE k % 4
+ WHEN 0 THEN array(struct('body', 72, 290, 460, 100), struct('body', 320, 540, 600, 100), struct('table', 72, 290, 720 - k % 5, 690), struct('caption', 72, 290, 680, 670), struct('table', 80, 280, 600, 560), struct('table', 80, 280, 550, 500), struct('caption', 72, 290, 490, 480), struct('figure', 320, 540, 720, 650), struct('caption', 320, 540, 640, 630), struct('footnote', 72, 290, 80, 70))
+ WHEN 1 THEN array(struct('body', 72, 290, 720, 100), struct('body', 320, 540, 720, 640), struct('body', 320, 540, 360, 100), struct('figure', 330, 420, 620, 534), struct('figure', 440, 530, 620, 534 + k % 3), struct('caption', 320, 540, 520, 510), struct('table', 320, 540, 460, 400), struct('caption', 320, 540, 390, 380))
+ WHEN 2 THEN array(struct('body', 72, 290, 560, 320), struct('body', 320, 540, 560, 320), struct('figure', 72, 290, 720, 600), struct('figure', 320, 540, 720, 600), struct('caption', 72, 540, 590, 580), struct('figure', 100, 500, 300, 200), struct('caption', 72, 540, 190, 180), struct('footnote', 72, 290, 80, 70))
+ ELSE array(struct('body', 72, 540, 720, 600), struct('body', 72, 540, 400, 300), struct('figure', 100, 500, 590, 500), struct('figure', 100, 500, 490, 440), struct('caption', 72, 540, 430, 420), struct('caption', 72, 540, 200, 190 + k % 2), struct('heading', 72, 540, 290, 280)) END
+ AS array<struct<type: string, x0: double, x1: double, y_top: double, y_bottom: double>>)"""
+
+
+def figure_places(spark: SparkSession, d: str) -> DataFrame:
+    """Reading order of the customers' pages with figures, and their units."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k")).select("k", F.posexplode(F.expr(FIGURE_PAGES)).alias("seq", "b"))
+    gutter = F.when(F.col("k") % 4 != 3, F.lit(305.0))
+    return figures.reading_order(rows.select(F.col("k").alias("paper"), F.lit(1).alias("page"), "seq", "b.*", gutter.alias("gutter"))).drop("page")
+
+
+QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows, figure_places)}
 _C = "WITH c AS (SELECT c_custkey::BIGINT AS k, lower(c_mktsegment) AS s FROM customer)"
 ORACLES = {
+    "figure_places": """WITH c AS (SELECT c_custkey::BIGINT AS paper, c_custkey % 4 AS m FROM customer),
+ o(m, seqs, units) AS (VALUES (0, [2, 3, 4, 5, 6, 0, 7, 8, 1, 9], [1, 1, 2, 2, 2, NULL, 3, 3, NULL, NULL]), (1, [0, 1, 3, 4, 5, 6, 7, 2], [NULL, NULL, 1, 1, 1, 2, 2, NULL]), (2, [2, 3, 4, 0, 1, 5, 6, 7], [1, 1, 1, NULL, NULL, 2, 2, NULL]), (3, [0, 2, 3, 4, 1, 6, 5], [NULL, 1, 1, 1, NULL, NULL, 2]))
+ SELECT paper, seqs[i]::BIGINT AS seq, (i - 1)::INT AS place, units[i]::INT AS unit FROM c JOIN o USING (m), range(1, 11) r(i) WHERE i <= len(seqs)""",
     # 2.2 for bars, sums and tall brackets, 1.8 for mostly mathematics (in part 1.4), 1.3 for a sign without words, 1.8 for a sign at the beginning, 0.9 for standing in
     "formula_rows": r"""WITH e AS (SELECT event_id, event_id % 5 AS m, chr((97 + user_id % 26)::INT) AS c, user_id % 10 AS u, event_id % 7 AS k FROM events)
  SELECT event_id, CASE m WHEN 0 THEN '\begin{aligned} a = \frac{' || c || '}{\frac{' || u || '}{d}} \\ = \sum_{i}^{' || k || '} x \end{aligned}' WHEN 1 THEN c || ' = \mathrm{sof} \mathrm{tmax} ( x )' WHEN 2 THEN '\Rightarrow ' || c || ' is \mathrm{positive}' WHEN 3 THEN '\begin{bmatrix} ' || u || ' & 0 \\ 0 & ' || k || ' \end{bmatrix}' ELSE 'it is in = ' || c END AS latex,
