@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -120,31 +122,37 @@ def aligned(translation: Column, n: Column) -> Column:
 
 def json_reply(raw: Column) -> Column:
     """A reply's JSON as a variant: without a fence around it, else what its outermost braces hold; null for none."""
-    t = T.trimmed(F.coalesce(raw, F.lit("")))
-    fence = F.regexp_extract(t, r"(?si)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(t.rlike(r"(?si)```(?:json)?\s*.*?```"), T.trimmed(fence)).otherwise(t)
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.regexp_substr(body, F.lit(r"(?s)\{.*\}"))))
+    fenced = r"(?si)```(?:json)?\s*(.*?)```"
+    body = bound(lambda c: F.when(F.contains(c["t"], F.lit("```")) & c["t"].rlike(fenced), T.trimmed(F.regexp_extract(c["t"], fenced, 1))).otherwise(c["t"]), t=T.trimmed(F.coalesce(raw, F.lit(""))))
+    return bound(lambda c: F.coalesce(F.try_parse_json(c["b"]), F.try_parse_json(F.regexp_substr(c["b"], F.lit(r"(?s)\{.*\}")))), b=body)
+
+
+def bound(make: Callable[[Column], Column], **parts: Column) -> Column:
+    """make of a struct of parts, each of which is computed once however often make names it."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in parts.items()))), make), F.lit(0))
 
 
 def sentence_reply(raw: Column, n: Column) -> Column:
     """struct(reason, translation, sentences) of a reply that should hold n sentences; reason "" where it does."""
-    v = json_reply(raw)
-    kind = F.schema_of_variant(v)
-    is_list = F.startswith(kind, F.lit("ARRAY"))
-    items = F.when(is_list, F.try_variant_get(v, "$", "array<string>")).otherwise(F.try_variant_get(v, "$.sentences", "array<string>"))
-    sentences = F.transform(items, lambda s: T.trimmed(F.coalesce(s, F.lit(""))))
-    whole = F.when(is_list, F.lit("")).otherwise(T.trimmed(F.coalesce(F.try_variant_get(v, "$.translation", "string"), F.lit(""))))
-    reason = (
-        F.when(T.trimmed(F.coalesce(raw, F.lit(""))) == "", "empty")
-        .when(v.isNull(), "not json")
-        .when(~is_list & ~F.startswith(kind, F.lit("OBJECT")), "not an object")
-        .when(items.isNull(), "no sentences")
-        .when(F.size(items) != n, "another number of sentences")
-        .when(~F.forall(sentences, usable), "a blank or failed sentence")
-        .otherwise("")
-    )
-    good = reason == ""
-    return F.struct(reason.alias("reason"), F.when(good, F.when(whole != "", whole).otherwise(F.array_join(sentences, " "))).alias("translation"), F.when(good, sentences).alias("sentences"))
+
+    def listed(c: Column) -> Column:
+        is_list = F.startswith(c["kind"], F.lit("ARRAY"))
+        items = F.when(is_list, F.try_variant_get(c["v"], "$", "array<string>")).otherwise(F.try_variant_get(c["v"], "$.sentences", "array<string>"))
+        sentences = F.transform(items, lambda s: T.trimmed(F.coalesce(s, F.lit(""))))
+        whole = F.when(is_list, F.lit("")).otherwise(T.trimmed(F.coalesce(F.try_variant_get(c["v"], "$.translation", "string"), F.lit(""))))
+        shape = F.when(c["blank"], "empty").when(c["v"].isNull(), "not json").when(~is_list & ~F.startswith(c["kind"], F.lit("OBJECT")), "not an object").otherwise("")
+        return bound(judged, shape=shape, sentences=sentences, whole=whole, n=c["n"])
+
+    def judged(c: Column) -> Column:
+        s = c["sentences"]
+        reason = F.when(c["shape"] != "", c["shape"]).when(s.isNull(), "no sentences").when(F.size(s) != c["n"], "another number of sentences").when(~F.forall(s, usable), "a blank or failed sentence").otherwise("")
+        return bound(told, reason=reason, sentences=s, whole=c["whole"])
+
+    def told(c: Column) -> Column:
+        good = c["reason"] == ""
+        return F.struct(c["reason"].alias("reason"), F.when(good, F.when(c["whole"] != "", c["whole"]).otherwise(F.array_join(c["sentences"], " "))).alias("translation"), F.when(good, c["sentences"]).alias("sentences"))
+
+    return bound(lambda c: bound(listed, v=c["v"], kind=F.schema_of_variant(c["v"]), blank=c["blank"], n=c["n"]), v=json_reply(raw), blank=T.trimmed(F.coalesce(raw, F.lit(""))) == "", n=n)
 
 
 def delta(line: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import figures, formula, pages
+from paperloom.operators import calls, figures, formula, pages
 from paperloom.plans.page_queries import text_items
 from paperloom.sources.tables import LINES_SQL, table
 
@@ -104,9 +104,25 @@ def figure_places(spark: SparkSession, d: str) -> DataFrame:
     return figures.reading_order(rows.select(F.col("k").alias("paper"), F.lit(1).alias("page"), "seq", "b.*", gutter.alias("gutter"))).drop("page")
 
 
-QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows, figure_places)}
+def call_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Translations of all conversation turns by a service with moods: how each came about after how many calls."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?]+[.!?]"), F.lit(0)).alias("sentences"))
+    out = calls.in_rounds(rows, calls.stub)
+    return out.select("conv_id", "turn", "mode", "calls", "attempt", "json", "budget", "note", F.coalesce("translation", F.lit("")).alias("translation"), F.coalesce(F.size("parts"), F.lit(-1)).alias("n_parts"))
+
+
+QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows, figure_places, call_rounds)}
 _C = "WITH c AS (SELECT c_custkey::BIGINT AS k, lower(c_mktsegment) AS s FROM customer)"
 ORACLES = {
+    # the course of a request by the service's mood and its number of sentences
+    "call_rounds": r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) % 8 AS m, len(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]')) AS n FROM conversations),
+ o(m, mode, calls, attempt, json, budget, note) AS (VALUES (0, 'sentence-json', 1, 0, true, 8192, ''), (1, 'sentence-json', 2, 0, false, 8192, 'no JSON mode'), (2, 'sentence-json', 2, 1, true, 8192, 'another number of sentences'), (3, 'unaligned', 3, 2, false, 8192, 'another number of sentences'),
+  (4, 'paragraph-split', 3, 2, false, 8192, 'another number of sentences'), (5, 'sentence-json', 2, 0, true, 16000, 'budget spent'), (6, 'failed', 1, 0, true, 8192, 'auth'), (7, 'sentence-json', 3, 1, false, 8192, 'no JSON mode'))
+ SELECT conv_id, turn, CASE WHEN trim(text, E' \t\n\r') = '' THEN 'empty' WHEN m = 6 THEN 'failed' WHEN n > 1 THEN mode WHEN n = 1 THEN 'sentence-json' ELSE 'unaligned' END AS mode, CASE WHEN trim(text, E' \t\n\r') = '' THEN 0 WHEN n > 1 THEN calls WHEN m = 5 THEN 2 ELSE 1 END AS calls,
+  CASE WHEN n > 1 THEN attempt ELSE 0 END AS attempt, n > 1 AND json AS json, CASE WHEN m = 5 THEN 16000 ELSE 8192 END AS budget, CASE WHEN n > 1 OR m IN (5, 6) THEN note ELSE '' END AS note,
+  CASE WHEN m = 6 OR trim(text, E' \t\n\r') = '' THEN '' WHEN n > 1 AND m NOT IN (3, 4) THEN '整段译文在此处。' WHEN m = 4 THEN (SELECT string_agg('第' || i || '句译文在此。', '' ORDER BY i) FROM range(1, greatest(n, 1) + 1) r(i)) ELSE '整段译文在此处，只有一句。' END AS translation,
+  CASE WHEN m = 6 OR trim(text, E' \t\n\r') = '' THEN -1 WHEN n > 1 AND m = 3 THEN -1 WHEN n > 1 THEN n WHEN n = 1 THEN 1 ELSE -1 END AS n_parts
+ FROM t JOIN o USING (m)""",
     "figure_places": """WITH c AS (SELECT c_custkey::BIGINT AS paper, c_custkey % 4 AS m FROM customer),
  o(m, seqs, units) AS (VALUES (0, [2, 3, 4, 5, 6, 0, 7, 8, 1, 9], [1, 1, 2, 2, 2, NULL, 3, 3, NULL, NULL]), (1, [0, 1, 3, 4, 5, 6, 7, 2], [NULL, NULL, 1, 1, 1, 2, 2, NULL]), (2, [2, 3, 4, 0, 1, 5, 6, 7], [1, 1, 1, NULL, NULL, 2, 2, NULL]), (3, [0, 2, 3, 4, 1, 6, 5], [NULL, 1, 1, 1, NULL, NULL, 2]))
  SELECT paper, seqs[i]::BIGINT AS seq, (i - 1)::INT AS place, units[i]::INT AS unit FROM c JOIN o USING (m), range(1, 11) r(i) WHERE i <= len(seqs)""",
