@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-LONG, CACHE, BATCH = 256, 400_000, 4_000_000
+LONG, CACHE, BATCH = 256, 400_000, 1_000_000
 #: Fixed value: the White_Space property, as the public pattern means by \s.
 BLANK = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: the public word pattern of byte-level BPE.

@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.names import fresh
-from paperloom.llm.words import LOWER, SLICE, narrow, widen
+from paperloom.llm.words import LOWER, narrow, widen
 from paperloom.session import written
 
 SAMPLE, TRUST, DECLARED, ADDRESS, K, RARELY = 4000, 60.0, 30.0, 6.0, 20.0, 100.0
 CELLS = 1 << 16
+#: Bytes of text that are worked on at once: a task holds some fifty times as many.
+SLICE = 1 << 20
 #: Trigrams of a language's sample under which its model is thin; ranges of hashes that are counted to find a sample's end.
 THIN, RANGES = 20_000, 1 << 12
 NONE = "und"
