@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import glyphs
 from paperloom.functions.sentences import sentences
 from paperloom.operators import formula, layout
-from paperloom.session import shared_dir, written
+from paperloom.session import made, parts_of, shared_dir, written
 from paperloom.sources.tables import LINES_SQL, lines, table
-from paperloom.streaming import events
+from paperloom.streaming import events, timed
 
 #: Lines of a page: 40, in two columns on odd pages.
 ROWS = 40
@@ -121,57 +122,76 @@ def glyph_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 PARTS = 4
+FOLDER = Callable[[], None]
 
 
-def staged(spark: SparkSession, rows: DataFrame, order: str) -> str:
-    """A folder of PARTS files of rows (with ts) by time and a last one that closes all windows; written one after another, as a stream reads the oldest first."""
-    folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    parts = rows.withColumn("_part", F.ntile(PARTS).over(Window.orderBy("ts", order)))  # fixtures for streams, not part of them
-    parts = written(parts, "parts")
-    for n in range(1, PARTS + 1):
-        parts.filter(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+def staged(spark: SparkSession, rows: DataFrame, order: str) -> tuple[str, list[FOLDER]]:
+    """A folder and what fills it, one after another: PARTS stretches of rows by time (ts), each written by many tasks, and a row that closes all windows."""
+    folder = made(spark, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}")
+    n = max(PARTS, parts_of(spark))
+    ranged = rows.repartitionByRange(n, "ts", order).withColumn("_part", F.floor(F.spark_partition_id() * PARTS / n).cast("int"))
+    parts = written(ranged, "parts")
     last = parts.agg(F.max("ts").alias("m")).select((F.col("m") + F.expr("INTERVAL 10 YEAR")).alias("ts"))
-    empty = {c: F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "ts"}
-    last.select(*(F.col("ts") if c == "ts" else empty[c] for c in rows.columns)).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+    closing = last.select(*(F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes))
+    stretches = [parts.filter(F.col("_part") == k).drop("_part") for k in range(PARTS)]
+    return folder, [lambda df=df: df.write.mode("append").parquet(folder) for df in (*stretches, closing)]
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    return events.source(spark, staged(spark, table(spark, d, "events"), "event_id"))
+def _stream(spark: SparkSession, rows: DataFrame, order: str, schema: str = events.SCHEMA) -> tuple[DataFrame, list[FOLDER]]:
+    folder, arrivals = staged(spark, rows, order)
+    return events.source(spark, folder, schema), arrivals
 
 
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Events that are sent twice, ten minutes apart: one of each."""
     rows = table(spark, d, "events")
     twice = rows.unionByName(rows.withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTE")))
-    stream = events.source(spark, staged(spark, twice, "event_id")).filter("event_id is not null")
-    return events.run(events.deduplicated(stream, ["event_id"])).groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    stream, arrivals = _stream(spark, twice, "event_id")
+    return events.run(events.deduplicated(stream.filter("event_id is not null"), ["event_id"]), arrivals).groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = events.run(events.windows(_stream(spark, d), "1 hour")).filter("event_type is not null")
+    stream, arrivals = _stream(spark, table(spark, d, "events"), "event_id")
+    rows = events.run(events.windows(stream, "1 hour"), arrivals).filter("event_type is not null")
     return rows.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    rows = events.run(events.sessions(_stream(spark, d), "30 minutes")).filter("user_id is not null")
+    stream, arrivals = _stream(spark, table(spark, d, "events"), "event_id")
+    rows = events.run(events.sessions(stream, "30 minutes"), arrivals).filter("user_id is not null")
     return rows.select("user_id", F.unix_micros("session_window.start").alias("start"), "n")
 
 
+PIECE = "CASE WHEN event_id % 4 = 0 THEN '' ELSE left(event_type, 3) END"
+
+
 def stream_replies(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of replies by user until nothing came for an hour: their text, number and first time."""
-    rows = _stream(spark, d).withColumn("piece", F.expr("CASE WHEN event_id % 4 = 0 THEN '' ELSE left(event_type, 3) END"))
-    out = events.run(events.replies(rows, "user_id", "piece", "event_id", "1 hour")).filter("user_id is not null")
+    stream, arrivals = _stream(spark, table(spark, d, "events"), "event_id")
+    rows = stream.withColumn("piece", F.expr(PIECE))
+    out = events.run(events.replies(rows, "user_id", "piece", "event_id", "1 hour"), arrivals).filter("user_id is not null")
     return out.select("user_id", F.unix_micros("session_window.start").alias("start"), F.md5("text").alias("text_md5"), "n_pieces", F.unix_micros("first_ts").alias("first"))
 
 
+HOUR = 3_600_000
+
+
+def stream_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """Replies by user that end when nothing came for six hours, or a day after they began."""
+    stream, arrivals = _stream(spark, table(spark, d, "events"), "event_id")
+    rows = stream.withColumn("piece", F.expr(PIECE))
+    # filters come after: one before would go below the watermark, and the row that closes all windows with it
+    out = events.run(timed.replies(rows, "user_id", "piece", "event_id", 6 * HOUR, 24 * HOUR), arrivals).filter("key is not null")
+    return out.select(F.col("key").alias("user_id"), "why", F.md5("text").alias("text_md5"), "n_pieces", "start", "end", "first")
+
+
 def stream_conversations(spark: SparkSession, d: str) -> DataFrame:
-    """The context of each conversation after its last batch."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", (F.timestamp_seconds(F.col("turn") * 60)).cast("timestamp_ntz").alias("ts"))
-    stream = events.source(spark, staged(spark, rows, "conv_id"), "conv_id long, turn long, role string, text string, ts timestamp_ntz").filter("conv_id is not null")
-    got = events.run(events.conversations(stream.drop("ts")), "update")
-    last = got.groupBy("conv_id").agg(F.max_by(F.struct("n_turns", "context"), "batch").alias("s"))
-    return last.select("conv_id", "s.n_turns", F.md5("s.context").alias("context_md5"))
+    """The context of each conversation after its last batch; one is forgotten a day after its last turn."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", (F.timestamp_seconds(F.col("turn") * 60 + 86_400)).cast("timestamp_ntz").alias("ts"))
+    stream, arrivals = _stream(spark, rows, "conv_id", "conv_id long, turn long, role string, text string, ts timestamp_ntz")
+    got = events.run(timed.conversations(stream.filter("conv_id is not null"), 24 * HOUR), arrivals, "update")
+    last = got.groupBy("key").agg(F.max_by(F.struct("n_turns", "context"), "batch").alias("s"))
+    return last.select(F.col("key").alias("conv_id"), "s.n_turns", F.md5("s.context").alias("context_md5"))
 
 
 #: The characters and commands by encoding and slot, written out by hand: nothing here comes from the library.
@@ -229,7 +249,7 @@ SELECT event_id, t AS text, trim(regexp_replace(l, '\s+', ' ', 'g')) AS latex,
 FROM x
 """
 
-QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, font_families, decoded_glyphs, glyph_parts, stream_dedupe, stream_windows, stream_sessions, stream_replies, stream_conversations)}
+QUERIES = {f.__name__: f for f in (body_sizes, page_lines, page_solver, math_reconstruct, sentence_split, inline_math_tokens, font_roles, font_families, decoded_glyphs, glyph_parts, stream_dedupe, stream_windows, stream_sessions, stream_replies, stream_timeouts, stream_conversations)}
 ORACLES = {
     "math_reconstruct": r"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'y = \frac{' || user_id % 10 || '}{' || event_id % 7 || '}' WHEN 1 THEN '\sqrt{' || CASE WHEN event_id % 2 = 0 THEN '\mathbf{' || chr((97 + user_id % 26)::INT) || '}' ELSE chr((97 + user_id % 26)::INT) END || '_{k}}' WHEN 2 THEN '\sum_{i}^{N} x' WHEN 3 THEN 'X_{' || user_id % 100 || '}^{t}' ELSE '\mathrm{where} \mathrm{the} \operatorname{loss}' END AS latex,
  CASE WHEN event_id % 5 = 2 THEN '(' || (user_id % 90 + 1) || ')' ELSE '' END AS tag, event_id % 5 <> 4 AS display FROM events""",
@@ -249,6 +269,10 @@ ORACLES = {
  SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
     "stream_replies": """WITH b AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN '' ELSE left(event_type, 3) END AS piece, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b)
  SELECT user_id, epoch_us(min(ts)) AS start, md5(coalesce(string_agg(piece, '' ORDER BY event_id) FILTER (piece <> ''), '')) AS text_md5, count(*) FILTER (piece <> '') AS n_pieces, epoch_us(min(ts) FILTER (piece <> '')) AS first FROM s GROUP BY user_id, s""",
+    "stream_timeouts": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE left(event_type, 3) END AS piece, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT user_id, n, ms, ms AS began FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.ms, CASE WHEN e.ms - r.ms < 21600000 AND e.ms - r.began < 86400000 THEN r.began ELSE e.ms END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+ SELECT user_id, CASE WHEN max(ms) + 21600000 <= began + 86400000 THEN 'idle' ELSE 'total' END AS why, md5(coalesce(string_agg(piece, '' ORDER BY event_id) FILTER (piece <> ''), '')) AS text_md5, count(*) FILTER (piece <> '') AS n_pieces, began AS "start", least(max(ms) + 21600000, began + 86400000) AS "end", min(ms) FILTER (piece <> '') AS "first"
+ FROM r JOIN e USING (user_id, n, ms) GROUP BY user_id, began""",
     "stream_conversations": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || left(text, 4000), chr(10) ORDER BY turn) FILTER (r <= 20)) AS context_md5 FROM t GROUP BY conv_id",
     "font_families": f"""WITH f(name, role, italic, bold) AS (VALUES {', '.join(f"('{n}', '{r}', {str(i).lower()}, {str(b).lower()})" for n, (r, i, b) in FONTS.items())}), e AS (SELECT event_id, ([{NAMES}])[event_id % {len(FONTS)} + 1] AS name, event_id % 4 AS m FROM events)
  SELECT event_id, role, italic, bold, starts_with(role, 'math') OR (italic AND m IN (0, 3)) AS math_font, starts_with(role, 'math') OR (italic AND m IN (0, 3)) OR m = 1 AS math_token FROM e JOIN f USING (name)""",

@@ -57,3 +57,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made(spark: SparkSession, path: str) -> str:
+    """A folder that is there, empty if it is new."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
+
+
+def parts_of(spark: SparkSession) -> int:
+    """Shuffle partitions of the session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
