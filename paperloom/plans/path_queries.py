@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import calls, figures, formula, pages
 from paperloom.plans.page_queries import text_items
+from paperloom.session import shared_dir
+from paperloom.sources import papers
+from paperloom.sources.store import Store
 from paperloom.sources.tables import LINES_SQL, table
 
 #: Items of a page for each customer: item number, text, font, x, y, width, height. A numbered heading, prose with an inline formula of four fonts (a raised glyph among them) that is
@@ -111,9 +116,27 @@ def call_rounds(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", "mode", "calls", "attempt", "json", "budget", "note", F.coalesce("translation", F.lit("")).alias("translation"), F.coalesce(F.size("parts"), F.lit(-1)).alias("n_parts"))
 
 
-QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows, figure_places, call_rounds)}
+def _stored(rows: DataFrame, note: str) -> DataFrame:
+    """Papers of documents: a note, and a translation by language."""
+    main = F.to_json(F.struct(F.array(F.struct(F.lit("n").alias("id"), F.lit(1).alias("page"), F.expr(note).alias("text"))).alias("annotations"), F.create_map(F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?"))).alias("translations")))
+    return papers.restored(rows.select(F.col("doc_id").cast("string").alias("key"), main.alias("main"), F.lit(None).cast("string").alias("backup")))
+
+
+def paper_store(spark: SparkSession, d: str) -> DataFrame:
+    """All documents taken into a store, then those with labels once more with another note: what the store holds then."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 16)
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.left(F.coalesce("text", F.lit("")), F.lit(20)).alias("head"))
+    store.write(_stored(docs, "head"))
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    store.write(_stored(docs.join(labels, "doc_id"), "'quality ' || quality"))
+    note = F.get("annotations", F.lit(0))
+    return store.read().select(F.col("key").cast("long").alias("doc_id"), note["text"].alias("note"), F.array_join(F.map_keys("translations"), ",").alias("languages"))
+
+
+QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows, figure_places, call_rounds, paper_store)}
 _C = "WITH c AS (SELECT c_custkey::BIGINT AS k, lower(c_mktsegment) AS s FROM customer)"
 ORACLES = {
+    "paper_store": "SELECT doc_id, coalesce('quality ' || q, left(coalesce(text, ''), 20)) AS note, coalesce(lang, '?') AS languages FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)",
     # the course of a request by the service's mood and its number of sentences
     "call_rounds": r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) % 8 AS m, len(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]')) AS n FROM conversations),
  o(m, mode, calls, attempt, json, budget, note) AS (VALUES (0, 'sentence-json', 1, 0, true, 8192, ''), (1, 'sentence-json', 2, 0, false, 8192, 'no JSON mode'), (2, 'sentence-json', 2, 1, true, 8192, 'another number of sentences'), (3, 'unaligned', 3, 2, false, 8192, 'another number of sentences'),
