@@ -29,16 +29,16 @@ def asked(paras: DataFrame, questions: DataFrame) -> DataFrame:
     """paper, page, id of questions, para: paragraphs of the page that hold the beginning of the selection.
 
     Texts and selections meet by hashes of 16 characters, of which only one in THINNED is looked at: wherever a selection stands, the text has
-    the same ones. So the join is by equality over a fraction of the text, and its hits alone are compared as texts. Selections that are short, or have
-    no such hash, are compared to their page's paragraphs.
+    the same ones. So the join is by equality over a fraction of the text, and its hits alone are compared as texts. Selections that have no such hash go by that of their first
+    characters, for which all hashes of the texts of their pages are taken; only those of under 16 characters are compared to their page's texts, equal ones once.
     """
     k = 16
 
-    def marks(c: str) -> Column:
+    def marks(c: str, all_: bool = False) -> Column:
         # a place in a long text is found from its beginning, so texts are cut into short overlapping blocks first
         blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(c) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.substring(c, b * BLOCK + 1, F.lit(BLOCK + k - 1)))
         grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(x) - k + 1, F.lit(BLOCK)), F.lit(1))), lambda i: F.xxhash64(F.substring(x, i, F.lit(k))))
-        return F.flatten(F.transform(blocks, lambda x: F.filter(grams(x), lambda h: F.pmod(h, F.lit(THINNED)) == 0)))
+        return F.flatten(F.transform(blocks, grams if all_ else lambda x: F.filter(grams(x), lambda h: F.pmod(h, F.lit(THINNED)) == 0)))
 
     q = questions.select("paper", "page", "id", F.left("selected", F.lit(SELECTED)).alias("_s")).filter("length(_s) > 0")
     q = q.withColumn("_h", F.when(F.length("_s") >= k, F.array_min(marks("_s"))))
@@ -47,8 +47,13 @@ def asked(paras: DataFrame, questions: DataFrame) -> DataFrame:
     grams = texts.filter(f"length(_t) >= {k}").select("paper", "page", "para", F.explode(F.array_distinct(marks("_t"))).alias("_h"))
     hits = grams.join(long, ["paper", "page", "_h"]).select("paper", "page", "id", "para", "_s")
     sure = hits.join(texts, ["paper", "page", "para"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
-    rest = other.join(texts, ["paper", "page"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
-    return sure.unionByName(rest).distinct()
+    begun = other.filter(f"length(_s) >= {k}").withColumn("_h", F.xxhash64(F.left("_s", F.lit(k))))
+    every = texts.join(begun.select("paper", "page").distinct(), ["paper", "page"], "left_semi").filter(f"length(_t) >= {k}").select("paper", "page", "para", F.explode(F.array_distinct(marks("_t", True))).alias("_h"))
+    first = every.join(begun, ["paper", "page", "_h"]).select("paper", "page", "id", "para", "_s").join(texts, ["paper", "page", "para"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
+    short = other.filter(f"length(_s) < {k}").groupBy("paper", "page", "_s").agg(F.collect_set("id").alias("ids"))
+    seen = texts.groupBy("paper", "page", "_t").agg(F.collect_set("para").alias("paras"))
+    rest = short.join(seen, ["paper", "page"]).filter(F.contains("_t", "_s")).select("paper", "page", F.explode("ids").alias("id"), "paras").select("paper", "page", "id", F.explode("paras").alias("para"))
+    return sure.unionByName(first).unionByName(rest).distinct()
 
 
 def appendix(paras: DataFrame, notes: DataFrame, questions: DataFrame) -> DataFrame:
@@ -110,12 +115,12 @@ def write_markdown(papers: DataFrame, folder: str) -> None:
     papers.select(F.col("paper").cast("string").alias("paper"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("paper").text(folder)
 
 
-def annotation_rows(annotations: DataFrame, labels: DataFrame, heights: DataFrame) -> DataFrame:
+def annotation_rows(annotations: DataFrame, labels: DataFrame, heights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """annotations (position in JSON, label, text, comment, kind) with page and boxes (top-down); without those of no page or of no box.
 
-    labels: label_index, label; heights: page, height: tables of one document's pages.
+    labels: label_index, label; heights: page, height. by: columns that name the document in all three; without any they are of one document.
     """
     at = annotations.withColumn("_p", F.from_json("position", L.POSITION)).filter("_p.rects is not null").withColumn("label", F.trim("label"))
-    paged = at.join(labels, "label", "left").withColumn("page", F.coalesce("_p.pageIndex", "label_index") + 1).filter("page >= 1")
-    boxed = paged.join(heights.filter("height > 0"), "page").withColumn("boxes", L.annotation_boxes(F.col("_p"), F.col("height"))).filter("size(boxes) > 0")
+    paged = at.join(labels, [*by, "label"], "left").withColumn("page", F.coalesce("_p.pageIndex", "label_index") + 1).filter("page >= 1")
+    boxed = paged.join(heights.filter("height > 0"), [*by, "page"]).withColumn("boxes", L.annotation_boxes(F.col("_p"), F.col("height"))).filter("size(boxes) > 0")
     return boxed.withColumn("text", L.annotation_text(F.col("text"), F.col("comment"), F.col("kind"))).drop("_p", "label_index", "height")

@@ -166,6 +166,9 @@ def test_sql_names(spark):
     got = spark.sql("SELECT sentence FROM sentence_rows('It is so. And so it is.')").collect()
     assert [r[0] for r in got] == ["It is so.", "And so it is."]
     assert spark.sql("SELECT text_key('a') AS k, size(sentence_spans('A b. C d.')) AS n").first()[:] == (f"{requests.hashes(['a'])[0]:x}-1", 2)
+    assert spark.sql("SELECT font_role('QZLXPR+CMMI10'), font_role(null), text_latex('αx ≤ ψ'), balanced_latex('{a'), decode_glyphs(chr(15), 'CMMIB10').latex").first()[:] == ("math-italic", "unknown", r"\alpha x \leq \psi", "{a}", r"\boldsymbol{\epsilon}")
+    glyphs_ = "array(named_struct('text', 'x', 'x', 1D, 'y', 5D, 'w', 5D, 'h', 10D, 'role', 'math-italic', 'bold', false))"
+    assert spark.sql(f"SELECT formula_of({glyphs_}, array(named_struct('x1', 0D, 'x2', 1D, 'y', 0D))).latex").first()[0] == "x"
 
 
 def test_papers_on_disk(spark, tmp_path):
