@@ -136,6 +136,15 @@ def edited(segments: DataFrame) -> DataFrame:
     return rows.withColumn("para", F.row_number().over(Window.partitionBy("paper", "page").orderBy("seq", "_p"))).select("paper", "page", "para", "type", "text")
 
 
+def regrouped(segments: DataFrame) -> DataFrame:
+    """segments (paper, page, seq, order, group) with place, from 1: in a vision model's order (seq where it gives none), those of one group together where the first of them stands."""
+    own = F.struct(F.coalesce(F.col("order"), F.col("seq").cast("double")).alias("o"), F.col("seq").alias("s"))
+    rows = segments.withColumn("_own", own)
+    first = F.min("_own").over(Window.partitionBy("paper", "page", "group"))
+    rows = rows.withColumn("_head", F.when(F.col("group").isNull(), F.col("_own")).otherwise(first))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("paper", "page").orderBy("_head", "_own"))).drop("_own", "_head")
+
+
 def first_sentences(marks: DataFrame, sentences: DataFrame) -> DataFrame:
     """marks (paper, para, id, text) with pos: the first sentence (paper, para, pos, sentence) that lies in the mark's text, or that holds its first 40 characters; null for none."""
     fold = lambda c: T.folded(F.col(c))

@@ -73,6 +73,15 @@ def vision_edits(spark: SparkSession, d: str) -> DataFrame:
     return flow.edited(lines(spark, d).selectExpr(*EDITS)).select("paper", "page", F.col("para").cast("long").alias("para"), "type", F.md5("text").alias("text_md5"))
 
 
+GROUPS = ("l_orderkey AS paper", "l_linenumber % 2 AS page", "l_linenumber AS seq", "CASE WHEN l_suppkey % 3 <> 0 THEN l_partkey % 5 + 0.5 END AS ord", "CASE WHEN l_suppkey % 4 = 0 THEN l_partkey % 2 + 1 END AS grp")
+
+
+def vision_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Segments in a vision model's order, with figures and their captions side by side."""
+    rows = table(spark, d, "lineitem").selectExpr(*GROUPS).select("paper", "page", "seq", F.col("ord").cast("double").alias("order"), F.col("grp").alias("group"))
+    return flow.regrouped(rows).select("paper", F.col("page").cast("long").alias("page"), F.col("seq").cast("long").alias("seq"), F.col("place").cast("long").alias("place"))
+
+
 GATED = """CASE line_no % 8 WHEN 0 THEN '\\\\frac{' || left(raw, 8) || '}{x}' WHEN 1 THEN left(raw, 20) WHEN 2 THEN '{' || left(raw, 9) WHEN 3 THEN '\\\\begin{cases} a' WHEN 4 THEN '\\\\text{where}~x>0' WHEN 5 THEN 'y' WHEN 6 THEN right(raw, 12) ELSE '' END"""
 GATED_TEXT = "CASE line_no % 8 WHEN 0 THEN left(raw, 8) || ' x' WHEN 5 THEN 'x' WHEN 4 THEN 'where x>0' ELSE left(raw, 20) END"
 
@@ -91,7 +100,7 @@ def formulas_of_papers(spark: SparkSession, d: str) -> DataFrame:
     return linkage.formulas(vision, rows).select("paper", "number", "page", "kind", "latex")
 
 
-QUERIES = {f.__name__: f for f in (column_joins, page_joins, order_audit, borderless_tables, figure_order, vision_rows, vision_edits, formula_gate, formulas_of_papers)}
+QUERIES = {f.__name__: f for f in (column_joins, page_joins, order_audit, borderless_tables, figure_order, vision_rows, vision_edits, vision_groups, formula_gate, formulas_of_papers)}
 
 _P = f"p AS (SELECT {', '.join(PARAS)} FROM lines)"
 _OPEN = r"NOT regexp_matches({0}, '[.!?。！？:：][\"”’)\]]?$')".replace('\\"', '"')
@@ -121,6 +130,9 @@ ORACLES = {
     "vision_rows": """WITH d AS (SELECT doc_id, doc_id % 7 AS m FROM documents), s(m, "index", type, "order", "group", action, why, latex, parts, split_at, inline) AS (VALUES (0, 2, 'formula', 1.5, 3, 'drop', NULL, 'x', NULL, NULL, NULL), (0, 1, 'body', NULL, NULL, 'keep', 'because', NULL, NULL, NULL, NULL),
  (1, 0, 'title', NULL, NULL, 'keep', NULL, NULL, NULL, NULL, NULL), (1, 1, 'body', NULL, NULL, 'keep', NULL, NULL, NULL, NULL, NULL), (1, 2, 'footnote', NULL, NULL, 'keep', NULL, NULL, NULL, 'Here it ', NULL), (3, 5, 'body', NULL, NULL, 'split', NULL, NULL, 'formula:a,body:from here', NULL, NULL), (4, 0, 'body', NULL, NULL, 'keep', NULL, NULL, NULL, NULL, 'ab=c'))
  SELECT doc_id, "index"::BIGINT AS "index", type, "order"::DOUBLE AS "order", "group"::BIGINT AS "group", action, why, latex, parts, split_at || doc_id AS split_at, inline FROM d JOIN s USING (m)""",
+    "vision_groups": f"""WITH s AS (SELECT {', '.join(GROUPS)} FROM lineitem), o AS (SELECT *, coalesce(ord::DOUBLE, seq::DOUBLE) AS o FROM s),
+ h AS (SELECT *, CASE WHEN grp IS NULL THEN o ELSE first_value(o) OVER g END AS ho, CASE WHEN grp IS NULL THEN seq ELSE first_value(seq) OVER g END AS hs FROM o WINDOW g AS (PARTITION BY paper, page, grp ORDER BY o, seq))
+ SELECT paper, page::BIGINT AS page, seq::BIGINT AS seq, row_number() OVER (PARTITION BY paper, page ORDER BY ho, hs, o, seq) AS place FROM h""",
     "vision_edits": f"""WITH {LINES_SQL}, s AS (SELECT {', '.join(EDITS)} FROM lines), k AS (SELECT *, {_T} AS t FROM s WHERE action <> 'drop'), o AS (SELECT *, coalesce(lag(action) OVER w = 'merge_next', false) AS onto FROM k WINDOW w AS (PARTITION BY paper, page ORDER BY seq)),
  n AS (SELECT *, sum(CASE WHEN onto THEN 0 ELSE 1 END) OVER w AS run, coalesce(lead(onto) OVER w, false) AS nxt FROM o WINDOW w AS (PARTITION BY paper, page ORDER BY seq)), g AS (SELECT paper, page, run, min(seq) AS seq, arg_min(type, seq) AS type, arg_max(split_at, seq) FILTER (action = 'split') AS mark, string_agg({_GLUE.format('t')}, '' ORDER BY seq) AS text FROM n GROUP BY paper, page, run),
  c AS (SELECT *, CASE WHEN coalesce(mark, '') <> '' THEN instr(text, mark) ELSE 0 END AS cut FROM g), x AS (SELECT paper, page, seq, type, unnest(CASE WHEN cut > 1 THEN [trim(text[:cut - 1]), trim(text[cut:])] ELSE [text] END) AS text, unnest(CASE WHEN cut > 1 THEN [0, 1] ELSE [0] END) AS i FROM c)
