@@ -5,10 +5,10 @@ largest on, each enters the bin with the tightest remaining capacity that holds
 in a balanced order of the remaining capacities. The capacity is the least, by bisection, with which all fit.
 A group over an even share has a bin of its own and the rest is shared out over the others.
 
-On Spark: groups are summed by map-side combined aggregation. Only groups over 1 / GRAIN of all
-bytes are items by themselves, so there are fewer than GRAIN of them; all other groups are dealt
-by hash to GRAIN bundles, each one item. So the packing works on at most 2 * GRAIN items
-at any size of input, and their places are broadcast under that bound. Slots are running numbers over
+On Spark: groups are summed by map-side combined aggregation, and counted by size. Groups of one size are alike to the packing: the tightest bin that holds one of them
+stays the tightest while it holds another, so it takes as many at once as it can. The driver therefore packs sizes with their numbers, and not groups; of n bytes there are at
+most sqrt(2 n) different sizes. A group's place follows from its rank among those of its size (by hash, in ranges of the hash, so that no task ranks all groups of a frequent size). This
+one way holds at any size of input. Slots are running numbers over
 (shard, bucket) with the buckets' offsets added; no task sees a whole shard.
 
 Defined results: null counts as the empty text (size 1, crc32 0), one group with empty texts; repeated rows are equal texts
@@ -25,60 +25,74 @@ from pyspark.sql import functions as F
 from paperloom.llm.words import parts_of
 from paperloom.session import written
 
-GRAIN = 1 << 14
+#: Ranges of hashes in which groups of one size are ranked.
+RANGES = 256
 
 
-def packed(sizes: list[int], bins: int, capacity: int) -> list[int] | None:
-    """Bin of each item (sizes in falling order), or None if they don't fit."""
+def packed(classes: list[tuple[int, int]], bins: int, capacity: int) -> list[list[tuple[int, int]]] | None:
+    """For each class (size, number; sizes in falling order) the bins that its items enter, in order, as (bin, number); None if they don't fit."""
     free = [(capacity, b) for b in range(bins)]  # sorted by remaining capacity
     out = []
-    for s in sizes:
-        i = bisect_left(free, (s, -1))
-        if i == len(free):
-            return None
-        left, b = free.pop(i)
-        insort(free, (left - s, b))
-        out.append(b)
+    for size, number in classes:
+        own = []
+        while number:
+            i = bisect_left(free, (size, -1))
+            if i == len(free):
+                return None
+            left, b = free.pop(i)
+            some = min(number, left // size)
+            insort(free, (left - some * size, b))
+            own.append((b, some))
+            number -= some
+        out.append(own)
     return out
 
 
-def best_fit(items: list[tuple[int, int]], bins: int) -> dict[int, int]:
-    """(item, size) -> bin, at the least capacity that holds all."""
-    items = sorted(items, key=lambda x: (-x[1], x[0]))
-    total, first, out = sum(s for _, s in items), 0, {}
-    while bins - first > 1 and items and items[0][1] * (bins - first) > total:  # over an even share
-        total -= items[0][1]
-        out[items[0][0]] = first
-        items, first = items[1:], first + 1
-    sizes = [s for _, s in items]
-    low = max(-(-total // (bins - first)), sizes[0] if sizes else 0)
-    high = low + (sizes[0] if sizes else 0)
-    while packed(sizes, bins - first, high) is None:
+def best_fit(classes: list[tuple[int, int]], bins: int) -> list[list[tuple[int, int]]]:
+    """As `packed`, at the least capacity that holds all; classes in falling order of their sizes."""
+    left, total, first, out = [[s, n] for s, n in classes], sum(s * n for s, n in classes), 0, [[] for _ in classes]
+    at = 0
+    while bins - first > 1 and at < len(left) and left[at][0] * (bins - first) > total:  # over an even share
+        total -= left[at][0]
+        out[at].append((first, 1))
+        left[at][1] -= 1
+        first += 1
+        at += not left[at][1]
+    rest = [(s, n) for s, n in left[at:]]
+    low = max(-(-total // (bins - first)), rest[0][0] if rest else 0)
+    high = low + (rest[0][0] if rest else 0)
+    while packed(rest, bins - first, high) is None:
         high += high - low + 1
     while low < high:
-        if packed(sizes, bins - first, (low + high) // 2) is None:
+        if packed(rest, bins - first, (low + high) // 2) is None:
             low = (low + high) // 2 + 1
         else:
             high = (low + high) // 2
-    places = packed(sizes, bins - first, high) or []
-    return out | {k: first + b for (k, _), b in zip(items, places, strict=True)}
+    for own, places in zip(out[at:], packed(rest, bins - first, high) or [], strict=True):
+        own += [(first + b, n) for b, n in places]
+    return out
 
 
 def assign(rows: DataFrame, group: list[str], size: Column, shards: int) -> DataFrame:
-    """rows with _shard; rows of one group are in one shard."""
+    """rows with _shard; rows of one group are in one shard. The first column of group is a hash."""
     spark = rows.sparkSession
-    groups = rows.groupBy(*group).agg(F.sum(size).alias("_bytes"))
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    large = groups.filter(F.col("_bytes") * GRAIN > total).collect()  # fewer than GRAIN
-    bundle: Column = F.pmod(F.xxhash64(*group), F.lit(GRAIN))
-    small = groups.filter(F.col("_bytes") * GRAIN <= total).groupBy(bundle.alias("_bundle")).agg(F.sum("_bytes").alias("_bytes")).collect()  # GRAIN at most
-    items = [(r["_bundle"], r["_bytes"]) for r in small] + [(GRAIN + i, r["_bytes"]) for i, r in enumerate(sorted(large, key=lambda r: tuple(r)))]
-    place = best_fit(items, shards)
-    keys = {f.name: f.dataType.simpleString() for f in groups.schema if f.name in group}
-    named = spark.createDataFrame([(*(r[k] for k in group), place[GRAIN + i]) for i, r in enumerate(sorted(large, key=lambda r: tuple(r)))], ", ".join(f"{k} {keys[k]}" for k in group) + ", _own int")
-    bundled = spark.createDataFrame([(r["_bundle"], place[r["_bundle"]]) for r in small], "_bundle long, _any int")
-    out = rows.withColumn("_bundle", bundle).join(F.broadcast(named), group, "left").join(F.broadcast(bundled), "_bundle", "left")
-    return out.withColumn("_shard", F.coalesce("_own", "_any")).drop("_bundle", "_own", "_any")
+    part = F.shiftright(group[0], 65 - RANGES.bit_length()).cast("int").alias("_part")  # in the order of the hash
+    groups = written(rows.groupBy(*group).agg(F.sum(size).alias("_bytes")).select("*", part), "groups")
+    counts = written(groups.groupBy("_bytes", "_part").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    classes = sorted((tuple(r) for r in counts.groupBy("_bytes").agg(F.sum("_n")).collect()), reverse=True)
+    ranges = []
+    for (bytes_, _), own in zip(classes, best_fit(classes, shards), strict=True):
+        at = 0
+        for b, n in own:
+            ranges.append((bytes_, at, at + n, b))
+            at += n
+    places = spark.createDataFrame(ranges, "_bytes long, _from long, _to long, _shard int")
+    before = Window.partitionBy("_bytes").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    starts = counts.select("_bytes", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_bytes", "_part").orderBy(*group)) - 1
+    ranked = groups.withColumn("_rank", inside).join(starts, ["_bytes", "_part"]).withColumn("_rank", F.col("_start") + F.col("_rank"))
+    placed = ranked.join(places, "_bytes").filter("_rank >= _from and _rank < _to").select(*group, "_shard")
+    return rows.join(placed, group)
 
 
 def slotted(rows: DataFrame, order: list[str], times: str = "_times") -> DataFrame:

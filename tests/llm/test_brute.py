@@ -150,7 +150,7 @@ def test_packing_of_groups(spark):
     for _, t, *_ in data:
         groups[t] += len(t) + 1
     numbered = sorted((signed(h64(t)), signed(h64(I32(1), t)), n, t) for t, n in groups.items())
-    items = sorted(((sharding.GRAIN + i, n, t) for i, (*_, n, t) in enumerate(numbered)), key=lambda x: (-x[1], x[0]))
+    items = sorted(((i, n, t) for i, (*_, n, t) in enumerate(numbered)), key=lambda x: (-x[1], x[0]))
     assert items[0][1] * 16 <= sum(groups.values())  # none over an even share
     place = {t: b for (_, _, t), b in zip(items, plain_best_fit([n for _, n, _ in items], 16), strict=True)}
     assert got == {i: place[t] for i, t, *_ in data}

@@ -106,11 +106,11 @@ def test_slots_of_repeated_rows(spark):
         assert sorted(r._slot for r in got if r._shard == s) == list(range(sum(r._shard == s for r in got)))
 
 
-@pytest.mark.parametrize("grain", [24, 1 << 14])
-def test_bundles_keep_groups_whole(spark, monkeypatch, grain):
-    monkeypatch.setattr(sharding, "GRAIN", grain)
-    rows = crowded()
+def test_many_groups_of_one_size_stay_whole(spark):
+    rows = [*crowded(), *((1000 + i, f"{i:04d}", "en", "a", 0, "x") for i in range(300)), *((2000 + i, f"{i % 150:04d}", "en", "a", 0, "x") for i in range(300))]
     got = sharding.shard(fixtures.frame(spark, rows), 4).collect()
+    even = sum(r.size for r in got) / 4
+    assert all(abs(sum(r.size for r in got if r._shard == s) - even) <= 10 for s in range(4))
     shards = {}
     for r in got:
         shards.setdefault((r.text_crc32, r.size), set()).add(r._shard)

@@ -229,14 +229,33 @@ def test_sharding(spark):
 
 def test_best_fit_packs_tightly():
     r = np.random.default_rng(0)
-    items = [(i, int(s)) for i, s in enumerate(r.integers(1, 1000, 300))]
-    place = sharding.best_fit(items, 7)
+    classes = sorted(Counter(r.integers(1, 1000, 300).tolist()).items(), reverse=True)
     bins = Counter()
-    for i, s in items:
-        bins[place[i]] += s
+    for (s, n), own in zip(classes, sharding.best_fit(classes, 7), strict=True):
+        assert sum(k for _, k in own) == n
+        for b, k in own:
+            bins[b] += s * k
     assert max(bins.values()) - sum(bins.values()) / 7 < 5
-    assert sharding.best_fit([(0, 900), *((i, 10) for i in range(1, 21))], 3)[0] == 0
-    assert sharding.best_fit([], 3) == {}
+    assert sharding.best_fit([(900, 1), (10, 20)], 3)[0] == [(0, 1)]
+    assert sharding.best_fit([], 3) == []
+
+
+def test_sizes_with_their_numbers_pack_as_one_by_one():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = sorted(r.integers(1, 12, int(r.integers(1, 60))).tolist(), reverse=True)
+        bins, capacity = int(r.integers(1, 6)), int(r.integers(11, 90))
+        free, want = [(capacity, b) for b in range(bins)], []
+        for s in sizes:
+            fit = sorted(x for x in free if x[0] >= s)
+            if not fit:
+                want = None
+                break
+            free.remove(fit[0])
+            free.append((fit[0][0] - s, fit[0][1]))
+            want.append(fit[0][1])
+        got = sharding.packed(sorted(Counter(sizes).items(), reverse=True), bins, capacity)
+        assert (got is None) == (want is None) and (got is None or [b for own in got for b, n in own for _ in range(n)] == want)
 
 
 def test_pipeline_stages_on_their_own_input(spark, tmp_path):
