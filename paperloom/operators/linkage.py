@@ -78,9 +78,8 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The first row of each key; tasks send one row for each."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def merged_map(old: Column, new: Column) -> Column:
@@ -142,11 +141,12 @@ def formulas(vision: DataFrame, local: DataFrame) -> DataFrame:
 def moved(rows: DataFrame, identity: list[str], path: str, key: str) -> DataFrame:
     """rows with other_id: the least key of the same identity under another path; only rows that have one.
 
-    No pairs are formed: each identity tells the first rows of its two first paths, and a row takes the one that isn't its own.
+    No pairs are formed and no identity is gathered: each tells the first row of its first path, and that of its first other one, and a row takes the one that isn't its own.
     """
     firsts = rows.groupBy(*identity, path).agg(F.min(key).alias("_k"))
-    two = firsts.withColumn("_rn", F.row_number().over(Window.partitionBy(*identity).orderBy("_k"))).filter("_rn <= 2")
-    best = two.groupBy(*identity).agg(F.min_by(F.struct(path, "_k"), "_rn").alias("_a"), F.max_by(F.struct(path, "_k"), "_rn").alias("_b"))
+    one = firsts.groupBy(*identity).agg(F.min_by(F.struct(path, "_k"), "_k").alias("_a"))
+    two = firsts.join(one, identity).filter(F.col(path) != F.col(f"_a.{path}")).groupBy(*identity).agg(F.min_by(F.struct(path, "_k"), "_k").alias("_b"))
+    best = one.join(two, identity, "left")
     other = F.when(F.col(f"_a.{path}") != F.col(path), F.col("_a._k")).when(F.col(f"_b.{path}") != F.col(path), F.col("_b._k"))
     return rows.join(best, identity).withColumn("other_id", other).filter("other_id is not null").drop("_a", "_b")
 

@@ -41,8 +41,8 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: dict[
 def weighted_mode(rows: DataFrame, keys: list[str], value: Column, weight: Column, first: Column) -> DataFrame:
     """keys, mode (the value with most weight; of equal ones the first), weight."""
     sums = rows.groupBy(*keys, value.alias("mode")).agg(F.sum(weight).alias("weight"), F.min(first).alias("_first"))
-    best = Window.partitionBy(*keys).orderBy(F.desc("weight"), "_first")
-    return sums.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn", "_first")
+    best = F.min_by(F.struct("mode", "weight"), F.struct(-F.col("weight"), "_first"))
+    return sums.groupBy(*keys).agg(best.alias("_m")).select(*keys, "_m.mode", "_m.weight")
 
 
 def ranges(pages: DataFrame, keys: list[str], page: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.requests import bound
 from paperloom.operators import linkage, reports, sequences
 from paperloom.plans.text_queries import SQL_UNTRANSLATABLE, sql_count, sql_latex, sql_trim
 from paperloom.sources.tables import LINES_SQL, lines, table
@@ -56,13 +57,12 @@ def stale_prune(spark: SparkSession, d: str) -> DataFrame:
     """Cache entries of lines that are kept when false translations are pruned."""
     rows = lines(spark, d).select("doc_id", "line_no", T.trimmed(F.col("line")).alias("t"))
     # cheap tests first: only lines that may be clauses of some length are stripped of LaTeX, and that once
-    bound = rows.filter("length(t) > 60 and t rlike '[,;:]'").withColumn("plain", T.without_latex(F.col("t")))
-    words = F.size(F.regexp_extract_all("plain", F.lit("[A-Za-z]{2,}"), F.lit(0)))
-    stale = T.clause_run(F.col("t")) & (T.cjk_count(F.col("plain")) == 0) & ((F.col("line_no") % 9 == 0) | (words >= 2)) & ~T.untranslatable(F.col("t"))
-    gone = bound.filter(stale).groupBy("doc_id").agg(F.count("*").alias("_n"), F.sum("line_no").alias("_s"))
-    every = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("line_no").alias("s"))
-    kept = every.join(gone, "doc_id", "left").select("doc_id", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("kept"), (F.col("s") - F.coalesce("_s", F.lit(0))).alias("check_sum"))
-    return kept.filter("kept > 0")
+    words = lambda plain: F.size(F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)))
+    clause = lambda c: (T.cjk_count(c["plain"]) == 0) & ((c["line_no"] % 9 == 0) | (words(c["plain"]) >= 2))
+    long = (F.length("t") > 60) & F.col("t").rlike("[,;:]")
+    stale = F.when(long, F.when(T.clause_run(F.col("t")) & ~T.untranslatable(F.col("t")), bound(clause, plain=T.without_latex(F.col("t")), line_no=F.col("line_no"))))
+    marked = rows.select("doc_id", "line_no", F.coalesce(stale, F.lit(False)).alias("stale"))
+    return marked.groupBy("doc_id").agg(F.count_if(~F.col("stale")).alias("kept"), F.sum(F.when(~F.col("stale"), F.col("line_no"))).alias("check_sum")).filter("kept > 0")
 
 
 def identity_match(spark: SparkSession, d: str) -> DataFrame:
