@@ -43,7 +43,22 @@ def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs with placeholders for inline formulas, and the first one's token with its place."""
     _, rows = paper_pages(spark, d)
     token = F.get("tokens", F.lit(0))
-    return rows.select("paper_id", "para", "section", "type", "n_lines", "body_index", "text", "translation", "latex", "tag", F.size("tokens").alias("n_tokens"), *(token[c].alias(f"token_{c}") for c in ("latex", "raw", "start", "end")))
+    return rows.select("paper_id", "para", "section", "x0", "y0", "x1", "y1", "type", "n_lines", "body_index", "text", "translation", "latex", "tag", F.size("tokens").alias("n_tokens"), *(token[c].alias(f"token_{c}") for c in ("latex", "raw", "start", "end")))
+
+
+#: Lines of a page for each customer: a short line that ends a sentence or doesn't, an indented one after a sentence or within one, a step of 14 points or of 34, a hyphen at a line's end.
+BREAKS = """cast(array(
+ struct(0, 'alpha beta gamma of ' || k, 72D, 700D, 400D), struct(1, 'it ends here' || CASE WHEN k % 2 = 0 THEN '.' ELSE '' END, 72D, 686D, 200D), struct(2, 'delta words in a line', 72D, 672D, 400D), struct(3, 'more words follow' || CASE WHEN k % 3 = 0 THEN '.' ELSE '' END, 72D, 658D, 400D),
+ struct(4, 'and here they go', 72D + CASE WHEN k % 3 < 2 THEN 12 ELSE 0 END, 644D, 388D), struct(5, 'over a gap to an opti-', 72D, CASE WHEN k % 5 = 0 THEN 610D ELSE 630D END, 400D), struct(6, 'mum of them all', 72D, CASE WHEN k % 5 = 0 THEN 596D ELSE 616D END, 400D))
+ AS array<struct<i: long, t: string, x: double, y: double, w: double>>)"""
+
+
+def paragraph_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of pages of prose: where lines begin new ones by gaps, indentation and short lines."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k")).select("k", F.explode(F.expr(BREAKS)).alias("i"))
+    ten, zero = F.lit(10.0), F.lit(0.0)
+    items = rows.select(F.col("k").alias("paper_id"), F.lit(1).alias("page"), F.col("i.i").alias("item_idx"), F.col("i.t").alias("str"), F.lit("Times-Roman").alias("font"), F.array(ten, zero, zero, ten, F.col("i.x"), F.col("i.y")).alias("transform"), F.col("i.w").alias("width"), ten.alias("height"), F.lit(612.0).alias("page_w"), F.lit(792.0).alias("page_h"))
+    return pages.solved(pages.page_glyphs(items)).select("paper_id", "para", "type", "n_lines", "body_index", "text", "x0", "x1")
 
 
 def formula_crops(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +148,7 @@ def paper_store(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select(F.col("key").cast("long").alias("doc_id"), note["text"].alias("note"), F.array_join(F.map_keys("translations"), ",").alias("languages"))
 
 
-QUERIES = {f.__name__: f for f in (page_paragraphs, formula_crops, page_map, glyph_boxes, formula_rows, figure_places, call_rounds, paper_store)}
+QUERIES = {f.__name__: f for f in (page_paragraphs, paragraph_breaks, formula_crops, page_map, glyph_boxes, formula_rows, figure_places, call_rounds, paper_store)}
 _C = "WITH c AS (SELECT c_custkey::BIGINT AS k, lower(c_mktsegment) AS s FROM customer)"
 ORACLES = {
     "paper_store": "SELECT doc_id, coalesce('quality ' || q, left(coalesce(text, ''), 20)) AS note, coalesce(lang, '?') AS languages FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)",
@@ -155,11 +170,17 @@ ORACLES = {
  m <> 4 AS display, CASE m WHEN 0 THEN 2.2 + 1.8 + 1.3 + 0.9 WHEN 1 THEN 1.3 + 0.9 WHEN 2 THEN 1.3 + 1.8 + 0.9 WHEN 3 THEN 2.2 + 0.9 ELSE 0 END::DOUBLE AS score FROM e""",
     "page_paragraphs": rf"""{_C},
  p AS (
-  SELECT k, 0 AS para, 'heading' AS type, 1 AS n_lines, NULL::INT AS body_index, (k % 9 + 1) || '. Results' AS text, NULL AS raw, NULL AS tl, NULL AS latex, NULL AS tag FROM c
-  UNION ALL SELECT k, 1, 'body', 2, 1, 'We project query Q ∈ ℝ' || chr((97 + k % 26)::INT) || ' and some optimization of ' || s || ' elements, as is said here', 'Q ∈ ℝ' || chr((97 + k % 26)::INT), 'Q \in \mathbb{{R}}^{{' || chr((97 + k % 26)::INT) || '}}', NULL, NULL FROM c
-  UNION ALL SELECT k, 2, 'formula', 1, NULL, 'y = ' || k % 10 || k % 7 || ' (' || (k % 90 + 1) || ')', NULL, NULL, 'y = \frac{{' || k % 10 || '}}{{' || k % 7 || '}}', '(' || (k % 90 + 1) || ')' FROM c
-  UNION ALL SELECT k, 3, 'body', 1, 2, 'where the loss of ' || k || ' is what it is and so on.', NULL, NULL, NULL, NULL FROM c)
- SELECT k AS paper_id, para, 'full' AS section, type, n_lines, body_index, text, CASE WHEN raw IS NULL THEN text ELSE replace(text, raw, '⟦M1⟧') END AS translation, latex, tag, CASE WHEN raw IS NULL THEN 0 ELSE 1 END AS n_tokens, tl AS token_latex, raw AS token_raw, (strpos(text, raw) - 1)::INT AS token_start, (strpos(text, raw) - 1 + length(raw))::INT AS token_end FROM p""",
+  SELECT k, 0 AS para, 'heading' AS type, 1 AS n_lines, NULL::INT AS body_index, (k % 9 + 1) || '. Results' AS text, NULL AS raw, NULL AS tl, NULL AS latex, NULL AS tag, 72 AS x0, 700 - 3 AS y0, 132 AS x1, 700 + 9 AS y1 FROM c
+  UNION ALL SELECT k, 1, 'body', 2, 1, 'We project query Q ∈ ℝ' || chr((97 + k % 26)::INT) || ' and some optimization of ' || s || ' elements, as is said here', 'Q ∈ ℝ' || chr((97 + k % 26)::INT), 'Q \in \mathbb{{R}}^{{' || chr((97 + k % 26)::INT) || '}}', NULL, NULL, 72, 586 - 2.5, 532, 604 + 0.75 * 7 FROM c
+  UNION ALL SELECT k, 2, 'formula', 1, NULL, 'y = ' || k % 10 || k % 7 || ' (' || (k % 90 + 1) || ')', NULL, NULL, 'y = \frac{{' || k % 10 || '}}{{' || k % 7 || '}}', '(' || (k % 90 + 1) || ')', 250, 543 - 2, 524, 557 + 6 FROM c
+  UNION ALL SELECT k, 3, 'body', 1, 2, 'where the loss of ' || k || ' is what it is and so on.', NULL, NULL, NULL, NULL, 72, CASE k % 3 WHEN 0 THEN 520 WHEN 1 THEN 531 ELSE 536 END - 2.5, 372, CASE k % 3 WHEN 0 THEN 520 WHEN 1 THEN 531 ELSE 536 END + 7.5 FROM c)
+ SELECT k AS paper_id, para, 'full' AS section, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, type, n_lines, body_index, text, CASE WHEN raw IS NULL THEN text ELSE replace(text, raw, '⟦M1⟧') END AS translation, latex, tag, CASE WHEN raw IS NULL THEN 0 ELSE 1 END AS n_tokens, tl AS token_latex, raw AS token_raw, (strpos(text, raw) - 1)::INT AS token_start, (strpos(text, raw) - 1 + length(raw))::INT AS token_end FROM p""",
+    "paragraph_breaks": f"""{_C},
+ p AS (
+  SELECT k, 0 AS i, 'alpha beta gamma of ' || k AS t, true AS b, 72 AS x, 472 AS r FROM c UNION ALL SELECT k, 1, 'it ends here' || CASE WHEN k % 2 = 0 THEN '.' ELSE '' END, false, 72, 272 FROM c UNION ALL SELECT k, 2, 'delta words in a line', k % 2 = 0, 72, 472 FROM c
+  UNION ALL SELECT k, 3, 'more words follow' || CASE WHEN k % 3 = 0 THEN '.' ELSE '' END, false, 72, 472 FROM c UNION ALL SELECT k, 4, 'and here they go', k % 3 = 0, CASE WHEN k % 3 < 2 THEN 84 ELSE 72 END, CASE WHEN k % 3 < 2 THEN 472 ELSE 460 END FROM c UNION ALL SELECT k, 5, 'over a gap to an optimum of them all', k % 5 = 0, 72, 472 FROM c),
+ n AS (SELECT *, sum(b::INT) OVER (PARTITION BY k ORDER BY i) - 1 AS para FROM p)
+ SELECT k AS paper_id, para::INT AS para, 'body' AS type, (count(*) + max((i = 5)::INT))::INT AS n_lines, (para + 1)::INT AS body_index, string_agg(t, ' ' ORDER BY i) AS text, min(x)::DOUBLE AS x0, max(r)::DOUBLE AS x1 FROM n GROUP BY k, para""",
     # 4 points of room; a line 3.5 points nearer takes some of it, one that reaches into the formula's height is masked
     "formula_crops": rf"""{_C} SELECT k AS paper_id, 2 AS para, 'y = \frac{{' || k % 10 || '}}{{' || k % 7 || '}}' AS latex, '(' || (k % 90 + 1) || ')' AS tag, 246.0::DOUBLE AS x0, (792 - (557 + 6 + 4))::DOUBLE AS top, 528.0::DOUBLE AS x1, CASE k % 3 WHEN 1 THEN 792 - 538.5 ELSE 792 - 537 END::DOUBLE AS bottom,
  CASE k % 3 WHEN 2 THEN 1 ELSE 0 END AS n_masks, CASE k % 3 WHEN 2 THEN 246 END::DOUBLE AS mask_x0, CASE k % 3 WHEN 2 THEN 792 - 543.5 END::DOUBLE AS mask_top, CASE k % 3 WHEN 2 THEN 372 END::DOUBLE AS mask_x1, CASE k % 3 WHEN 2 THEN 792 - 537 END::DOUBLE AS mask_bottom FROM c""",
