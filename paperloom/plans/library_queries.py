@@ -111,8 +111,8 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """Questions on selections: the first 40 characters of every fifth paragraph's text, some cut from another place."""
-    return lines(spark, d).filter("line_no % 5 = 1").selectExpr("doc_id AS paper", "(line_no % 5) + 1 AS page", "line_no AS id", "CASE WHEN line_no % 2 = 0 THEN 'not in any text of it' ELSE substring(raw, 3, 60) END AS selected")
+    """Questions on selections of every paragraph: some characters of its text, or for some what stands nowhere."""
+    return lines(spark, d).selectExpr("doc_id AS paper", "(line_no % 5) + 1 AS page", "line_no AS id", "CASE WHEN line_no % 2 = 0 THEN 'not in any text of it' ELSE substring(raw, 3, 60) END AS selected")
 
 
 def sound_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def markdown_papers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (library_paths, library_states, library_meta, text_pages, library_annotations, stored_papers, paper_merge, identity_index, model_averages, sound_pages, appendix_pages, coverage_sheets, sheet_counts, paper_summary, markdown_papers)}
 
 _P = f"p AS (SELECT {', '.join(PARA_COLUMNS)} FROM lines), a AS (SELECT {', '.join(NOTE_COLUMNS)} FROM events)"
-_Q = "q AS (SELECT doc_id AS paper, (line_no % 5) + 1 AS page, line_no AS id, CASE WHEN line_no % 2 = 0 THEN 'not in any text of it' ELSE substring(raw, 3, 60) END AS selected FROM lines WHERE line_no % 5 = 1)"
+_Q = "q AS (SELECT doc_id AS paper, (line_no % 5) + 1 AS page, line_no AS id, CASE WHEN line_no % 2 = 0 THEN 'not in any text of it' ELSE substring(raw, 3, 60) END AS selected FROM lines)"
 _CORRUPT = r"(type = 'formula' AND length(text) > 250 AND regexp_matches(text, '(?s)\([0-9]+\).*\([0-9]+\)'))"
 ORACLES = {
     "library_paths": f"""WITH h AS (SELECT doc_id, {HREF} AS href, {UP} AS up, {PARENT} AS parent FROM documents), n AS (SELECT *, lower(regexp_replace(replace(replace(trim(href), '%20', ' '), chr(92), '/'), '\\s+', ' ', 'g')) AS p FROM h),
