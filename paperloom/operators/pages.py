@@ -306,6 +306,23 @@ def crops(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.filter("type = 'formula'").select("paper_id", "page", "para", "latex", "tag", *(F.get("crop", F.lit(i)).alias(c) for i, c in enumerate(("x0", "top", "x1", "bottom"))), "masks")
 
 
+def snips(glyphs: DataFrame, regions: DataFrame, bars: DataFrame) -> DataFrame:
+    """paper, page, n, text, latex, tag of what lies in a rectangle of each page (regions: paper, page, x1, x2, min_y, max_y): its lines as text, and built as a formula with the bars (paper_id, page, x1, x2, y) in it.
+
+    A rectangle's glyphs are a page's at most; they are one row.
+    """
+    said = layout.snipped(glyphs, regions)
+    r = regions.select("paper", "page", F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), "min_y", "max_y")
+    inside = (F.col("x") + F.col("w") / 2).between(F.col("_x1") - 2, F.col("_x2") + 2) & (F.col("y") + (F.col("top") - F.col("bottom")) * 0.25).between(F.col("min_y") - 2, F.col("max_y") + 2)
+    one = F.struct("seq", "text", "x", "y", "w", F.col("size").alias("h"), "role", "bold")
+    boxes = glyphs.join(r, ["paper", "page"]).filter(inside).groupBy("paper", "page").agg(F.array_sort(F.collect_list(one)).alias("glyphs"), F.min("_x1").alias("col_left"), F.max("_x2").alias("col_right"))
+    within = (F.col("x2") >= F.col("_x1")) & (F.col("x1") <= F.col("_x2")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
+    lines = bars.withColumnRenamed("paper_id", "paper").join(r, ["paper", "page"]).filter(within).groupBy("paper", "page").agg(F.collect_list(F.struct("x1", "x2", "y")).alias("bars"))
+    kinds = {f.name: f.dataType.simpleString() for f in glyphs.schema if f.name in ("paper", "page")}
+    built = formula.formulas(boxes.join(lines, ["paper", "page"], "left"), kinds)
+    return said.join(built.select("paper", "page", "latex", "tag"), ["paper", "page"])
+
+
 def untraced(paragraphs: DataFrame, glyphs: DataFrame) -> DataFrame:
     """paper_id, page, chars, mismatches, restored: how many characters paragraphs have that come from glyphs, how many of these aren't the glyph's at that place, and whether all translations become the texts again."""
     from_raw = F.aggregate("tokens", F.col("translation"), lambda t, k: F.replace(t, F.concat(F.lit("⟦"), k["id"], F.lit("⟧")), k["raw"]))

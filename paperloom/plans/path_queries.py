@@ -68,6 +68,15 @@ def formula_crops(spark: SparkSession, d: str) -> DataFrame:
     return pages.crops(rows).select("paper_id", "para", "latex", "tag", "x0", "top", "x1", "bottom", F.size("masks").alias("n_masks"), *(F.get(mask, F.lit(i)).alias(f"mask_{c}") for i, c in enumerate(("x0", "top", "x1", "bottom"))))
 
 
+def snipped_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """What a rectangle around the display formula of each page holds, as text and as LaTeX."""
+    made, _ = paper_pages(spark, d)
+    keys = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("paper"), F.lit(1).alias("page"))
+    regions = keys.select("*", F.lit(240.0).alias("x1"), F.lit(300.0).alias("x2"), F.lit(538.0).alias("min_y"), F.lit(570.0).alias("max_y"))
+    bars = keys.select(F.col("paper").alias("paper_id"), "page", F.lit(272.0).alias("x1"), F.lit(279.0).alias("x2"), F.lit(553.5).alias("y"))
+    return pages.snips(made, regions, bars).select("paper", "n", "text", "latex", "tag")
+
+
 def page_map(spark: SparkSession, d: str) -> DataFrame:
     """Over all pages of all documents: characters of paragraphs that aren't their glyph's at the place that the map says, and whether texts come back from their translations."""
     rows = text_items(spark, d)
@@ -148,7 +157,7 @@ def paper_store(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select(F.col("key").cast("long").alias("doc_id"), note["text"].alias("note"), F.array_join(F.map_keys("translations"), ",").alias("languages"))
 
 
-QUERIES = {f.__name__: f for f in (page_paragraphs, paragraph_breaks, formula_crops, page_map, glyph_boxes, formula_rows, figure_places, call_rounds, paper_store)}
+QUERIES = {f.__name__: f for f in (page_paragraphs, paragraph_breaks, snipped_formulas, formula_crops, page_map, glyph_boxes, formula_rows, figure_places, call_rounds, paper_store)}
 _C = "WITH c AS (SELECT c_custkey::BIGINT AS k, lower(c_mktsegment) AS s FROM customer)"
 ORACLES = {
     "paper_store": "SELECT doc_id, coalesce('quality ' || q, left(coalesce(text, ''), 20)) AS note, coalesce(lang, '?') AS languages FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)",
@@ -175,6 +184,7 @@ ORACLES = {
   UNION ALL SELECT k, 2, 'formula', 1, NULL, 'y = ' || k % 10 || k % 7 || ' (' || (k % 90 + 1) || ')', NULL, NULL, 'y = \frac{{' || k % 10 || '}}{{' || k % 7 || '}}', '(' || (k % 90 + 1) || ')', 250, 543 - 2, 524, 557 + 6 FROM c
   UNION ALL SELECT k, 3, 'body', 1, 2, 'where the loss of ' || k || ' is what it is and so on.', NULL, NULL, NULL, NULL, 72, CASE k % 3 WHEN 0 THEN 520 WHEN 1 THEN 531 ELSE 536 END - 2.5, 372, CASE k % 3 WHEN 0 THEN 520 WHEN 1 THEN 531 ELSE 536 END + 7.5 FROM c)
  SELECT k AS paper_id, para, 'full' AS section, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, type, n_lines, body_index, text, CASE WHEN raw IS NULL THEN text ELSE replace(text, raw, '⟦M1⟧') END AS translation, latex, tag, CASE WHEN raw IS NULL THEN 0 ELSE 1 END AS n_tokens, tl AS token_latex, raw AS token_raw, (strpos(text, raw) - 1)::INT AS token_start, (strpos(text, raw) - 1 + length(raw))::INT AS token_end FROM p""",
+    "snipped_formulas": rf"""{_C} SELECT k AS paper, 4::BIGINT AS n, k % 10 || ' y = ' || k % 7 AS text, 'y = \frac{{' || k % 10 || '}}{{' || k % 7 || '}}' AS latex, '' AS tag FROM c""",
     "paragraph_breaks": f"""{_C},
  p AS (
   SELECT k, 0 AS i, 'alpha beta gamma of ' || k AS t, true AS b, 72 AS x, 472 AS r FROM c UNION ALL SELECT k, 1, 'it ends here' || CASE WHEN k % 2 = 0 THEN '.' ELSE '' END, false, 72, 272 FROM c UNION ALL SELECT k, 2, 'delta words in a line', k % 2 = 0, 72, 472 FROM c
