@@ -7,7 +7,8 @@ Roles must read (s?(ua)+)? by their initials, a grammar of four states. Equal ro
 2. Blocks are dealt by hash. A task hands batches of whole blocks to a DuckDB recursive query: each recursion advances one turn for all of
    them, keeping the least (cost, audit) for each state that a block begins in and each that it may end in.
 3. Such a table is itself a step, so blocks of one conversation are put together by the same recursion, FAN at a time, until one is left.
-   Only conversations of several blocks take part.
+   Only conversations of several blocks take part. An audit is one value, as long as its conversation; in these steps some 120 bytes of memory
+   for each step of the longest conversation are needed.
 4. Texts move once, dealt by conversation and sorted; a task reads them as a stream, applies the audit and hashes. It holds one batch and one audit.
    (A SHA-256 of one conversation can't be shared out, so this last pass over a conversation, and only this, is one task's.)
 
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 
 from paperloom.session import written
 
-#: Steps of a block, tables put together at once, and rows of a batch for one recursive query.
-BLOCK, FAN, BATCH = 256, 64, 20_000
+#: Steps of a block, tables put together at once, and rows and bytes of a batch for one recursive query.
+BLOCK, FAN, BATCH, BYTES = 256, 64, 20_000, 1 << 25
+#: Tables put together at once where an audit is as long as this.
+LONG, FEW = 1 << 14, 4
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 #: The grammar: state and initial to state. 0 nothing yet, 1 after s, 2 after u, 3 after a; conversations end in 0 or 3.
 GRAMMAR = ((0, "s", 1), (0, "u", 2), (1, "u", 2), (2, "a", 3), (3, "u", 2))
@@ -153,7 +156,7 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
     for b in batches:
         if not b.num_rows:
             continue
-        if held and sum(x.num_rows for x in held) >= BATCH:
+        if held and (sum(x.num_rows for x in held) >= BATCH or sum(x.nbytes for x in held) >= BYTES):
             columns = [b[k].to_pylist() for k in keys]
             last = tuple(held[-1][k][-1].as_py() for k in keys)
             cut = next((i for i, row in enumerate(zip(*columns, strict=True)) if row != last), b.num_rows)
@@ -202,13 +205,13 @@ def solved(blocks: DataFrame) -> DataFrame:
     dealt = blocks.repartition(*keys).sortWithinPartitions(*keys, "seq")
     items = written(dealt.mapInArrow(_recursed(keys, "seq", True), ITEMS), "solved")
     while True:
-        by = items.groupBy("conv").agg(F.countDistinct("part", "block").alias("n"), F.max("block").alias("blocks"))
-        most, deep = by.agg(F.max("n"), F.max("blocks")).first()
+        by = items.groupBy("conv").agg(F.countDistinct("part", "block").alias("n"), F.max("block").alias("blocks"), F.max(F.length("audit")).alias("long"))
+        most, deep, longest = by.agg(F.max("n"), F.max("blocks"), F.max("long")).first()
         if not most or most == 1:
             break
         several = by.filter("n > 1").select("conv")
-        level, order = ("block", "part, block") if deep else ("part", "part")
-        merged = items.join(several, "conv").withColumn("_at", F.struct("part", "block")).withColumn(level, F.floor(F.col(level) / FAN).cast("int"))
+        level = "block" if deep else "part"
+        merged = items.join(several, "conv").withColumn("_at", F.struct("part", "block")).withColumn(level, F.floor(F.col(level) / (FAN if longest < LONG else FEW)).cast("int"))
         keys = ["conv", "part", "block"]
         dealt = merged.withColumns({"at1": F.col("_at.part"), "at2": F.col("_at.block")}).drop("_at").repartition(*keys).sortWithinPartitions(*keys, "at1", "at2")
         joined = dealt.mapInArrow(_recursed(keys, "at1, at2", False), ITEMS)

@@ -95,14 +95,15 @@ def test_repairs_are_the_cheapest(spark):
     assert got(spark, rows) == expected(rows)
 
 
-@pytest.mark.parametrize(("block", "fan", "batch"), [(1, 2, 1), (2, 2, 3), (3, 64, 20_000)])
-def test_long_conversations_in_blocks(spark, monkeypatch, block, fan, batch):
+@pytest.mark.parametrize(("block", "fan", "batch", "long"), [(1, 2, 1, 1 << 14), (2, 2, 3, 1 << 14), (3, 64, 20_000, 4)])
+def test_long_conversations_in_blocks(spark, monkeypatch, block, fan, batch, long):
     """Blocks put together give what one block gives, wherever range partitions cut."""
     rows = data(3, 9, 5) + [(77, i, ["user", "assistant", "user", "system"][i * i % 4], ["yes.", f"no {i}", f"so {i}!"][i % 3], "x", "y") for i in range(90)]
     want = got(spark, rows)
     monkeypatch.setattr(turn_repair, "BLOCK", block)
     monkeypatch.setattr(turn_repair, "FAN", fan)
     monkeypatch.setattr(turn_repair, "BATCH", batch)
+    monkeypatch.setattr(turn_repair, "LONG", long)
     assert got(spark, rows) == want
 
 
