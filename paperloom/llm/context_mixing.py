@@ -1,4 +1,4 @@
-"""LM scoring by logistic context mixing, and the unigram base.
+"""LM scoring by spelled words, and the unigram base. op2 is stream_mixing; it takes from here the counts and lookups of words.
 
 Tokens are the words of the lower-cased text and one end. A word is spelled in bytes, its end
 included, each byte in eight bits. Bit predictors with contexts of ORDERS bytes of the word, hashed to
@@ -324,8 +324,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "kind", "flush", "hashes", "more", "ids"])
 
 
-def postings(part: list[int], text_col: str) -> Callable:
-    """Distinct words of some documents, packed by hash range, with the documents that each occurs in."""
+def postings(part: list[int], text_col: str, scored: Callable[[Words], np.ndarray] | None = None) -> Callable:
+    """Distinct words of some documents, packed by hash range, with the documents that each occurs in; with scored: ids are followed by its numbers."""
     cuts = bounds(len(part), 64)
 
     def flush(held: list, name: int) -> pa.RecordBatch:
@@ -345,13 +345,13 @@ def postings(part: list[int], text_col: str) -> Callable:
             if a < b:
                 n_blob, d_blob = narrow(size[a:b]), narrow(doc[first[a] : first[b]])
                 rows.append((part[i], 1, name, pack(words[a:b]), len(n_blob).to_bytes(8, "little") + n_blob + d_blob, b""))
-        rows.append((part[name % len(part)], 2, name, narrow(size_of), narrow(n), ids.astype(np.int64).tobytes()))
+        rows.append((part[name % len(part)], 2, name, narrow(size_of), narrow(n), ids.astype(np.int64).tobytes() + b"".join(x[5].tobytes() for x in held)))
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, name = [], 0, TaskContext.get().partitionId() << 32
         for ids, w, _ in slices(batches, "_id", text_col, True):
-            held.append((w.hashes(), w.row, ids, w.counts, np.diff(w.offsets)))
+            held.append((w.hashes(), w.row, ids, w.counts, np.diff(w.offsets), scored(w) if scored else np.zeros(0)))
             n += len(w.starts)
             if n >= FLUSH:
                 yield flush(held, name)
@@ -385,7 +385,7 @@ def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, doc = np.unique(widen(more[n:]), return_inverse=True)
             base, *by, known = (np.bincount(doc, x[at], len(docs)) for x in table[1])
             x = pack(docs.astype(np.uint64))
-            blob = len(x).to_bytes(8, "little") + x + base.tobytes() + known.astype(np.uint32).tobytes() + np.stack(by).astype(np.float32).tobytes()
+            blob = len(x).to_bytes(8, "little") + x + base.tobytes() + known.astype(np.uint32).tobytes() + b"".join(x.astype(np.float32).tobytes() for x in by)
             yield pa.RecordBatch.from_arrays([pa.array([flush]), pa.array([blob], pa.binary()), pa.array([None], pa.binary())], names=["flush", "sums", "ids"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, centroids, context_mixing, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, substring_dedup, token_files, tree_bpe, turn_repair
+from paperloom.llm import bpe, centroids, exact_dedup, fingerprints, jaccard_join, language_id, mixing, sharding, stream_mixing, substring_dedup, token_files, tree_bpe, turn_repair
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_mixing.score(_documents(spark, sf_dir))
+    return stream_mixing.score(_documents(spark, sf_dir))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

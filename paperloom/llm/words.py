@@ -43,8 +43,8 @@ def _powers(bits: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-class Words:
-    """Words of some texts: bytes, start and end of each word, its text's index, and words for each text."""
+class Bytes:
+    """Bytes of some texts, and where each begins."""
 
     def __init__(self, texts: pa.Array, lower: bool):
         texts = texts.fill_null("")
@@ -54,6 +54,14 @@ class Words:
         data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
         self.n, self.offsets = n, offsets - offsets[0]
         self.data = LOWER[data] if lower else data
+
+
+class Words(Bytes):
+    """Words of some texts: bytes, start and end of each word, its text's index, and words for each text."""
+
+    def __init__(self, texts: pa.Array, lower: bool):
+        super().__init__(texts, lower)
+        n, data = self.n, self.data
         space = IS_SPACE[data]
         edge = self.offsets[:-1][self.offsets[:-1] < len(data)]
         before, after = np.ones(len(data), bool), np.ones(len(data), bool)
@@ -101,8 +109,8 @@ def windows(h: np.ndarray, row: np.ndarray, k: int, seed: int = 0) -> tuple[np.n
     return mix(out[at] ^ np.uint64(k)), at
 
 
-def slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, lower: bool) -> Iterator[tuple[np.ndarray, Words, pa.RecordBatch]]:
-    """Ids and words of a few MB of texts at a time."""
+def slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, lower: bool, kind: type = Words) -> Iterator[tuple[np.ndarray, Words, pa.RecordBatch]]:
+    """Ids and words (or, by kind, just bytes) of a few MB of texts at a time."""
     for batch in batches:
         size = np.asarray(pa.compute.binary_length(batch[text_col]).fill_null(0)).astype(np.int64)
         part = np.cumsum(size) // SLICE
@@ -110,7 +118,7 @@ def slices(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, lower:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 some = batch.slice(a, b - a)
-                yield some[id_col].cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), Words(some[text_col], lower), some
+                yield some[id_col].cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), kind(some[text_col], lower), some
 
 
 def pack(a: np.ndarray) -> bytes:
