@@ -22,15 +22,17 @@ def stub(text: Column) -> Column:
 def translated(requests: DataFrame, cache: DataFrame, language: str, model: str, call: Callable[[Column], Column] = stub) -> DataFrame:
     """requests (id, text) with key, output, source ("as-is", "cache", "call"), verdict.
 
-    Texts without language stay as they are; those in the cache (key, output) aren't asked for; each other distinct text is asked for once.
-    call is an expression, or a pandas UDF that calls a service; it sees rows of distinct keys only. Outputs that can't be used have the verdict "failed"; the others get missing terms appended.
+    Texts without language stay as they are; those in the cache (key, output[, text]) aren't asked for; each other distinct text is asked for once.
+    A key has 32 bits and a length, so among millions of texts some share one: texts are told apart as texts, and a cache that holds its entries' texts answers for those alone.
+    call is an expression, or a pandas UDF that calls a service; it sees rows of distinct texts only. Outputs that can't be used have the verdict "failed"; the others get missing terms appended.
     """
     bare = T.untranslatable(F.col("text"))
     rows = requests.withColumn("key", R.content_key(F.coalesce("text", F.lit("")), F.lit(language), F.lit(model))).withColumn("_bare", bare)
-    known = cache.groupBy("key").agg(F.max("output").alias("_known"))
-    asked = rows.filter(~F.col("_bare")).groupBy("key").agg(F.min("text").alias("_text")).join(known, "key", "left")
-    answered = asked.select("key", "_known", F.when(F.col("_known").isNull(), call(F.col("_text"))).alias("_called"))
-    out = rows.join(answered, "key", "left")
+    by = "text" if "text" in cache.columns else "key"
+    known = cache.groupBy(by).agg(F.max("output").alias("_known"))
+    asked = rows.filter(~F.col("_bare")).select(*{"text", by}).distinct().join(known, by, "left")
+    answered = asked.select("text", "_known", F.when(F.col("_known").isNull(), call(F.col("text"))).alias("_called"))
+    out = rows.join(answered, "text", "left")
     text = F.coalesce("text", F.lit(""))
     raw = F.when(F.col("_bare"), text).otherwise(R.without_quotes(F.coalesce("_known", "_called")))
     source = F.when(F.col("_bare"), "as-is").when(F.col("_known").isNotNull(), "cache").otherwise("call")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import calls, figures, formula, layout, pages
+from paperloom.operators import calls, figures, formula, layout, pages, translate
 from paperloom.operators.layout import Item, Line
 
 
@@ -113,3 +113,15 @@ def test_calls_of_empty_and_odd_requests(spark):
 
 def test_crops_of_nothing():
     assert formula.bands([], [], 10.0) == [] and formula.split_rows([], [], 10.0) == []
+
+
+def test_texts_of_one_key_have_answers_of_their_own(spark):
+    """Two texts of equal length whose 32-bit keys are equal."""
+    a, b = "the the steps and reads falls the", "learns many falls a of reads more"
+    rows = spark.createDataFrame([("1", a), ("2", b), ("3", a)], "id string, text string")
+    none = spark.createDataFrame([], "key string, output string")
+    got = {r["id"]: r for r in translate.translated(rows, none, "zh-CN", "m").collect()}
+    assert got["1"]["key"] == got["2"]["key"]
+    assert [got[i]["output"][3:15] for i in "123"] == [a[:12], b[:12], a[:12]]
+    cache = rows.filter("id = '1'").select(F.lit(got["1"]["key"]).alias("key"), "text", F.lit("缓存" * 20).alias("output"))
+    assert sorted((r["id"], r["source"]) for r in translate.translated(rows, cache, "zh-CN", "m").collect()) == [("1", "cache"), ("2", "call"), ("3", "cache")]
