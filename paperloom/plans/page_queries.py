@@ -17,13 +17,20 @@ from paperloom.streaming import events, timed
 
 #: Lines of a page: 40, in two columns on odd pages.
 ROWS = 40
+#: Characters of an item.
+WIDTH = 40
 
 
 def text_items(spark: SparkSession, d: str) -> DataFrame:
     """Words of all lines as items on pages, set like a paper: one column on even pages, two on odd ones."""
-    rows = lines(spark, d).select("doc_id", "line_no", F.explode(F.expr("sequence(0, greatest(0, int((length(raw) - 1) / 40)))")).alias("part"), "raw")
-    rows = rows.withColumn("str", F.substring("raw", F.col("part") * 40 + 1, F.lit(40))).filter("trim(str) <> ''")
-    rows = rows.withColumn("seq", F.expr("row_number() over (partition by doc_id order by line_no, part) - 1"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    parts = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda raw: F.filter(F.regexp_extract_all(raw, F.lit(f"(?s).{{1,{WIDTH}}}"), F.lit(0)), lambda s: F.trim(s) != ""))
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # a document is one row, in which its items are numbered
+        rows = docs.select("doc_id", F.posexplode(F.flatten(parts)).alias("seq", "str"))
+    else:
+        rows = docs.select("doc_id", F.posexplode(parts).alias("line_no", "p")).select("doc_id", "line_no", F.posexplode("p").alias("part", "str"))
+        rows = rows.withColumn("seq", F.expr("row_number() over (partition by doc_id order by line_no, part) - 1"))
+    rows = rows.withColumn("seq", F.col("seq").cast("long"))
     page, at = F.floor(F.col("seq") / ROWS).cast("int"), F.col("seq") % ROWS
     two = page % 2 == 1
     right = two & (at >= ROWS // 2)

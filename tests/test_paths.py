@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import calls, figures, formula, layout, pages, translate
 from paperloom.operators.layout import Item, Line
+from paperloom.plans import page_queries
 
 
 def plain_rows(items, body, middle):
@@ -125,3 +126,34 @@ def test_texts_of_one_key_have_answers_of_their_own(spark):
     assert [got[i]["output"][3:15] for i in "123"] == [a[:12], b[:12], a[:12]]
     cache = rows.filter("id = '1'").select(F.lit(got["1"]["key"]).alias("key"), "text", F.lit("缓存" * 20).alias("output"))
     assert sorted((r["id"], r["source"]) for r in translate.translated(rows, cache, "zh-CN", "m").collect()) == [("1", "cache"), ("2", "call"), ("3", "cache")]
+
+
+def test_a_long_line_of_a_column_stays_in_it():
+    """Most lines of the left column are short, so the middle is within the long one; a connective ends before a letter with an accent, as in the SQL."""
+    rows = [(72.0, n, 15 if n else 40) for n in range(12)] + [(320.0, n, 30) for n in range(12)]
+    items = [Item(k, "n" * w, x, 700.0 - 14 * n, 5.0 * w, 10.0, "") for k, (x, n, w) in enumerate(rows)]
+    lines = layout.lines_of(items, 10.0, 612.0)
+    assert [(ln.section, len(ln.items)) for ln in lines] == [("left", 1)] * 12 + [("right", 1)] * 12
+    for word, n in (("forêt dense", 2), ("fort", 1), ("for", 2)):
+        pair = [Item(0, word, 72.0, 700.0, 5.0 * len(word), 10.0, ""), Item(1, "other", 320.0, 700.0, 25.0, 10.0, "")]
+        assert len(layout.lines_of(pair, 10.0, 612.0)) == n
+
+
+def test_items_of_documents_are_numbered_with_and_without_shared_ids(spark, tmp_path):
+    long = "ab 𝒳" * 50
+    for ids in ((1, 2, None), (1, 1, None)):
+        folder = str(tmp_path / str(ids[1]))
+        spark.createDataFrame([(ids[0], f"{long}\n\n   \nend"), (ids[1], "one\r\ntwo"), (ids[2], None)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        got = page_queries.text_items(spark, folder).orderBy("paper_id", "item_idx").collect()
+        assert sorted(r["str"] for r in got) == sorted([*(long[i : i + 40] for i in range(0, 200, 40)), "end", "one\r", "two"])
+        for k in set(ids[:2]):
+            own = [r for r in got if r["paper_id"] == k]
+            assert [r["item_idx"] for r in own] == list(range(len(own)))
+
+
+def test_pages_are_solved_without_joins(spark):
+    """A page's body size is told where its items are: nothing but the deal by pages is shuffled."""
+    items = spark.createDataFrame([(1, 0, 0, "some words", 72.0, 400.0, 50.0, 10.0, 612.0, 792.0), (1, 0, 1, "12", 300.0, 50.0, 9.0, 10.0, 612.0, 792.0)], "paper_id long, page int, item_idx long, str string, x double, y double, width double, height double, page_w double, page_h double")
+    got = layout.solve_pages(items)
+    assert [r["text"] for r in got.collect()] == ["some words"]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
