@@ -14,14 +14,14 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import glyphs as G
 from paperloom.operators import formula, layout
 from paperloom.operators.layout import Item, Line
-from paperloom.operators.sequences import weighted_mode
 
 PLACES = 100_000  # of the parts of an item: a glyph's number is item * PLACES + part
 
@@ -38,14 +38,14 @@ def page_glyphs(items: DataFrame) -> DataFrame:
     sized = items.filter("str is not null").withColumn("size", F.coalesce(F.nullif(F.hypot(c, d), F.lit(0.0)), F.nullif(F.hypot(a, b), F.lit(0.0)), F.nullif("height", F.lit(0.0)), F.lit(10.0)))
     named = sized.withColumn("name", G.without_subset(F.col("font"))).withColumn("face", G.font(F.col("font")))
     words = named.filter("length(trim(str)) >= 3")
-    body = layout.body_sizes(words.drop("height").withColumn("height", F.col("size")))
-    main = weighted_mode(words.filter(F.col("str").rlike("[A-Za-z]{3,}|[一-鿿]{2,}")), ["paper_id", "page"], F.col("name"), F.length(F.trim("str")), F.col("item_idx")).select("paper_id", "page", F.col("mode").alias("main"))
-    known = named.join(body, ["paper_id", "page"], "left").join(main, ["paper_id", "page"], "left").fillna({"body": 10.0, "main": ""})
+    known = named.join(_page_fonts(words), ["paper_id", "page"], "left").fillna({"body": 10.0, "main": ""})
     whole = F.greatest(F.lit(0.0), F.coalesce(F.nullif("width", F.lit(0.0)), F.length("str") * F.col("size") * 0.48))
-    parts = known.select("*", whole.alias("whole"), (F.abs(b) > F.abs(a) * 0.45).alias("r1"), (F.abs(c) > F.abs(d) * 0.45).alias("r2"), F.size(G.parts(F.col("str"), F.col("face.role"))).alias("n"), F.posexplode(G.parts(F.col("str"), F.col("face.role"))).alias("part", "p"))
+    cut = known.select("*", whole.alias("whole"), (F.abs(b) > F.abs(a) * 0.45).alias("r1"), (F.abs(c) > F.abs(d) * 0.45).alias("r2"), G.parts(F.col("str"), F.col("face.role")).alias("_parts"))
+    counted = cut.select("*", F.size("_parts").alias("n"), F.exists("_parts", lambda p: p["word"]).alias("named"))
+    parts = counted.select("*", F.posexplode("_parts").alias("part", "p")).drop("_parts")
     read = parts.withColumn("g", G.decoded("p.str", "font"))
     big = F.col("g.tall") | F.col("g.large")
-    single, word = (F.col("n") > 1) & ~F.exists(G.parts(F.col("str"), F.col("face.role")), lambda p: p["word"]), F.col("p.word")
+    single, word = (F.col("n") > 1) & ~F.col("named"), F.col("p.word")
     size, height = F.col("size"), F.greatest(F.col("size") * 0.85, F.coalesce(F.nullif("height", F.lit(0.0)), F.col("size")))
     up = F.when(F.col("n") == 1, F.when(big, F.greatest(height * 0.85, size * 0.9)).otherwise(height * 0.82)).otherwise(F.when(big & single, size * 0.9).otherwise(size * 0.82))
     down = F.when(F.col("n") == 1, F.when(big, F.greatest(height * 0.55, size * 0.35)).otherwise(height * 0.24)).otherwise(F.when(big & single, size * 0.55).otherwise(size * 0.24))
@@ -59,6 +59,26 @@ def page_glyphs(items: DataFrame) -> DataFrame:
     )
 
 
+def _page_fonts(words: DataFrame) -> DataFrame:
+    """paper_id, page, body (as `layout.body_sizes`) and main, the font with most characters in items that hold a word; one row of a page's sizes and fonts tells both."""
+    n, size = F.length(F.trim("str")), F.col("size")
+    worded = F.col("str").rlike("[A-Za-z]{3,}|[一-鿿]{2,}")
+    sums = words.groupBy("paper_id", "page", F.when(size.between(6, 18), F.floor(size * 2 + 0.5) / 2).alias("half"), "name").agg(
+        F.sum(n).alias("n"), F.min("item_idx").alias("first"), F.sum(F.when(worded, n)).alias("m"), F.min(F.when(worded, F.col("item_idx"))).alias("mfirst")
+    )
+    rows = sums.groupBy("paper_id", "page").agg(F.collect_list(F.struct("half", "name", "n", "first", "m", "mfirst")).alias("rows"))
+
+    def mode(rows: Column, value: str, weight: str, first: str) -> Column:
+        def one(v: Column) -> Column:
+            own = F.filter(rows, lambda r: r[value].eqNullSafe(v))
+            return F.struct(-F.aggregate(own, F.lit(0).cast("long"), lambda s, r: s + r[weight]), F.array_min(F.transform(own, lambda r: r[first])), v.alias("v"))
+
+        return F.array_min(F.transform(F.array_distinct(F.transform(rows, lambda r: r[value])), one))["v"]
+
+    half = mode(F.filter("rows", lambda r: r["half"].isNotNull()), "half", "n", "first")
+    return rows.select("paper_id", "page", F.when(half.isNotNull(), F.greatest(F.lit(7.0), F.least(F.lit(14.0), half))).alias("body"), mode(F.filter("rows", lambda r: r["m"].isNotNull()), "name", "m", "mfirst").alias("main"))
+
+
 # Texts with maps
 
 
@@ -259,14 +279,27 @@ def paragraphs(items: list[Item], bars: list[formula.Bar], body: float, width: f
         yield row | {"body_index": numbered if kind == "body" else None, "translation": translation, "segments": [{"kind": "math" if p.math else "body", "latex": p.latex if p.math else None, "start": p.start, "end": p.end} for p in parts], "tokens": told}
 
 
-COLUMNS = ("paper", "page", "seq", "text", "x", "y", "w", "size", "role", "body", "page_w", "page_h", "math", "latex", "bold")
+COLUMNS = ("paper", "page", "seq", "text", "x", "y", "w", "size", "role", "body", "page_w", "page_h", "math", "latex", "bold", "proper", "mark")
+
+
+def _of_text(rows: list[tuple]) -> list[tuple]:
+    """Rows of glyphs without numbers in the lower band that stand alone, and what lies in regions: `layout.active`, for one page."""
+    drawn = [r for r in rows if r[8] == "region"]
+    glyphs = [r for r in rows if r[8] not in ("bar", "region")]
+    seen = [r for r in glyphs if r[15]]
+    if any(r[16] for r in seen):
+        others = [r for r in glyphs if r[5] < 7 * 14 and not layout.NUMBER.match(r[3].strip(" "))]
+        seen = [r for r in seen if not r[16] or any(o[2] != r[2] and abs(o[5] - r[5]) <= r[9] * 0.45 and abs(o[4] - r[4]) <= r[9] * 2.5 for o in others)]
+    if drawn:
+        seen = [r for r in seen if not any(d[4] - 4 <= r[4] + r[6] / 2 <= d[6] + 4 and d[5] - 4 <= r[5] <= d[7] + 4 for d in drawn)]
+    return seen
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, held, out = None, [], []
 
     def done() -> None:
-        items = [Item(r[2], r[3], r[4], r[5], r[6], r[7], r[8], r[12], r[13], r[14]) for r in held if r[8] != "bar"]
+        items = [Item(r[2], r[3], r[4], r[5], r[6], r[7], r[8], r[12], r[13], r[14]) for r in _of_text(held)]
         if items:
             bars = [formula.Bar(r[4], r[4] + r[6], r[5]) for r in held if r[8] == "bar"]
             body, width, height = (max(r[n] for r in held) for n in (9, 10, 11))
@@ -292,13 +325,16 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def solved(glyphs: DataFrame, bars: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """Paragraphs (SCHEMA) of glyphs as `page_glyphs` makes them; bars (paper_id, page, x1, x2, y) are fraction bars and roots, regions (paper, page, x1, x2, min_y, max_y) tables to leave out."""
-    if regions is None:
-        regions = glyphs.sparkSession.createDataFrame([], "paper long, page int, x1 double, x2 double, min_y double, max_y double")
-    kept = layout.active(glyphs.filter("not piece"), regions, F.col("page_w"), F.col("page_h")).select(*COLUMNS)
+    proper, mark = layout.in_text(F.col("page_w"), F.col("page_h"))
+    beside = (F.col("y") < 7 * 14) & ~F.trim("text").rlike("^[0-9]+$")  # what a number may stand beside
+    flagged = glyphs.filter("not piece").withColumns({"proper": F.coalesce(proper, F.lit(False)), "mark": F.coalesce(mark, F.lit(False))})
+    rows = flagged.filter(F.col("proper") | beside).select(*COLUMNS)
+    none = {"text": F.lit(""), "body": F.lit(0.0), "page_w": F.lit(0.0), "page_h": F.lit(0.0), "math": F.lit(False), "latex": F.lit(""), "bold": F.lit(False), "proper": F.lit(False), "mark": F.lit(False), "seq": F.lit(-1).cast("long"), "x": F.col("x1")}
     if bars is not None:
-        none = {"seq": F.lit(-1).cast("long"), "text": F.lit(""), "w": F.col("x2") - F.col("x1"), "size": F.lit(0.0), "role": F.lit("bar"), "body": F.lit(0.0), "page_w": F.lit(0.0), "page_h": F.lit(0.0), "math": F.lit(False), "latex": F.lit(""), "bold": F.lit(False), "paper": F.col("paper_id"), "x": F.col("x1")}
-        kept = kept.unionByName(bars.withColumns(none).select(*COLUMNS))
-    return kept.repartition("paper", "page").sortWithinPartitions("paper", "page", "seq", "x", "y").mapInArrow(_run, SCHEMA)
+        rows = rows.unionByName(bars.withColumns(none | {"w": F.col("x2") - F.col("x1"), "size": F.lit(0.0), "role": F.lit("bar"), "paper": F.col("paper_id")}).select(*COLUMNS))
+    if regions is not None:
+        rows = rows.unionByName(regions.withColumns(none | {"y": F.col("min_y"), "w": F.col("x2"), "size": F.col("max_y"), "role": F.lit("region")}).select(*COLUMNS))
+    return layout.dealt(rows, ["paper", "page"], ["seq", "x", "y"]).mapInArrow(_run, SCHEMA)
 
 
 def crops(paragraphs: DataFrame) -> DataFrame:
@@ -323,14 +359,46 @@ def snips(glyphs: DataFrame, regions: DataFrame, bars: DataFrame) -> DataFrame:
     return said.join(built.select("paper", "page", "latex", "tag"), ["paper", "page"])
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of a paragraph's text that come from one glyph, character after character: its number, the place in it where each begins, and the stretch; and in one row (seq -1) all characters that were put between glyphs."""
+    for b in batches:
+        texts, kept = b["text"].to_pylist(), {c: b[c].to_pylist() for c in ("paper_id", "page", "same")}
+        lengths = b["glyphs"].value_lengths().to_numpy(zero_copy_only=False)
+        glyphs, places = (b[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("glyphs", "places"))
+        ends = np.cumsum(lengths)
+        new = np.ones(len(glyphs), bool)
+        new[1:] = (glyphs[1:] != glyphs[:-1]) | (places[1:] != places[:-1] + 1)
+        new[(ends - lengths)[lengths > 0]] = True
+        at = np.flatnonzero(new)
+        first = np.searchsorted(at, np.append(ends - lengths, len(glyphs)))
+        at = [*at.tolist(), len(glyphs)]
+        para, seq, place, run = [], [], [], []
+        for k, t in enumerate(texts):
+            base, put = int(ends[k] - lengths[k]), []
+            for i in range(first[k], first[k + 1]):
+                part = t[at[i] - base : at[i + 1] - base]
+                if glyphs[at[i]] < 0:
+                    put.append(part)
+                else:
+                    para.append(k)
+                    seq.append(glyphs[at[i]])
+                    place.append(places[at[i]])
+                    run.append(part)
+            para.append(k)
+            seq.append(-1)
+            place.append(-1)
+            run.append("".join(put))
+        columns = [pa.array([kept[c][k] for k in para], t) for c, t in (("paper_id", pa.int64()), ("page", pa.int32()), ("same", pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(seq, pa.int64()), pa.array(place, pa.int32()), pa.array(run, pa.string())], names=["paper_id", "page", "same", "seq", "place", "run"])
+
+
 def untraced(paragraphs: DataFrame, glyphs: DataFrame) -> DataFrame:
     """paper_id, page, chars, mismatches, restored: how many characters paragraphs have that come from glyphs, how many of these aren't the glyph's at that place, and whether all translations become the texts again."""
     from_raw = F.aggregate("tokens", F.col("translation"), lambda t, k: F.replace(t, F.concat(F.lit("⟦"), k["id"], F.lit("⟧")), k["raw"]))
-    chars = F.arrays_zip(F.sequence(F.lit(1), F.length("text")).alias("at"), F.col("glyphs").alias("glyph"), F.col("places").alias("place"))
-    rows = paragraphs.filter("text <> ''").select("paper_id", "page", "para", "text", (from_raw == F.col("text")).alias("same"), F.explode(chars).alias("c"))
-    # glyphs of a page are joined by their numbers; both sides have a row for each character or glyph
-    flat = rows.select("paper_id", "page", "same", F.expr("substring(text, c.at, 1)").alias("char"), F.col("c.glyph").alias("seq"), F.col("c.place").alias("place"))
+    rows = paragraphs.filter("text <> ''").select("paper_id", "page", "text", (from_raw == F.col("text")).alias("same"), "glyphs", "places").mapInArrow(_stretches, "paper_id long, page int, same boolean, seq long, place int, run string")
     own = glyphs.select(F.col("paper").alias("paper_id"), "page", "seq", F.col("text").alias("whole"))
-    met = flat.join(own, ["paper_id", "page", "seq"], "left")
-    right = F.when(F.col("seq") < 0, F.col("char") == " ").otherwise(F.coalesce(F.expr("substring(whole, place + 1, 1)") == F.col("char"), F.lit(False)))
-    return met.groupBy("paper_id", "page").agg(F.count_if(F.col("seq") >= 0).alias("chars"), F.count_if(~right).alias("mismatches"), F.bool_and("same").alias("restored"))
+    met = rows.join(own, ["paper_id", "page", "seq"], "left")
+    n, there = F.length("run"), F.expr("substring(whole, place + 1, length(run))")
+    alike = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda s, i: s + F.coalesce((F.substring(there, i, F.lit(1)) == F.substring("run", i, F.lit(1))).cast("int"), F.lit(0)))
+    wrong = F.when(F.col("seq") < 0, F.length(F.replace("run", F.lit(" "), F.lit("")))).when(there == F.col("run"), 0).otherwise(n - alike)
+    return met.groupBy("paper_id", "page").agg(F.sum(F.when(F.col("seq") >= 0, n).otherwise(0)).alias("chars"), F.sum(wrong).cast("long").alias("mismatches"), F.bool_and("same").alias("restored"))

@@ -157,3 +157,15 @@ def test_pages_are_solved_without_joins(spark):
     got = layout.solve_pages(items)
     assert [r["text"] for r in got.collect()] == ["some words"]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_map_is_traced_by_stretches_of_glyphs(spark):
+    """One row meets a glyph, not one for each of its characters; wrong, missing and put-in characters count."""
+    n = 400
+    glyphs = spark.createDataFrame([(1, 0, 5, "a𝒳" * n), (1, 0, 6, "xyz")], "paper long, page int, seq long, text string")
+    text = "a𝒳" * n + " " + "xyZ" + "q" + "-"
+    maps = ([5] * 2 * n + [-1] + [6] * 3 + [7, -1], [*range(2 * n), -1, 0, 1, 2, 0, -1])
+    paras = spark.createDataFrame([(1, 0, text, text, [], *maps), (1, 0, "", "", [], [], [])], "paper_id long, page int, text string, translation string, tokens array<struct<id: string, raw: string>>, glyphs array<long>, places array<int>")
+    assert pages.untraced(paras, glyphs).collect() == [(1, 0, 2 * n + 4, 3, True)]
+    rows = paras.withColumn("same", F.lit(True)).mapInArrow(pages._stretches, "paper_id long, page int, same boolean, seq long, place int, run string").orderBy("seq", "run").collect()
+    assert [(r["seq"], r["run"]) for r in rows] == [(-1, ""), (-1, " -"), (5, "a𝒳" * n), (6, "xyZ"), (7, "q")]
