@@ -6,6 +6,7 @@ of a path). rules: paper, page, kind ("h", "v", "r"), x1, y1, x2, y2, thickness,
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -168,44 +169,87 @@ def math_bars(rules: DataFrame, glyphs: DataFrame, page_w: float, page_h: float,
 REGION = "paper long, page int, x1 double, x2 double, min_y double, max_y double, n_rules int"
 
 
+#: How far below the last rule of a box the next one may be.
+REACH = 160
+KINDS = (pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.int32())
+NAMED = [c.split()[0] for c in REGION.split(", ")]
+
+
+class Cluster:
+    """A box of rules from the top down: its last rule, its bounds and its number of heights over 2.5 points apart."""
+
+    def __init__(self, x1: float, x2: float, y: float):
+        self.last = (x1, x2)
+        self.x1, self.x2, self.y, self.top = x1, x2, y, y
+        self.height, self.heights = y, 1
+
+    def takes(self, x1: float, x2: float, y: float, marks: list[tuple]) -> bool:
+        a, b = self.last
+        if abs(x1 - a) > 16 or abs(x2 - b) > 16 or not 0 <= self.y - y <= REACH:
+            return False
+        left, right, top = min(a, x1) - 10, max(b, x2) + 10, self.y - 2
+        return not any(-m[0] < top and m[1] >= left and m[2] <= right for m in marks)
+
+    def take(self, x1: float, x2: float, y: float) -> None:
+        self.last = (x1, x2)
+        self.x1, self.x2, self.y = min(self.x1, x1), max(self.x2, x2), y
+        if self.height - y > 2.5:
+            self.height, self.heights = y, self.heights + 1
+
+
 def clustered(rules: DataFrame, captions: DataFrame, page_w: float, page_h: float) -> DataFrame:
     """Boxes of wide horizontal rules with the same ends, one under the other: each rule joins the first box whose last one fits; boxes of three heights or more.
 
-    captions: paper, page, x, right, y of table captions, which part boxes. First fit depends on the order, so a page's rules are
-    worked on by one function; they come as one array for each page, at most MOST["h"] of them.
+    captions: paper, page, x, right, y of table captions, which part boxes. First fit depends on the order, so a page's rules and captions go through one task from
+    the top down, as a stream. Boxes that ended over REACH points above take nothing more and are told at once; a task holds what is within REACH points, and of a box its bounds.
     """
     least = min(page_w * 0.20, 118.0)
     wide = rules.filter((F.col("kind") == "h") & F.col("y1").between(28.0001, page_h - 28.0001) & (F.col("x2") - F.col("x1") >= least))
-    rows = wide.groupBy("paper", "page").agg(F.array_sort(F.collect_list(F.struct((-F.col("y1")).alias("_y"), "x1", "seq", "x2"))).alias("rules"))
-    marks = captions.groupBy("paper", "page").agg(F.collect_list(F.struct("x", "right", "y")).alias("marks"))
-
-    def boxes(rules: list[dict], marks: list[dict]) -> Iterator[tuple]:
-        found: list[list[tuple]] = []
-        for r in rules:
-            x1, x2, y = r["x1"], r["x2"], -r["_y"]
-            for cluster in found:
-                a, b, top = cluster[-1]
-                between = any(y + 2 < m["y"] < top - 2 and m["x"] >= min(a, x1) - 10 and m["right"] <= max(b, x2) + 10 for m in marks)
-                if abs(x1 - a) <= 16 and abs(x2 - b) <= 16 and 0 <= top - y <= 160 and not between:
-                    cluster.append((x1, x2, y))
-                    break
-            else:
-                found.append([(x1, x2, y)])
-        for cluster in found:
-            heights: list[float] = []
-            for *_, y in cluster:
-                if all(abs(h - y) > 2.5 for h in heights):
-                    heights.append(y)
-            if len(heights) >= 3:
-                yield min(c[0] for c in cluster), max(c[1] for c in cluster), min(c[2] for c in cluster), max(c[2] for c in cluster), len(heights)
+    lines = wide.select("paper", "page", (-F.col("y1")).alias("down"), F.lit(1).alias("rule"), "x1", "seq", "x2")
+    marks = captions.filter("x is not null and right is not null and y is not null").select("paper", "page", (-F.col("y")).alias("down"), F.lit(0).alias("rule"), F.col("x").cast("double").alias("x1"), F.lit(0).cast("long").alias("seq"), F.col("right").cast("double").alias("x2"))
+    keys = marks.join(wide.select("paper", "page").distinct(), ["paper", "page"], "left_semi")
+    order = ["down", "rule", "x1", "seq", "x2"]
+    dealt = lines.unionByName(keys).withColumn("place", F.row_number().over(Window.partitionBy("paper", "page").orderBy(*order)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, open_, seen, before, out = None, [], [], None, []
+
+        def close(below: float) -> None:
+            """Tell and leave out the boxes that end over REACH points above a height."""
+            for c in open_:
+                if c.y - below > REACH and c.heights >= 3:
+                    out.append((*page, c.x1, c.x2, c.y, c.top, c.heights))
+            open_[:] = [c for c in open_ if c.y - below <= REACH]
+
         for b in batches:
-            out = [(p, g, *x) for p, g, r, m in zip(*(b[c].to_pylist() for c in ("paper", "page", "rules", "marks")), strict=True) for x in boxes(r, m or [])]
+            for paper, number, down, rule, x1, x2 in zip(*(b[c].to_pylist() for c in ("paper", "page", "down", "rule", "x1", "x2")), strict=True):
+                if (paper, number) != page:
+                    close(float("-inf"))
+                    page, seen, before = (paper, number), [], None
+                if not rule:
+                    seen.append((down, x1, x2))
+                    continue
+                if (x1, x2, down) == before:  # what took the last one takes it too
+                    continue
+                before, y = (x1, x2, down), -down
+                close(y)
+                if seen and seen[0][0] < down - REACH:
+                    del seen[: bisect_left(seen, (down - REACH,))]
+                near = [m for m in seen if m[0] < down - 2]
+                for c in open_:
+                    if c.takes(x1, x2, y, near):
+                        c.take(x1, x2, y)
+                        break
+                else:
+                    open_.append(Cluster(x1, x2, y))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), *[pa.float64()] * 4, pa.int32()), strict=True)], names=["paper", "page", "x1", "x2", "min_y", "max_y", "n_rules"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), KINDS, strict=True)], names=NAMED)
+                out = []
+        close(float("-inf"))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), KINDS, strict=True)], names=NAMED)
 
-    return rows.join(marks, ["paper", "page"], "left").mapInArrow(run, REGION)
+    return dealt.mapInArrow(run, REGION)
 
 
 def table_verdicts(regions: DataFrame, glyphs: DataFrame, body: float) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries that SQL can't say, held against plain Python over the same rows, and sources, sinks and SQL names."""
 
 import json
+import random
 import re
 
 from paperloom.functions import glyphs, requests, sentences
@@ -200,3 +201,34 @@ def test_empty_inputs(spark):
     assert vectors.deduplicated(none, 612.0, 792.0).count() == vectors.math_bars(none, marks, 612.0, 792.0, 10.0).count() == vectors.footnote_rules(none, marks, 612.0, 792.0, 10.0).count() == 0
     assert papers.restored(spark.createDataFrame([], "key string, main string, backup string")).count() == 0
     assert formula.reconstruct([], [], 10.0) == ("", "")
+
+
+def test_rule_boxes_are_first_fit_and_pages_are_streams(spark):
+    """Against a plain scan of all boxes; no page's rules are put into one row."""
+    r, rules, captions = random.Random(9), [], []
+    for page in range(12):
+        rules += [(1, page, "h", 12.0 * r.randrange(4), y := r.randrange(60, 1500) / 2, 150.0 + 10 * r.randrange(4), y, 0.5, n) for n in range(r.choice([5, 40, 300]))]
+        captions += [(1, page, x := r.uniform(0, 60), x + r.uniform(5, 90), r.uniform(30, 760)) for _ in range(r.choice([0, 3, 9]))]
+    want = []
+    for page in range(12):
+        found = []
+        for *_, x1, y, x2, _, _, _ in sorted((q for q in rules if q[1] == page), key=lambda q: (-q[4], q[3], q[8])):
+            if x2 - x1 < 118:
+                continue
+            for c in found:
+                a, b, top = c[-1]
+                between = any(y + 2 < m[4] < top - 2 and m[2] >= min(a, x1) - 10 and m[3] <= max(b, x2) + 10 for m in captions if m[1] == page)
+                if abs(x1 - a) <= 16 and abs(x2 - b) <= 16 and 0 <= top - y <= 160 and not between:
+                    c.append((x1, x2, y))
+                    break
+            else:
+                found.append([(x1, x2, y)])
+        for c in found:
+            heights = []
+            for *_, y in c:
+                heights += [y] if all(abs(h - y) > 2.5 for h in heights) else []
+            if len(heights) >= 3:
+                want.append((1, page, min(x[0] for x in c), max(x[1] for x in c), min(x[2] for x in c), max(x[2] for x in c), len(heights)))
+    df = vectors.clustered(spark.createDataFrame(rules, vectors.RULE), spark.createDataFrame(captions, "paper long, page int, x double, right double, y double"), 612.0, 792.0)
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
