@@ -5,14 +5,20 @@ paras: paper, page, id, type, text, translation; notes: paper, page, para, id, c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from paperloom.functions import library as L
 
 #: Types of paragraphs that reports leave out.
 HIDDEN = ("figure-label", "noise")
-SELECTED, THINNED, BLOCK = 40, 8, 64
+SELECTED = 40
+#: Characters by which selections are looked up, and how many of a page are still looked for one by one.
+HEAD, FEW = 16, 64
 
 
 def shown(paras: DataFrame) -> DataFrame:
@@ -25,41 +31,107 @@ def sound_pages(paras: DataFrame) -> DataFrame:
     return paras.join(bad.select("paper", "page").distinct(), ["paper", "page"], "left_anti")
 
 
+def _places(texts: list[str], selections: list[str]) -> dict[str, list[int]]:
+    """For each selection the numbers of the texts that hold it. Many long ones are looked up by their beginnings at each place of a text; the others are looked for in each."""
+    found: dict[str, list[int]] = {s: [] for s in selections}
+    long = [s for s in selections if len(s) >= HEAD]
+    long = long if len(long) > FEW else []
+    heads: dict[str, list[str]] = {}
+    for s in long:
+        heads.setdefault(s[:HEAD], []).append(s)
+    rest = [s for s in selections if s[:HEAD] not in heads]
+    for n, t in enumerate(texts):
+        if heads:
+            for i in range(len(t) - HEAD + 1):
+                for s in heads.get(t[i : i + HEAD], ()):
+                    if t.startswith(s, i) and found[s][-1:] != [n]:
+                        found[s].append(n)
+        for s in rest:
+            if s in t:
+                found[s].append(n)
+    return found
+
+
+def _met(rows: list[tuple], counted: bool) -> Iterator[tuple]:
+    """id and para of a page's rows (id, para, text, question); counted: id, number of paragraphs and the first."""
+    holders: dict[str, set] = {}
+    asks: dict[str, set] = {}
+    for one, para, text, question in rows:
+        if question:
+            asks.setdefault(text, set()).add(one)
+        else:
+            holders.setdefault(text, set()).add(para)
+    paras = list(holders.values())
+    places = _places(list(holders), list(asks))
+    own: dict = {}
+    for s, ids in asks.items():
+        for one in ids:
+            own.setdefault(one, []).append(s)
+    once = sum(map(len, paras)) == len(set().union(*paras))
+    first = [min((p for p in ps if p is not None), default=None) for ps in paras]
+    for one, selections in own.items():
+        at = set().union(*(places[s] for s in selections))
+        if not at:
+            continue
+        if counted:
+            n = sum(len(paras[k]) for k in at) if once else len(set().union(*(paras[k] for k in at)))
+            yield one, n, min((first[k] for k in at if first[k] is not None), default=None)
+        else:
+            yield from ((one, p) for p in set().union(*(paras[k] for k in at)))
+
+
+def _asked(paras: DataFrame, questions: DataFrame, counted: bool) -> DataFrame:
+    """Texts and selections meet in the task that holds their page, so nothing but they is shuffled, once; equal texts and equal selections of a page are compared once."""
+    kind = {f.name: f.dataType for f in paras.schema} | {"ask": questions.schema["id"].dataType}
+    t = paras.select("paper", "page", F.lit(None).cast(kind["ask"]).alias("id"), F.col("id").alias("para"), F.trim("text").alias("text"), F.lit(False).alias("question"))
+    q = questions.select("paper", "page", "id", F.lit(None).cast(kind["id"]).alias("para"), F.left("selected", F.lit(SELECTED)).alias("text"), F.lit(True).alias("question"))
+    rows = t.unionByName(q).filter("length(text) > 0 and paper is not null and page is not null")
+    dealt = rows.withColumn("place", F.row_number().over(Window.partitionBy("paper", "page").orderBy("question")))
+    fields = [("paper", kind["paper"]), ("page", kind["page"]), ("id", kind["ask"]), *([("n", S.LongType())] if counted else []), ("para", kind["id"])]
+    schema = S.StructType([S.StructField(n, k) for n, k in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out, types = None, [], [], None
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, types[n]) for n, c in zip(schema.names, zip(*out, strict=True), strict=True)], names=schema.names)
+
+        for b in batches:
+            types = {n: pa.int64() if n == "n" else b.schema.field(n).type for n in schema.names}
+            for *page, one, para, text, question in zip(*(b[c].to_pylist() for c in ("paper", "page", "id", "para", "text", "question")), strict=True):
+                if page != key:
+                    for row in _met(held, counted):
+                        out.append((*key, *row))
+                        if len(out) >= 10_000:
+                            yield batch()
+                            out.clear()
+                    key, held = page, []
+                held.append((one, para, text, question))
+        for row in _met(held, counted):
+            out.append((*key, *row))
+            if len(out) >= 10_000:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
+
+    return dealt.mapInArrow(run, schema)
+
+
 def asked(paras: DataFrame, questions: DataFrame) -> DataFrame:
-    """paper, page, id of questions, para: paragraphs of the page that hold the beginning of the selection.
+    """paper, page, id of questions, para: paragraphs of the page that hold the beginning of the selection. Repeated lines make many pairs; `answers` counts them."""
+    return _asked(paras, questions, False)
 
-    Texts and selections meet by hashes of 16 characters, of which only one in THINNED is looked at: wherever a selection stands, the text has
-    the same ones. So the join is by equality over a fraction of the text, and its hits alone are compared as texts. Selections that have no such hash go by that of their first
-    characters, for which all hashes of the texts of their pages are taken; only those of under 16 characters are compared to their page's texts, equal ones once.
-    """
-    k = 16
-
-    def marks(c: str, all_: bool = False) -> Column:
-        # a place in a long text is found from its beginning, so texts are cut into short overlapping blocks first
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(c) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.substring(c, b * BLOCK + 1, F.lit(BLOCK + k - 1)))
-        grams = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(x) - k + 1, F.lit(BLOCK)), F.lit(1))), lambda i: F.xxhash64(F.substring(x, i, F.lit(k))))
-        return F.flatten(F.transform(blocks, grams if all_ else lambda x: F.filter(grams(x), lambda h: F.pmod(h, F.lit(THINNED)) == 0)))
-
-    q = questions.select("paper", "page", "id", F.left("selected", F.lit(SELECTED)).alias("_s")).filter("length(_s) > 0")
-    q = q.withColumn("_h", F.when(F.length("_s") >= k, F.array_min(marks("_s"))))
-    long, other = q.filter("_h is not null"), q.filter("_h is null").drop("_h")
-    texts = paras.select("paper", "page", F.col("id").alias("para"), F.trim("text").alias("_t"))
-    grams = texts.filter(f"length(_t) >= {k}").select("paper", "page", "para", F.explode(F.array_distinct(marks("_t"))).alias("_h"))
-    hits = grams.join(long, ["paper", "page", "_h"]).select("paper", "page", "id", "para", "_s")
-    sure = hits.join(texts, ["paper", "page", "para"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
-    begun = other.filter(f"length(_s) >= {k}").withColumn("_h", F.xxhash64(F.left("_s", F.lit(k))))
-    every = texts.join(begun.select("paper", "page").distinct(), ["paper", "page"], "left_semi").filter(f"length(_t) >= {k}").select("paper", "page", "para", F.explode(F.array_distinct(marks("_t", True))).alias("_h"))
-    first = every.join(begun, ["paper", "page", "_h"]).select("paper", "page", "id", "para", "_s").join(texts, ["paper", "page", "para"]).filter(F.contains("_t", "_s")).select("paper", "page", "id", "para")
-    short = other.filter(f"length(_s) < {k}").groupBy("paper", "page", "_s").agg(F.collect_set("id").alias("ids"))
-    seen = texts.groupBy("paper", "page", "_t").agg(F.collect_set("para").alias("paras"))
-    rest = short.join(seen, ["paper", "page"]).filter(F.contains("_t", "_s")).select("paper", "page", F.explode("ids").alias("id"), "paras").select("paper", "page", "id", F.explode("paras").alias("para"))
-    return sure.unionByName(first).unionByName(rest).distinct()
+
+def answers(paras: DataFrame, questions: DataFrame) -> DataFrame:
+    """paper, page, id of questions, n: how many paragraphs of the page hold the beginning of the selection, para: the first; those that some hold."""
+    return _asked(paras, questions, True)
 
 
 def appendix(paras: DataFrame, notes: DataFrame, questions: DataFrame) -> DataFrame:
     """paper, page and counts: entries, translated, noted (entries with notes), orphan_notes, questions, orphan_questions; only pages with any content."""
     entries = shown(paras)
-    found = asked(entries, questions).select("paper", "page", "id").distinct().withColumn("_hit", F.lit(True))
+    found = answers(entries, questions).select("paper", "page", "id", F.lit(True).alias("_hit"))
     keys = entries.select("paper", "page", F.col("id").alias("para")).withColumn("_entry", F.lit(True))
     e = entries.groupBy("paper", "page").agg(F.count("*").alias("entries"), F.count_if(F.col("translation") != "").alias("translated"))
     n = notes.join(keys, ["paper", "page", "para"], "left").groupBy("paper", "page").agg(F.count_if(F.col("_entry")).alias("notes"), F.count_if(F.col("_entry").isNull()).alias("orphan_notes"), F.count_distinct(F.when(F.col("_entry"), F.col("para"))).alias("noted"))

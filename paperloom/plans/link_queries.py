@@ -92,7 +92,7 @@ def qa_to_paragraph(spark: SparkSession, d: str) -> DataFrame:
     """Questions whose selection's beginning occurs in paragraphs of their page: every line asks, with 40 characters from its eleventh on."""
     rows = lines(spark, d).select(F.col("doc_id").alias("paper"), F.lit(1).alias("page"), F.col("line_no").alias("id"), F.col("raw").alias("text"))
     asked = rows.select("paper", "page", "id", F.substring("text", 11, 40).alias("selected"))
-    return reports.asked(rows, asked).groupBy(F.col("paper").alias("page"), F.col("id").alias("asked")).agg(F.count("*").alias("n"), F.min("para").alias("para"))
+    return reports.answers(rows, asked).select(F.col("paper").alias("page"), F.col("id").alias("asked"), "n", "para")
 
 
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:

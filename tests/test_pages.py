@@ -5,7 +5,7 @@ import random
 import re
 
 from paperloom.functions import glyphs, requests, sentences
-from paperloom.operators import formula, layout, vectors
+from paperloom.operators import formula, layout, reports, vectors
 from paperloom.plans import catalog, geometry_queries, page_queries
 from paperloom.register import register
 from paperloom.sources import papers
@@ -232,3 +232,18 @@ def test_rule_boxes_are_first_fit_and_pages_are_streams(spark):
     df = vectors.clustered(spark.createDataFrame(rules, vectors.RULE), spark.createDataFrame(captions, "paper long, page int, x double, right double, y double"), 612.0, 792.0)
     assert sorted(map(tuple, df.collect())) == sorted(want)
     assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_and_paragraphs_meet_within_their_page(spark):
+    """Against all pairs; equal lines aren't told as pairs, and a page with many selections is looked through once."""
+    r = random.Random(4)
+    words = ["alpha beta gamma", "delta", "epsilon zeta eta theta", "x" * 30]
+    paras = [(p, 1, n, f" {' '.join(r.choice(words) for _ in range(r.randint(0, 6)))} ") for p in range(6) for n in range(r.choice([3, 30, 150]))] + [(9, 1, n, "the same line of text in all of a page") for n in range(3000)]
+    asks = [(p, g, n, t[r.randint(0, 8) :][: r.choice([2, 20, 60])]) for p, g, n, t in paras if p != 9] + [(9, 1, n, "same line of text in all") for n in range(3000)]
+    texts, questions = spark.createDataFrame(paras, "paper long, page int, id long, text string"), spark.createDataFrame(asks, "paper long, page int, id long, selected string")
+    want = sorted((p, g, i, k) for p, g, i, s in asks if s[:40] and p != 9 for q, _, k, t in paras if q == p and s[:40] in t.strip(" "))
+    assert sorted(map(tuple, reports.asked(texts.filter("paper <> 9"), questions.filter("paper <> 9")).collect())) == want
+    got = {tuple(a[:3]): tuple(a[3:]) for a in reports.answers(texts, questions).collect()}
+    assert {k: v for k, v in got.items() if k[0] != 9} == {k: (len(v), min(v)) for k in {w[:3] for w in want} for v in [[w[3] for w in want if w[:3] == k]]}
+    assert all(got[9, 1, n] == (3000, 0) for n in range(3000))
+    assert "Join" not in reports.answers(texts, questions)._jdf.queryExecution().optimizedPlan().toString()
