@@ -38,7 +38,8 @@ def page_glyphs(items: DataFrame) -> DataFrame:
     sized = items.filter("str is not null").withColumn("size", F.coalesce(F.nullif(F.hypot(c, d), F.lit(0.0)), F.nullif(F.hypot(a, b), F.lit(0.0)), F.nullif("height", F.lit(0.0)), F.lit(10.0)))
     named = sized.withColumn("name", G.without_subset(F.col("font"))).withColumn("face", G.font(F.col("font")))
     words = named.filter("length(trim(str)) >= 3")
-    known = named.join(_page_fonts(words), ["paper_id", "page"], "left").fillna({"body": 10.0, "main": ""})
+    # a row for each page, which a small file of few columns may make look small enough to be broadcast: it grows with the input, so it is never sent to the driver
+    known = named.join(_page_fonts(words).hint("merge"), ["paper_id", "page"], "left").fillna({"body": 10.0, "main": ""})
     whole = F.greatest(F.lit(0.0), F.coalesce(F.nullif("width", F.lit(0.0)), F.length("str") * F.col("size") * 0.48))
     cut = known.select("*", whole.alias("whole"), (F.abs(b) > F.abs(a) * 0.45).alias("r1"), (F.abs(c) > F.abs(d) * 0.45).alias("r2"), G.parts(F.col("str"), F.col("face.role")).alias("_parts"))
     counted = cut.select("*", F.size("_parts").alias("n"), F.exists("_parts", lambda p: p["word"]).alias("named"))
@@ -397,7 +398,7 @@ def untraced(paragraphs: DataFrame, glyphs: DataFrame) -> DataFrame:
     from_raw = F.aggregate("tokens", F.col("translation"), lambda t, k: F.replace(t, F.concat(F.lit("⟦"), k["id"], F.lit("⟧")), k["raw"]))
     rows = paragraphs.filter("text <> ''").select("paper_id", "page", "text", (from_raw == F.col("text")).alias("same"), "glyphs", "places").mapInArrow(_stretches, "paper_id long, page int, same boolean, seq long, place int, run string")
     own = glyphs.select(F.col("paper").alias("paper_id"), "page", "seq", F.col("text").alias("whole"))
-    met = rows.join(own, ["paper_id", "page", "seq"], "left")
+    met = rows.join(own.hint("merge"), ["paper_id", "page", "seq"], "left")
     n, there = F.length("run"), F.expr("substring(whole, place + 1, length(run))")
     alike = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda s, i: s + F.coalesce((F.substring(there, i, F.lit(1)) == F.substring("run", i, F.lit(1))).cast("int"), F.lit(0)))
     wrong = F.when(F.col("seq") < 0, F.length(F.replace("run", F.lit(" "), F.lit("")))).when(there == F.col("run"), 0).otherwise(n - alike)

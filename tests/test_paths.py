@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import calls, figures, formula, layout, pages, translate
 from paperloom.operators.layout import Item, Line
-from paperloom.plans import page_queries
+from paperloom.plans import catalog, page_queries
 
 
 def plain_rows(items, body, middle):
@@ -169,3 +169,9 @@ def test_a_map_is_traced_by_stretches_of_glyphs(spark):
     assert pages.untraced(paras, glyphs).collect() == [(1, 0, 2 * n + 4, 3, True)]
     rows = paras.withColumn("same", F.lit(True)).mapInArrow(pages._stretches, "paper_id long, page int, same boolean, seq long, place int, run string").orderBy("seq", "run").collect()
     assert [(r["seq"], r["run"]) for r in rows] == [(-1, ""), (-1, " -"), (5, "a𝒳" * n), (6, "xyZ"), (7, "q")]
+
+
+def test_nothing_of_pages_is_broadcast(spark):
+    """Tables of a row for each page grow with the input, however small a file of few columns makes them look."""
+    for df in (catalog.QUERIES["paragraph_breaks"](spark, "/root/testdata/sf0.001"), catalog.QUERIES["page_map"](spark, "/root/testdata/sf0.001")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
